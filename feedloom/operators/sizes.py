@@ -1,0 +1,13 @@
+"""Broadcast only what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_rows(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when at most `rows` narrow rows can occur; else leave it to Spark."""
+    return F.broadcast(df) if rows <= limit else df
