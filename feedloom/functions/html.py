@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -22,6 +23,7 @@ from feedloom.functions.text import (
     cut_u16,
     fits_u16,
     is_blank,
+    let,
     text_or_empty,
     trim_u,
 )
@@ -30,11 +32,14 @@ _TOKEN = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|&|[^&]+"
 _WIDE = r"\x{A0}-\x{FF}\x{10000}-\x{10FFFF}"
 
 
+# Entity text to character: the HTML 4 names and `apos`, as one constant.
+_ENTITIES = json.dumps(
+    {f"&{name};": chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
+)
+
+
 def _entity_names() -> Column:
-    names = {**name2codepoint, "apos": 39}
-    common = ["amp", "lt", "gt", "quot", "nbsp", "apos"]
-    order = common + [n for n in names if n not in common]
-    return F.create_map(*[F.lit(x) for n in order for x in (f"&{n};", chr(names[n]))])
+    return F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
 
 def code_point_char(n: Column) -> Column:
@@ -56,9 +61,13 @@ def _decode_token(tok: Column) -> Column:
 
 def html_decode(c: Column) -> Column:
     """Named and numeric entities, in one pass; the semicolon is needed."""
-    tokens = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
-    decoded = F.array_join(F.transform(tokens, _decode_token), "")
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+    def decode(x: Column) -> Column:
+        tokens = F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))
+        decoded = F.array_join(F.transform(tokens, _decode_token), "")
+        return F.when(F.contains(x, F.lit("&")), decoded).otherwise(x)
+
+    return let(c, decode)
 
 
 def html_encode(c: Column) -> Column:
@@ -66,14 +75,17 @@ def html_encode(c: Column) -> Column:
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))
     for raw, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(raw), F.lit(entity))
-    tokens = F.regexp_extract_all(out, F.lit(f"[{_WIDE}]|[^{_WIDE}]+"), F.lit(0))
-    wide = F.transform(
-        tokens,
-        lambda t: F.when(
-            t.rlike(f"^[{_WIDE}]"), F.concat(F.lit("&#"), F.ascii(t).cast("string"), F.lit(";"))
-        ).otherwise(t),
-    )
-    return F.when(out.rlike(f"[{_WIDE}]"), F.array_join(wide, "")).otherwise(out)
+
+    def number(t: Column) -> Column:
+        code = F.concat(F.lit("&#"), F.ascii(t).cast("string"), F.lit(";"))
+        return F.when(t.rlike(f"^[{_WIDE}]"), code).otherwise(t)
+
+    def encode(x: Column) -> Column:
+        tokens = F.regexp_extract_all(x, F.lit(f"[{_WIDE}]|[^{_WIDE}]+"), F.lit(0))
+        numbered = F.array_join(F.transform(tokens, number), "")
+        return F.when(x.rlike(f"[{_WIDE}]"), numbered).otherwise(x)
+
+    return let(out, encode)
 
 
 def strip_tags_lazy(c: Column) -> Column:
@@ -105,34 +117,63 @@ PARAGRAPH_PATTERNS = [
 
 
 def first_paragraph_page(html: Column, limit: int = 800) -> Column:
-    """Text of the first pattern that matches; a blank match still ends the search."""
-    found = F.lit("")
-    for pattern in reversed(PARAGRAPH_PATTERNS):
-        found = F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)).otherwise(found)
-    return F.coalesce(clip(strip_tags_lazy(found), limit, "..."), F.lit(""))
+    """Text of the first pattern that matches; a blank match still ends the search.
+
+    A later pattern is tried only when all before it failed.
+    """
+
+    def search(patterns: list[str]) -> Column:
+        if not patterns:
+            return F.lit("")
+        return let(
+            F.regexp_extract(html, patterns[0], 0),
+            lambda m: F.when(m != "", m).otherwise(search(patterns[1:])),
+        )
+
+    found = search(PARAGRAPH_PATTERNS)
+    inner = F.regexp_extract(found, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
+    return F.coalesce(clip(strip_tags_lazy(inner), limit, "..."), F.lit(""))
 
 
 def main_content_html(html: Column) -> Column:
     """The article part of a page."""
-    page = text_or_empty(html)
-    head = F.regexp_extract(page, r"(?si)^(.*?)entry-content", 1)
-    at = F.char_length(head)
-    start = F.when(
-        head.rlike(r"(?i)<div"), F.char_length(F.regexp_extract(head, r"(?si)^(.*)<div", 1))
-    ).otherwise(at)
-    tail = F.substring(page, at + 1, F.char_length(page))
-    end = at + F.char_length(F.regexp_extract(tail, r"(?si)^(.*?)</article>", 1))
-    rest = F.substring(page, start + 1, F.char_length(page))
-    marked = F.when(
-        tail.rlike(r"(?i)</article>"), F.substring(page, start + 1, end - start)
-    ).otherwise(cut_u16(rest, PAGE_SLICE))
     article = r"(?si)(<article.*?)</article>"
-    return (
-        F.when(is_blank(page), F.lit(""))
-        .when(page.rlike(r"(?i)entry-content"), marked)
-        .when(page.rlike(article), F.regexp_extract(page, article, 1))
-        .otherwise(cut_u16(page, PAGE_SLICE))
-    )
+
+    def marked(page: Column, head: Column) -> Column:
+        """From the last `<div` before the first marker to the end of the article."""
+        before = F.regexp_extract(head, r"(?si)^(.*)<div", 1)
+        start = F.when(head.rlike(r"(?i)<div"), F.char_length(before)).otherwise(
+            F.char_length(head)
+        )
+        tail = F.substring(page, F.char_length(head) + 1, F.char_length(page))
+        inside = F.regexp_extract(tail, r"(?si)^(.*?)</article>", 1)
+
+        def part(at: Column) -> Column:
+            closed = F.substring(page, at + 1, F.char_length(head) + F.char_length(inside) - at)
+            rest = F.substring(page, at + 1, F.char_length(page))
+            return F.when(inside != "", closed).otherwise(cut_u16(rest, PAGE_SLICE))
+
+        return let(start, part)
+
+    def main(page: Column) -> Column:
+        return (
+            F.when(is_blank(page), F.lit(""))
+            .when(
+                page.rlike(r"(?i)entry-content"),
+                let(
+                    F.regexp_extract(page, r"(?si)^(.*?)entry-content", 1),
+                    lambda head: marked(page, head),
+                ),
+            )
+            .otherwise(
+                let(
+                    F.regexp_extract(page, article, 1),
+                    lambda m: F.when(m != "", m).otherwise(cut_u16(page, PAGE_SLICE)),
+                )
+            )
+        )
+
+    return let(text_or_empty(html), main)
 
 
 # Markup rules of the readable text, in order.
@@ -169,26 +210,42 @@ def drop_boilerplate_lines(text: Column, tokens: list[str] = BOILERPLATE) -> Col
 
 
 def emoji_entities(c: Column) -> Column:
-    """Every UTF-16 unit above 127 as a decimal entity."""
-    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
-
-    def unit(h: Column) -> Column:
-        n = F.conv(h, 16, 10).cast("bigint")
-        return F.when(
-            n > 127, F.concat(F.lit("&#"), n.cast("string"), F.lit(";"))
-        ).otherwise(F.char(n))
-
-    default = "&#%d;" % ord(DEFAULT_EMOJI)
-    return F.when(text_or_empty(c) == "", F.lit(default)).otherwise(
-        F.array_join(F.transform(units, unit), "")
+    """Every UTF-16 unit above 127 as a decimal entity; a surrogate pair makes two."""
+    tokens = F.regexp_extract_all(c, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+
+    def entity(n: Column) -> Column:
+        return F.concat(F.lit("&#"), n.cast("string"), F.lit(";"))
+
+    def unit(t: Column) -> Column:
+        over = F.ascii(t) - 0x10000
+        pair = F.concat(
+            entity(F.shiftright(over, 10) + 0xD800), entity(F.pmod(over, F.lit(1024)) + 0xDC00)
+        )
+        return (
+            F.when(F.ascii(t) <= 127, t).when(over < 0, entity(F.ascii(t))).otherwise(pair)
+        )
+
+    return F.when(text_or_empty(c) == "", F.lit("&#%d;" % ord(DEFAULT_EMOJI))).otherwise(
+        F.array_join(F.transform(tokens, unit), "")
     )
 
 
 def scrub_phrase(html: Column) -> Column:
-    """Remove the unwanted phrase and up to 200 characters before it."""
-    return F.regexp_replace(
-        html, r"(?is)[^<>]{0,200}?" + UNWANTED_PHRASE + r"\.?[^<>]{0,200}?", ""
-    )
+    """Remove the unwanted phrase and up to 200 characters of text before it.
+
+    The text is cut at each phrase and every piece but the last loses its tail; the tail is
+    met from the reversed piece, so the work grows with the page only.
+    """
+    pattern = rf"(?i){UNWANTED_PHRASE}\.?"
+
+    def cut(parts: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            short = F.reverse(F.regexp_replace(F.reverse(p), r"^[^<>]{1,200}", ""))
+            return F.when(i < F.size(parts) - 1, short).otherwise(p)
+
+        return F.array_join(F.transform(parts, piece), "")
+
+    return let(F.split(html, pattern), cut)
 
 
 def contains_hangul(c: Column) -> Column:
@@ -197,14 +254,22 @@ def contains_hangul(c: Column) -> Column:
 
 def first_sentence_paragraph(summary: Column) -> Column:
     """The first sentence, or two when the first is short."""
-    text = trim_u(text_or_empty(summary))
     one_rx = rf"^([^\n]+?\.)(?:[{WS}]|\z)"
     two_rx = rf"^([^\n]+?\.[{WS}]+[^\n]+?\.)(?:[{WS}]|\z)"
-    one, two = (trim_u(F.regexp_extract(text, rx, 1)) for rx in (one_rx, two_rx))
-    short = fits_u16(one, 99) & (F.char_length(text) > F.char_length(one)) & (two != "")
-    return F.when(
-        text.rlike(one_rx), clip(F.when(short, two).otherwise(one), 600, "...")
-    ).otherwise(clip(text, 500, "..."))
+
+    def pick(text: Column) -> Column:
+        def widen(one: Column) -> Column:
+            longer = let(
+                F.regexp_extract(text, two_rx, 1), lambda two: F.when(two != "", two).otherwise(one)
+            )
+            short = fits_u16(one, 99) & (F.char_length(text) > F.char_length(one))
+            return F.when(one == "", clip(text, 500, "...")).otherwise(
+                clip(trim_u(F.when(short, longer).otherwise(one)), 600, "...")
+            )
+
+        return let(F.regexp_extract(text, one_rx, 1), widen)
+
+    return let(trim_u(text_or_empty(summary)), pick)
 
 
 def first_paragraph_chain(page_paragraph: Column, summary: Column) -> Column:

@@ -65,13 +65,18 @@ def normalize_bullets(bullets: Column, fillers: list[str] = EN_FILLERS, count: i
 
 def extract_bullets(summary: Column) -> Column:
     """The first three sentences of at least 20 characters."""
-    text = trim_u(text_or_empty(summary))
-    parts = F.filter(
-        F.transform(F.split(text, rf"(?<=[.!?])[{WS}]+"), trim_u), lambda s: ~fits_u16(s, 19)
-    )
-    three = F.transform(F.slice(parts, 1, 3), lambda s: clip(s, 160, "..."))
-    some = F.when(F.size(three) > 0, three).otherwise(F.array(clip(text, 140, "...")))
-    return F.when(text == "", lits(BLANK_SUMMARY_BULLETS)).otherwise(normalize_bullets(some))
+
+    def cut(text: Column) -> Column:
+        parts = F.filter(
+            F.transform(F.split(text, rf"(?<=[.!?])[{WS}]+"), trim_u), lambda s: ~fits_u16(s, 19)
+        )
+        three = F.transform(F.slice(parts, 1, 3), lambda s: clip(s, 160, "..."))
+        some = let(
+            three, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(clip(text, 140, "...")))
+        )
+        return F.when(text == "", lits(BLANK_SUMMARY_BULLETS)).otherwise(normalize_bullets(some))
+
+    return let(trim_u(text_or_empty(summary)), cut)
 
 
 def strip_bullet_marker(c: Column) -> Column:
@@ -100,29 +105,33 @@ def _plain(line: Column) -> Column:
     return F.lower(F.replace(bare, F.lit(ELLIPSIS), F.lit("...")))
 
 
+_UNWANTED_RX = rf"(?s){UNWANTED_PHRASE}|^(?=.*{UNWANTED_PAIR[0]})(?=.*{UNWANTED_PAIR[1]})"
+_BANNED_RX = rf"(?s)^(?=.*{BANNED_TOPIC})(?=.*(?:{'|'.join(BANNED_LIMITS)}))"
+
+
 def unwanted_sentence(line: Column) -> Column:
-    low = _plain(line)
-    first, second = (F.contains(low, F.lit(x)) for x in UNWANTED_PAIR)
-    return F.contains(low, F.lit(UNWANTED_PHRASE)) | (first & second)
+    return _plain(line).rlike(_UNWANTED_RX)
 
 
 def banned_variant(line: Column) -> Column:
-    low = _plain(line)
-    limits = [F.contains(low, F.lit(x)) for x in BANNED_LIMITS]
-    return F.contains(low, F.lit(BANNED_TOPIC)) & (limits[0] | limits[1] | limits[2])
+    return _plain(line).rlike(_BANNED_RX)
 
 
 def _allowed(line: Column) -> Column:
-    return ~unwanted_sentence(line) & ~banned_variant(line)
+    """Neither unwanted nor banned; every unwanted sentence is a banned variant too."""
+    return ~banned_variant(line)
 
 
 def drop_lines_in_summary(lines: Column, summary: Column) -> Column:
     """Lines that the summary does not hold already."""
-    whole = F.lower(trim_u(text_or_empty(summary)))
-    kept = F.filter(
-        F.transform(lines, trim_u), lambda x: (x != "") & ~F.contains(whole, F.lower(x))
-    )
-    return F.when(whole == "", lines).otherwise(kept)
+
+    def drop(whole: Column) -> Column:
+        kept = F.filter(
+            F.transform(lines, trim_u), lambda x: (x != "") & ~F.contains(whole, F.lower(x))
+        )
+        return F.when(whole == "", lines).otherwise(kept)
+
+    return let(F.lower(trim_u(text_or_empty(summary))), drop)
 
 
 # --- cutting text into lines -------------------------------------------------------------
@@ -174,22 +183,25 @@ def _chunk_step(acc: Column, count: int) -> Column:
 
 def excerpt_lines(text: Column, count: int) -> Column:
     """Up to `count` sentences; a short text is cut again from its start by length."""
-    bare = trim_u(text_or_empty(text))
-    sentences = F.filter(
-        F.transform(F.split(bare, rf"(?<=[.!?\x{{3002}}\x{{FF01}}\x{{FF1F}}])[{WS}]+"), trim_u),
-        lambda s: s != "",
-    )
-    first = F.transform(F.slice(sentences, 1, count), _clip_sentence)
 
-    def fill(lines: Column) -> Column:
-        folded = F.aggregate(
-            F.sequence(F.lit(1), F.lit(count)),
-            F.struct(lines.alias("lines"), bare.alias("rest")),
-            lambda acc, _: _chunk_step(acc, count),
+    def cut(bare: Column) -> Column:
+        sentences = F.filter(
+            F.transform(F.split(bare, rf"(?<=[.!?\x{{3002}}\x{{FF01}}\x{{FF1F}}])[{WS}]+"), trim_u),
+            lambda s: s != "",
         )
-        return F.when(F.size(lines) >= count, lines).otherwise(folded["lines"])
 
-    return F.when(bare == "", no_strings()).otherwise(let(first, fill))
+        def fill(lines: Column) -> Column:
+            folded = F.aggregate(
+                F.sequence(F.lit(1), F.lit(count)),
+                F.struct(lines.alias("lines"), bare.alias("rest")),
+                lambda acc, _: _chunk_step(acc, count),
+            )
+            return F.when(F.size(lines) >= count, lines).otherwise(folded["lines"])
+
+        first = F.transform(F.slice(sentences, 1, count), _clip_sentence)
+        return F.when(bare == "", no_strings()).otherwise(let(first, fill))
+
+    return let(trim_u(text_or_empty(text)), cut)
 
 
 def chunk_lines(text: Column, count: int | Column, limit: int, most: int | None = None) -> Column:
@@ -322,16 +334,31 @@ def insights_en(points: Column, excerpt: Column, fallback: Column) -> Column:
     return _insights(sanitized_points(points), excerpt, fallback)
 
 
+def _spare_ko(link: Column) -> Column:
+    source = F.when(is_blank(link), F.lit(KO_UNAVAILABLE[2] + ".")).otherwise(
+        F.concat(F.lit(KO_UNAVAILABLE[2] + ": "), link)
+    )
+    return F.array(F.lit(KO_UNAVAILABLE[0]), F.lit(KO_UNAVAILABLE[1]), source)
+
+
+def _has_hangul(points: Column) -> Column:
+    return F.exists(F.coalesce(points, no_strings()), contains_hangul)
+
+
 def insights_ko(points: Column, excerpt: Column, fallback: Column, link: Column) -> Column:
     """Korean lines; without any Hangul, three fixed lines with the link."""
-    spare = F.array(
-        F.lit(KO_UNAVAILABLE[0]),
-        F.lit(KO_UNAVAILABLE[1]),
-        F.when(is_blank(link), F.lit(KO_UNAVAILABLE[2] + ".")).otherwise(
-            F.concat(F.lit(KO_UNAVAILABLE[2] + ": "), link)
-        ),
+    return F.when(_has_hangul(points), _insights(points, excerpt, fallback)).otherwise(
+        _spare_ko(link)
+    )
+
+
+def insights_both(
+    english: Column, korean: Column, excerpt: Column, fallback: Column, link: Column
+) -> Column:
+    """English and Korean lines as an array of two, from one expression for both."""
+    given = F.array(sanitized_points(english), F.when(_has_hangul(korean), korean))
+    lines = F.transform(
+        given,
+        lambda points: F.when(points.isNotNull(), _insights(points, excerpt, fallback)),
     )
-    given = F.coalesce(points, no_strings())
-    return F.when(
-        F.exists(given, contains_hangul), _insights(given, excerpt, fallback)
-    ).otherwise(spare)
+    return F.array(F.get(lines, F.lit(0)), F.coalesce(F.get(lines, F.lit(1)), _spare_ko(link)))

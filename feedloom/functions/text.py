@@ -52,18 +52,28 @@ def fits_u16(c: Column, limit: int) -> Column:
 
 
 def cut_u16(c: Column, limit: int) -> Column:
-    """Longest prefix of at most `limit` units."""
-    head = F.substring(c, 1, limit)
-    raw = F.encode(head, "UTF-16BE")
-    last = F.hex(F.substring(raw, 2 * limit - 1, 1))
-    whole = F.when(last.between("D8", "DB"), F.substring(raw, 1, 2 * limit - 2))
-    return F.when(len_u16(head) <= limit, head).otherwise(
-        F.decode(whole.otherwise(F.substring(raw, 1, 2 * limit)), "UTF-16BE")
-    )
+    """Longest prefix of at most `limit` units; `c` is computed once."""
+
+    def cut(head: Column) -> Column:
+        raw = F.encode(head, "UTF-16BE")
+        last = F.hex(F.substring(raw, 2 * limit - 1, 1))
+        split_pair = last.between("D8", "DB")
+        kept = F.when(split_pair, F.substring(raw, 1, 2 * limit - 2)).otherwise(
+            F.substring(raw, 1, 2 * limit)
+        )
+        return F.when(len_u16(head) <= limit, head).otherwise(F.decode(kept, "UTF-16BE"))
+
+    return let(F.substring(c, 1, limit), cut)
 
 
 def clip(c: Column, limit: int, tail: str) -> Column:
-    return F.when(fits_u16(c, limit), c).otherwise(F.concat(cut_u16(c, limit), F.lit(tail)))
+    """`c`, or its first `limit` units and `tail`; `c` is computed once."""
+    return let(
+        c,
+        lambda x: F.when(fits_u16(x, limit), x).otherwise(
+            F.concat(cut_u16(x, limit), F.lit(tail))
+        ),
+    )
 
 
 def same_text(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Broadcast only what is known to be small."""
+"""Size checks: broadcast what is small, spread what sits in too few files."""
 
 from __future__ import annotations
 
@@ -11,3 +11,12 @@ BROADCAST_ROWS = 100_000
 def broadcast_rows(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when at most `rows` narrow rows can occur; else leave it to Spark."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer parts than cores is dealt out, as text work is bound by the cores.
+
+    A large input has more parts than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

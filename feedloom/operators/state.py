@@ -141,7 +141,7 @@ def read_processed(rows: DataFrame) -> DataFrame:
 
 
 def _newest_first(rows: DataFrame, limit: int) -> DataFrame:
-    return rows.orderBy(F.col("processed_time").desc(), "pk", "rk").limit(limit)
+    return rows.orderBy(F.col("processed_time").desc(), "pk", "rk", "ts").limit(limit)
 
 
 def recent_posts(
@@ -156,7 +156,7 @@ def recent_fallback_scan(
     rows: DataFrame, as_of: Column, days_since: int = 1, limit: int = 15, scan: int = 500
 ) -> DataFrame:
     """The first `scan` rows in key order, filtered by processed time."""
-    first = read_processed(rows.orderBy("pk", "rk").limit(scan))
+    first = read_processed(rows.orderBy("pk", "rk", "ts").limit(scan))
     return _newest_first(first.filter(F.col("processed_time") >= ago(as_of, days=days_since)), limit)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.html import (
@@ -17,8 +19,7 @@ from feedloom.functions.lines import (
     MAX_EXCERPT,
     excerpt_lines,
     excerpt_three,
-    insights_en,
-    insights_ko,
+    insights_both,
 )
 from feedloom.functions.text import is_blank
 from feedloom.operators.render import legacy_card
@@ -48,28 +49,36 @@ def insight_source(posts: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
 
+@cache
+def _excerpt() -> Column:
+    return excerpt_three(excerpt_lines(F.col("article_text"), 3), F.col("summary_text"))
+
+
+@cache
+def _insight_lines() -> Column:
+    names = ["english_summary", "korean_summary", "_lines", "fallback", "link"]
+    return insights_both(*[F.col(n) for n in names])
+
+
 def mail_lines(posts: DataFrame, articles: DataFrame) -> DataFrame:
-    """Posts with excerpt lines and English and Korean insight lines."""
-    found = insight_source(posts, articles)
-    excerpt = found.withColumn(
-        "excerpt",
-        excerpt_three(excerpt_lines(F.col("article_text"), 3), F.col("summary_text")),
-    )
+    """Posts with excerpt lines and English and Korean insight lines.
+
+    The two large expressions name columns only, so they are built once and reused.
+    """
     fallback = (
         F.when(~is_blank(F.col("article_text")), F.col("article_text"))
         .when(~is_blank(F.col("_full")), F.col("_full"))
         .otherwise(F.array_join("excerpt", " "))
     )
-    ready = excerpt.withColumn("fallback", fallback).withColumn(
-        "_lines", excerpt_lines(F.col("fallback"), MAX_EXCERPT)
+    return (
+        insight_source(posts, articles)
+        .withColumn("excerpt", _excerpt())
+        .withColumn("fallback", fallback)
+        .withColumn("_lines", excerpt_lines(F.col("fallback"), MAX_EXCERPT))
+        .withColumn("_both", _insight_lines())
+        .withColumns({"en": F.col("_both")[0], "ko": F.col("_both")[1]})
+        .drop("_lines", "_full", "_both")
     )
-    lines, text = F.col("_lines"), F.col("fallback")
-    return ready.withColumns(
-        {
-            "en": insights_en(F.col("english_summary"), lines, text),
-            "ko": insights_ko(F.col("korean_summary"), lines, text, F.col("link")),
-        }
-    ).drop("_lines", "_full")
 
 
 def mail_cards(posts: DataFrame, articles: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from feedloom.workload import tables_queries  # noqa: F401
+from feedloom.workload import model_queries, tables_queries, text_queries  # noqa: F401
 from feedloom.workload.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

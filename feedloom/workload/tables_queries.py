@@ -28,6 +28,7 @@ from feedloom.sources import feeds as fds
 from feedloom.sources import tables as tbs
 from feedloom.workload import views as v
 from feedloom.workload.registry import query
+from feedloom.workload.sqltext import decode, quoted, trim
 from feedloom.workload.views import (
     AS_OF_SQL,
     DOCUMENTS_SQL,
@@ -48,10 +49,6 @@ POST_KEY = "item_pos, link, source_name"
 NEWEST_SQL = "published DESC, feed_pos, item_pos"
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 # --- sources -----------------------------------------------------------------------------
 
 
@@ -150,18 +147,22 @@ def _items(parsed):
     )
 
 
-def _text_sql(c: str) -> str:
-    from feedloom.workload.sqltext import decode, trim
-
-    return trim(decode(c))
+CLEAN_SQL = trim(decode("regexp_replace(summary, '<[^\\n]*?>', '', 'g')"))
+ITEM_SQL = f"""SELECT 'f' || item_pos AS feed_id, 0::BIGINT AS item_pos, {trim("title")} AS title, link,
+  md5({CLEAN_SQL}) AS summary_md5, strftime(published, {ISO}) AS published,"""
 
 
-@query("s2_parse_rss")
+@query(
+    "s2_parse_rss",
+    f"""WITH {POSTS_SQL} {ITEM_SQL} lang || ',x' AS categories FROM posts WHERE lang <> 'de'
+UNION ALL SELECT 'f' || item_pos, 1, 'No title', '', md5(''), strftime(published, {ISO}), ''
+FROM posts WHERE lang <> 'de'""",
+)
 def _(spark, sf):
     return _items(fds.parse_rss(rss_payloads(spark, sf)))
 
 
-@query("s3_parse_atom")
+@query("s3_parse_atom", f"WITH {POSTS_SQL} {ITEM_SQL} lang AS categories FROM posts WHERE lang <> 'de'")
 def _(spark, sf):
     return _items(fds.parse_atom(atom_payloads(spark, sf)))
 
@@ -658,7 +659,7 @@ def _(spark, sf):
 
 # --- aggregates --------------------------------------------------------------------------
 
-STATUS_SQL = f"""{POSTS_SQL}, {RUNS_SQL}, {FEEDS_SQL},
+STATES_SQL = """
 seen AS (
   SELECT r.digest_id, p.feed_id, p.published, r.as_of FROM runs r JOIN posts p
   ON r.feed_group = p.feed_group AND p.published > r.as_of - INTERVAL 48 HOUR
@@ -674,6 +675,7 @@ statuses AS (
     CASE WHEN f.feed_pos = 7 THEN 0 ELSE coalesce(c.items_new, 0) END AS items_new,
     CASE WHEN f.feed_pos = 7 THEN 'HTTP 503' END AS error
   FROM runs r JOIN feeds f USING (feed_group) LEFT JOIN counts c USING (digest_id, feed_id))"""
+STATUS_SQL = f"{POSTS_SQL}, {RUNS_SQL}, {FEEDS_SQL}, {STATES_SQL}"
 
 
 def run_feeds(spark, sf):
@@ -877,7 +879,7 @@ def _recent(found):
     "w5_recent_posts",
     RECENT_SQL
     + f"""processed WHERE ts >= {AS_OF_SQL} - INTERVAL 1 DAY
-ORDER BY coalesce(processed_date, ts) DESC, pk, rk LIMIT 15""",
+ORDER BY coalesce(processed_date, ts) DESC, pk, rk, ts LIMIT 15""",
 )
 def _(spark, sf):
     return _recent(stt.recent_posts(v.processed(spark, sf), v.as_of()))
@@ -896,9 +898,9 @@ def _(spark, sf):
 @query(
     "w7_recent_fallback_scan",
     RECENT_SQL
-    + f"""(SELECT * FROM processed ORDER BY pk, rk, coalesce(processed_date, ts) LIMIT 500)
+    + f"""(SELECT * FROM processed ORDER BY pk, rk, ts LIMIT 500)
 WHERE coalesce(processed_date, ts) >= {AS_OF_SQL} - INTERVAL 1 DAY
-ORDER BY coalesce(processed_date, ts) DESC, pk, rk LIMIT 15""",
+ORDER BY coalesce(processed_date, ts) DESC, pk, rk, ts LIMIT 15""",
 )
 def _(spark, sf):
     return _recent(stt.recent_fallback_scan(v.processed(spark, sf), v.as_of()))
@@ -908,7 +910,7 @@ def _(spark, sf):
     "w7_recent_posts_or_scan",
     RECENT_SQL
     + f"""processed WHERE ts >= {AS_OF_SQL} - INTERVAL 1 DAY
-ORDER BY coalesce(processed_date, ts) DESC, pk, rk LIMIT 15""",
+ORDER BY coalesce(processed_date, ts) DESC, pk, rk, ts LIMIT 15""",
 )
 def _(spark, sf):
     return _recent(stt.recent_posts_or_scan(v.processed(spark, sf), v.as_of()))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import format_iso
 from feedloom.functions.keys import partition_key, row_key
+from feedloom.operators.sizes import spread
 
 AS_OF_TEXT = "2024-01-03 12:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF_TEXT}'"
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work on its texts."""
+    return spread(table(spark, sf, name))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
