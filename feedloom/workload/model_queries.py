@@ -307,33 +307,32 @@ def _(spark, sf):
     )
 
 
+ROUND_SQL = f"translate({TITLE_SQL}, '[]', '()')"
+
+
 @query(
     "n8_first_string_array",
-    f"""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {TITLE_SQL} || {quoted(GLUE)} || lang END AS lines
+    f"""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {ROUND_SQL} || {quoted(GLUE)} || lang END AS lines
 FROM documents""",
 )
 def _(spark, sf):
-    title, lang, n = _title(), C("lang"), C("doc_id") % 3
-    both = F.array(F.concat(title), lang)
-    nested = F.to_json(
-        F.struct(
-            F.array(F.lit(1), F.lit(2)).alias("numbers"),
-            F.lit('said ["no"]').alias("note"),
-            F.array(F.struct(F.array(F.lit(None).cast("string")).alias("n"), both.alias("z"))).alias("items"),
-        )
+    """Answers with the list in plain text, deep in an object, or not at all."""
+    title, n = F.translate(_title(), "[]", "()"), C("doc_id") % 3
+    both = F.array(title, C("lang"))
+    deep = F.struct(F.array(F.lit(None).cast("string")).alias("n"), both.alias("z"))
+    nested = F.struct(
+        F.array(F.lit(1), F.lit(2)).alias("numbers"),
+        F.lit('said ["no"]').alias("note"),
+        F.array(deep).alias("items"),
     )
     content = (
         F.when(n == 0, F.concat(F.lit("Sure: "), F.to_json(both)))
-        .when(n == 1, nested)
+        .when(n == 1, F.to_json(nested))
         .otherwise(F.to_json(F.struct(title.alias("t"))))
     )
-    content = F.when(~title.rlike(r"[\[\]]"), content).otherwise(
-        F.when(n < 2, F.to_json(F.array(F.lit("a")))).otherwise(F.lit("{}"))
+    return v.texts(spark, sf, "documents").select(
+        "doc_id", glue(jsn.first_string_array(content)).alias("lines")
     )
-    plain = ~title.rlike(r"[\[\]]")
-    found = glue(jsn.first_string_array(content))
-    expected = F.when(plain, found).when(n < 2, F.concat(title, F.lit(GLUE), lang))
-    return v.texts(spark, sf, "documents").select("doc_id", expected.alias("lines"))
 
 
 @query(
