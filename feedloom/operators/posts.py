@@ -81,24 +81,43 @@ def _item_salt(salts: int) -> Column:
 
 
 def runs_to_items(
-    runs: DataFrame, items: DataFrame, hours: str = "new_window_hours", salts: int = 8
+    runs: DataFrame,
+    items: DataFrame,
+    hours: str = "new_window_hours",
+    salts: int = 8,
+    unit: str = "hour",
 ) -> DataFrame:
     """Each run sees the items of its feed group in (as_of - hours, as_of].
 
-    The range is met by hour: a run is listed under each hour of its window, an item has one
-    hour, and equal hours are joined. `salts` spreads a busy hour over several tasks: the
-    runs, a few rows per day, are repeated instead of the items.
+    The range is met by hour (or `unit` day, for long windows): a run is listed under each
+    hour of its window, an item has one hour, and equal hours are joined. `salts` spreads a
+    busy hour over several tasks: the runs, a few rows per day, are repeated instead of the
+    items.
     """
-    span = F.sequence(
-        F.date_trunc("hour", "_start"), F.date_trunc("hour", "as_of"), F.expr("INTERVAL 1 HOUR")
-    )
-    listed = _salted_runs(runs, hours, salts).withColumn("_hour", F.explode(span))
-    keyed = items.withColumns({"_hour": F.date_trunc("hour", "published"), "_salt": _item_salt(salts)})
+    step = F.expr(f"INTERVAL 1 {unit}")
+    span = F.sequence(F.date_trunc(unit, "_start"), F.date_trunc(unit, "as_of"), step)
+    listed = _salted_runs(runs, hours, salts).withColumn("_slot", F.explode(span))
+    keyed = items.withColumns({"_slot": F.date_trunc(unit, "published"), "_salt": _item_salt(salts)})
     return (
-        keyed.join(listed, ["feed_group", "_hour", "_salt"])
+        keyed.join(listed, ["feed_group", "_slot", "_salt"])
         .filter("published > _start AND published <= as_of")
-        .drop("_hour", "_salt", "_start")
+        .drop("_slot", "_salt", "_start")
+    )
+
+
+def links_per_run(runs: DataFrame, items: DataFrame) -> DataFrame:
+    """How many links, ignoring case, each run finds within its `days_since` days.
+
+    Copies go before the join and again before the count, which needs no ranking.
+    """
+    asked = runs.select(
+        "digest_id", "feed_group", "as_of", (F.col("days_since") * 24).alias("_hours")
     )
+    upper = nonblank_link(items).withColumn("link", F.upper("link"))
+    copies = upper.groupBy("feed_group", "link", "published").agg(F.min("item_pos").alias("item_pos"))
+    seen = runs_to_items(asked, copies, "_hours", unit="day")
+    links = seen.select("digest_id", "link").distinct()
+    return links.groupBy("digest_id").agg(F.count(F.lit(1)).alias("all_items"))
 
 
 def runs_to_items_open(

@@ -10,6 +10,7 @@ from feedloom.functions.constants import (
     PLACEHOLDER_SUMMARY,
     PLACEHOLDER_TITLES,
 )
+from feedloom.functions.text import is_blank
 
 
 def union_feeds(parts: list[DataFrame]) -> DataFrame:
@@ -54,12 +55,11 @@ def distinct_lines(rows: DataFrame, key: str, lines: Column) -> DataFrame:
     return firsts.select(key, "f.pos", "f.line")
 
 
-def enrich_pages(posts: DataFrame, pages: DataFrame) -> DataFrame:
+def enrich_pages(posts: DataFrame, pages: DataFrame, on: str = "link") -> DataFrame:
     """Posts with the columns of their page; a blank link meets no page.
 
     Posts without a link skip the join, so they do not gather in one task.
     """
-    linked = F.coalesce(F.trim("link") != "", F.lit(False))
-    found = posts.filter(linked).join(pages.withColumnRenamed("url", "link"), "link", "left")
-    bare = posts.filter(~linked)
-    return found.unionByName(bare, allowMissingColumns=True)
+    blank = is_blank(F.col(on))
+    found = posts.filter(~blank).join(pages.withColumnRenamed("url", on), on, "left")
+    return found.unionByName(posts.filter(blank), allowMissingColumns=True)

@@ -39,8 +39,8 @@ def to_state_rows(posts: DataFrame, as_of: Column) -> DataFrame:
         "source_name",
         "summary",
         F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publish_date"),
-        F.to_json("english_summary").alias("english_summary"),
-        F.to_json("korean_summary").alias("korean_summary"),
+        F.to_json(F.coalesce("english_summary", no_strings())).alias("english_summary"),
+        F.to_json(F.coalesce("korean_summary", no_strings())).alias("korean_summary"),
         as_of.alias("processed_date"),
         as_of.alias("ts"),
     )

@@ -87,24 +87,19 @@ def payload_summary(payloads: DataFrame) -> DataFrame:
 
 
 def digest_counts(
-    all_items: DataFrame, new_posts: DataFrame, shown: DataFrame, runs: DataFrame
+    links: DataFrame, new_posts: DataFrame, shown: DataFrame, runs: DataFrame
 ) -> DataFrame:
-    """Counts per digest; a digest without posts keeps its row with zeros."""
-
-    def count(rows: DataFrame, name: str, cond: Column | None = None) -> DataFrame:
-        value = F.count(F.lit(1)) if cond is None else F.count_if(cond)
-        return rows.groupBy("digest_id").agg(value.alias(name))
+    """Counts per digest; a digest without posts keeps its row with zeros.
 
+    `links` holds digest_id and all_items. A post shown lies in the window when it is new.
+    """
     recent = is_new(F.col("as_of"), F.col("new_window_hours"))
-    limits = runs.select("digest_id", "as_of", "new_window_hours")
-    shown_in = shown.select("digest_id", "published").join(limits, "digest_id")
+    display = shown.groupBy("digest_id").agg(
+        F.count(F.lit(1)).alias("display_posts"), F.count_if(recent).alias("recent_posts")
+    )
+    new = new_posts.groupBy("digest_id").agg(F.count(F.lit(1)).alias("new_posts"))
     out = runs.select("digest_id")
-    for part in (
-        count(all_items, "all_items"),
-        count(new_posts, "new_posts"),
-        count(shown, "display_posts"),
-        count(shown_in, "recent_posts", recent),
-    ):
+    for part in (links, new, display):
         out = out.join(part, "digest_id", "left")
     return out.na.fill(0, ["all_items", "new_posts", "display_posts", "recent_posts"])
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from feedloom.functions.constants import MAX_MAX_ITEMS
 from feedloom.functions.html import first_paragraph_chain, first_paragraph_page
 from feedloom.functions.lines import extract_bullets, normalize_bullets
+from feedloom.functions.text import no_strings
 from feedloom.operators.filters import clamp_params, is_new
 from feedloom.operators.insights import attach_insights
 from feedloom.operators.posts import (
     dedup_by_link,
     display_posts,
+    links_per_run,
     new_posts_topk,
     runs_to_items,
     translation_slice,
@@ -32,6 +34,7 @@ class Choice:
     """What a set of runs shows: narrow tables, without article text."""
 
     runs: DataFrame
+    links: DataFrame
     recent: DataFrame
     new_posts: DataFrame
     shown: DataFrame
@@ -49,7 +52,7 @@ def choose_posts(runs: DataFrame, items: DataFrame, state_keys: DataFrame) -> Ch
     recent = dedup_by_link(runs_to_items(asked, narrow), ["digest_id"])
     fresh = unprocessed_posts(recent, state_keys)
     new = new_posts_topk(fresh, F.col("max_items"), MAX_MAX_ITEMS)
-    return Choice(clean, recent, new, display_posts(new, recent))
+    return Choice(clean, links_per_run(clean, narrow), recent, new, display_posts(new, recent))
 
 
 def with_text(shown: DataFrame, items: DataFrame, run_count: int) -> DataFrame:
@@ -63,10 +66,17 @@ def with_text(shown: DataFrame, items: DataFrame, run_count: int) -> DataFrame:
     return text.join(chosen, KEY).withColumn("english_summary", bullets)
 
 
-def with_paragraph(posts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Display posts with the first paragraph of their page; html is cut before any shuffle."""
-    paragraphs = pages.select(
-        F.col("url").alias("link"), first_paragraph_page(F.col("html")).alias("_page")
+def with_paragraph(posts: DataFrame, pages: DataFrame, run_count: int) -> DataFrame:
+    """Display posts with the first paragraph of their page.
+
+    Only pages of display posts are read for text, and their html is cut before any shuffle.
+    """
+    links = broadcast_rows(posts.select("link").distinct(), run_count * MAX_MAX_ITEMS)
+    wanted = pages.withColumnRenamed("url", "link").join(links, "link", "left_semi")
+    paragraphs = (
+        wanted.select("link", first_paragraph_page(F.col("html")).alias("_page"))
+        .groupBy("link")
+        .agg(F.max("_page").alias("_page"))
     )
     joined = posts.join(paragraphs, "link", "left")
     chain = first_paragraph_chain(F.col("_page"), F.col("summary"))
@@ -77,7 +87,8 @@ def with_insights(posts: DataFrame, insights: DataFrame) -> DataFrame:
     """Insights for the translated slice; later posts get an empty list."""
     index = translation_slice(posts).select("digest_id", "rank", "index")
     found = attach_insights(index, insights).select("digest_id", "rank", "korean_summary")
-    return posts.join(found, ["digest_id", "rank"], "left")
+    joined = posts.join(found, ["digest_id", "rank"], "left")
+    return joined.withColumn("korean_summary", F.coalesce("korean_summary", no_strings()))
 
 
 def render(

@@ -23,6 +23,7 @@ from feedloom.functions.lines import (
 )
 from feedloom.functions.text import is_blank
 from feedloom.operators.render import legacy_card
+from feedloom.operators.rows import enrich_pages
 
 
 def article_text(pages: DataFrame) -> DataFrame:
@@ -39,10 +40,10 @@ def insight_source(posts: DataFrame, articles: DataFrame) -> DataFrame:
 
     The article is found by link, ignoring case.
     """
-    texts = articles.groupBy(F.lower("url").alias("_link")).agg(
+    texts = articles.groupBy(F.lower("url").alias("url")).agg(
         F.max("article_text").alias("article_text")
     )
-    joined = posts.withColumn("_link", F.lower("link")).join(texts, "_link", "left").drop("_link")
+    joined = enrich_pages(posts.withColumn("_link", F.lower("link")), texts, "_link").drop("_link")
     full = strip_tags_full(F.col("summary"))
     return joined.withColumn("summary_text", summary_cut(F.col("summary"))).withColumn(
         "_full", full

@@ -352,7 +352,8 @@ def finished(spark, sf):
     """Display posts with paragraph and insights, as the page shows them."""
     chosen, posts = display(spark, sf)
     pages = v.table(spark, sf, "pages").select("url", "html")
-    ready = dig.with_paragraph(dig.with_insights(posts, ins.parse_insights(answers(posts))), pages)
+    informed = dig.with_insights(posts, ins.parse_insights(answers(posts)))
+    ready = dig.with_paragraph(informed, pages, chosen.runs.count())
     return chosen, ready
 
 
@@ -573,7 +574,7 @@ def _(spark, sf):
     "digest_report",
     f"""WITH {CHOICE_SQL}
 SELECT r.digest_id, r.feed_group,
-  (SELECT count(*) FROM recent x WHERE x.digest_id = r.digest_id) AS all_items,
+  {tbq.ALL_ITEMS_SQL} AS all_items,
   (SELECT count(*) FROM new_posts x WHERE x.digest_id = r.digest_id) AS new_posts,
   (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) AS display_posts,
   CASE WHEN (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) > 0
@@ -584,7 +585,7 @@ FROM runs r""",
 def _(spark, sf):
     """Counts and subject of each run."""
     c = tbq.choice(spark, sf)
-    counts = sts.digest_counts(c.recent, c.new_posts, c.shown.drop("as_of", "new_window_hours"), c.runs)
+    counts = sts.digest_counts(c.links, c.new_posts, c.shown, c.runs)
     return counts.join(c.runs.select("digest_id", "feed_group"), "digest_id").select(
         "digest_id",
         "feed_group",

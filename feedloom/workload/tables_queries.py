@@ -728,6 +728,10 @@ shown AS (
     QUALIFY rank <= 10) WHERE digest_id NOT IN (SELECT digest_id FROM new_posts))"""
 
 
+ALL_ITEMS_SQL = """(SELECT count(DISTINCT upper(link)) FROM posts x WHERE x.feed_group = r.feed_group
+    AND x.published > r.as_of - INTERVAL 30 DAY AND x.published <= r.as_of)"""
+
+
 def choice(spark, sf):
     return choose_posts(v.runs(spark, sf), v.posts(spark, sf), v.state_keys(spark, sf))
 
@@ -736,7 +740,7 @@ def choice(spark, sf):
     "a2_digest_counts",
     f"""WITH {CHOICE_SQL}
 SELECT r.digest_id,
-  (SELECT count(*) FROM recent x WHERE x.digest_id = r.digest_id) AS all_items,
+  {ALL_ITEMS_SQL} AS all_items,
   (SELECT count(*) FROM new_posts x WHERE x.digest_id = r.digest_id) AS new_posts,
   (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) AS display_posts,
   (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id
@@ -745,7 +749,7 @@ FROM runs r""",
 )
 def _(spark, sf):
     c = choice(spark, sf)
-    return sts.digest_counts(c.recent, c.new_posts, c.shown.drop("as_of", "new_window_hours"), c.runs)
+    return sts.digest_counts(c.links, c.new_posts, c.shown, c.runs)
 
 
 @query(

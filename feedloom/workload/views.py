@@ -39,7 +39,7 @@ def _feed_pos(source):
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Posts without a date."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     url = F.concat(F.lit("https://blog.example/"), F.md5("text"))
     pos = _feed_pos(F.col("source"))
     return docs.select(
