@@ -140,6 +140,11 @@ def recent_errors(traces: DataFrame, as_of: Column) -> DataFrame:
     return traces.filter(recent).select("ts", "message", "severity").orderBy(F.col("ts").desc())
 
 
+def exact_avg(name: str) -> Column:
+    """Mean by way of a decimal sum, so that the order of the parts does not show."""
+    return F.sum(F.col(name).cast("decimal(20,6)")).cast("double") / F.count(name)
+
+
 def request_latency_hourly(
     requests: DataFrame, name: str, as_of: Column | None = None
 ) -> DataFrame:
@@ -148,7 +153,7 @@ def request_latency_hourly(
     if as_of is not None:
         rows = rows.filter(F.col("ts") > ago(as_of, days=7))
     return rows.groupBy(bin_hour(F.col("ts")).alias("hour")).agg(
-        F.avg("duration").alias("avg_duration"),
+        exact_avg("duration").alias("avg_duration"),
         F.max("duration").alias("max_duration"),
         F.count(F.lit(1)).alias("n"),
     )

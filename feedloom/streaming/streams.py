@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.posts import with_keys
 from feedloom.operators.state import ProcessedPosts, latest_per_key
+from feedloom.operators.status import exact_avg
 from feedloom.sources.feeds import clean_items, parse_feeds
 
 
@@ -56,7 +57,7 @@ def stream_latency(requests: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Average and maximum duration and count per hour and name."""
     hours = requests.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "name")
     return hours.agg(
-        F.avg("duration").alias("avg_duration"),
+        exact_avg("duration").alias("avg_duration"),
         F.max("duration").alias("max_duration"),
         F.count(F.lit(1)).alias("n"),
     ).select(F.col("window.start").alias("hour"), "name", "avg_duration", "max_duration", "n")

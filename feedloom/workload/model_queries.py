@@ -23,7 +23,7 @@ from feedloom.operators import render as rnd
 from feedloom.operators import status as sts
 from feedloom.plans import digest as dig
 from feedloom.plans import mail
-from feedloom.session import shared_dir
+from feedloom.session import settle, shared_dir
 from feedloom.sources.tables import write_digests
 from feedloom.workload import sqltext as q
 from feedloom.workload import tables_queries as tbq
@@ -106,7 +106,7 @@ def display(spark, sf):
     runs = v.runs(spark, sf)
     posts = v.posts(spark, sf).withColumn("emoji", F.lit(None).cast("string"))
     chosen = dig.choose_posts(runs, posts, v.state_keys(spark, sf))
-    return chosen, dig.with_text(chosen.shown, posts, runs.count())
+    return chosen, settle(dig.with_text(chosen.shown, posts, runs.count()), "display")
 
 
 DISPLAY_SQL = f"""{CHOICE_SQL},

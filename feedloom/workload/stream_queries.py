@@ -88,7 +88,7 @@ def _(spark, sf):
 @query(
     "r5_stream_latency",
     f"""SELECT strftime(date_trunc('hour', ts), {ISO}) AS hour, event_type AS name,
-  round(avg(value), 6) AS avg_duration, max(value) AS max_duration, count(*) AS n
+  sum(value::DECIMAL(20, 6))::DOUBLE / count(value) AS avg_duration, max(value) AS max_duration, count(*) AS n
 FROM events GROUP BY 1, 2""",
 )
 def _(spark, sf):
@@ -99,7 +99,7 @@ def _(spark, sf):
     return found.select(
         format_iso(C("hour")).alias("hour"),
         "name",
-        F.round("avg_duration", 6).alias("avg_duration"),
+        "avg_duration",
         "max_duration",
         "n",
     )

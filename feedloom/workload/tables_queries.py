@@ -784,14 +784,14 @@ def _(spark, sf):
 
 
 LATENCY_SQL = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS hour,
-  round(avg(value), 6) AS avg_duration, max(value) AS max_duration, count(*) AS n
+  sum(value::DECIMAL(20, 6))::DOUBLE / count(value) AS avg_duration, max(value) AS max_duration, count(*) AS n
 FROM events WHERE event_type = 'purchase' {more} GROUP BY 1"""
 
 
 def _latency(found):
     return found.select(
         format_iso(C("hour")).alias("hour"),
-        F.round("avg_duration", 6).alias("avg_duration"),
+        "avg_duration",
         "max_duration",
         "n",
     )

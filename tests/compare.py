@@ -28,7 +28,7 @@ def canon(value):
         return str(value)
     if isinstance(value, (float, decimal.Decimal)):
         value = float(value)
-        return "NULL" if math.isnan(value) else repr(round(value, 9))
+        return "NULL" if math.isnan(value) else repr(value)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     return str(value)
