@@ -162,6 +162,10 @@ LABELS = {
     "read": "전체 글 읽기 →",
     "detail_heading": "피드 상세 상태",
     "detail_days": "최근 %d일",
+    "mail_new": "신규 %d개",
+    "mail_error": "⚠️ RSS 피드 조회 오류",
+    "mail_error_hint": "RSS 피드에서 데이터를 가져오지 못했습니다. Logic App 실행 기록을 확인해 주세요.",
+    "mail_no_new": "📌 최근 24시간 내 신규 게시글이 없어 최근 글을 요약해서 보냅니다. (라이브 RSS 기준)",
     "legacy_none": "신규 없음 (최근 24시간)",
     "legacy_en": "🔎 EN insights (3줄):",
     "legacy_ko": "💡 KR 인사이트 (3줄):",

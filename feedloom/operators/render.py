@@ -14,7 +14,7 @@ from feedloom.functions.constants import (
     UNKNOWN_SOURCE,
 )
 from feedloom.functions.dates import display_day_ko, display_minute
-from feedloom.functions.html import contains_hangul, emoji_entities, html_encode
+from feedloom.functions.html import contains_hangul, emoji_entities, html_encode, scrub_phrase
 from feedloom.functions.keys import source_emoji
 from feedloom.functions.lines import clean_point, normalize_bullets
 from feedloom.functions.text import is_blank, no_strings, text_or_empty
@@ -209,6 +209,51 @@ def assemble_digest(posts: DataFrame, statuses: DataFrame, runs: DataFrame) -> D
     )
 
 
+def mail_html(requests: DataFrame, cards: DataFrame, footer: str = "") -> DataFrame:
+    """Subject and page per mail request, the unwanted phrase removed.
+
+    `requests`: digest_id, has_new, schedule_text. `cards`: digest_id, rank, card and
+    is_placeholder, for the posts a mail shows.
+    """
+    listed = cards.groupBy("digest_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("rank", "card")))["card"], "").alias("cards"),
+        F.count(F.lit(1)).alias("shown"),
+        F.count_if(~F.col("is_placeholder")).alias("actual_new"),
+    )
+    joined = (
+        requests.join(listed, "digest_id", "left")
+        .na.fill(0, ["shown", "actual_new"])
+        .na.fill("", ["cards"])
+    )
+    new, shown = F.col("actual_new"), F.col("shown")
+    count = F.when(new > 0, F.format_string(LABELS["mail_new"], new)).otherwise(
+        F.lit(LABELS["legacy_none"])
+    )
+    error = _div(
+        "post",
+        _div("post-title", LABELS["mail_error"]),
+        _div("post-summary", LABELS["mail_error_hint"]),
+    )
+    note = (
+        F.when(shown == 0, error)
+        .when(~F.col("has_new") & (new == 0), _div("no-new-notice", LABELS["mail_no_new"]))
+        .otherwise(F.lit(""))
+    )
+    page = F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>'),
+        _div(
+            "container",
+            _div("header", f"<h1>{LABELS['heading']}</h1>", _div("count", count)),
+            _div("content", note, F.col("cards")),
+            _div("footer", html_encode(F.lit(footer)), html_encode(F.col("schedule_text"))),
+        ),
+        F.lit("</body></html>"),
+    )
+    return joined.select(
+        "digest_id", subject_line(new).alias("subject"), scrub_phrase(page).alias("html")
+    )
+
+
 def legacy_card() -> Column:
     """A card of the older layout.
 

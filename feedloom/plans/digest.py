@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.constants import MAX_MAX_ITEMS
 from feedloom.functions.html import first_paragraph_chain, first_paragraph_page
 from feedloom.functions.lines import extract_bullets, normalize_bullets
 from feedloom.functions.text import no_strings
-from feedloom.operators.filters import clamp_params, is_new
-from feedloom.operators.insights import attach_insights
+from feedloom.operators.filters import clamp_params, is_new, valid_feeds
+from feedloom.operators.insights import attach_insights, diagnostics, parse_insights
 from feedloom.operators.posts import (
     dedup_by_link,
     display_posts,
@@ -25,6 +25,9 @@ from feedloom.operators.posts import (
 from feedloom.operators.render import digest_html, post_card_html
 from feedloom.operators.sizes import broadcast_rows
 from feedloom.operators.state import to_state_rows
+from feedloom.operators.status import digest_counts, feed_status, payload_error
+from feedloom.session import settle
+from feedloom.sources.feeds import clean_items, items_to_feeds, parse_feeds
 
 KEY = ["feed_id", "item_pos"]
 
@@ -104,6 +107,78 @@ def render(
     return digest_html(runs, cards, statuses, footer)
 
 
-def new_state_rows(posts: DataFrame, as_of: Column) -> DataFrame:
-    """Rows to append to the state table: the new posts only."""
-    return to_state_rows(posts.filter("is_new_post"), as_of)
+def new_state_rows(posts: DataFrame) -> DataFrame:
+    """Rows to append to the state table: the new posts, handled at their run's `as_of`."""
+    return to_state_rows(posts.filter("is_new_post"), F.col("as_of"))
+
+
+def ingest(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Clean items of all usable payloads, with their feed. Write them once, then read them."""
+    return items_to_feeds(clean_items(parse_feeds(payloads)), valid_feeds(feeds))
+
+
+def run_statuses(
+    runs: DataFrame, feeds: DataFrame, payloads: DataFrame, items: DataFrame
+) -> DataFrame:
+    """Feed states of each run: items of its `days_since` days, before any dedup."""
+    answers = payloads.select(
+        "feed_id",
+        "elapsed_ms",
+        payload_error(F.col("http_status"), F.col("body"), F.col("error")).alias("error"),
+    )
+    listed = (
+        valid_feeds(feeds)
+        .join(answers, "feed_id", "left")
+        .join(runs.select("digest_id", "feed_group", "as_of", "new_window_hours"), "feed_group")
+    )
+    asked = runs.select(
+        "digest_id", "feed_group", "as_of", (F.col("days_since") * 24).alias("_hours")
+    )
+    narrow = items.select("feed_group", *KEY, "link", "published")
+    return feed_status(listed, runs_to_items(asked, narrow, "_hours", unit="day"))
+
+
+@dataclass
+class Digests:
+    """Everything a set of runs yields."""
+
+    pages: DataFrame
+    posts: DataFrame
+    statuses: DataFrame
+    stats: DataFrame
+    state_rows: DataFrame
+
+
+def build_digests(
+    runs: DataFrame,
+    feeds: DataFrame,
+    payloads: DataFrame,
+    items: DataFrame,
+    state_keys: DataFrame,
+    pages: DataFrame,
+    responses: DataFrame,
+    tz: str = "Asia/Seoul",
+    footer: str = "",
+) -> Digests:
+    """Pages, posts, feed states, counts and new state rows of all runs.
+
+    `items` are those of `ingest`. The display posts, a few rows per run, are settled once.
+    """
+    chosen = choose_posts(runs, items, state_keys)
+    run_count = runs.count()
+    posts = settle(with_text(chosen.shown, items, run_count), "display")
+    informed = with_insights(posts, parse_insights(responses))
+    ready = with_paragraph(informed, pages, run_count)
+    statuses = run_statuses(chosen.runs, feeds, payloads, items)
+    counts = digest_counts(chosen.links, posts.filter("is_new_post"), posts, chosen.runs)
+    said = diagnostics(chosen.runs, responses, informed)
+    stats = chosen.runs.select("digest_id", "days_since", "new_window_hours").join(
+        counts, "digest_id"
+    )
+    return Digests(
+        pages=render(chosen.runs, ready, statuses, tz, footer),
+        posts=ready,
+        statuses=statuses,
+        stats=stats.join(said, "digest_id"),
+        state_rows=new_state_rows(informed),
+    )

@@ -22,8 +22,9 @@ from feedloom.functions.lines import (
     insights_both,
 )
 from feedloom.functions.text import is_blank
-from feedloom.operators.render import legacy_card
-from feedloom.operators.rows import enrich_pages
+from feedloom.operators.filters import is_placeholder
+from feedloom.operators.render import legacy_card, mail_html
+from feedloom.operators.rows import enrich_pages, fallback_if_empty
 
 
 def article_text(pages: DataFrame) -> DataFrame:
@@ -86,6 +87,25 @@ def mail_cards(posts: DataFrame, articles: DataFrame) -> DataFrame:
     return mail_lines(posts, articles).withColumn("card", legacy_card())
 
 
+def mail_pages(
+    requests: DataFrame, new: DataFrame, recent: DataFrame, articles: DataFrame, footer: str = ""
+) -> DataFrame:
+    """One mail per request from its new posts, or from its recent ones when it has none.
+
+    `requests`: digest_id and schedule_text. Posts need digest_id and rank.
+    """
+    shown = fallback_if_empty(new, recent, "digest_id")
+    cards = mail_cards(shown, articles).select(
+        "digest_id",
+        "rank",
+        "card",
+        is_placeholder(F.col("title"), F.col("summary")).alias("is_placeholder"),
+    )
+    filled = new.select("digest_id", F.lit(True).alias("has_new")).distinct()
+    asked = requests.join(filled, "digest_id", "left").na.fill(False, ["has_new"])
+    return mail_html(asked, cards, footer)
+
+
 def posts_from_requests(requests: DataFrame, member: str = "posts") -> DataFrame:
     """Posts of JSON requests; names may be camelCase or PascalCase, lists may be JSON text."""
     parsed = requests.select("request_id", F.try_parse_json("body").alias("v"))

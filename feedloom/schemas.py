@@ -32,13 +32,17 @@ _REGISTRY_ENTRY = (
 )
 FEED_CONFIG = f"securityFeeds {_REGISTRY_ENTRY}, azureCloudFeeds {_REGISTRY_ENTRY}"
 
-RSS = (
-    "STRUCT<channel: STRUCT<item: ARRAY<STRUCT<title: STRING, link: ARRAY<STRING>, "
-    "description: STRING, pubDate: STRING, updated: STRING, category: ARRAY<STRING>>>>>"
+_CHANNEL = (
+    "channel: STRUCT<item: ARRAY<STRUCT<title: STRING, link: ARRAY<STRING>, "
+    "description: STRING, pubDate: STRING, updated: STRING, category: ARRAY<STRING>>>>"
 )
+# Both formats at once: the root of a feed has a channel or entries.
 _ATOM_TEXT = "STRUCT<_VALUE: STRING, _type: STRING>"
-ATOM = (
-    f"STRUCT<entry: ARRAY<STRUCT<title: {_ATOM_TEXT}, "
+_ENTRY = (
+    f"entry: ARRAY<STRUCT<title: {_ATOM_TEXT}, "
     f"link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, summary: {_ATOM_TEXT}, "
-    "published: STRING, updated: STRING, category: ARRAY<STRUCT<_term: STRING>>>>>"
+    "published: STRING, updated: STRING, category: ARRAY<STRUCT<_term: STRING>>>>"
 )
+RSS = f"STRUCT<{_CHANNEL}>"
+ATOM = f"STRUCT<{_ENTRY}>"
+FEED_XML = f"STRUCT<{_CHANNEL}, {_ENTRY}>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,48 +68,61 @@ def _ok(payloads: DataFrame) -> DataFrame:
     return payloads.filter("error IS NULL AND body IS NOT NULL AND http_status BETWEEN 200 AND 299")
 
 
-def parse_rss(payloads: DataFrame) -> DataFrame:
-    """Items of RSS payloads; a payload that is not RSS yields none."""
-    parsed = _ok(payloads).select(
-        "feed_id", F.from_xml("body", F.lit(schemas.RSS), _XML_OPTIONS).alias("x")
+def _rss_item(i: Column) -> Column:
+    return F.struct(
+        i["title"].alias("title"),
+        F.coalesce(i["link"], no_strings()).alias("links"),
+        i["description"].alias("summary"),
+        i["pubDate"].alias("published_raw"),
+        i["updated"].alias("updated_raw"),
+        F.coalesce(i["category"], no_strings()).alias("categories"),
     )
-    items = parsed.select("feed_id", F.posexplode("x.channel.item").alias("item_pos", "i"))
-    return items.select(
-        "feed_id",
-        "item_pos",
-        "i.title",
-        F.coalesce("i.link", no_strings()).alias("links"),
-        F.col("i.description").alias("summary"),
-        F.col("i.pubDate").alias("published_raw"),
-        F.col("i.updated").alias("updated_raw"),
-        F.coalesce("i.category", no_strings()).alias("categories"),
+
+
+def _given(values: Column) -> Column:
+    return F.filter(F.coalesce(values, no_strings()), lambda x: x.isNotNull())
+
+
+def _atom_item(i: Column) -> Column:
+    return F.struct(
+        i["title"]["_VALUE"].alias("title"),
+        _given(i["link"]["_href"]).alias("links"),
+        i["summary"]["_VALUE"].alias("summary"),
+        i["published"].alias("published_raw"),
+        i["updated"].alias("updated_raw"),
+        _given(i["category"]["_term"]).alias("categories"),
     )
 
 
+def _exploded(payloads: DataFrame, schema: str, items: Callable[[], Column]) -> DataFrame:
+    parsed = _ok(payloads).select("feed_id", F.from_xml("body", F.lit(schema), _XML_OPTIONS).alias("x"))
+    rows = parsed.select("feed_id", F.posexplode(items()).alias("item_pos", "i"))
+    return rows.select("feed_id", "item_pos", "i.*")
+
+
+def _rss_items() -> Column:
+    return F.transform("x.channel.item", _rss_item)
+
+
+def _atom_items() -> Column:
+    return F.transform("x.entry", _atom_item)
+
+
+def parse_rss(payloads: DataFrame) -> DataFrame:
+    """Items of RSS payloads; a payload that is not RSS yields none."""
+    return _exploded(payloads, schemas.RSS, _rss_items)
+
+
 def parse_atom(payloads: DataFrame) -> DataFrame:
     """Entries of Atom payloads; the link is the `href` attribute."""
-    parsed = _ok(payloads).select(
-        "feed_id", F.from_xml("body", F.lit(schemas.ATOM), _XML_OPTIONS).alias("x")
-    )
-    items = parsed.select("feed_id", F.posexplode("x.entry").alias("item_pos", "i"))
-    return items.select(
-        "feed_id",
-        "item_pos",
-        F.col("i.title._VALUE").alias("title"),
-        F.filter(
-            F.coalesce(F.col("i.link._href"), no_strings()), lambda h: h.isNotNull()
-        ).alias("links"),
-        F.col("i.summary._VALUE").alias("summary"),
-        F.col("i.published").alias("published_raw"),
-        F.col("i.updated").alias("updated_raw"),
-        F.filter(
-            F.coalesce(F.col("i.category._term"), no_strings()), lambda t: t.isNotNull()
-        ).alias("categories"),
-    )
+    return _exploded(payloads, schemas.ATOM, _atom_items)
 
 
 def parse_feeds(payloads: DataFrame) -> DataFrame:
-    return parse_rss(payloads).unionByName(parse_atom(payloads))
+    """Items of RSS and Atom payloads; each payload is parsed once."""
+    return _exploded(
+        payloads, schemas.FEED_XML, lambda: F.coalesce(_rss_items(), _atom_items())
+    )
 
 
 def first_link(links: Column) -> Column:
@@ -130,7 +145,9 @@ def status_source_default(source: Column) -> Column:
 
 def clean_items(items: DataFrame) -> DataFrame:
     """Items with one link, a title, clean text and a publish time."""
-    published = published_or_updated(parse_pubdate(F.col("published_raw")), parse_pubdate(F.col("updated_raw")))
+    published = published_or_updated(
+        parse_pubdate(F.col("published_raw")), parse_pubdate(F.col("updated_raw"))
+    )
     return items.select(
         "feed_id",
         "item_pos",

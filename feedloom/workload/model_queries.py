@@ -567,6 +567,42 @@ def _(spark, sf):
     return lines.withColumn("title", title).select("doc_id", rnd.legacy_card().alias("card"))
 
 
+MAIL_PAGE_SQL = f"""WITH {DISPLAY_SQL}, {txq.ARTICLE_SQL},
+mails AS (
+  SELECT digest_id, rank, link, title, summary, source_name, bullets AS english,
+    CASE WHEN rank % 2 = 0 THEN {KO_LIST_SQL} END AS korean FROM display), {txq.LINES_SQL},
+both_ AS (SELECT *, {txq.EN_SQL} AS en, {txq.KO_SQL} AS ko FROM lined),
+mail_cards AS (
+  SELECT digest_id, string_agg({LEGACY_SQL}, '' ORDER BY rank) AS cards, count(*) AS n
+  FROM both_ GROUP BY 1)
+SELECT r.digest_id, CASE WHEN coalesce(n, 0) > 0 THEN replace({quoted(SUBJECT_NEW)}, '%d', n::VARCHAR)
+    ELSE {quoted(SUBJECT_NONE)} END AS subject,
+  '<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>' || {_div("container",
+    _div("header", quoted(f"<h1>{LABELS['heading']}</h1>"), _div("count",
+      f"CASE WHEN coalesce(n, 0) > 0 THEN {_label('mail_new', 'n')} ELSE {quoted(LABELS['legacy_none'])} END")),
+    _div("content",
+      "CASE WHEN coalesce(n, 0) = 0 THEN " + _div("post", _div("post-title", quoted(LABELS["mail_error"])),
+        _div("post-summary", quoted(LABELS["mail_error_hint"]))) + " ELSE '' END",
+      "coalesce(cards, '')"),
+    _div("footer", quoted("매일")))} || '</body></html>' AS html
+FROM runs r LEFT JOIN mail_cards c USING (digest_id)"""
+
+
+@query("t37_mail_html", MAIL_PAGE_SQL)
+def _(spark, sf):
+    """Mails in the older layout from the display posts of each run."""
+    chosen, posts = display(spark, sf)
+    korean = F.array(F.concat(F.lit("핵심 "), C("title")), F.lit("둘"), F.lit(KO_FILLERS[0]))
+    given = posts.withColumn("korean_summary", F.when(C("rank") % 2 == 0, korean)).withColumn(
+        "published", F.lit(None).cast("timestamp")
+    )
+    asked = chosen.runs.select("digest_id", F.lit("매일").alias("schedule_text"))
+    articles = mail.article_text(txq.variants(spark, sf))
+    return mail.mail_pages(
+        asked, given.filter("is_new_post"), given.filter("NOT is_new_post"), articles
+    )
+
+
 # --- flagship ----------------------------------------------------------------------------
 
 

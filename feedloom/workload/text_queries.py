@@ -415,14 +415,15 @@ def mail_posts(spark, sf):
     )
 
 
-MAIL_SQL = f"""{ARTICLE_SQL},
+MAILS_SQL = f"""
 mails AS (
   SELECT doc_id, upper(p.url) AS link, {TITLE_SQL} AS title, '<p>' || text || '</p>' AS summary,
     source AS source_name,
     CASE lang WHEN 'fr' THEN ['• “' || {TITLE_SQL} || '”', lang, lang]
       WHEN 'en' THEN [' ', '1. But {UNWANTED_PHRASE}.', {TITLE_SQL}] ELSE [] END AS english,
     CASE lang WHEN 'fr' THEN ['- 한국어', {TITLE_SQL} || ' 요약', '- 한국어'] END AS korean
-  FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id),
+  FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id)"""
+LINES_SQL = f"""
 bylink AS (SELECT lower(url) AS k, max(article_text) AS article_text FROM articles GROUP BY 1),
 sums AS (
   SELECT m.*, b.article_text, {q.strip_full("summary")} AS full_text,
@@ -443,7 +444,9 @@ excerpts AS (
 fallbacks AS (
   SELECT *, CASE WHEN coalesce(article_text, '') <> '' THEN article_text WHEN full_text <> ''
     THEN full_text ELSE array_to_string(excerpt, ' ') END AS fallback FROM excerpts),
-lined AS (SELECT *, {q.excerpt_lines("fallback", 8)} AS l8 FROM fallbacks)"""
+lined AS MATERIALIZED (SELECT *, {q.excerpt_lines("fallback", 8)} AS l8 FROM fallbacks)"""
+
+MAIL_SQL = f"{ARTICLE_SQL}, {MAILS_SQL}, {LINES_SQL}"
 
 _EN_POINTS = q.keep(
     q.each(q.keep("english", f"{q.trim('k')} <> ''"), q.punctuation("e")), f"NOT {q.unwanted('k')}"
