@@ -144,6 +144,9 @@ ERROR_NO_ITEMS = "Missing 'items' array in AOAI JSON content"
 ERROR_NOT_JSON = "JsonException"
 ERROR_NO_HANGUL = "AOAI call succeeded but produced no Hangul output"
 
+# Reasons why a payload is no feed.
+NOT_XML_HTML, NOT_XML, NO_PAYLOAD = "HTML instead of XML", "Not XML format", "No payload"
+
 # Labels of the digest page.
 LABELS = {
     "heading": "☁️ Microsoft Azure 업데이트",

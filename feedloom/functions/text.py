@@ -48,22 +48,19 @@ def len_u16(c: Column) -> Column:
 
 
 def fits_u16(c: Column, limit: int) -> Column:
-    return (F.char_length(c) <= limit) & (len_u16(F.substring(c, 1, limit)) <= limit)
+    return (F.char_length(c) <= limit) & (F.octet_length(F.encode(c, "UTF-16BE")) <= 2 * limit)
+
+
+_ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
 def cut_u16(c: Column, limit: int) -> Column:
-    """Longest prefix of at most `limit` units; `c` is computed once."""
-
-    def cut(head: Column) -> Column:
-        raw = F.encode(head, "UTF-16BE")
-        last = F.hex(F.substring(raw, 2 * limit - 1, 1))
-        split_pair = last.between("D8", "DB")
-        kept = F.when(split_pair, F.substring(raw, 1, 2 * limit - 2)).otherwise(
-            F.substring(raw, 1, 2 * limit)
-        )
-        return F.when(len_u16(head) <= limit, head).otherwise(F.decode(kept, "UTF-16BE"))
-
-    return let(F.substring(c, 1, limit), cut)
+    """Longest prefix of at most `limit` units.
+
+    A character of two units gets a filler behind it, so that the cut counts it twice.
+    """
+    filled = F.regexp_replace(F.substring(c, 1, limit), f"({_ASTRAL})", "$1\uffff")
+    return F.regexp_replace(F.substring(filled, 1, limit), f"{_ASTRAL}(?!\uffff)|\uffff", "")
 
 
 def clip(c: Column, limit: int, tail: str) -> Column:

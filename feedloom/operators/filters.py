@@ -86,7 +86,8 @@ def required_fields(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def summary_points(raw: Column) -> Column:
-    value = trim_u(raw).try_cast("int")
+    text = trim_u(raw)
+    value = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
     return F.when(value.between(1, 10), value).otherwise(F.lit(DEFAULT_SUMMARY_POINTS))
 
 

@@ -95,7 +95,7 @@ def status_rows(statuses: DataFrame) -> DataFrame:
         state,
         n.cast("string"),
         F.col("items").cast("string"),
-        F.concat(F.col("elapsed_ms").cast("string"), F.lit(" ms")),
+        F.concat(F.coalesce("elapsed_ms", F.lit(0)).cast("string"), F.lit(" ms")),
         html_encode(text_or_empty(F.col("error"))),
     )
     rows = statuses.select(

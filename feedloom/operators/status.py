@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.constants import ERROR_NO_HANGUL
+from feedloom.functions.constants import ERROR_NO_HANGUL, NOT_XML, NOT_XML_HTML
 from feedloom.functions.dates import ago, bin_hour
 from feedloom.functions.html import contains_hangul
 from feedloom.functions.text import no_strings
@@ -60,8 +60,8 @@ def payload_error(http_status: Column, body: Column, error: Column) -> Column:
     return (
         F.when(error.isNotNull(), error)
         .when(~http_status.between(200, 299), F.concat(F.lit("HTTP "), http_status.cast("string")))
-        .when(kind == "html", F.lit("HTML instead of XML"))
-        .when(kind == "other", F.lit("Not XML format"))
+        .when(kind == "html", F.lit(NOT_XML_HTML))
+        .when(kind == "other", F.lit(NOT_XML))
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.constants import MAX_MAX_ITEMS
+from feedloom.functions.constants import MAX_MAX_ITEMS, NO_PAYLOAD
 from feedloom.functions.html import first_paragraph_chain, first_paragraph_page
 from feedloom.functions.lines import extract_bullets, normalize_bullets
 from feedloom.functions.text import no_strings
@@ -25,9 +25,14 @@ from feedloom.operators.posts import (
 from feedloom.operators.render import digest_html, post_card_html
 from feedloom.operators.sizes import broadcast_rows
 from feedloom.operators.state import to_state_rows
-from feedloom.operators.status import digest_counts, feed_status, payload_error
+from feedloom.operators.status import digest_counts, feed_status
 from feedloom.session import settle
-from feedloom.sources.feeds import clean_items, items_to_feeds, parse_feeds
+from feedloom.sources.feeds import (
+    clean_items,
+    items_to_feeds,
+    parse_feeds,
+    payload_outcomes,
+)
 
 KEY = ["feed_id", "item_pos"]
 
@@ -121,14 +126,12 @@ def run_statuses(
     runs: DataFrame, feeds: DataFrame, payloads: DataFrame, items: DataFrame
 ) -> DataFrame:
     """Feed states of each run: items of its `days_since` days, before any dedup."""
-    answers = payloads.select(
-        "feed_id",
-        "elapsed_ms",
-        payload_error(F.col("http_status"), F.col("body"), F.col("error")).alias("error"),
-    )
+    answers = payload_outcomes(payloads).withColumn("_given", F.lit(True))
+    missing = F.when(F.col("_given").isNull(), F.lit(NO_PAYLOAD)).otherwise(F.col("error"))
     listed = (
         valid_feeds(feeds)
         .join(answers, "feed_id", "left")
+        .withColumn("error", missing)
         .join(runs.select("digest_id", "feed_group", "as_of", "new_window_hours"), "feed_group")
     )
     asked = runs.select(

@@ -45,4 +45,4 @@ _ENTRY = (
 )
 RSS = f"STRUCT<{_CHANNEL}>"
 ATOM = f"STRUCT<{_ENTRY}>"
-FEED_XML = f"STRUCT<{_CHANNEL}, {_ENTRY}>"
+FEED_XML = f"STRUCT<{_CHANNEL}, {_ENTRY}, title: {_ATOM_TEXT}, id: STRING>"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import schemas
-from feedloom.functions.constants import NO_TITLE, UNKNOWN_SOURCE
+from feedloom.functions.constants import NO_TITLE, NOT_XML, NOT_XML_HTML, UNKNOWN_SOURCE
 from feedloom.functions.dates import ago, parse_pubdate, published_or_updated
 from feedloom.functions.html import strip_tags_lazy
 from feedloom.functions.text import is_blank, no_strings, trim_u
@@ -125,6 +125,30 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     )
 
 
+def payload_outcomes(payloads: DataFrame) -> DataFrame:
+    """Why a payload gave no feed, else a null error: not fetched, refused, or no feed at all.
+
+    An Atom body without an XML declaration is a feed here, as it parses.
+    """
+    status, given = F.col("http_status"), F.col("error")
+    x = F.from_xml("body", F.lit(schemas.FEED_XML), _XML_OPTIONS)
+    parsed = payloads.withColumn("x", F.when(F.col("body").isNotNull(), x))
+    feed = F.coalesce(
+        F.col("x.channel").isNotNull()
+        | F.col("x.entry").isNotNull()
+        | F.col("x.title").isNotNull()
+        | F.col("x.id").isNotNull(),
+        F.lit(False),
+    )
+    error = (
+        F.when(given.isNotNull(), given)
+        .when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string")))
+        .when(classify_payload(F.col("body")) == "html", F.lit(NOT_XML_HTML))
+        .when(~feed, F.lit(NOT_XML))
+    )
+    return parsed.select("feed_id", "elapsed_ms", error.alias("error"))
+
+
 def first_link(links: Column) -> Column:
     return F.coalesce(F.get(links, F.lit(0)), F.lit(""))
 

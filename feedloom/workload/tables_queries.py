@@ -167,6 +167,25 @@ def _(spark, sf):
     return _items(fds.parse_atom(atom_payloads(spark, sf)))
 
 
+@query(
+    "s2_payload_outcomes",
+    f"""WITH {POSTS_SQL} SELECT 'f' || item_pos AS feed_id, CASE lang WHEN 'de' THEN 'HTTP 503'
+  WHEN 'es' THEN 'HTML instead of XML' WHEN 'fr' THEN 'Not XML format' END AS error FROM posts""",
+)
+def _(spark, sf):
+    """Feed answers of which some failed, some are html and some no feed."""
+    body = (
+        F.when(C("lang") == "es", F.concat(F.lit("<HTML>"), C("body")))
+        .when(C("lang") == "fr", C("title"))
+        .otherwise(C("body"))
+    )
+    posts = v.posts(spark, sf).select(
+        F.concat(F.lit("f"), C("item_pos").cast("string")).alias("feed_id"), "lang", "title"
+    )
+    answers = rss_payloads(spark, sf).join(posts, "feed_id").withColumn("body", body)
+    return fds.payload_outcomes(answers).select("feed_id", "error")
+
+
 @query(
     "s4_load_pages",
     f"WITH {PAGES_SQL} SELECT url, md5(min(html)) AS html_md5 FROM fetched "

@@ -67,6 +67,30 @@ def test_payload_report(payloads):
     assert found["denied"][2] == "HTTP 403"
 
 
+def test_outcomes(spark, payloads):
+    more = spark.createDataFrame(
+        [
+            ("bare", None, 200, "<feed><title>t</title></feed>", None, 1),
+            ("void", None, 200, "<rss><channel></channel></rss>", None, 1),
+            ("text", None, 200, "hello", None, 1),
+        ],
+        schemas.FEED_PAYLOADS,
+    )
+    found = {r.feed_id: r.error for r in fds.payload_outcomes(payloads.unionByName(more)).collect()}
+    assert found == {
+        "rss": None,
+        "atom": None,
+        "bare": None,
+        "void": None,
+        "cut": "Not XML format",
+        "html": "HTML instead of XML",
+        "empty": "Not XML format",
+        "text": "Not XML format",
+        "down": "timeout",
+        "denied": "HTTP 403",
+    }
+
+
 def test_payload_summary(payloads):
     found = {(r.valid, r.reason): r.payloads for r in sts.payload_summary(payloads).collect()}
     assert found == {

@@ -244,7 +244,7 @@ def test_distinct_lines(spark):
     assert [r.line for r in found] == ["A", "b", "c"]
 
 
-@pytest.mark.parametrize(("raw", "points"), [(" 5 ", 5), ("0", 3), ("11", 3), ("x", 3), (None, 3), ("10", 10)])
+@pytest.mark.parametrize(("raw", "points"), [(" 5 ", 5), ("0", 3), ("11", 3), ("x", 3), ("5.0", 3), ("+4", 4), (None, 3), ("10", 10)])
 def test_summary_points(evaluate, raw, points):
     assert evaluate(flt.summary_points(C), [raw]) == [points]
 
