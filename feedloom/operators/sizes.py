@@ -13,6 +13,19 @@ def broadcast_rows(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= limit else df
 
 
+def pages_of(posts: DataFrame, pages: DataFrame, rows: int) -> DataFrame:
+    """The pages that `posts`, at most `rows`, link to, ignoring case.
+
+    With too many posts to send their links around all pages stay: cutting their text where
+    they lie is cheaper than a shuffle of html.
+    """
+    if rows > BROADCAST_ROWS:
+        return pages
+    links = posts.select(F.lower("link").alias("_link")).distinct()
+    keyed = pages.withColumn("_link", F.lower("url"))
+    return keyed.join(F.broadcast(links), "_link", "left_semi").drop("_link")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer parts than cores is dealt out, as text work is bound by the cores.
 

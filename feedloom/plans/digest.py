@@ -23,7 +23,7 @@ from feedloom.operators.posts import (
     unprocessed_posts,
 )
 from feedloom.operators.render import digest_html, post_card_html
-from feedloom.operators.sizes import broadcast_rows
+from feedloom.operators.sizes import broadcast_rows, pages_of
 from feedloom.operators.state import to_state_rows
 from feedloom.operators.status import digest_counts, feed_status
 from feedloom.session import settle
@@ -77,12 +77,13 @@ def with_text(shown: DataFrame, items: DataFrame, run_count: int) -> DataFrame:
 def with_paragraph(posts: DataFrame, pages: DataFrame, run_count: int) -> DataFrame:
     """Display posts with the first paragraph of their page.
 
-    Only pages of display posts are read for text, and their html is cut before any shuffle.
+    Only pages of display posts are searched, and their html is cut before any shuffle.
     """
-    links = broadcast_rows(posts.select("link").distinct(), run_count * MAX_MAX_ITEMS)
-    wanted = pages.withColumnRenamed("url", "link").join(links, "link", "left_semi")
+    wanted = pages_of(posts, pages, run_count * MAX_MAX_ITEMS)
     paragraphs = (
-        wanted.select("link", first_paragraph_page(F.col("html")).alias("_page"))
+        wanted.select(
+            F.col("url").alias("link"), first_paragraph_page(F.col("html")).alias("_page")
+        )
         .groupBy("link")
         .agg(F.max("_page").alias("_page"))
     )

@@ -25,6 +25,7 @@ from feedloom.functions.text import is_blank
 from feedloom.operators.filters import is_placeholder
 from feedloom.operators.render import legacy_card, mail_html
 from feedloom.operators.rows import enrich_pages, fallback_if_empty
+from feedloom.operators.sizes import pages_of
 
 
 def article_text(pages: DataFrame) -> DataFrame:
@@ -88,13 +89,15 @@ def mail_cards(posts: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def mail_pages(
-    requests: DataFrame, new: DataFrame, recent: DataFrame, articles: DataFrame, footer: str = ""
+    requests: DataFrame, new: DataFrame, recent: DataFrame, pages: DataFrame, footer: str = ""
 ) -> DataFrame:
     """One mail per request from its new posts, or from its recent ones when it has none.
 
-    `requests`: digest_id and schedule_text. Posts need digest_id and rank.
+    `requests`: digest_id and schedule_text. Posts need digest_id and rank. `pages`: url and
+    html; those that no post links to are not searched.
     """
     shown = fallback_if_empty(new, recent, "digest_id")
+    articles = article_text(pages_of(shown, pages, shown.count()))
     cards = mail_cards(shown, articles).select(
         "digest_id",
         "rank",

@@ -597,9 +597,11 @@ def _(spark, sf):
         "published", F.lit(None).cast("timestamp")
     )
     asked = chosen.runs.select("digest_id", F.lit("매일").alias("schedule_text"))
-    articles = mail.article_text(txq.variants(spark, sf))
     return mail.mail_pages(
-        asked, given.filter("is_new_post"), given.filter("NOT is_new_post"), articles
+        asked,
+        given.filter("is_new_post"),
+        given.filter("NOT is_new_post"),
+        txq.variants(spark, sf),
     )
 
 

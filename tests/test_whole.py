@@ -127,8 +127,11 @@ def test_mail(spark):
         [post("new", 2, "Second"), post("new", 1, "First"), post("void", 1, "x", "No new posts")], fields
     )
     recent = spark.createDataFrame([post("new", 1, "Not shown"), post("old", 1, "Recent")], fields)
-    articles = spark.createDataFrame([], "url STRING, article_text STRING")
-    found = {r.digest_id: r for r in mail.mail_pages(requests, new, recent, articles).collect()}
+    pages = spark.createDataFrame(
+        [("L", "<article>Of the page.</article>"), ("k", "no")], "url STRING, html STRING"
+    )
+    found = {r.digest_id: r for r in mail.mail_pages(requests, new, recent, pages).collect()}
+    assert "Of the page." in found["new"].html
     assert found["new"].subject.endswith("2개") and "Not shown" not in found["new"].html
     assert found["new"].html.index("First") < found["new"].html.index("Second")
     assert "Recent" in found["old"].html and found["old"].subject.endswith("1개")
