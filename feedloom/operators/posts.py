@@ -105,21 +105,6 @@ def runs_to_items(
     )
 
 
-def links_per_run(runs: DataFrame, items: DataFrame) -> DataFrame:
-    """How many links, ignoring case, each run finds within its `days_since` days.
-
-    Copies go before the join and again before the count, which needs no ranking.
-    """
-    asked = runs.select(
-        "digest_id", "feed_group", "as_of", (F.col("days_since") * 24).alias("_hours")
-    )
-    upper = nonblank_link(items).withColumn("link", F.upper("link"))
-    copies = upper.groupBy("feed_group", "link", "published").agg(F.min("item_pos").alias("item_pos"))
-    seen = runs_to_items(asked, copies, "_hours", unit="day")
-    links = seen.select("digest_id", "link").distinct()
-    return links.groupBy("digest_id").agg(F.count(F.lit(1)).alias("all_items"))
-
-
 def runs_to_items_open(
     runs: DataFrame, items: DataFrame, hours: str = "new_window_hours", salts: int = 8
 ) -> DataFrame:

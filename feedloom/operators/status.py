@@ -22,11 +22,19 @@ def feed_status(feeds: DataFrame, items: DataFrame) -> DataFrame:
     """
     runs = feeds.select("digest_id", "as_of", "new_window_hours").distinct()
     new = is_new(F.col("as_of"), F.col("new_window_hours"))
-    counts = (
+    return status_from_counts(
+        feeds,
         items.select("digest_id", "feed_id", "published")
         .join(runs, "digest_id")
         .groupBy("digest_id", "feed_id")
-        .agg(F.count(F.lit(1)).alias("_items"), F.count_if(new).alias("_new"))
+        .agg(F.count(F.lit(1)).alias("items"), F.count_if(new).alias("items_new")),
+    )
+
+
+def status_from_counts(feeds: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per run and feed from counts per digest_id and feed_id."""
+    counts = counts.select(
+        "digest_id", "feed_id", F.col("items").alias("_items"), F.col("items_new").alias("_new")
     )
     ok = F.col("error").isNull()
     joined = feeds.join(counts, ["digest_id", "feed_id"], "left")

@@ -11,12 +11,12 @@ from feedloom.functions.constants import MAX_MAX_ITEMS, NO_PAYLOAD
 from feedloom.functions.html import first_paragraph_chain, first_paragraph_page
 from feedloom.functions.lines import extract_bullets, normalize_bullets
 from feedloom.functions.text import no_strings
+from feedloom.operators.counts import feed_counts, links_per_run
 from feedloom.operators.filters import clamp_params, is_new, valid_feeds
 from feedloom.operators.insights import attach_insights, diagnostics, parse_insights
 from feedloom.operators.posts import (
     dedup_by_link,
     display_posts,
-    links_per_run,
     new_posts_topk,
     runs_to_items,
     translation_slice,
@@ -25,7 +25,7 @@ from feedloom.operators.posts import (
 from feedloom.operators.render import digest_html, post_card_html
 from feedloom.operators.sizes import broadcast_rows, pages_of
 from feedloom.operators.state import to_state_rows
-from feedloom.operators.status import digest_counts, feed_status
+from feedloom.operators.status import digest_counts, status_from_counts
 from feedloom.session import settle
 from feedloom.sources.feeds import (
     clean_items,
@@ -126,20 +126,32 @@ def ingest(payloads: DataFrame, feeds: DataFrame) -> DataFrame:
 def run_statuses(
     runs: DataFrame, feeds: DataFrame, payloads: DataFrame, items: DataFrame
 ) -> DataFrame:
-    """Feed states of each run: items of its `days_since` days, before any dedup."""
+    """Feed states of each run: items of its `days_since` days, before any dedup.
+
+    A month of items belongs to dozens of runs, so they are counted by running totals.
+    """
     answers = payload_outcomes(payloads).withColumn("_given", F.lit(True))
     missing = F.when(F.col("_given").isNull(), F.lit(NO_PAYLOAD)).otherwise(F.col("error"))
     listed = (
         valid_feeds(feeds)
         .join(answers, "feed_id", "left")
         .withColumn("error", missing)
-        .join(runs.select("digest_id", "feed_group", "as_of", "new_window_hours"), "feed_group")
-    )
-    asked = runs.select(
-        "digest_id", "feed_group", "as_of", (F.col("days_since") * 24).alias("_hours")
+        .join(
+            runs.select("digest_id", "feed_group", "as_of", "days_since", "new_window_hours"),
+            "feed_group",
+        )
     )
-    narrow = items.select("feed_group", *KEY, "link", "published")
-    return feed_status(listed, runs_to_items(asked, narrow, "_hours", unit="day"))
+    return status_from_counts(listed, counts_per_feed(listed, items))
+
+
+def counts_per_feed(listed: DataFrame, items: DataFrame) -> DataFrame:
+    """Items and new items per run and feed; `listed` has a row for each run and feed."""
+    base = listed.select("digest_id", "feed_group", "feed_id", "as_of", "days_since", "new_window_hours")
+    old = base.withColumn("hours", F.col("days_since") * 24).drop("days_since", "new_window_hours")
+    new = base.withColumn("hours", F.col("new_window_hours")).drop("days_since", "new_window_hours")
+    items_old = feed_counts(old, items).withColumnRenamed("n", "items")
+    items_new = feed_counts(new, items, inclusive=True).withColumnRenamed("n", "items_new")
+    return items_old.join(items_new, ["digest_id", "feed_id"])
 
 
 @dataclass

@@ -22,7 +22,7 @@ from feedloom.operators import rows as rws
 from feedloom.operators import state as stt
 from feedloom.operators import status as sts
 from feedloom.operators.render import subject_line
-from feedloom.plans.digest import choose_posts
+from feedloom.plans.digest import choose_posts, counts_per_feed
 from feedloom.session import shared_dir
 from feedloom.sources import feeds as fds
 from feedloom.sources import tables as tbs
@@ -725,6 +725,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "a1_feed_counts_by_running_total",
+    f"""WITH {POSTS_SQL}, {RUNS_SQL}, {FEEDS_SQL}
+SELECT r.digest_id, f.feed_id,
+  count(p.item_pos) FILTER (p.published > r.as_of - INTERVAL 2 DAY) AS items,
+  count(p.item_pos) FILTER (p.published >= r.as_of - INTERVAL 24 HOUR) AS items_new
+FROM runs r JOIN feeds f USING (feed_group)
+  LEFT JOIN posts p ON p.feed_id = f.feed_id AND p.published <= r.as_of GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    listed = run_feeds(spark, sf).withColumn("days_since", F.lit(2))
+    return counts_per_feed(listed, v.posts(spark, sf).select("feed_group", "feed_id", "published"))
+
+
 CHOICE_SQL = f"""{PROCESSED_SQL}, {RUNS_SQL},
 recent AS (
   SELECT r.digest_id, r.as_of, r.max_items, p.* FROM runs r JOIN posts p
