@@ -47,6 +47,16 @@ def without_blanks(c: Column) -> Column:
     return c
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Each row as one struct `_doc`, so that no name of its columns can meet a name used on the way."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def unwrapped(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of `_doc` again; `changed` ones have new values."""
+    return rows.select(*[changed.get(c, F.col("_doc")[c]).alias(c) for c in columns])
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` does not use (names are compared without case)."""
     used = {c.lower() for c in df.columns}

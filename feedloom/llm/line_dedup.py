@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import BLANKS, LOWER, UPPER, seeded, whole_text
+from feedloom.llm.common import BLANKS, LOWER, UPPER, seeded, wrapped
 
 #: Production parameters.
 MIN_DOCUMENTS = 10
@@ -26,8 +26,9 @@ def line_key(line: Column) -> Column:
     )
 
 
-def lines_of(text_col: str = "text") -> Column:
-    return F.split(whole_text(text_col), "\n", -1)
+def lines_of(text: Column) -> Column:
+    """The lines of a text; null or empty is one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -43,7 +44,7 @@ def common_lines(
     A key counts once per row of `docs`, however often the row repeats it. Counts are summed in
     each task before the shuffle.
     """
-    keys = F.array_distinct(F.transform(lines_of(text_col), line_key))
+    keys = F.array_distinct(F.transform(lines_of(F.col(f"`{text_col}`")), line_key))
     each = docs.select(F.explode(keys).alias("key")).filter(F.char_length("key") >= min_chars)
     counted = each.select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= min_docs).select("h1", "h2")
@@ -65,9 +66,14 @@ def drop_common_lines(
     need no special case. Column names n_lines and n_dropped of `docs` are replaced.
     """
     common = common_lines(docs, text_col, min_docs, min_chars)
-    place = seeded("row", F.col(id_col), F.col(text_col)).alias("place")
+
+    def place(id_: Column, text: Column) -> Column:
+        return seeded("row", id_, text)
+
+    text = F.col(f"`{text_col}`")
+    keys = F.transform(lines_of(text), line_key)
     each = (
-        docs.select(place, F.posexplode(F.transform(lines_of(text_col), line_key)).alias("pos", "key"))
+        docs.select(place(F.col(f"`{id_col}`"), text).alias("place"), F.posexplode(keys).alias("pos", "key"))
         .filter(F.char_length("key") >= min_chars)
         .select("place", "pos", *_hashes(F.col("key")))
     )
@@ -77,16 +83,16 @@ def drop_common_lines(
         .agg(F.collect_set("pos").alias("_lost"))
     )
     kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept_columns], place.alias("_row"))
+    doc = F.col("_doc")
+    base = wrapped(docs).withColumn("_row", place(doc[id_col], doc[text_col]))
     joined = base.join(lost, F.col("_row") == F.col("_place"), "left")
-    lines = joined.withColumn("_lines", lines_of(text_col))
+    lines = joined.withColumn("_lines", lines_of(doc[text_col]))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
-    cleaned = F.when(F.col("_lost").isNull(), whole_text(text_col)).otherwise(
+    cleaned = F.when(F.col("_lost").isNull(), F.coalesce(doc[text_col], F.lit(""))).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     )
-    columns = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept_columns]
     return lines.select(
-        *columns,
+        *[(cleaned if c == text_col else doc[c]).alias(c) for c in kept_columns],
         F.size("_lines").cast("long").alias("n_lines"),
         F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
     )

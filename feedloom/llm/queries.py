@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from feedloom.llm import exact_dedup, line_dedup, shards
+from feedloom.llm import (
+    bpe,
+    embed_dedup,
+    exact_dedup,
+    html_text,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    shards,
+)
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_pii": pii.op4_pii,
     "op5_sharding": shards.op5_sharding,
+    "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_embedding_near_dedup": embed_dedup.op7_embedding_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
