@@ -14,6 +14,7 @@ from feedloom.workload import catalog  # noqa: E402
 
 HEADLINE = [
     "digest_report",
+    "digest_pages",
     "w1_dedup_by_link",
     "w2_new_posts_topk",
     "w3_display_posts",
@@ -55,6 +56,7 @@ def main() -> None:
         spark__driver__memory="16g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__sql__files__maxPartitionBytes="4m",
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf}/events.parquet").count()

@@ -6,6 +6,8 @@ All loops run over at most eight lines, so the folds stay small per row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,16 +107,26 @@ def _plain(line: Column) -> Column:
     return F.lower(F.replace(bare, F.lit(ELLIPSIS), F.lit("...")))
 
 
-_UNWANTED_RX = rf"(?s){UNWANTED_PHRASE}|^(?=.*{UNWANTED_PAIR[0]})(?=.*{UNWANTED_PAIR[1]})"
-_BANNED_RX = rf"(?s)^(?=.*{BANNED_TOPIC})(?=.*(?:{'|'.join(BANNED_LIMITS)}))"
+def _holds(line: Column, phrase: str) -> Column:
+    return F.contains(line, F.lit(phrase))
+
+
+def _unwanted(plain: Column) -> Column:
+    both = _holds(plain, UNWANTED_PAIR[0]) & _holds(plain, UNWANTED_PAIR[1])
+    return _holds(plain, UNWANTED_PHRASE) | both
+
+
+def _banned(plain: Column) -> Column:
+    limits = [_holds(plain, phrase) for phrase in BANNED_LIMITS]
+    return _holds(plain, BANNED_TOPIC) & reduce(or_, limits)
 
 
 def unwanted_sentence(line: Column) -> Column:
-    return _plain(line).rlike(_UNWANTED_RX)
+    return let(_plain(line), _unwanted)
 
 
 def banned_variant(line: Column) -> Column:
-    return _plain(line).rlike(_BANNED_RX)
+    return let(_plain(line), _banned)
 
 
 def _allowed(line: Column) -> Column:
@@ -299,7 +311,7 @@ def three_insights(points: Column, excerpt: Column) -> Column:
 
 def exactly_three_insights(lines: Column, excerpt: Column, fallback: Column) -> Column:
     """Three allowed lines: given ones, excerpt lines, short pieces, then fixed ones."""
-    clean = F.filter(distinct_nocase(_nonblank(lines), MAX_EXCERPT), _allowed)
+    clean = distinct_nocase(F.filter(_nonblank(lines), _allowed))
 
     def top_up(have: Column, more: Column, clash: Callable[[Column, Column], Column]) -> Column:
         usable = F.filter(F.transform(more, trim_u), lambda x: (x != "") & _allowed(x))

@@ -1,9 +1,8 @@
 """Counts over long sliding windows, without pairing each item with each run.
 
-An item is in a run's window from the moment it appears until it is too old. Both moments are
-changes of a running total, one up and one down, and a count is the total at the run's `as_of`.
-Changes are summed per hour before any shuffle of rows, so the work does not grow with the
-number of runs an item belongs to.
+Items are summed per feed and second before anything else, so a busy feed is a few rows per
+second however many items it has. A count is then a difference of running totals, or a running
+total of "appears" and "is too old" where copies of a link count once.
 """
 
 from __future__ import annotations
@@ -11,78 +10,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.dates import ago
 from feedloom.operators.filters import nonblank_link
 
-
-def _changes(rows: DataFrame, begin: Column, end: Column, keep: list[str]) -> DataFrame:
-    """One row up at `begin`, one row down at `end`."""
-    both = F.array(
-        F.struct(begin.alias("at"), F.lit(1).alias("change")),
-        F.struct(end.alias("at"), F.lit(-1).alias("change")),
-    )
-    return rows.select(*keep, F.explode(both).alias("c")).select(*keep, "c.at", "c.change")
+#: Parts that the links of a feed group are dealt in when they meet its window lengths.
+SALTS = 64
 
 
 def totals_at(asked: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:
-    """The running total of `changes` per `by` columns at each asked `as_of`.
+    """The running total of `changes` per `by` columns at each asked mark.
 
-    `asked`: digest_id, as_of and the `by` columns. Whole hours before the hour of `as_of`
-    come from hourly sums, which are few; the changes of that hour are looked at singly.
+    `asked`: digest_id, the `by` columns, `mark` (a name), `at` and `strict` (changes at `at`
+    itself do not count). `changes`: the `by` columns, `at` and `change`. Whole hours before the
+    hour of the mark come from hourly sums, which are few; that hour is looked at by the second.
     """
-    slot = F.date_trunc("hour", "at")
-    hourly = changes.groupBy(*by, slot.alias("slot")).agg(F.sum("change").alias("change"))
-    marks = asked.withColumn("slot", F.date_trunc("hour", "as_of"))
-    line = hourly.withColumn("mark", F.lit(1)).unionByName(
-        marks.select(*by, "slot", F.lit(0).alias("mark"), "digest_id"), allowMissingColumns=True
+    keys = ["digest_id", "mark", *by]
+    slot = F.date_trunc("hour", "at").alias("slot")
+    summed = changes.groupBy(*by, "at").agg(F.sum("change").alias("change"))
+    marks = asked.select(*keys, F.col("at").alias("until"), "strict", slot)
+    hourly = summed.groupBy(*by, slot).agg(F.sum("change").alias("change"))
+    line = hourly.withColumn("_order", F.lit(1)).unionByName(
+        marks.select(*keys, "slot", F.lit(0).alias("_order")), allowMissingColumns=True
     )
-    so_far = Window.partitionBy(*by).orderBy("slot", "mark").rowsBetween(
+    so_far = Window.partitionBy(*by).orderBy("slot", "_order").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     before = (
         line.withColumn("total", F.sum("change").over(so_far))
-        .filter("mark = 0")
-        .select("digest_id", *by, F.coalesce("total", F.lit(0)).alias("total"))
+        .filter("_order = 0")
+        .select(*keys, F.coalesce("total", F.lit(0)).alias("total"))
     )
     within = (
-        changes.withColumn("slot", slot)
+        summed.select(*by, "at", "change", slot)
         .join(marks, [*by, "slot"])
-        .filter("at <= as_of")
-        .groupBy("digest_id", *by)
+        .filter((F.col("at") < F.col("until")) | (~F.col("strict") & (F.col("at") == F.col("until"))))
+        .groupBy(*keys)
         .agg(F.sum("change").alias("more"))
     )
-    return before.join(within, ["digest_id", *by], "left").select(
-        "digest_id", *by, (F.col("total") + F.coalesce("more", F.lit(0))).alias("n")
+    return before.join(within, keys, "left").select(
+        *keys, (F.col("total") + F.coalesce("more", F.lit(0))).alias("n")
     )
 
 
-def _per_window(items: DataFrame, runs: DataFrame) -> DataFrame:
-    """Items once for each length of window their feed group asks for; usually there is one."""
-    return items.join(runs.select("feed_group", "hours").distinct(), "feed_group")
-
-
-def _later(column: str | Column, hours: str = "hours") -> Column:
-    at = F.col(column) if isinstance(column, str) else column
-    return at + F.make_dt_interval(hours=F.col(hours))
-
+def feed_counts(asked: DataFrame, items: DataFrame, hours: dict[str, str]) -> DataFrame:
+    """Items per run and feed from `as_of` back to some hours before it, both ends included.
 
-def feed_counts(asked: DataFrame, items: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Items per run and feed within `hours` before `as_of`: digest_id, feed_id and n.
-
-    `asked`: digest_id, feed_group, feed_id, as_of, hours, one row per run and feed.
-    `inclusive` counts an item that is exactly `hours` old.
+    `asked`: digest_id, feed_group, feed_id, as_of and the hour columns, one row per run and feed.
+    `hours` maps each result column to its hour column. A count is the total at `as_of` less the
+    total before the window began.
     """
-    by = ["feed_group", "feed_id", "hours"]
-    given = items.select("feed_group", "feed_id", "published").filter("published IS NOT NULL")
-    dated = _per_window(given, asked)
-    end = _later("published")
-    if inclusive:
-        end = end + F.expr("INTERVAL 1 MICROSECOND")
-    found = totals_at(asked, _changes(dated, F.col("published"), end, by), by)
-    return found.select("digest_id", "feed_id", "n")
+    by = ["feed_group", "feed_id"]
+    seen = items.filter("published IS NOT NULL").select(
+        *by, F.col("published").alias("at"), F.lit(1).alias("change")
+    )
+    ends = [
+        F.struct(F.lit("upto").alias("mark"), F.col("as_of").alias("at"), F.lit(False).alias("strict")),
+        *[
+            F.struct(
+                F.lit(name).alias("mark"), ago(F.col("as_of"), hours=F.col(h)).alias("at"), F.lit(True).alias("strict")
+            )
+            for name, h in hours.items()
+        ],
+    ]
+    marks = asked.select("digest_id", *by, F.explode(F.array(*ends)).alias("e")).select("digest_id", *by, "e.*")
+    totals = totals_at(marks, seen, by)
+
+    def at(mark: str) -> Column:
+        return F.max(F.when(F.col("mark") == mark, F.col("n")))
+
+    return totals.groupBy("digest_id", "feed_id").agg(
+        *[(at("upto") - at(name)).alias(name) for name in hours]
+    )
 
 
 def links_per_run(runs: DataFrame, items: DataFrame) -> DataFrame:
-    """How many links, ignoring case, each run finds within its `days_since` days.
+    """How many links, ignoring case, each run finds within its `days_since` days, both ends included.
 
     Copies of a link within one hour form a block from its first to its last time. A block
     counts from its first time, or from the end of the block before if that still covers it,
@@ -98,8 +100,18 @@ def links_per_run(runs: DataFrame, items: DataFrame) -> DataFrame:
         .filter(F.col("last").isNotNull())
     )
     by = ["feed_group", "hours"]
-    earlier = F.lag("last").over(Window.partitionBy(*by, "link").orderBy("first"))
-    spans = _per_window(blocks, asked).withColumn("earlier", earlier)
-    begin = F.greatest(F.col("first"), _later("earlier"))
-    counted = totals_at(asked, _changes(spans, begin, _later("last"), by), by)
+    salt = F.pmod(F.xxhash64("link"), F.lit(SALTS)).cast("int")
+    lengths = asked.select(*by).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spans = blocks.withColumn("_salt", salt).join(lengths, ["feed_group", "_salt"]).drop("_salt")
+    # A link is out of a window that began after it: one microsecond past its last time in it.
+    gone = F.col("last") + F.make_dt_interval(hours=F.col("hours")) + F.expr("INTERVAL 1 MICROSECOND")
+    earlier = F.lag("gone").over(Window.partitionBy(*by, "link").orderBy("first"))
+    timed = spans.withColumn("gone", gone).withColumn("begin", F.greatest(F.col("first"), earlier))
+    both = F.array(
+        F.struct(F.col("begin").alias("at"), F.lit(1).alias("change")),
+        F.struct(F.col("gone").alias("at"), F.lit(-1).alias("change")),
+    )
+    changes = timed.select(*by, F.explode(both).alias("c")).select(*by, "c.at", "c.change")
+    marks = asked.select("digest_id", *by, F.lit("at").alias("mark"), F.col("as_of").alias("at"), F.lit(False).alias("strict"))
+    counted = totals_at(marks, changes, by)
     return counted.select("digest_id", F.col("n").alias("all_items"))

@@ -23,6 +23,9 @@ from feedloom.functions.json_cols import (
 from feedloom.functions.lines import normalize_bullets
 from feedloom.functions.text import is_blank, no_strings
 
+#: Posts of a digest that are sent to the model.
+TRANSLATED = 10
+
 
 def model_requests(posts: DataFrame) -> DataFrame:
     """One JSON payload per digest; `posts` is the translation slice, ten posts at most."""
@@ -35,7 +38,10 @@ def model_requests(posts: DataFrame) -> DataFrame:
 
 
 def parse_insights(responses: DataFrame) -> DataFrame:
-    """Insights per digest and index; of two items with one index the later wins."""
+    """Insights per digest and index; of two items with one index the later wins.
+
+    An index that no post of the translation slice can have is left out.
+    """
     clean = responses.filter(F.col("status").between(200, 299)).select(
         "digest_id", strip_code_fence(model_content(F.col("body"))).alias("content")
     )
@@ -44,7 +50,7 @@ def parse_insights(responses: DataFrame) -> DataFrame:
     return (
         items.select("digest_id", "i.pos", "i.index", "i.bullets")
         .withColumn("_n", F.row_number().over(last))
-        .filter("_n = 1")
+        .filter(F.expr("_n = 1") & F.col("index").between(0, TRANSLATED - 1))
         .select(
             "digest_id",
             "index",

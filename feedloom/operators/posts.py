@@ -13,8 +13,14 @@ from feedloom.functions.dates import ago
 from feedloom.functions.keys import partition_key, row_key
 from feedloom.operators.filters import nonblank_link
 
-def _newest() -> list:
-    return [F.col("published").desc_nulls_last(), F.col("feed_pos"), F.col("item_pos")]
+def item_key(items: DataFrame) -> list[str]:
+    """What tells items apart: feed and place in the payload, and which payload where that is known."""
+    return [c for c in ("feed_id", "fetched_at", "item_pos") if c in items.columns]
+
+
+def _newest(posts: DataFrame) -> list:
+    fetched = [F.col(c) for c in ("fetched_at",) if c in posts.columns]
+    return [F.col("published").desc_nulls_last(), F.col("feed_pos"), *fetched, F.col("item_pos")]
 
 
 def with_keys(posts: DataFrame) -> DataFrame:
@@ -25,13 +31,13 @@ def with_keys(posts: DataFrame) -> DataFrame:
 
 def dedup_by_link(posts: DataFrame, by: list[str]) -> DataFrame:
     """The newest post per link, ignoring case, within the `by` columns."""
-    w = Window.partitionBy(*by, F.upper("link")).orderBy(*_newest())
+    w = Window.partitionBy(*by, F.upper("link")).orderBy(*_newest(posts))
     return nonblank_link(posts).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def check_duplicate(posts: DataFrame, state_keys: DataFrame) -> DataFrame:
-    """Posts with `is_duplicate`. `state_keys` must hold each (pk, rk) once."""
-    flags = state_keys.select("pk", "rk", F.lit(True).alias("_seen"))
+    """Posts with `is_duplicate`; keys may repeat in `state_keys`."""
+    flags = state_keys.select("pk", "rk").distinct().withColumn("_seen", F.lit(True))
     joined = with_keys(posts).join(flags, ["pk", "rk"], "left")
     return joined.withColumn("is_duplicate", F.col("_seen").isNotNull()).drop("_seen")
 
@@ -42,7 +48,7 @@ def unprocessed_posts(posts: DataFrame, state_keys: DataFrame) -> DataFrame:
 
 def ranked(posts: DataFrame, by: list[str], limit: int, rank: str = "rank") -> DataFrame:
     """The `limit` newest posts per `by`, ranked from 1."""
-    w = Window.partitionBy(*by).orderBy(*_newest())
+    w = Window.partitionBy(*by).orderBy(*_newest(posts))
     return posts.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= limit)
 
 
@@ -51,16 +57,24 @@ def new_posts_topk(unprocessed: DataFrame, max_items: Column, cap: int) -> DataF
     return ranked(unprocessed, ["digest_id"], cap).filter(F.col("rank") <= max_items)
 
 
-def display_posts(new_posts: DataFrame, recent: DataFrame, limit: int = 10) -> DataFrame:
+def display_posts(flagged: DataFrame, max_items: Column, cap: int, limit: int = 10) -> DataFrame:
     """New posts, or the newest recent ones for a digest that has no new post.
 
-    `recent` is deduplicated and within the window, processed or not.
+    `flagged` is deduplicated, within the window and says `is_duplicate`. One ranking puts new
+    posts first, so a digest whose first row is a duplicate has no new post; its rows then rank
+    as among all recent ones. Each task passes on `cap` rows of a digest at most.
     """
-    spare = ranked(recent, ["digest_id"], limit)
-    none_new = spare.join(new_posts.select("digest_id").distinct(), "digest_id", "left_anti")
-    flag = F.lit(True).alias("is_new_post")
-    return new_posts.select("*", flag).unionByName(
-        none_new.withColumn("is_new_post", F.lit(False)), allowMissingColumns=True
+    by = Window.partitionBy("digest_id")
+    first = F.row_number().over(by.orderBy("is_duplicate", *_newest(flagged)))
+    best = flagged.withColumn("rank", first).filter(F.col("rank") <= max(cap, limit))
+    none_new = F.min("is_duplicate").over(by)
+    own = ~F.col("is_duplicate") & (F.col("rank") <= max_items)
+    spare = F.col("_none_new") & (F.col("rank") <= limit)
+    return (
+        best.withColumn("_none_new", none_new)
+        .filter(own | spare)
+        .withColumn("is_new_post", ~F.col("is_duplicate"))
+        .drop("_none_new", "is_duplicate")
     )
 
 
@@ -87,7 +101,7 @@ def runs_to_items(
     salts: int = 8,
     unit: str = "hour",
 ) -> DataFrame:
-    """Each run sees the items of its feed group in (as_of - hours, as_of].
+    """Each run sees the items of its feed group from as_of - hours to as_of, both included.
 
     The range is met by hour (or `unit` day, for long windows): a run is listed under each
     hour of its window, an item has one hour, and equal hours are joined. `salts` spreads a
@@ -100,18 +114,11 @@ def runs_to_items(
     keyed = items.withColumns({"_slot": F.date_trunc(unit, "published"), "_salt": _item_salt(salts)})
     return (
         keyed.join(listed, ["feed_group", "_slot", "_salt"])
-        .filter("published > _start AND published <= as_of")
+        .filter("published >= _start AND published <= as_of")
         .drop("_slot", "_salt", "_start")
     )
 
 
-def runs_to_items_open(
-    runs: DataFrame, items: DataFrame, hours: str = "new_window_hours", salts: int = 8
-) -> DataFrame:
-    """Each run sees all items from as_of - hours on, later ones too, as a live request does."""
-    return (
-        items.withColumn("_salt", _item_salt(salts))
-        .join(_salted_runs(runs, hours, salts), ["feed_group", "_salt"])
-        .filter("published >= _start")
-        .drop("_salt", "_start")
-    )
+def live_items(items: DataFrame, as_of: Column, hours: Column | int) -> DataFrame:
+    """What one live request sees: everything from as_of - hours on, later items too."""
+    return items.filter(F.col("published") >= ago(as_of, hours=hours))

@@ -56,10 +56,12 @@ def distinct_lines(rows: DataFrame, key: str, lines: Column) -> DataFrame:
 
 
 def enrich_pages(posts: DataFrame, pages: DataFrame, on: str = "link") -> DataFrame:
-    """Posts with the columns of their page; a blank link meets no page.
+    """Posts with the columns of their page, found by link without case; a blank link meets none.
 
-    Posts without a link skip the join, so they do not gather in one task.
+    Blank links become keys of their own that no page has, so they do not gather in one task.
     """
     blank = is_blank(F.col(on))
-    found = posts.filter(~blank).join(pages.withColumnRenamed("url", on), on, "left")
-    return found.unionByName(posts.filter(blank), allowMissingColumns=True)
+    spare = F.concat(F.lit(" "), F.xxhash64(*posts.columns).cast("string"))
+    keyed = posts.withColumn("_page_key", F.when(blank, spare).otherwise(F.lower(on)))
+    found = pages.withColumnRenamed("url", "_page_key").filter(~is_blank(F.col("_page_key")))
+    return keyed.join(found, "_page_key", "left").drop("_page_key")

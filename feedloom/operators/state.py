@@ -1,7 +1,8 @@
 """Table of processed posts, one row per (pk, rk).
 
-New rows are appended as versions; a full snapshot is written now and then. Adding thirty
-posts therefore never rewrites the table, and a version written twice stays the same.
+New rows are appended as versions, each writer counting its own; a full snapshot is written now
+and then. Adding thirty posts therefore never rewrites the table, and a version written twice stays
+the same.
 """
 
 from __future__ import annotations
@@ -58,65 +59,109 @@ def upsert_processed(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class ProcessedPosts:
-    """The state table in a folder: `delta/version=N` and `snapshot/version=N`."""
+    """The state table in a folder: `delta/writer=W/version=N/turn=T` and `snapshot/turn=T`.
+
+    Every writer (a batch job, one stream with its checkpoint) counts its own versions, so two of
+    them never overwrite each other. A turn numbers the versions of all writers in the order in
+    which they were first written; the row of the last turn wins. A version that is written again keeps
+    its turn. A snapshot holds the table up to a turn, and which version of each writer it has taken in.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def append(self, rows: DataFrame, version: int) -> None:
-        """Write one version; writing it again replaces it."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/delta/version={version}")
-
-    def snapshot(self, version: int) -> None:
-        """Fold everything up to `version` into one copy that later reads start from."""
-        rows = self.rows().filter(F.col("version") <= version)
-        rows.withColumnRenamed("version", "written").write.mode("overwrite").parquet(
-            f"{self.path}/snapshot/version={version}"
-        )
-
-    def _versions(self, kind: str) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(
-            int(f.getPath().getName().split("=")[1])
-            for f in files.listStatus(path)
-            if files.exists(hadoop_path(f.getPath(), "_SUCCESS"))
-        )
-
-    def all_rows(self) -> DataFrame:
-        """Every row of the newest snapshot and the versions after it."""
-        empty = self.spark.createDataFrame([], f"{schemas.PROCESSED}, version BIGINT")
-        base = self._versions("snapshot")[-1:]
-        start = base[0] if base else -1
-        later = [v for v in self._versions("delta") if v > start]
-        parts = [empty]
-        if base:
-            folded = self.spark.read.parquet(f"{self.path}/snapshot/version={start}")
-            parts.append(folded.withColumnRenamed("written", "version"))
-        if later:
-            folders = [f"{self.path}/delta/version={v}" for v in later]
-            reader = self.spark.read.option("basePath", f"{self.path}/delta")
-            parts.append(reader.parquet(*folders))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part.withColumn("version", F.col("version").cast("bigint")))
+    def append(self, rows: DataFrame, version: int, writer: str = "batch") -> None:
+        """Write one version of a writer; writing it again replaces it, or does nothing once it is folded.
+
+        A stream with a new checkpoint counts from 0 again and must come as a new writer.
+        """
+        if version <= self._folded().get(writer, -1):
+            return
+        known = self._deltas()
+        turns = [t for _, _, t in known] + self._snapshots()
+        turn = next((t for w, v, t in known if (w, v) == (writer, version)), max(turns, default=-1) + 1)
+        rows.write.mode("overwrite").parquet(f"{self.path}/delta/writer={writer}/version={version}/turn={turn}")
+
+    def snapshot(self) -> None:
+        """Fold all that is written so far into one copy that later reads start from."""
+        known = self._deltas()
+        if not known:
+            return
+        turn = max([t for _, _, t in known] + self._snapshots()) + 1
+        folded = self._folded()
+        for writer, version, _ in known:
+            folded[writer] = max(version, folded.get(writer, -1))
+        self.rows().write.mode("overwrite").parquet(f"{self.path}/snapshot/turn={turn}/rows")
+        # Written last: a snapshot without its marks is not there yet.
+        marks = self.spark.createDataFrame(sorted(folded.items()), "writer STRING, version BIGINT")
+        marks.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshot/turn={turn}/marks")
+
+    def clean_up(self) -> None:
+        """Remove versions that the newest snapshot holds, and older snapshots. Not while others read."""
+        last = self._snapshots()[-1:]
+        folded = self._folded()
+        gone = [f"delta/writer={w}/version={v}" for w, v, _ in self._deltas(False) if v <= folded.get(w, -1)]
+        gone += [f"snapshot/turn={t}" for t in self._snapshots() if [t] != last]
+        for folder in gone:
+            path, files = self._at(folder)
+            files.delete(path, True)
+
+    def _at(self, folder: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _complete(self, pattern: str) -> list[str]:
+        """Folders below the table that match and were written to the end."""
+        path, files = self._at(f"{pattern}/_SUCCESS")
+        return [str(f.getPath().getParent()) for f in files.globStatus(path) or []]
+
+    def _snapshots(self) -> list[int]:
+        return sorted(int(p.split("/turn=")[1].split("/")[0]) for p in self._complete("snapshot/turn=*/marks"))
+
+    def _folded(self) -> dict[str, int]:
+        """The version of each writer that the newest snapshot reaches; a row per writer."""
+        last = self._snapshots()[-1:]
+        if not last:
+            return {}
+        marks = self.spark.read.parquet(f"{self.path}/snapshot/turn={last[0]}/marks")
+        return {r["writer"]: r["version"] for r in marks.collect()}
+
+    def _deltas(self, open_only: bool = True) -> list[tuple[str, int, int]]:
+        """(writer, version, turn) of what is written and, unless told otherwise, not folded."""
+        folded = self._folded() if open_only else {}
+        found = []
+        for p in self._complete("delta/writer=*/version=*/turn=*"):
+            writer, version, turn = (x.split("=", 1)[1] for x in p.split("/")[-3:])
+            if int(version) > folded.get(writer, -1):
+                found.append((writer, int(version), int(turn)))
+        return sorted(found, key=lambda x: x[2])
+
+    def all_rows(self, but: tuple[str, int] | None = None) -> DataFrame:
+        """Every row of the newest snapshot and of what came after it, with its turn."""
+        out = self.spark.createDataFrame([], f"{schemas.PROCESSED}, turn BIGINT")
+        last, deltas = self._snapshots()[-1:], [d for d in self._deltas() if d[:2] != but]
+        if last:
+            rows = self.spark.read.parquet(f"{self.path}/snapshot/turn={last[0]}/rows")
+            out = out.unionByName(rows.withColumn("turn", F.lit(-1).cast("bigint")))
+        if deltas:
+            folders = [f"{self.path}/delta/writer={w}/version={v}/turn={t}" for w, v, t in deltas]
+            rows = self.spark.read.option("basePath", f"{self.path}/delta").parquet(*folders)
+            out = out.unionByName(rows.drop("writer", "version").withColumn("turn", F.col("turn").cast("bigint")))
         return out
 
     def rows(self) -> DataFrame:
         """One row per key, the one written last; a missing table reads as empty."""
         return latest_per_key(
             self.all_rows(),
-            F.col("version").desc(),
+            F.col("turn").desc(),
             F.col("processed_date").desc(),
             F.col("link"),
             F.col("title"),
-        )
+        ).drop("turn")
 
-    def keys(self) -> DataFrame:
-        return state_keys(self.all_rows())
+    def keys(self, but: tuple[str, int] | None = None) -> DataFrame:
+        """Keys of the table, without those of one version if that is about to be written again."""
+        return state_keys(self.all_rows(but))
 
 
 def string_list(json_text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.constants import ERROR_NO_HANGUL, NOT_XML, NOT_XML_HTML
@@ -52,14 +52,19 @@ def status_from_counts(feeds: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def _placed(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """Rows with their `position` from 1; no global sort is needed to tell the order."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def status_by_name(statuses: DataFrame) -> DataFrame:
-    """Statuses in summary order: by source name, ignoring case."""
-    return statuses.orderBy("digest_id", F.upper("source_name"), "feed_pos", "feed_id")
+    """Statuses with their position in summary order: by source name, ignoring case."""
+    return _placed(statuses, ["digest_id"], F.upper("source_name"), "feed_pos", "feed_id")
 
 
 def status_as_listed(statuses: DataFrame) -> DataFrame:
-    """Statuses in detail order: as the feeds are listed."""
-    return statuses.orderBy("digest_id", "feed_pos", "feed_id")
+    """Statuses with their position in detail order: as the feeds are listed."""
+    return _placed(statuses, ["digest_id"], "feed_pos", "feed_id")
 
 
 def payload_error(http_status: Column, body: Column, error: Column) -> Column:
@@ -94,21 +99,18 @@ def payload_summary(payloads: DataFrame) -> DataFrame:
     )
 
 
-def digest_counts(
-    links: DataFrame, new_posts: DataFrame, shown: DataFrame, runs: DataFrame
-) -> DataFrame:
+def digest_counts(links: DataFrame, shown: DataFrame, runs: DataFrame) -> DataFrame:
     """Counts per digest; a digest without posts keeps its row with zeros.
 
-    `links` holds digest_id and all_items. A post shown lies in the window when it is new.
+    `links` holds digest_id and all_items; `shown` the display posts with is_new_post.
     """
     recent = is_new(F.col("as_of"), F.col("new_window_hours"))
     display = shown.groupBy("digest_id").agg(
-        F.count(F.lit(1)).alias("display_posts"), F.count_if(recent).alias("recent_posts")
+        F.count_if("is_new_post").alias("new_posts"),
+        F.count(F.lit(1)).alias("display_posts"),
+        F.count_if(recent).alias("recent_posts"),
     )
-    new = new_posts.groupBy("digest_id").agg(F.count(F.lit(1)).alias("new_posts"))
-    out = runs.select("digest_id")
-    for part in (links, new, display):
-        out = out.join(part, "digest_id", "left")
+    out = runs.select("digest_id").join(links, "digest_id", "left").join(display, "digest_id", "left")
     return out.na.fill(0, ["all_items", "new_posts", "display_posts", "recent_posts"])
 
 
@@ -145,7 +147,9 @@ def errors_by_role(traces: DataFrame, as_of: Column) -> DataFrame:
 def recent_errors(traces: DataFrame, as_of: Column) -> DataFrame:
     """The same traces, newest first, without a limit."""
     recent = (F.col("ts") > ago(as_of, hours=24)) & (F.col("severity") >= 3)
-    return traces.filter(recent).select("ts", "message", "severity").orderBy(F.col("ts").desc())
+    return traces.filter(recent).select("ts", "message", "severity").orderBy(
+        F.col("ts").desc(), "message", "severity"
+    )
 
 
 def exact_avg(name: str) -> Column:
@@ -175,11 +179,21 @@ def feed_failure_counts(traces: DataFrame, phrase: str = "Feed fetch failed") ->
 
 
 def calls_by_name(requests: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
+    """Calls per name with their position, most calls first, then by name.
+
+    Names are few by nature; the ranking sees one row per name.
+    """
     recent = requests.filter(F.col("ts") > ago(as_of, hours=hours))
-    return recent.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc())
+    counted = recent.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return _placed(counted.withColumn("_all", F.lit(0)), ["_all"], F.col("n").desc(), "name").drop("_all")
 
 
 def recent_exceptions(exceptions: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
     """The newest exceptions of the last 24 hours."""
     recent = exceptions.filter(F.col("ts") > ago(as_of, hours=24))
-    return recent.select("ts", "type", "outer_message").orderBy(F.col("ts").desc()).limit(limit)
+    newest = recent.select("ts", "type", "outer_message").orderBy(
+        F.col("ts").desc(), "type", "outer_message"
+    )
+    return _placed(
+        newest.limit(limit).withColumn("_all", F.lit(0)), ["_all"], F.col("ts").desc(), "type", "outer_message"
+    ).drop("_all")

@@ -15,26 +15,26 @@ from feedloom.operators.counts import feed_counts, links_per_run
 from feedloom.operators.filters import clamp_params, is_new, valid_feeds
 from feedloom.operators.insights import attach_insights, diagnostics, parse_insights
 from feedloom.operators.posts import (
+    check_duplicate,
     dedup_by_link,
     display_posts,
-    new_posts_topk,
+    item_key,
     runs_to_items,
     translation_slice,
-    unprocessed_posts,
 )
 from feedloom.operators.render import digest_html, post_card_html
-from feedloom.operators.sizes import broadcast_rows, pages_of
+from feedloom.operators.rows import enrich_pages
 from feedloom.operators.state import to_state_rows
 from feedloom.operators.status import digest_counts, status_from_counts
 from feedloom.session import settle
 from feedloom.sources.feeds import (
     clean_items,
     items_to_feeds,
+    latest_outcomes,
     parse_feeds,
-    payload_outcomes,
+    undated_items,
 )
-
-KEY = ["feed_id", "item_pos"]
+from feedloom.sources.tables import load_pages
 
 
 @dataclass
@@ -43,53 +43,52 @@ class Choice:
 
     runs: DataFrame
     links: DataFrame
-    recent: DataFrame
-    new_posts: DataFrame
     shown: DataFrame
 
+    @property
+    def new_posts(self) -> DataFrame:
+        return self.shown.filter("is_new_post").drop("is_new_post")
+
 
 def choose_posts(runs: DataFrame, items: DataFrame, state_keys: DataFrame) -> Choice:
     """Window, dedup, state check and top posts per run.
 
-    Only keys, links and times are shuffled. The newest copy of a link lies in the window
-    whenever any copy does, so the window filter runs before the dedup.
+    A run sees the items of its `days_since` days that also lie in its window. Only keys, links
+    and times are shuffled. The newest copy of a link lies in the window whenever any copy
+    does, so the window filter runs first.
     """
     clean = clamp_params(runs)
-    narrow = items.select("feed_group", "feed_pos", *KEY, "link", "source_name", "published")
-    asked = clean.select("digest_id", "feed_group", "as_of", "max_items", "new_window_hours")
-    recent = dedup_by_link(runs_to_items(asked, narrow), ["digest_id"])
-    fresh = unprocessed_posts(recent, state_keys)
-    new = new_posts_topk(fresh, F.col("max_items"), MAX_MAX_ITEMS)
-    return Choice(clean, links_per_run(clean, narrow), recent, new, display_posts(new, recent))
+    narrow = items.select("feed_group", "feed_pos", *item_key(items), "link", "source_name", "published")
+    hours = F.least(F.col("days_since") * 24, F.col("new_window_hours")).alias("hours")
+    asked = clean.select("digest_id", "feed_group", "as_of", "max_items", "new_window_hours", hours)
+    recent = dedup_by_link(runs_to_items(asked, narrow, "hours"), ["digest_id"])
+    flagged = check_duplicate(recent, state_keys).drop("hours")
+    shown = display_posts(flagged, F.col("max_items"), MAX_MAX_ITEMS)
+    return Choice(clean, links_per_run(clean, narrow), shown)
 
 
-def with_text(shown: DataFrame, items: DataFrame, run_count: int) -> DataFrame:
+def with_text(shown: DataFrame, items: DataFrame) -> DataFrame:
     """Display posts with title, summary, emoji and bullets.
 
-    A run shows at most thirty posts, so the chosen keys go to the items, not the other way.
+    A run shows at most thirty posts, so the chosen keys are the small side; Spark decides by
+    their size whether they are sent to the items.
     """
-    chosen = broadcast_rows(shown, run_count * MAX_MAX_ITEMS)
-    text = items.select(*KEY, "title", "summary", "emoji")
+    key = item_key(items)
+    text = items.select(*key, "title", "summary", "emoji")
     bullets = normalize_bullets(extract_bullets(F.col("summary")))
-    return text.join(chosen, KEY).withColumn("english_summary", bullets)
+    return text.join(shown, key).withColumn("english_summary", bullets)
 
 
-def with_paragraph(posts: DataFrame, pages: DataFrame, run_count: int) -> DataFrame:
-    """Display posts with the first paragraph of their page.
+def with_paragraph(posts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Display posts with the first paragraph of their page, if it was fetched well.
 
     Only pages of display posts are searched, and their html is cut before any shuffle.
     """
-    wanted = pages_of(posts, pages, run_count * MAX_MAX_ITEMS)
-    paragraphs = (
-        wanted.select(
-            F.col("url").alias("link"), first_paragraph_page(F.col("html")).alias("_page")
-        )
-        .groupBy("link")
-        .agg(F.max("_page").alias("_page"))
+    found = load_pages(
+        pages, need_html_type=False, links=posts, page_text=first_paragraph_page(F.col("html"))
     )
-    joined = posts.join(paragraphs, "link", "left")
-    chain = first_paragraph_chain(F.col("_page"), F.col("summary"))
-    return joined.withColumn("first_paragraph", chain).drop("_page")
+    chain = first_paragraph_chain(F.col("page_text"), F.col("summary"))
+    return enrich_pages(posts, found).withColumn("first_paragraph", chain).drop("page_text")
 
 
 def with_insights(posts: DataFrame, insights: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def run_statuses(
 
     A month of items belongs to dozens of runs, so they are counted by running totals.
     """
-    answers = payload_outcomes(payloads).withColumn("_given", F.lit(True))
+    answers = latest_outcomes(payloads).withColumn("_given", F.lit(True))
     missing = F.when(F.col("_given").isNull(), F.lit(NO_PAYLOAD)).otherwise(F.col("error"))
     listed = (
         valid_feeds(feeds)
@@ -146,12 +145,12 @@ def run_statuses(
 
 def counts_per_feed(listed: DataFrame, items: DataFrame) -> DataFrame:
     """Items and new items per run and feed; `listed` has a row for each run and feed."""
-    base = listed.select("digest_id", "feed_group", "feed_id", "as_of", "days_since", "new_window_hours")
-    old = base.withColumn("hours", F.col("days_since") * 24).drop("days_since", "new_window_hours")
-    new = base.withColumn("hours", F.col("new_window_hours")).drop("days_since", "new_window_hours")
-    items_old = feed_counts(old, items).withColumnRenamed("n", "items")
-    items_new = feed_counts(new, items, inclusive=True).withColumnRenamed("n", "items_new")
-    return items_old.join(items_new, ["digest_id", "feed_id"])
+    days = F.col("days_since") * 24
+    asked = listed.select(
+        "digest_id", "feed_group", "feed_id", "as_of", days.alias("old_hours"),
+        F.least(days, F.col("new_window_hours")).alias("new_hours"),
+    )
+    return feed_counts(asked, items, {"items": "old_hours", "items_new": "new_hours"})
 
 
 @dataclass
@@ -163,6 +162,7 @@ class Digests:
     statuses: DataFrame
     stats: DataFrame
     state_rows: DataFrame
+    rejects: DataFrame
 
 
 def build_digests(
@@ -176,17 +176,17 @@ def build_digests(
     tz: str = "Asia/Seoul",
     footer: str = "",
 ) -> Digests:
-    """Pages, posts, feed states, counts and new state rows of all runs.
+    """Pages, posts, feed states, counts, new state rows and rejected items of all runs.
 
-    `items` are those of `ingest`. The display posts, a few rows per run, are settled once.
+    `items` are those of `ingest`; `pages` has url, status and html. The display posts, a few rows
+    per run, are settled once.
     """
     chosen = choose_posts(runs, items, state_keys)
-    run_count = runs.count()
-    posts = settle(with_text(chosen.shown, items, run_count), "display")
+    posts = settle(with_text(chosen.shown, items), "display")
     informed = with_insights(posts, parse_insights(responses))
-    ready = with_paragraph(informed, pages, run_count)
+    ready = with_paragraph(informed, pages)
     statuses = run_statuses(chosen.runs, feeds, payloads, items)
-    counts = digest_counts(chosen.links, posts.filter("is_new_post"), posts, chosen.runs)
+    counts = digest_counts(chosen.links, posts, chosen.runs)
     said = diagnostics(chosen.runs, responses, informed)
     stats = chosen.runs.select("digest_id", "days_since", "new_window_hours").join(
         counts, "digest_id"
@@ -197,4 +197,5 @@ def build_digests(
         statuses=statuses,
         stats=stats.join(said, "digest_id"),
         state_rows=new_state_rows(informed),
+        rejects=undated_items(items),
     )

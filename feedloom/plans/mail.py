@@ -25,27 +25,33 @@ from feedloom.functions.text import is_blank
 from feedloom.operators.filters import is_placeholder
 from feedloom.operators.render import legacy_card, mail_html
 from feedloom.operators.rows import enrich_pages, fallback_if_empty
-from feedloom.operators.sizes import pages_of
+from feedloom.sources.tables import load_pages
 
 
-def article_text(pages: DataFrame) -> DataFrame:
-    """Clean text per page; one step per column keeps the generated code small."""
+def page_text(pages: DataFrame) -> DataFrame:
+    """Pages with `article_text`; one step per column keeps the generated code small."""
     return (
         pages.withColumn("_main", main_content_html(F.col("html")))
         .withColumn("_text", readable_text(F.col("_main")))
-        .select(F.col("url"), drop_boilerplate_lines(F.col("_text")).alias("article_text"))
+        .withColumn("article_text", drop_boilerplate_lines(F.col("_text")))
+        .drop("_main", "_text")
     )
 
 
+def article_text(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Clean text per url, case ignored; with `links`, of linked pages only."""
+    if links is not None:
+        wanted = links.select(F.lower("link").alias("_wanted")).distinct()
+        pages = pages.join(wanted, F.lower("url") == F.col("_wanted"), "left_semi")
+    return load_pages(page_text(pages), need_html_type=False, article_text=F.col("article_text"))
+
+
 def insight_source(posts: DataFrame, articles: DataFrame) -> DataFrame:
     """Posts with `article_text` and `fallback`: article, else summary, else the excerpt.
 
     The article is found by link, ignoring case.
     """
-    texts = articles.groupBy(F.lower("url").alias("url")).agg(
-        F.max("article_text").alias("article_text")
-    )
-    joined = enrich_pages(posts.withColumn("_link", F.lower("link")), texts, "_link").drop("_link")
+    joined = enrich_pages(posts, articles)
     full = strip_tags_full(F.col("summary"))
     return joined.withColumn("summary_text", summary_cut(F.col("summary"))).withColumn(
         "_full", full
@@ -93,12 +99,12 @@ def mail_pages(
 ) -> DataFrame:
     """One mail per request from its new posts, or from its recent ones when it has none.
 
-    `requests`: digest_id and schedule_text. Posts need digest_id and rank. `pages`: url and
-    html; those that no post links to are not searched.
+    `requests`: digest_id and schedule_text. Posts need digest_id and rank. `pages`: url, status
+    and html; those that no post links to are not searched. `mail_cards` gives the cards as rows,
+    for more posts than one page should hold.
     """
     shown = fallback_if_empty(new, recent, "digest_id")
-    articles = article_text(pages_of(shown, pages, shown.count()))
-    cards = mail_cards(shown, articles).select(
+    cards = mail_cards(shown, article_text(pages, shown)).select(
         "digest_id",
         "rank",
         "card",

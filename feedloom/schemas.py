@@ -34,7 +34,8 @@ FEED_CONFIG = f"securityFeeds {_REGISTRY_ENTRY}, azureCloudFeeds {_REGISTRY_ENTR
 
 _CHANNEL = (
     "channel: STRUCT<item: ARRAY<STRUCT<title: STRING, link: ARRAY<STRING>, "
-    "description: STRING, pubDate: STRING, updated: STRING, category: ARRAY<STRING>>>>"
+    "description: STRING, pubDate: STRING, `a10:updated`: STRING, `atom:updated`: STRING, "
+    "category: ARRAY<STRING>>>>"
 )
 # Both formats at once: the root of a feed has a channel or entries.
 _ATOM_TEXT = "STRUCT<_VALUE: STRING, _type: STRING>"

@@ -31,11 +31,12 @@ def build_session(master: str | None = None, app: str = "feedloom", **extra: str
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`, which every executor can reach.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Without that setting a session of one machine (tests, a laptop) gets a temporary folder; a
+    cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", root)

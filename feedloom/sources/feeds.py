@@ -61,7 +61,8 @@ def entry_count(body: Column) -> Column:
     return F.regexp_count(F.coalesce(body, F.lit("")), F.lit("<item>|<entry>"))
 
 
-_XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "attributePrefix": "_"}
+# Prefixed elements keep their prefix, so `media:title` never passes for the title of an item.
+_XML_OPTIONS = {"mode": "PERMISSIVE", "attributePrefix": "_"}
 
 
 def _ok(payloads: DataFrame) -> DataFrame:
@@ -71,16 +72,16 @@ def _ok(payloads: DataFrame) -> DataFrame:
 def _rss_item(i: Column) -> Column:
     return F.struct(
         i["title"].alias("title"),
-        F.coalesce(i["link"], no_strings()).alias("links"),
+        _given(i["link"]).alias("links"),
         i["description"].alias("summary"),
         i["pubDate"].alias("published_raw"),
-        i["updated"].alias("updated_raw"),
-        F.coalesce(i["category"], no_strings()).alias("categories"),
+        F.coalesce(i["a10:updated"], i["atom:updated"]).alias("updated_raw"),
+        _given(i["category"]).alias("categories"),
     )
 
 
 def _given(values: Column) -> Column:
-    return F.filter(F.coalesce(values, no_strings()), lambda x: x.isNotNull())
+    return F.filter(F.coalesce(values, no_strings()), lambda x: ~is_blank(x))
 
 
 def _atom_item(i: Column) -> Column:
@@ -95,9 +96,11 @@ def _atom_item(i: Column) -> Column:
 
 
 def _exploded(payloads: DataFrame, schema: str, items: Callable[[], Column]) -> DataFrame:
-    parsed = _ok(payloads).select("feed_id", F.from_xml("body", F.lit(schema), _XML_OPTIONS).alias("x"))
-    rows = parsed.select("feed_id", F.posexplode(items()).alias("item_pos", "i"))
-    return rows.select("feed_id", "item_pos", "i.*")
+    # The time of arrival stays with the items: a stream drops late repeats by it.
+    keep = [c for c in ("feed_id", "fetched_at") if c in payloads.columns]
+    parsed = _ok(payloads).select(*keep, F.from_xml("body", F.lit(schema), _XML_OPTIONS).alias("x"))
+    rows = parsed.select(*keep, F.posexplode(items()).alias("item_pos", "i"))
+    return rows.select(*keep, "item_pos", "i.*")
 
 
 def _rss_items() -> Column:
@@ -146,7 +149,17 @@ def payload_outcomes(payloads: DataFrame) -> DataFrame:
         .when(classify_payload(F.col("body")) == "html", F.lit(NOT_XML_HTML))
         .when(~feed, F.lit(NOT_XML))
     )
-    return parsed.select("feed_id", "elapsed_ms", error.alias("error"))
+    arrival = [c for c in ("fetched_at",) if c in payloads.columns]
+    return parsed.select("feed_id", *arrival, "elapsed_ms", error.alias("error"))
+
+
+def latest_outcomes(payloads: DataFrame) -> DataFrame:
+    """The outcome of the last payload of each feed; without a time of arrival there is one per feed."""
+    found = payload_outcomes(payloads)
+    if "fetched_at" not in found.columns:
+        return found
+    last = F.max(F.struct("fetched_at", "elapsed_ms", "error")).alias("o")
+    return found.groupBy("feed_id").agg(last).select("feed_id", "o.elapsed_ms", "o.error")
 
 
 def first_link(links: Column) -> Column:
@@ -172,9 +185,11 @@ def clean_items(items: DataFrame) -> DataFrame:
     published = published_or_updated(
         parse_pubdate(F.col("published_raw")), parse_pubdate(F.col("updated_raw"))
     )
+    arrival = [c for c in ("fetched_at",) if c in items.columns]
     return items.select(
         "feed_id",
         "item_pos",
+        *arrival,
         title_default(F.col("title")).alias("title"),
         first_link(F.col("links")).alias("link"),
         strip_tags_lazy(F.col("summary")).alias("summary"),
@@ -183,6 +198,11 @@ def clean_items(items: DataFrame) -> DataFrame:
     )
 
 
+def undated_items(items: DataFrame) -> DataFrame:
+    """Clean items that no window can hold, as their date was missing or unreadable."""
+    return items.filter("published IS NULL").withColumn("reason", F.lit("no readable date"))
+
+
 def items_to_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
     """Items with source name, emoji, group and position of their feed.
 

@@ -6,15 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def load_pages(pages: DataFrame, need_html_type: bool = True) -> DataFrame:
-    """Usable article pages, one per url.
-
-    The first row by content wins; the shuffle holds at most one row per url and task.
-    """
+def usable_pages(pages: DataFrame, need_html_type: bool = True) -> DataFrame:
+    """Pages that were fetched, and are html if that is asked for."""
     usable = pages.filter(F.col("status").between(200, 299) & F.col("html").isNotNull())
     if need_html_type:
         usable = usable.filter(F.contains(F.lower("content_type"), F.lit("html")))
-    return usable.groupBy("url").agg(F.min("html").alias("html"))
+    return usable
+
+
+def load_pages(
+    pages: DataFrame, need_html_type: bool = True, links: DataFrame | None = None, **texts: Column
+) -> DataFrame:
+    """One row per url, case ignored, with columns made from the page's html.
+
+    `texts` names the columns that are wanted, as expressions of `html`; they are made where the
+    page lies, so no html is moved. Of several copies of a page the one with the smallest MD5
+    wins. With `links` (a column `link`) only the pages that are linked to are read.
+    """
+    usable = usable_pages(pages, need_html_type).withColumn("url", F.lower("url"))
+    if links is not None:
+        wanted = links.select(F.lower("link").alias("url")).distinct()
+        usable = usable.join(wanted, "url", "left_semi")
+    made = usable.withColumn("_md5", F.md5("html")).withColumns(
+        {f"_t_{name}": text for name, text in texts.items()}
+    )
+    first = F.min(F.struct("_md5", *[f"_t_{name}" for name in texts])).alias("_p")
+    kept = made.select("url", "_md5", *[f"_t_{name}" for name in texts]).groupBy("url").agg(first)
+    return kept.select("url", *[F.col(f"_p._t_{name}").alias(name) for name in texts])
 
 
 def load_telemetry(rows: DataFrame, since: Column, ts: str = "ts") -> DataFrame:

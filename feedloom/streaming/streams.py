@@ -1,4 +1,9 @@
-"""The digest steps on streams, run over what is there and then stopped, or kept running."""
+"""The digest steps on streams, run over what is there and then stopped, or kept running.
+
+Feeds are read twice a day and hold items of any age, so publish times say nothing about how far a
+stream has come. Watermarks go by arrival, and hourly counts are kept as sums that any later row
+can still add to.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators.posts import with_keys
-from feedloom.operators.state import ProcessedPosts, latest_per_key
-from feedloom.operators.status import exact_avg
-from feedloom.sources.feeds import clean_items, parse_feeds
+from feedloom.functions.lines import extract_bullets, normalize_bullets
+from feedloom.functions.text import no_strings
+from feedloom.operators.posts import unprocessed_posts, with_keys
+from feedloom.operators.state import ProcessedPosts, latest_per_key, to_state_rows
+from feedloom.sources.feeds import clean_items, items_to_feeds, parse_feeds
 
 
 def payload_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -24,43 +30,75 @@ def stream_ingest(payloads: DataFrame) -> DataFrame:
     return clean_items(parse_feeds(payloads))
 
 
-def stream_dedup(posts: DataFrame, delay: str = "7 days") -> DataFrame:
-    """The first sighting of each (pk, rk) within the watermark `delay`.
+def stream_dedup(posts: DataFrame, delay: str = "7 days", arrival: str = "fetched_at") -> DataFrame:
+    """The first sighting of each (pk, rk), as far back as `delay` before the newest arrival.
 
     State is kept for `delay` only; older repeats are caught by the state table.
     """
-    keyed = with_keys(posts).withWatermark("published", delay)
-    return keyed.dropDuplicatesWithinWatermark(["pk", "rk"])
+    return with_keys(posts).withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["pk", "rk"])
+
 
+def upsert_batch(state: ProcessedPosts, writer: str) -> Callable[[DataFrame, int], None]:
+    """Sink of a stream of state rows: one version per batch, the same one on a replay.
 
-def upsert_batch(state: ProcessedPosts) -> Callable[[DataFrame, int], None]:
-    """Sink of a stream of state rows: one version per batch, the same one on a replay."""
+    `writer` names the stream together with its checkpoint; a new checkpoint needs a new name.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = latest_per_key(batch, F.col("processed_date").desc(), F.col("link"), F.col("title"))
-        state.append(rows, batch_id)
+        state.append(rows, batch_id, writer)
 
     return write
 
 
-def stream_status(items: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Items per feed over the last 24 hours, each hour."""
-    windows = items.withWatermark("published", delay).groupBy(
-        F.window("published", "24 hours", "1 hour"), "feed_id"
+def items_to_state(state: ProcessedPosts, feeds: DataFrame, writer: str) -> Callable[[DataFrame, int], None]:
+    """Sink of a stream of clean items: feed join, check against the state, upsert of the new ones.
+
+    A post is handled when it arrived. A replayed batch writes the version it wrote before, so its
+    own rows must not count as handled: the check reads the state without them.
+    """
+    write = upsert_batch(state, writer)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        posts = items_to_feeds(batch, feeds).filter("published IS NOT NULL")
+        bullets = normalize_bullets(extract_bullets(F.col("summary")))
+        ready = posts.withColumns({"english_summary": bullets, "korean_summary": no_strings()})
+        fresh = unprocessed_posts(ready, state.keys(but=(writer, batch_id)))
+        write(to_state_rows(fresh, F.col("fetched_at")), batch_id)
+
+    return run
+
+
+def hourly_status(items: DataFrame) -> DataFrame:
+    """Items per hour and feed, of one batch."""
+    return items.groupBy(F.date_trunc("hour", "published").alias("hour"), "feed_id").agg(
+        F.count(F.lit(1)).alias("items")
     )
-    return windows.agg(F.count(F.lit(1)).alias("items")).select(
-        F.col("window.start").alias("start"), "feed_id", "items"
+
+
+def status_windows(hours: DataFrame) -> DataFrame:
+    """Items per feed over 24 hours, each hour, from hourly sums."""
+    starts = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    moved = hours.withColumn("_k", starts).withColumn(
+        "start", F.col("hour") - F.make_dt_interval(hours=F.col("_k"))
     )
+    return moved.groupBy("start", "feed_id").agg(F.sum("items").alias("items"))
 
 
-def stream_latency(requests: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Average and maximum duration and count per hour and name."""
-    hours = requests.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "name")
-    return hours.agg(
-        exact_avg("duration").alias("avg_duration"),
+def hourly_latency(requests: DataFrame) -> DataFrame:
+    """Sum, maximum and count per hour and name, of one batch."""
+    return requests.groupBy(F.date_trunc("hour", "ts").alias("hour"), "name").agg(
+        F.sum(F.col("duration").cast("decimal(20,6)")).alias("total"),
         F.max("duration").alias("max_duration"),
+        F.count("duration").alias("given"),
         F.count(F.lit(1)).alias("n"),
-    ).select(F.col("window.start").alias("hour"), "name", "avg_duration", "max_duration", "n")
+    )
+
+
+def latency(hours: DataFrame) -> DataFrame:
+    """Average and maximum duration and count per hour and name."""
+    mean = F.col("total").cast("double") / F.col("given")
+    return hours.select("hour", "name", mean.alias("avg_duration"), "max_duration", "n")
 
 
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -70,27 +108,31 @@ def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_batches(
-    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
-) -> None:
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand each batch to `write` until the input at hand is used up."""
-    writer = stream.writeStream.foreachBatch(write).outputMode(mode)
+    writer = stream.writeStream.foreachBatch(write).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def write_versions(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for changed rows: one folder per batch, replaced on a replay."""
+def write_sums(path: str, summed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Sink for sums of one batch: one folder per batch, replaced on a replay."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        summed(batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
 
 
-def latest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row per key over all versions."""
+def read_sums(spark: SparkSession, path: str, keys: list[str], largest: tuple[str, ...] = ()) -> DataFrame:
+    """The sums of all batches per key; columns in `largest` are maxima instead."""
     rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in keys and c != "version"]
-    newest = F.max_by(F.struct(*values), "version").alias("_v")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+    values = [c for c in rows.columns if c not in (*keys, "version")]
+    return rows.groupBy(*keys).agg(*[(F.max(c) if c in largest else F.sum(c)).alias(c) for c in values])
+
+
+def fold_sums(
+    spark: SparkSession, path: str, into: str, keys: list[str], largest: tuple[str, ...] = ()
+) -> None:
+    """Write the sums of all batches so far as one batch of a new folder, for streams that begin anew."""
+    read_sums(spark, path, keys, largest).write.mode("overwrite").parquet(f"{into}/version=-1")

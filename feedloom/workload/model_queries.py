@@ -18,6 +18,7 @@ from feedloom.functions.constants import (
     SUBJECT_NONE,
 )
 from feedloom.operators import insights as ins
+from feedloom.operators.filters import is_new
 from feedloom.operators import posts as pst
 from feedloom.operators import render as rnd
 from feedloom.operators import status as sts
@@ -45,8 +46,8 @@ def _title():
 
 
 def requests(spark, sf):
-    """One request per document, in the spellings and list forms that callers use."""
-    title, lang = _title(), C("lang")
+    """One request per document with its whole text, in the spellings and list forms that callers use."""
+    title, lang = C("text"), C("lang")
     lists = F.to_json(F.array(title, lang))
     camel = F.to_json(
         F.struct(
@@ -79,9 +80,9 @@ def requests(spark, sf):
 
 @query(
     "n1_string_array_lenient",
-    f"""SELECT doc_id AS request_id, CASE WHEN lang = 'fr' THEN {TITLE_SQL}
-    ELSE {TITLE_SQL} || {quoted(GLUE)} || lang END AS english,
-  CASE WHEN lang <> 'fr' THEN {TITLE_SQL} || {quoted(GLUE)} || lang END AS korean FROM documents""",
+    f"""SELECT doc_id AS request_id, CASE WHEN lang = 'fr' THEN text
+    ELSE text || {quoted(GLUE)} || lang END AS english,
+  CASE WHEN lang <> 'fr' THEN text || {quoted(GLUE)} || lang END AS korean FROM documents""",
 )
 def _(spark, sf):
     posts = mail.posts_from_requests(requests(spark, sf))
@@ -92,7 +93,7 @@ def _(spark, sf):
 
 @query(
     "n2_field_any_case",
-    f"SELECT doc_id AS request_id, {TITLE_SQL} AS title, source AS source_name FROM documents",
+    "SELECT doc_id AS request_id, text AS title, source AS source_name FROM documents",
 )
 def _(spark, sf):
     return mail.posts_from_requests(requests(spark, sf)).select("request_id", "title", "source_name")
@@ -106,16 +107,19 @@ def display(spark, sf):
     runs = v.runs(spark, sf)
     posts = v.posts(spark, sf).withColumn("emoji", F.lit(None).cast("string"))
     chosen = dig.choose_posts(runs, posts, v.state_keys(spark, sf))
-    return chosen, settle(dig.with_text(chosen.shown, posts, runs.count()), "display")
+    return chosen, settle(dig.with_text(chosen.shown, posts), "display")
 
 
-DISPLAY_SQL = f"""{CHOICE_SQL},
-display AS (
-  SELECT s.digest_id, s.rank, s.is_new_post, p.item_pos, p.title, p.link, p.summary, p.source_name,
-    p.published, {bullets_sql("p.summary")} AS bullets
+def _display_sql(emoji: str) -> str:
+    return f"""display AS (
+  SELECT s.digest_id, s.rank, s.is_new_post, s.as_of, p.item_pos, p.title, p.link, p.summary, p.source_name,
+    p.published, {emoji} AS emoji, {bullets_sql("p.summary")} AS bullets
   FROM shown s JOIN posts p USING (item_pos))"""
 
 
+DISPLAY_SQL = f"{CHOICE_SQL},\n{_display_sql(quoted(DEFAULT_EMOJI))}"
+
+
 @query(
     "n3_model_request",
     f"""WITH {DISPLAY_SQL}
@@ -204,9 +208,7 @@ def _(spark, sf):
     "n6_parse_insights",
     f"""WITH {DISPLAY_SQL}
 SELECT digest_id, rank - 1 AS index, {joined(KO_LIST_SQL)} AS korean FROM display
-WHERE rank <= 10 AND {ANSWERED_SQL}
-UNION ALL SELECT DISTINCT digest_id, i, {joined("['x', " + quoted(KO_FILLERS[0]) + ", " + quoted(KO_FILLERS[1]) + "]")}
-FROM display, (VALUES (-1), (99)) t(i) WHERE {ANSWERED_SQL}""",
+WHERE rank <= 10 AND {ANSWERED_SQL}""",
 )
 def _(spark, sf):
     _, posts = display(spark, sf)
@@ -271,7 +273,7 @@ def _(spark, sf):
 
 def _summary_answers(spark, sf):
     """Answers for single posts: proper, JSON text of lists, plain lines, doubly encoded, broken."""
-    title, lang, n = _title(), C("lang"), C("doc_id") % 5
+    title, lang, n = C("text"), C("lang"), C("doc_id") % 5
     proper = F.to_json(F.struct(F.array(title, lang).alias("englishSummary"), F.array(lang).alias("KOREANSUMMARY")))
     listed = F.to_json(
         F.struct(F.to_json(F.array(title)).alias("englishSummary"), F.concat(lang, F.lit("\r\n \n "), lang).alias("koreanSummary"))
@@ -291,8 +293,8 @@ def _summary_answers(spark, sf):
 
 @query(
     "n7_parse_summary_lenient",
-    f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {TITLE_SQL} || {quoted(GLUE)} || lang
-    WHEN 4 THEN {quoted(MISSING_EN)} ELSE {TITLE_SQL} END AS english,
+    f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || {quoted(GLUE)} || lang
+    WHEN 4 THEN {quoted(MISSING_EN)} ELSE text END AS english,
   CASE doc_id % 5 WHEN 1 THEN lang || {quoted(GLUE)} || lang WHEN 4 THEN {quoted(MISSING_KO)}
     ELSE lang END AS korean FROM documents""",
 )
@@ -307,7 +309,7 @@ def _(spark, sf):
     )
 
 
-ROUND_SQL = f"translate({TITLE_SQL}, '[]', '()')"
+ROUND_SQL = "translate(text, '[]', '()')"
 
 
 @query(
@@ -317,7 +319,7 @@ FROM documents""",
 )
 def _(spark, sf):
     """Answers with the list in plain text, deep in an object, or not at all."""
-    title, n = F.translate(_title(), "[]", "()"), C("doc_id") % 3
+    title, n = F.translate("text", "[]", "()"), C("doc_id") % 3
     both = F.array(title, C("lang"))
     deep = F.struct(F.array(F.lit(None).cast("string")).alias("n"), both.alias("z"))
     nested = F.struct(
@@ -337,10 +339,10 @@ def _(spark, sf):
 
 @query(
     "n10_json_encode_arrays",
-    f"SELECT doc_id, {TITLE_SQL} || {quoted(GLUE)} || '한국어 ' || lang AS lines FROM documents",
+    f"SELECT doc_id, text || {quoted(GLUE)} || '한국어 ' || lang AS lines FROM documents",
 )
 def _(spark, sf):
-    stored = jsn.bullet_text(F.array(_title(), F.concat(F.lit("한국어 "), C("lang"))))
+    stored = jsn.bullet_text(F.array(C("text"), F.concat(F.lit("한국어 "), C("lang"))))
     rows = v.texts(spark, sf, "documents").select("doc_id", stored.alias("t"))
     return rows.select("doc_id", glue(F.from_json("t", "array<string>")).alias("lines"))
 
@@ -351,10 +353,8 @@ def _(spark, sf):
 def finished(spark, sf):
     """Display posts with paragraph and insights, as the page shows them."""
     chosen, posts = display(spark, sf)
-    pages = v.table(spark, sf, "pages").select("url", "html")
     informed = dig.with_insights(posts, ins.parse_insights(answers(posts)))
-    ready = dig.with_paragraph(informed, pages, chosen.runs.count())
-    return chosen, ready
+    return chosen, dig.with_paragraph(informed, v.linked_pages(spark, sf))
 
 
 def _div(cls: str, *inner: str) -> str:
@@ -366,14 +366,19 @@ def _li(lines: str) -> str:
     return f"array_to_string(list_transform({lines}, lambda e: {item}), '')"
 
 
-PARAGRAPH_SQL = f"CASE WHEN {txq._sentence_sql('summary')} <> '' THEN {txq._sentence_sql('summary')} ELSE summary END"
+FULL_TAIL_SQL = f"""{v.LINKED_SQL},
+found AS (SELECT k, arg_min({txq._paragraph_sql()}, md5(html)) AS page_text FROM linked GROUP BY 1),
+full_display AS (SELECT d.*, coalesce(f.page_text, '') AS page_text FROM display d LEFT JOIN found f ON lower(d.link) = f.k)"""
+FULL_SQL = f"{DISPLAY_SQL}, {FULL_TAIL_SQL}"
+PARAGRAPH_SQL = f"""CASE WHEN page_text <> '' THEN page_text
+  WHEN {txq._sentence_sql('summary')} <> '' THEN {txq._sentence_sql('summary')} ELSE summary END"""
 CARD_SQL = " || ".join(
     [
         _div(
             "post",
             _div(
                 "post-title",
-                f"'<span class=\"tag\">{DEFAULT_EMOJI} ' || {q.encode('source_name')} || '</span>'",
+                f"'<span class=\"tag\">' || emoji || ' ' || {q.encode('source_name')} || '</span>'",
                 q.encode("title"),
             ),
             _div("date", "'📅 '", "strftime(published + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M')"),
@@ -393,7 +398,7 @@ CARD_SQL = " || ".join(
 )
 
 
-@query("t34_post_card_html", f"WITH {DISPLAY_SQL} SELECT digest_id, rank, {CARD_SQL} AS card FROM display")
+@query("t34_post_card_html", f"WITH {FULL_SQL} SELECT digest_id, rank, {CARD_SQL} AS card FROM full_display")
 def _(spark, sf):
     _, ready = finished(spark, sf)
     return ready.select(
@@ -416,7 +421,7 @@ DETAIL_ROW_SQL = _cells(
     STATE_SQL,
     "items_new",
     "items",
-    "(feed_pos * 10) || ' ms'",
+    "elapsed_ms || ' ms'",
     q.encode("coalesce(error, '')"),
 )
 
@@ -454,22 +459,22 @@ CONTENT_SQL = _div(
         "detail",
         _div("label", quoted(LABELS["detail_heading"])),
         _table(
-            ["'Source'", "'Status'", _label("status_columns", "h"), _label("detail_days", "30"), "'Elapsed'", "'Error'"],
+            ["'Source'", "'Status'", _label("status_columns", "h"), _label("detail_days", "days"), "'Elapsed'", "'Error'"],
             "drows",
         ),
     ),
 )
-PAGE_SQL = f"""WITH {DISPLAY_SQL}, {v.FEEDS_SQL},
-{STATES_SQL},
+PAGE_TAIL_SQL = f"""
 cards AS (
   SELECT digest_id, string_agg({CARD_SQL}, '' ORDER BY rank) AS cards, count(*) AS total
-  FROM display GROUP BY 1),
+  FROM full_display GROUP BY 1),
 rows_ AS (
   SELECT digest_id, string_agg({SUMMARY_ROW_SQL}, '' ORDER BY upper(source_name), feed_pos) AS srows,
     string_agg({DETAIL_ROW_SQL}, '' ORDER BY feed_pos) AS drows FROM statuses GROUP BY 1),
 parts AS (
   SELECT r.digest_id, r.feed_group, coalesce(c.cards, '') AS cards, coalesce(c.total, 0) AS total,
-    coalesce(c.total, 0) AS n, 24 AS h, coalesce(s.srows, '') AS srows, coalesce(s.drows, '') AS drows
+    coalesce(c.total, 0) AS n, r.new_window_hours AS h, r.days_since AS days,
+    coalesce(s.srows, '') AS srows, coalesce(s.drows, '') AS drows
   FROM runs r LEFT JOIN cards c USING (digest_id) LEFT JOIN rows_ s USING (digest_id)),
 pages_ AS (
   SELECT digest_id, feed_group,
@@ -478,6 +483,7 @@ pages_ AS (
     '<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>' || {_div(
       "container", HEADER_SQL, CONTENT_SQL, quoted('<div class="footer"></div>'))}
       || '</body></html>' AS html FROM parts)"""
+PAGE_SQL = f"WITH {FULL_SQL}, {v.FEEDS_SQL},\n{STATES_SQL},{PAGE_TAIL_SQL}"
 
 
 def digest_pages(spark, sf):
@@ -511,7 +517,7 @@ FROM pages_ g LEFT JOIN p USING (digest_id) LEFT JOIN f USING (digest_id)""",
 )
 def _(spark, sf):
     chosen, posts = display(spark, sf)
-    recent = posts.withColumn("is_recent", F.lit(True))
+    recent = posts.withColumn("is_recent", is_new(C("as_of"), C("new_window_hours")))
     built = rnd.assemble_digest(recent, tbq.run_statuses(spark, sf), chosen.runs)
     listed = F.transform("posts", lambda p: F.concat_ws(":", p["rank"].cast("string"), p["link"]))
     feeds = F.transform(
@@ -543,7 +549,8 @@ def _encoded_lines(lines: str) -> str:
 LEGACY_SQL = _div(
     "post",
     _div("post-title", f"'<span class=\"tag\">' || {q.encode('source_name')} || '</span>'", q.encode("title")),
-    "'<div class=\"post-meta\"></div>'",
+    "'<div class=\"post-meta\">' || CASE WHEN published IS NULL THEN '' "
+    "ELSE '📅 ' || strftime(published, '%Y년 %m월 %d일') END || '</div>'",
     "CASE WHEN len(excerpt) > 0 THEN "
     + _div("excerpt", _encoded_lines("list_concat(excerpt, ['', '', ''])[1:3]"))
     + " ELSE "
@@ -569,7 +576,7 @@ def _(spark, sf):
 
 MAIL_PAGE_SQL = f"""WITH {DISPLAY_SQL}, {txq.ARTICLE_SQL},
 mails AS (
-  SELECT digest_id, rank, link, title, summary, source_name, bullets AS english,
+  SELECT digest_id, rank, link, title, summary, source_name, published, bullets AS english,
     CASE WHEN rank % 2 = 0 THEN {KO_LIST_SQL} END AS korean FROM display), {txq.LINES_SQL},
 both_ AS (SELECT *, {txq.EN_SQL} AS en, {txq.KO_SQL} AS ko FROM lined),
 mail_cards AS (
@@ -593,9 +600,7 @@ def _(spark, sf):
     """Mails in the older layout from the display posts of each run."""
     chosen, posts = display(spark, sf)
     korean = F.array(F.concat(F.lit("핵심 "), C("title")), F.lit("둘"), F.lit(KO_FILLERS[0]))
-    given = posts.withColumn("korean_summary", F.when(C("rank") % 2 == 0, korean)).withColumn(
-        "published", F.lit(None).cast("timestamp")
-    )
+    given = posts.withColumn("korean_summary", F.when(C("rank") % 2 == 0, korean))
     asked = chosen.runs.select("digest_id", F.lit("매일").alias("schedule_text"))
     return mail.mail_pages(
         asked,
@@ -623,7 +628,7 @@ FROM runs r""",
 def _(spark, sf):
     """Counts and subject of each run."""
     c = tbq.choice(spark, sf)
-    counts = sts.digest_counts(c.links, c.new_posts, c.shown, c.runs)
+    counts = sts.digest_counts(c.links, c.shown, c.runs)
     return counts.join(c.runs.select("digest_id", "feed_group"), "digest_id").select(
         "digest_id",
         "feed_group",

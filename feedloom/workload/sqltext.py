@@ -218,7 +218,7 @@ def three_insights(points: str, lines: str) -> str:
 
 
 def exactly_three(given: str, lines: str, fallback: str) -> str:
-    clean = keep(distinct_nocase(keep(given, f"{trim('k')} <> ''"), 8), allowed("k"))
+    clean = keep(distinct_nocase(keep(given, f"{trim('k')} <> ''"), 1000), allowed("k"))
 
     def usable(more: str) -> str:
         return keep(each(more, trim("e")), f"k <> '' AND {allowed('k')}")

@@ -1,4 +1,8 @@
-"""Streams over the given tables, each against its batch counterpart in SQL."""
+"""Streams over the given tables, each against its batch counterpart in SQL.
+
+Every stream reads five batches in an order that is neither that of publication nor of numbers, and
+some rows are dated far ahead.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,36 @@ from feedloom.streaming import streams as stm
 from feedloom.workload import tables_queries as tbq
 from feedloom.workload import views as v
 from feedloom.workload.registry import SQL, query
-from feedloom.workload.views import ISO, PK_SQL, POSTS_SQL, RK_SQL
+from feedloom.workload.views import AS_OF_SQL, ISO, PK_SQL, POSTS_SQL, PROCESSED_SQL, RK_SQL
 
 C = F.col
 
+#: Parts (number modulo five) in the order of their arrival, half a day apart.
+ARRIVAL = [3, 0, 4, 1, 2]
+FETCHED_SQL = f"{AS_OF_SQL} + INTERVAL 12 HOUR * (list_position({ARRIVAL}, n % 5) - 1)"
 
-def _files(spark, rows, label: str, parts: int = 3):
-    """Rows as a folder of files, read back as a stream of a few batches."""
-    path = shared_dir(spark, label)
-    rows.repartition(parts).write.parquet(path)
-    return stm.payload_stream(spark, path, rows.schema, files_per_batch=1)
 
+def _turn(number):
+    turns = F.array(*[F.lit(ARRIVAL.index(p)) for p in range(5)])
+    return F.get(turns, (number % 5).cast("int"))
 
-def _events(spark, sf):
-    raw = v.table(spark, sf, "events")
-    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/events.parquet*")
-    return stream.withColumn("ts", C("ts").cast("timestamp"))
+
+def _fetched(number):
+    return v.as_of() + F.make_dt_interval(hours=_turn(number) * 12)
+
+
+def _batches(spark, rows, number, label: str):
+    """Rows as one file per part in the order of arrival, read back as a stream of five batches."""
+    path = shared_dir(spark, label)
+    for part in ARRIVAL:
+        rows.filter(number % 5 == part).coalesce(1).write.mode("append").parquet(path)
+    return stm.payload_stream(spark, path, rows.schema, files_per_batch=1)
 
 
 @query("r1_stream_ingest", SQL["s2_parse_rss"])
 def _(spark, sf):
-    payloads = _files(spark, tbq.rss_payloads(spark, sf), "payloads")
+    rows = tbq.rss_payloads(spark, sf).withColumn("n", F.substring("feed_id", 2, 20).cast("bigint"))
+    payloads = _batches(spark, rows, C("n"), "payloads").drop("n")
     out, check = shared_dir(spark, "items"), shared_dir(spark, "check")
     stm.run_append(stm.stream_ingest(payloads), out, check)
     return spark.read.parquet(out).select(
@@ -45,61 +58,116 @@ def _(spark, sf):
     )
 
 
-KEYS_SQL = f"WITH {POSTS_SQL} SELECT DISTINCT {PK_SQL} AS pk, {RK_SQL} AS rk FROM posts"
+ARRIVED_SQL = f"""{POSTS_SQL}, arrived AS (
+  SELECT {PK_SQL} AS pk, {RK_SQL} AS rk, title, link, source_name, n,
+    CASE WHEN n % 97 = 5 THEN published + INTERVAL 75 YEAR ELSE published END AS published,
+    {FETCHED_SQL} AS fetched_at FROM (SELECT *, item_pos AS n FROM posts))"""
 
 
 def _posts(spark, sf):
-    narrow = v.posts(spark, sf).select("title", "link", "source_name", "summary", "published")
-    return _files(spark, narrow, "posts")
+    n = C("item_pos")
+    ahead = F.when(n % 97 == 5, F.expr("published + INTERVAL 75 YEARS")).otherwise(C("published"))
+    rows = v.posts(spark, sf).select(
+        "item_pos", "title", "link", "source_name", "summary", ahead.alias("published"), _fetched(n).alias("fetched_at")
+    )
+    return _batches(spark, rows, n, "posts")
 
 
-@query("r2_stream_dedup", KEYS_SQL)
+@query(
+    "r2_stream_dedup",
+    f"""WITH {ARRIVED_SQL} SELECT pk, rk, strftime(min(fetched_at), {ISO}) AS fetched_at
+FROM arrived GROUP BY 1, 2""",
+)
 def _(spark, sf):
+    """The first sighting of each key, by arrival."""
     out, check = shared_dir(spark, "firsts"), shared_dir(spark, "check")
-    first = stm.stream_dedup(_posts(spark, sf), "60 days").select("pk", "rk", "published")
+    first = stm.stream_dedup(_posts(spark, sf)).select("pk", "rk", "published", "fetched_at")
     stm.run_append(first, out, check)
-    return spark.read.parquet(out).select("pk", "rk")
+    return spark.read.parquet(out).select("pk", "rk", format_iso(C("fetched_at")).alias("fetched_at"))
 
 
-@query("r3_stream_upsert", KEYS_SQL)
+@query(
+    "r3_stream_upsert",
+    f"""WITH {ARRIVED_SQL} SELECT pk, rk, title, link, source_name, strftime(published, {ISO}) AS publish_date,
+  strftime(fetched_at, {ISO}) AS processed_date FROM arrived
+QUALIFY row_number() OVER (PARTITION BY pk, rk ORDER BY fetched_at DESC, link, title, published) = 1""",
+)
 def _(spark, sf):
     bullets = F.array("title")
     posts = _posts(spark, sf).withColumns({"english_summary": bullets, "korean_summary": bullets})
     state = ProcessedPosts(spark, shared_dir(spark, "state"))
-    rows = to_state_rows(posts, C("published"))
-    stm.run_batches(rows, stm.upsert_batch(state), shared_dir(spark, "check"))
-    return state.rows().select("pk", "rk")
+    rows = to_state_rows(posts, C("fetched_at"))
+    stm.run_batches(rows, stm.upsert_batch(state, "posts"), shared_dir(spark, "check"))
+    return state.rows().select(
+        "pk", "rk", "title", "link", "source_name", "publish_date",
+        format_iso(C("processed_date")).alias("processed_date"),
+    )
+
+
+TIMED_SQL = """timed AS (
+  SELECT event_type, value, CASE WHEN event_id % 997 = 3 THEN ts + INTERVAL 10 YEAR ELSE ts END AS moment FROM events)"""
+
+
+def _events(spark, sf):
+    n = C("event_id")
+    ahead = F.when(n % 997 == 3, F.expr("ts + INTERVAL 10 YEARS")).otherwise(C("ts"))
+    return _batches(spark, v.events(spark, sf).withColumn("ts", ahead), n, "events")
 
 
 @query(
     "r4_stream_status",
-    f"""SELECT strftime(date_trunc('hour', ts) - INTERVAL 1 HOUR * k, {ISO}) AS start,
+    f"""WITH {TIMED_SQL} SELECT strftime(date_trunc('hour', moment) - INTERVAL 1 HOUR * k, {ISO}) AS start,
   event_type AS feed_id, count(*) AS items
-FROM events, (SELECT unnest(range(24)) AS k) GROUP BY 1, 2""",
+FROM timed, (SELECT unnest(range(24)) AS k) GROUP BY 1, 2""",
 )
 def _(spark, sf):
     items = _events(spark, sf).select(C("ts").alias("published"), C("event_type").alias("feed_id"))
     out, check = shared_dir(spark, "status"), shared_dir(spark, "check")
-    stm.run_batches(stm.stream_status(items), stm.write_versions(out), check, "update")
-    found = stm.latest_versions(spark, out, ["start", "feed_id"])
+    stm.run_batches(items, stm.write_sums(out, stm.hourly_status), check)
+    found = stm.status_windows(stm.read_sums(spark, out, ["hour", "feed_id"]))
     return found.withColumn("start", format_iso(C("start")))
 
 
 @query(
     "r5_stream_latency",
-    f"""SELECT strftime(date_trunc('hour', ts), {ISO}) AS hour, event_type AS name,
+    f"""WITH {TIMED_SQL} SELECT strftime(date_trunc('hour', moment), {ISO}) AS hour, event_type AS name,
   sum(value::DECIMAL(20, 6))::DOUBLE / count(value) AS avg_duration, max(value) AS max_duration, count(*) AS n
-FROM events GROUP BY 1, 2""",
+FROM timed GROUP BY 1, 2""",
 )
 def _(spark, sf):
     requests = _events(spark, sf).select("ts", C("event_type").alias("name"), C("value").alias("duration"))
     out, check = shared_dir(spark, "latency"), shared_dir(spark, "check")
-    stm.run_batches(stm.stream_latency(requests), stm.write_versions(out), check, "update")
-    found = stm.latest_versions(spark, out, ["hour", "name"])
-    return found.select(
-        format_iso(C("hour")).alias("hour"),
-        "name",
-        "avg_duration",
-        "max_duration",
-        "n",
+    stm.run_batches(requests, stm.write_sums(out, stm.hourly_latency), check)
+    found = stm.latency(stm.read_sums(spark, out, ["hour", "name"], ("max_duration",)))
+    return found.withColumn("hour", format_iso(C("hour")))
+
+
+@query(
+    "r6_stream_payloads_to_state",
+    f"""WITH {PROCESSED_SQL}, items AS (
+  SELECT {PK_SQL} AS pk, {RK_SQL} AS rk, {tbq.trim("title")} AS title, link, source_name, published,
+    {FETCHED_SQL} AS fetched_at
+  FROM (SELECT *, item_pos AS n FROM posts WHERE lang <> 'de')),
+fresh AS (
+  SELECT * FROM items i WHERE NOT EXISTS (SELECT 1 FROM processed s WHERE s.pk = i.pk AND s.rk = i.rk)
+  QUALIFY row_number() OVER (PARTITION BY pk, rk ORDER BY fetched_at, link, title, published) = 1),
+old AS (
+  SELECT * FROM processed QUALIFY row_number() OVER (
+    PARTITION BY pk, rk ORDER BY processed_date DESC NULLS LAST, link, title, publish_date) = 1)
+SELECT pk, rk, link, strftime(processed_date, {ISO}) AS processed_date FROM old
+UNION ALL SELECT pk, rk, link, strftime(fetched_at, {ISO}) FROM fresh""",
+)
+def _(spark, sf):
+    """One stream from payloads to the state table, which already holds some posts."""
+    n = F.substring("feed_id", 2, 20).cast("bigint")
+    rows = tbq.rss_payloads(spark, sf).withColumn("n", n).withColumn("fetched_at", _fetched(C("n")))
+    payloads = _batches(spark, rows, C("n"), "payloads").drop("n")
+    feeds = v.posts(spark, sf).select(
+        F.concat(F.lit("f"), C("item_pos").cast("string")).alias("feed_id"), "feed_group", "feed_pos",
+        "source_name", F.lit(None).cast("string").alias("emoji"),
     )
+    state = ProcessedPosts(spark, shared_dir(spark, "state"))
+    state.append(v.processed(spark, sf), 0)
+    sink = stm.items_to_state(state, feeds, "payloads")
+    stm.run_batches(stm.stream_ingest(payloads), sink, shared_dir(spark, "check"))
+    return state.rows().select("pk", "rk", "link", format_iso(C("processed_date")).alias("processed_date"))

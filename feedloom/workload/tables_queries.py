@@ -26,6 +26,7 @@ from feedloom.plans.digest import choose_posts, counts_per_feed
 from feedloom.session import shared_dir
 from feedloom.sources import feeds as fds
 from feedloom.sources import tables as tbs
+from feedloom.streaming import streams as stm
 from feedloom.workload import views as v
 from feedloom.workload.registry import query
 from feedloom.workload.sqltext import decode, quoted, trim
@@ -33,6 +34,7 @@ from feedloom.workload.views import (
     AS_OF_SQL,
     DOCUMENTS_SQL,
     FEEDS_SQL,
+    HOURS_SQL,
     ISO,
     PAGES_SQL,
     PK_SQL,
@@ -87,9 +89,12 @@ def _xml_text(c):
     return c
 
 
-def _payloads(spark, sf, body):
+def _payloads(spark, sf, body, feed=None):
+    """A payload per post, from a feed of its own or from `feed`, a second after the one before."""
+    own = F.concat(F.lit("f"), C("item_pos").cast("string"))
     return v.posts(spark, sf).select(
-        F.concat(F.lit("f"), C("item_pos").cast("string")).alias("feed_id"),
+        (own if feed is None else feed).alias("feed_id"),
+        (v.as_of() + F.make_dt_interval(secs=C("item_pos").cast("decimal(18,6)"))).alias("fetched_at"),
         F.when(C("lang") == "de", F.lit(503)).otherwise(200).alias("http_status"),
         F.when(C("lang") == "de", F.lit("HTTP 503")).alias("error"),
         body.alias("body"),
@@ -97,15 +102,18 @@ def _payloads(spark, sf, body):
     )
 
 
-def rss_payloads(spark, sf):
-    """One feed per post: the post, and a repeat with only an update time."""
+def _rss_body():
+    """The post, and a repeat with only an update time, among prefixed tags of other vocabularies."""
     stamp = F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss")
-    body = F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>c</title><item><title>'),
+    return F.concat(
+        F.lit(
+            '<?xml version="1.0"?><rss version="2.0" xmlns:media="m" xmlns:dc="d" xmlns:atom="http://www.w3.org/2005/Atom">'
+            "<channel><title>c</title><atom:link href='https://self' rel='self'/><item><media:title>Media</media:title><title>"
+        ),
         _xml_text(C("title")),
-        F.lit("</title><link>"),
+        F.lit("</title><atom:link href='https://other'/><dc:date>1999-01-01</dc:date><link></link><link>"),
         C("link"),
-        F.lit("</link><description>"),
+        F.lit("</link><media:description>MD</media:description><dc:description>DD</dc:description><description>"),
         _xml_text(C("summary")),
         F.lit("</description><pubDate>"),
         stamp,
@@ -115,14 +123,26 @@ def rss_payloads(spark, sf):
         format_iso(C("published")),
         F.lit("</a10:updated></item></channel></rss>"),
     )
-    return _payloads(spark, sf, body)
 
 
-def atom_payloads(spark, sf):
-    body = F.concat(
-        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title><entry><title type="text">'),
+def rss_payloads(spark, sf):
+    return _payloads(spark, sf, _rss_body())
+
+
+def feed_payloads(spark, sf):
+    """Many payloads for each source: RSS for even numbers, Atom for odd ones."""
+    body = F.when(C("item_pos") % 2 == 0, _rss_body()).otherwise(_atom_body())
+    return _payloads(spark, sf, body, C("feed_id"))
+
+
+def _atom_body():
+    return F.concat(
+        F.lit(
+            '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="m" xmlns:dc="d"><title>c</title><entry>'
+            '<media:title>Media</media:title><title type="text">'
+        ),
         _xml_text(C("title")),
-        F.lit('</title><link rel="alternate" href="'),
+        F.lit('</title><media:link href="https://other"/><dc:summary>DS</dc:summary><link rel="alternate" href="'),
         C("link"),
         F.lit('"/><link rel="self" href="x"/><summary type="html">'),
         _xml_text(C("summary")),
@@ -132,7 +152,10 @@ def atom_payloads(spark, sf):
         C("lang"),
         F.lit('"/></entry></feed>'),
     )
-    return _payloads(spark, sf, body)
+
+
+def atom_payloads(spark, sf):
+    return _payloads(spark, sf, _atom_body())
 
 
 def _items(parsed):
@@ -188,11 +211,13 @@ def _(spark, sf):
 
 @query(
     "s4_load_pages",
-    f"WITH {PAGES_SQL} SELECT url, md5(min(html)) AS html_md5 FROM fetched "
-    "WHERE status BETWEEN 200 AND 299 AND contains(lower(content_type), 'html') GROUP BY url",
+    f"WITH {PAGES_SQL} SELECT lower(url) AS url, min(md5(html)) AS html_md5, "
+    "arg_min(length(html), md5(html)) AS n_chars FROM fetched "
+    "WHERE status BETWEEN 200 AND 299 AND contains(lower(content_type), 'html') GROUP BY 1",
 )
 def _(spark, sf):
-    return tbs.load_pages(v.pages(spark, sf)).select("url", F.md5("html").alias("html_md5"))
+    n = F.char_length("html").cast("bigint")
+    return tbs.load_pages(v.pages(spark, sf), html_md5=F.md5("html"), n_chars=n)
 
 
 @query(
@@ -212,6 +237,52 @@ def _(spark, sf):
     )
 
 
+MIXED_SQL = f"""WITH {PROCESSED_SQL},
+parts AS (
+  SELECT {PK_SQL} AS pk, {RK_SQL} AS rk, title, link, source_name, published, item_pos % 4 AS part FROM posts),
+turns AS (
+  SELECT pk, rk, title, link, source_name, processed_date, 0 AS turn FROM processed
+  UNION ALL SELECT pk, rk, title, link, source_name, {AS_OF_SQL} + INTERVAL 1 DAY * part, 1 + part::INT FROM parts),
+state AS (
+  SELECT * FROM turns QUALIFY row_number() OVER (
+    PARTITION BY pk, rk ORDER BY turn DESC, processed_date DESC NULLS LAST, link, title) = 1)
+SELECT pk, rk, title, link, source_name, strftime(processed_date, {ISO}) AS processed_date FROM state"""
+
+
+@query("s6_upsert_mixed_writers", MIXED_SQL)
+def _(spark, sf):
+    """Batch appends, a stream, a snapshot, the stream again and a restarted one on one table.
+
+    Each of the four parts of the posts is written in turn; the stream begins anew after two, so its batch
+    numbers repeat those of the batch job and of itself.
+    """
+    state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
+    state.append(v.processed(spark, sf), 0)
+    none = F.array().cast("array<string>")
+
+    def part(n):
+        posts = v.posts(spark, sf).filter(C("item_pos") % 4 == n)
+        full = posts.withColumns({"english_summary": none, "korean_summary": none})
+        return stt.to_state_rows(full, F.expr(f"{AS_OF_SQL} + INTERVAL {n} DAYS"))
+
+    def stream(writer, numbers):
+        path = shared_dir(spark, "posts")
+        for n in numbers:
+            part(n).coalesce(1).write.mode("append").parquet(path)
+            rows = stm.payload_stream(spark, path, part(0).schema, files_per_batch=1)
+            stm.run_batches(rows, stm.upsert_batch(state, writer), f"{path}-check")
+
+    stream("first", [0, 1])
+    state.snapshot()
+    state.append(part(0), 0)  # folded by now, so nothing happens
+    stream("second", [2])
+    state.append(part(3), 1)
+    state.append(part(3), 1)
+    return state.rows().select(
+        "pk", "rk", "title", "link", "source_name", format_iso(C("processed_date")).alias("processed_date")
+    )
+
+
 UPSERT_SQL = f"""WITH {PROCESSED_SQL},
 fresh AS (
   SELECT pk, rk, link, source_name, {AS_OF_SQL} AS processed_date FROM (
@@ -251,7 +322,7 @@ def _(spark, sf):
     """The same through the stored table: two versions, a replay and a snapshot."""
     state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
     state.append(v.processed(spark, sf), 0)
-    state.snapshot(0)
+    state.snapshot()
     state.append(_fresh_rows(spark, sf), 1)
     state.append(_fresh_rows(spark, sf), 1)
     return _state_view(state.rows())
@@ -608,15 +679,16 @@ def _page_posts(spark, sf):
 @query(
     "j3_enrich_pages",
     f"""WITH {PAGES_SQL}, p AS (
-  SELECT url, min(html) AS html FROM fetched WHERE status BETWEEN 200 AND 299
-    AND contains(lower(content_type), 'html') GROUP BY url),
+  SELECT lower(url) AS k, min(md5(html)) AS html_md5 FROM fetched WHERE status BETWEEN 200 AND 299
+    AND contains(lower(content_type), 'html') GROUP BY 1),
 d AS (SELECT page_id AS item_pos, CASE WHEN contains(url, '#') THEN ' '
   ELSE regexp_replace(url, '[?#].*$', '') END AS link FROM pages)
-SELECT item_pos, link, md5(html) AS html_md5 FROM d LEFT JOIN p ON link = url""",
+SELECT item_pos, link, html_md5 FROM d LEFT JOIN p ON lower(link) = k""",
 )
 def _(spark, sf):
-    joined = rws.enrich_pages(_page_posts(spark, sf), tbs.load_pages(v.pages(spark, sf)))
-    return joined.select("item_pos", "link", F.md5("html").alias("html_md5"))
+    posts = _page_posts(spark, sf)
+    found = tbs.load_pages(v.pages(spark, sf), links=posts, html_md5=F.md5("html"))
+    return rws.enrich_pages(posts, found).select("item_pos", "link", "html_md5")
 
 
 @query(
@@ -663,33 +735,40 @@ SELECT r.digest_id, p.item_pos FROM runs r JOIN posts p ON r.feed_group = p.feed
 
 @query(
     "j8_ticks_to_items",
-    f"{TICKS_SQL} AND p.published > r.as_of - INTERVAL 24 HOUR AND p.published <= r.as_of",
+    f"{TICKS_SQL} AND p.published >= r.as_of - INTERVAL 1 HOUR * r.new_window_hours AND p.published <= r.as_of",
 )
 def _(spark, sf):
     seen = pst.runs_to_items(flt.clamp_params(v.runs(spark, sf)), v.posts(spark, sf).drop("title", "summary"))
     return seen.select("digest_id", "item_pos")
 
 
-@query("j8_open_runs_to_items", f"{TICKS_SQL} AND p.published >= r.as_of - INTERVAL 24 HOUR")
+@query(
+    "j8_open_runs_to_items",
+    f"WITH {POSTS_SQL} SELECT feed_group, item_pos FROM posts WHERE published >= {WINDOW_SQL}",
+)
 def _(spark, sf):
-    narrow = v.posts(spark, sf).select("feed_group", "item_pos", "link", "published")
-    return pst.runs_to_items_open(v.runs(spark, sf), narrow).select("digest_id", "item_pos")
+    """The open form is a live request: one `as_of`, and later items count as well."""
+    return pst.live_items(v.posts(spark, sf), v.as_of(), 24).select("feed_group", "item_pos")
 
 
 # --- aggregates --------------------------------------------------------------------------
 
-STATES_SQL = """
+
+def _positioned(rows):
+    return rows.withColumn("position", C("position").cast("bigint"))
+
+
+STATES_SQL = f"""
 seen AS (
-  SELECT r.digest_id, p.feed_id, p.published, r.as_of FROM runs r JOIN posts p
-  ON r.feed_group = p.feed_group AND p.published > r.as_of - INTERVAL 48 HOUR
-    AND p.published <= r.as_of),
+  SELECT r.digest_id, p.feed_id, p.published >= r.as_of - INTERVAL 1 HOUR * {HOURS_SQL} AS is_new
+  FROM runs r JOIN posts p ON r.feed_group = p.feed_group
+    AND p.published >= r.as_of - INTERVAL 1 DAY * r.days_since AND p.published <= r.as_of),
 counts AS (
-  SELECT digest_id, feed_id, count(*) AS items,
-    count(*) FILTER (published >= as_of - INTERVAL 24 HOUR) AS items_new
+  SELECT digest_id, feed_id, count(*) AS items, count(*) FILTER (is_new) AS items_new
   FROM seen GROUP BY ALL),
 statuses AS (
   SELECT r.digest_id, f.feed_id, f.feed_pos, coalesce(f.source_name, 'Unknown') AS source_name, f.url,
-    f.feed_pos <> 7 AS ok,
+    f.feed_pos <> 7 AS ok, f.feed_pos * 10 AS elapsed_ms,
     CASE WHEN f.feed_pos = 7 THEN 0 ELSE coalesce(c.items, 0) END AS items,
     CASE WHEN f.feed_pos = 7 THEN 0 ELSE coalesce(c.items_new, 0) END AS items_new,
     CASE WHEN f.feed_pos = 7 THEN 'HTTP 503' END AS error
@@ -700,7 +779,7 @@ STATUS_SQL = f"{POSTS_SQL}, {RUNS_SQL}, {FEEDS_SQL}, {STATES_SQL}"
 def run_feeds(spark, sf):
     """The feeds of each run; one of them fails."""
     failed = F.when(C("feed_pos") == 7, F.lit("HTTP 503"))
-    asked = v.runs(spark, sf).select("digest_id", "feed_group", "as_of", "new_window_hours")
+    asked = v.runs(spark, sf).select("digest_id", "feed_group", "as_of", "days_since", "new_window_hours")
     return (
         v.feeds(spark, sf)
         .join(asked, "feed_group")
@@ -709,10 +788,9 @@ def run_feeds(spark, sf):
 
 
 def run_statuses(spark, sf):
-    span = v.runs(spark, sf).withColumn("hours", F.lit(48))
-    narrow = v.posts(spark, sf).select("feed_group", "feed_id", "item_pos", "link", "published")
-    items = pst.runs_to_items(span, narrow, "hours").select("digest_id", "feed_id", "published")
-    return sts.feed_status(run_feeds(spark, sf), items)
+    listed = run_feeds(spark, sf)
+    narrow = v.posts(spark, sf).select("feed_group", "feed_id", "published")
+    return sts.status_from_counts(listed, counts_per_feed(listed, narrow))
 
 
 @query(
@@ -729,8 +807,8 @@ def _(spark, sf):
     "a1_feed_counts_by_running_total",
     f"""WITH {POSTS_SQL}, {RUNS_SQL}, {FEEDS_SQL}
 SELECT r.digest_id, f.feed_id,
-  count(p.item_pos) FILTER (p.published > r.as_of - INTERVAL 2 DAY) AS items,
-  count(p.item_pos) FILTER (p.published >= r.as_of - INTERVAL 24 HOUR) AS items_new
+  count(p.item_pos) FILTER (p.published >= r.as_of - INTERVAL 2 DAY) AS items,
+  count(p.item_pos) FILTER (p.published >= r.as_of - INTERVAL 1 HOUR * least(48, r.new_window_hours)) AS items_new
 FROM runs r JOIN feeds f USING (feed_group)
   LEFT JOIN posts p ON p.feed_id = f.feed_id AND p.published <= r.as_of GROUP BY 1, 2""",
 )
@@ -739,10 +817,10 @@ def _(spark, sf):
     return counts_per_feed(listed, v.posts(spark, sf).select("feed_group", "feed_id", "published"))
 
 
-CHOICE_SQL = f"""{PROCESSED_SQL}, {RUNS_SQL},
+CHOICE_TAIL_SQL = f"""
 recent AS (
   SELECT r.digest_id, r.as_of, r.max_items, p.* FROM runs r JOIN posts p
-  ON r.feed_group = p.feed_group AND p.published > r.as_of - INTERVAL 24 HOUR
+  ON r.feed_group = p.feed_group AND p.published >= r.as_of - INTERVAL 1 HOUR * {HOURS_SQL}
     AND p.published <= r.as_of
   QUALIFY row_number() OVER (PARTITION BY r.digest_id, upper(p.link)
     ORDER BY p.published DESC, p.feed_pos, p.item_pos) = 1),
@@ -759,10 +837,11 @@ shown AS (
   SELECT digest_id, item_pos, rank, false, published, as_of FROM (
     SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY {NEWEST_SQL}) AS rank FROM recent
     QUALIFY rank <= 10) WHERE digest_id NOT IN (SELECT digest_id FROM new_posts))"""
+CHOICE_SQL = f"{PROCESSED_SQL}, {RUNS_SQL},{CHOICE_TAIL_SQL}"
 
 
 ALL_ITEMS_SQL = """(SELECT count(DISTINCT upper(link)) FROM posts x WHERE x.feed_group = r.feed_group
-    AND x.published > r.as_of - INTERVAL 30 DAY AND x.published <= r.as_of)"""
+    AND x.published >= r.as_of - INTERVAL 1 DAY * r.days_since AND x.published <= r.as_of)"""
 
 
 def choice(spark, sf):
@@ -777,12 +856,12 @@ SELECT r.digest_id,
   (SELECT count(*) FROM new_posts x WHERE x.digest_id = r.digest_id) AS new_posts,
   (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) AS display_posts,
   (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id
-    AND x.published >= x.as_of - INTERVAL 24 HOUR) AS recent_posts
+    AND x.published >= r.as_of - INTERVAL 1 HOUR * r.new_window_hours) AS recent_posts
 FROM runs r""",
 )
 def _(spark, sf):
     c = choice(spark, sf)
-    return sts.digest_counts(c.links, c.new_posts, c.shown, c.runs)
+    return sts.digest_counts(c.links, c.shown, c.runs)
 
 
 @query(
@@ -854,11 +933,11 @@ def _(spark, sf):
 
 @query(
     "a9_calls_by_name",
-    f"""SELECT event_type AS name, count(*) AS n FROM events
-WHERE ts > {AS_OF_SQL} - INTERVAL 1 HOUR GROUP BY 1""",
+    f"""SELECT event_type AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS position
+FROM events WHERE ts > {AS_OF_SQL} - INTERVAL 1 HOUR GROUP BY 1""",
 )
 def _(spark, sf):
-    return sts.calls_by_name(v.requests(spark, sf), v.as_of())
+    return _positioned(sts.calls_by_name(v.requests(spark, sf), v.as_of()))
 
 
 # --- ranking -----------------------------------------------------------------------------
@@ -953,22 +1032,38 @@ def _(spark, sf):
     return _recent(stt.recent_posts_or_scan(v.processed(spark, sf), v.as_of()))
 
 
+@query(
+    "w7_scan_when_none_is_recent",
+    f"""WITH {PROCESSED_SQL}, late AS (SELECT * REPLACE (ts - INTERVAL 9 DAY AS ts) FROM processed)
+SELECT link, source_name, strftime(coalesce(processed_date, ts), {ISO}) AS processed_time,
+  {quoted(DEFAULT_EMOJI)} AS emoji FROM (SELECT * FROM late ORDER BY pk, rk, ts LIMIT 500)
+WHERE coalesce(processed_date, ts) >= {AS_OF_SQL} - INTERVAL 1 DAY
+ORDER BY coalesce(processed_date, ts) DESC, pk, rk, ts LIMIT 15""",
+)
+def _(spark, sf):
+    """Store times nine days old: nothing is recent by them, so the scan answers."""
+    late = v.processed(spark, sf).withColumn("ts", F.expr("ts - INTERVAL 9 DAYS"))
+    return _recent(stt.recent_posts_or_scan(late, v.as_of()))
+
+
 @query(
     "w8_status_by_name",
-    f"WITH {STATUS_SQL} SELECT digest_id, source_name, items_new, ok FROM statuses",
+    f"""WITH {STATUS_SQL} SELECT digest_id, source_name, items_new, ok, row_number() OVER (
+  PARTITION BY digest_id ORDER BY upper(source_name), feed_pos, feed_id) AS position FROM statuses""",
 )
 def _(spark, sf):
     ordered = sts.status_by_name(run_statuses(spark, sf))
-    return ordered.select("digest_id", "source_name", "items_new", "ok")
+    return _positioned(ordered.select("digest_id", "source_name", "items_new", "ok", "position"))
 
 
 @query(
     "w8_status_as_listed",
-    f"WITH {STATUS_SQL} SELECT digest_id, source_name, items, ok FROM statuses",
+    f"""WITH {STATUS_SQL} SELECT digest_id, source_name, items, ok, row_number() OVER (
+  PARTITION BY digest_id ORDER BY feed_pos, feed_id) AS position FROM statuses""",
 )
 def _(spark, sf):
     ordered = sts.status_as_listed(run_statuses(spark, sf))
-    return ordered.select("digest_id", "source_name", "items", "ok")
+    return _positioned(ordered.select("digest_id", "source_name", "items", "ok", "position"))
 
 
 def _exceptions(spark, sf):
@@ -979,12 +1074,13 @@ def _exceptions(spark, sf):
 
 @query(
     "w9_recent_exceptions",
-    f"""SELECT strftime(ts, {ISO}) AS ts, event_type AS type, props AS outer_message FROM events
-WHERE event_type = 'error' AND events.ts > {WINDOW_SQL} ORDER BY events.ts DESC LIMIT 10""",
+    f"""SELECT strftime(ts, {ISO}) AS ts, event_type AS type, props AS outer_message,
+  row_number() OVER (ORDER BY events.ts DESC, event_type, props) AS position FROM events
+WHERE event_type = 'error' AND events.ts > {WINDOW_SQL} ORDER BY events.ts DESC, event_type, props LIMIT 10""",
 )
 def _(spark, sf):
     found = sts.recent_exceptions(_exceptions(spark, sf), v.as_of())
-    return found.withColumn("ts", format_iso(C("ts")))
+    return _positioned(found.withColumn("ts", format_iso(C("ts"))))
 
 
 @query(

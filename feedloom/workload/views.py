@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import format_iso
 from feedloom.functions.keys import partition_key, row_key
-from feedloom.operators.sizes import spread
 
 AS_OF_TEXT = "2024-01-03 12:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF_TEXT}'"
@@ -25,8 +24,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table for work on its texts."""
-    return spread(table(spark, sf, name))
+    """A table for work on its texts; `spark.sql.files` settings decide how finely it is read."""
+    return table(spark, sf, name)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,11 +82,15 @@ posts AS (
 
 
 def processed(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled posts as rows of the state table; some lack bullets or a processed date."""
-    marked = posts(spark, sf).join(
-        table(spark, sf, "labels").withColumnRenamed("doc_id", "item_pos"), "item_pos"
+    """Labelled posts and those around midnight as rows of the state table.
+
+    Some lack bullets or a processed date. A run at night finds nothing new.
+    """
+    labels = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("item_pos"), "quality", "toxic", F.lit(True).alias("labelled")
     )
-    return marked.select(
+    marked = posts(spark, sf).join(labels, "item_pos", "left")
+    return marked.filter(F.col("labelled") | F.hour("published").isin(23, 0)).select(
         partition_key(F.col("source_name")).alias("pk"),
         row_key(F.col("link")).alias("rk"),
         "title",
@@ -116,11 +119,12 @@ processed AS (
     CASE WHEN toxic = 0 THEN [lang] ELSE [] END AS korean_list,
     CASE WHEN quality = 1 THEN published + INTERVAL 1 HOUR END AS processed_date,
     published + INTERVAL 2 HOUR AS ts
-  FROM posts p JOIN labels l ON p.item_pos = l.doc_id)"""
+  FROM posts p LEFT JOIN labels l ON p.item_pos = l.doc_id
+  WHERE l.doc_id IS NOT NULL OR hour(published) IN (23, 0))"""
 
 
 def state_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return processed(spark, sf).select("pk", "rk").distinct()
+    return processed(spark, sf).select("pk", "rk")
 
 
 def feeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,29 +160,54 @@ feeds AS (
   FROM feeds0)"""
 
 
+#: Runs of a day: name, hours after midnight, days_since and max_items and window as asked for. At noon
+#: one group asks for a window longer than its days; at night all is handled; a month early there is nothing.
+RUN_KINDS = [("", 12.0, None, 0, None), ("night-", 0.5, 2, 5, 1), ("early-", -720.0, 30, -1, 24)]
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """One run at noon for each day and feed group that has posts."""
+    """Three runs for each day and feed group that has posts."""
     days = (
         posts(spark, sf)
         .select("feed_group", F.to_date("published").alias("day"))
         .distinct()
     )
-    return days.select(
-        F.concat_ws("-", "feed_group", F.date_format("day", "yyyyMMdd")).alias("digest_id"),
+    kinds = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("name"), F.lit(int(hours * 60)).alias("minutes"),
+                    F.lit(days).cast("int").alias("days"), F.lit(items).alias("items"),
+                    F.lit(window).cast("int").alias("window"),
+                )
+                for name, hours, days, items, window in RUN_KINDS
+            ]
+        )
+    )
+    security = F.col("feed_group") == "security"
+    return days.withColumn("k", kinds).select(
+        F.concat("feed_group", F.lit("-"), "k.name", F.date_format("day", "yyyyMMdd")).alias("digest_id"),
         "feed_group",
-        F.expr("CAST(day AS TIMESTAMP) + INTERVAL 12 HOURS").alias("as_of"),
-        F.lit(30).alias("days_since"),
-        F.lit(0).alias("max_items"),
-        F.lit(24).alias("new_window_hours"),
+        (F.col("day").cast("timestamp") + F.make_dt_interval(mins=F.col("k.minutes"))).alias("as_of"),
+        F.coalesce("k.days", F.when(security, 30).otherwise(1)).alias("days_since"),
+        F.col("k.items").alias("max_items"),
+        F.coalesce("k.window", F.when(security, 24).otherwise(36)).alias("new_window_hours"),
         F.lit(" ").alias("schedule_text"),
     )
 
 
 RUNS_SQL = """
 runs AS (
-  SELECT feed_group || '-' || strftime(day, '%Y%m%d') AS digest_id, feed_group,
-    day + INTERVAL 12 HOUR AS as_of, 30 AS days_since, 12 AS max_items, 24 AS new_window_hours
-  FROM (SELECT DISTINCT feed_group, date_trunc('day', published)::TIMESTAMP AS day FROM posts))"""
+  SELECT feed_group || '-' || name || strftime(day, '%Y%m%d') AS digest_id, feed_group,
+    day + INTERVAL 1 MINUTE * minutes AS as_of,
+    coalesce(days, CASE WHEN feed_group = 'security' THEN 30 ELSE 1 END) AS days_since,
+    CASE WHEN items > 0 THEN items ELSE 12 END AS max_items,
+    coalesce(win, CASE WHEN feed_group = 'security' THEN 24 ELSE 36 END) AS new_window_hours
+  FROM (SELECT DISTINCT feed_group, date_trunc('day', published)::TIMESTAMP AS day FROM posts),
+    (VALUES ('', 720, NULL, 0, NULL), ('night-', 30, 2, 5, 1), ('early-', -43200, 30, -1, 24))
+      k(name, minutes, days, items, win))"""
+# The hours that a run sees, and those that its feed states call new.
+HOURS_SQL = "least(r.days_since * 24, r.new_window_hours)"
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,6 +232,21 @@ fetched AS (
   FROM pages)"""
 
 
+def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages under the link of the document with their number: url, status, html."""
+    links = documents(spark, sf).select(F.col("item_pos").alias("page_id"), "link")
+    status = F.when(F.contains("url", F.lit("#")), 404).otherwise(200)
+    return table(spark, sf, "pages").join(links, "page_id").select(
+        F.col("link").alias("url"), status.alias("status"), "html"
+    )
+
+
+LINKED_SQL = """
+linked AS (
+  SELECT lower(d.link) AS k, p.html FROM pages p JOIN docs d ON d.item_pos = p.page_id
+  WHERE NOT contains(p.url, '#'))"""
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(
         "ts", F.col("event_type").alias("name"), F.col("value").alias("duration")

@@ -35,11 +35,10 @@ def data(spark, seed):
     )
 
 
-def in_window(published, as_of, hours, inclusive=False):
+def in_window(published, as_of, hours):
     if published is None or published > as_of:
         return False
-    oldest = as_of - dt.timedelta(hours=hours)
-    return published >= oldest if inclusive else published > oldest
+    return published >= as_of - dt.timedelta(hours=hours)
 
 
 def test_links_per_run(spark):
@@ -60,18 +59,14 @@ def test_links_per_run(spark):
 def test_feed_counts(spark):
     items, runs, item_rows, run_rows = data(spark, 3)
     feeds = spark.createDataFrame([(f"f{i}",) for i in range(5)], "feed_id STRING")
-    asked = run_rows.join(feeds).withColumn("hours", F.col("days_since") * 24).drop("days_since")
-    for inclusive in (False, True):
-        expected = {
-            (d, f"f{i}"): sum(
-                1
-                for group, feed, _, when in items
-                if group == g and feed == f"f{i}" and in_window(when, as_of, days * 24, inclusive)
-            )
-            for d, g, as_of, days in runs
-            for i in range(5)
-        }
-        found = {
-            (r.digest_id, r.feed_id): r.n for r in cnt.feed_counts(asked, item_rows, inclusive).collect()
-        }
-        assert found == expected
+    asked = run_rows.join(feeds).withColumns({"long": F.col("days_since") * 24, "short": F.col("days_since") * 2})
+    expected = {
+        (d, f"f{i}"): tuple(
+            sum(group == g and feed == f"f{i}" and in_window(when, as_of, hours) for group, feed, _, when in items)
+            for hours in (days * 24, days * 2)
+        )
+        for d, g, as_of, days in runs
+        for i in range(5)
+    }
+    found = cnt.feed_counts(asked, item_rows, {"many": "long", "few": "short"}).collect()
+    assert {(r.digest_id, r.feed_id): (r.many, r.few) for r in found} == expected

@@ -1,6 +1,7 @@
 """Feed payloads, items and registry on hand-made rows."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -57,6 +58,19 @@ def test_items(payloads):
     assert when[3] is None
 
 
+def test_prefixed_tags_are_no_fields_of_an_item(spark):
+    body = """<rss xmlns:media="m" xmlns:atom="a"><channel><item><title>Real</title><media:title>Media</media:title>
+<link> </link><atom:link href="https://self"/><link>https://x/1</link><media:description>MD</media:description>
+<description>D</description><media:link>https://m</media:link></item></channel></rss>"""
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="m"><entry><media:title>Media</media:title>
+<title>Real</title><media:summary>MS</media:summary><link href="https://y"/></entry></feed>"""
+    rows = [("r", None, 200, body, None, 1), ("s", None, 200, atom, None, 1)]
+    items = fds.clean_items(fds.parse_feeds(spark.createDataFrame(rows, schemas.FEED_PAYLOADS)))
+    found = [(r.title, r.link, r.summary) for r in items.orderBy("feed_id").collect()]
+    assert found == [("Real", "https://x/1", "D"), ("Real", "https://y", "")]
+    assert [r.reason for r in fds.undated_items(items).collect()] == ["no readable date"] * 2
+
+
 def test_payload_report(payloads):
     found = {r.feed_id: (r.kind, r.entries, r.reason) for r in sts.payload_report(payloads).collect()}
     assert found["rss"] == ("xml", 3, None)
@@ -150,8 +164,12 @@ def test_pages(spark):
         ("d", 200, None, "w"),
     ]
     pages = spark.createDataFrame(rows, schemas.PAGES)
-    assert [tuple(r) for r in tbs.load_pages(pages).collect()] == [("a", "x1")]
+    first = min(("x1", "x2"), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    assert [tuple(r) for r in tbs.load_pages(pages, text=F.col("html")).collect()] == [("a", first)]
     assert tbs.load_pages(pages, need_html_type=False).count() == 3
+    links = spark.createDataFrame([("D",), ("B",), ("x",)], "link STRING")
+    found = tbs.load_pages(pages, False, links, text=F.concat("html", F.lit("!"))).collect()
+    assert [tuple(r) for r in found] == [("d", "w!")]
 
 
 def test_ticks(spark):

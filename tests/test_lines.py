@@ -1,7 +1,5 @@
 """Bullets, excerpts and insights on edge texts."""
 
-import plain
-import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import lines
@@ -9,68 +7,6 @@ from feedloom.functions.constants import BLANK_SUMMARY_BULLETS, EN_FILLERS, KO_U
 from feedloom.functions.text import lits
 
 C = F.col("c")
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
-TEXTS = [
-    "",
-    "  \n ",
-    "One short sentence.",
-    "No stop at all",
-    "First one. Second one! Third one? Fourth.",
-    "첫 문장입니다。 둘째입니다！ 셋째？ 끝",
-    (WORDS * 6).strip() + ". Tail here.",
-    (WORDS * 30).strip(),
-    "x" * 299,
-    "x" * 300,
-    "x" * 301,
-    "x" * 700 + " y",
-    ("word " * 59) + "end. " + "z" * 310,
-    "A.  B.\n\nC.\tD. " * 3,
-    "point solutions can only go so far. Fine text follows here. Another fine line.",
-    ("ab " * 120 + ". ") * 4,
-]
-
-
-@pytest.mark.parametrize("count", [1, 3, 6, 8])
-def test_excerpt_lines(evaluate, count):
-    assert evaluate(lines.excerpt_lines(C, count), TEXTS) == [plain.excerpt(t, count) for t in TEXTS]
-
-
-@pytest.mark.parametrize(("count", "limit"), [(3, 300), (6, 160), (2, 90)])
-def test_chunk_lines(evaluate, count, limit):
-    found = evaluate(lines.chunk_lines(C, count, limit), TEXTS)
-    assert found == [plain.chunks(t, count, limit) for t in TEXTS]
-
-
-def test_one_short_sentence_repeats(evaluate):
-    assert evaluate(lines.excerpt_lines(C, 3), ["Only this."]) == [["Only this.", "Only this."]]
-
-
-def banned(line):
-    low = line.lower()
-    return "point solution" in low and any(
-        p in low for p in ("holding you back", "hold you back", "go so far")
-    )
-
-
-POINTS = [
-    [],
-    ["Same", "same", "Other"],
-    ["A point solution may be holding you back", "Kept"],
-    ["one", "two", "three", "four"],
-    ["First one."],
-]
-
-
-@pytest.mark.parametrize("points", POINTS)
-def test_insight_folds(evaluate, points):
-    given = lits(points) if points else F.array().cast("array<string>")
-    excerpt = lines.excerpt_lines(C, lines.MAX_EXCERPT)
-    three = evaluate(lines.three_insights(given, excerpt), TEXTS)
-    assert three == [plain.three(points, t) for t in TEXTS]
-    exact = evaluate(lines.exactly_three_insights(given, excerpt, C), TEXTS)
-    assert exact == [plain.exactly_three(points, t, banned) for t in TEXTS]
-    assert all(len(x) == 3 for x in exact)
-
 
 def test_extract_bullets(evaluate):
     long = "w" * 161 + "."

@@ -31,7 +31,7 @@ def test_code_fence(evaluate):
 
 
 def test_insights(spark):
-    good = items((0, ["가", "", "나"]), (-1, ["x"]), (1, []), (0, ["다"]), (2, ["english only"]))
+    good = items((0, ["가", "", "나"]), (-1, ["x"]), (1, []), (0, ["다"]), (2, ["english only"]), (10, ["y"]))
     mixed = json.dumps(
         {
             "items": [
@@ -54,7 +54,6 @@ def test_insights(spark):
     ]
     found = {(r.digest_id, r["index"]): r.korean_summary for r in ins.parse_insights(responses(spark, rows)).collect()}
     assert found == {
-        ("a", -1): ["x", *KO_FILLERS[:2]],
         ("a", 0): ["다", *KO_FILLERS[:2]],
         ("a", 2): ["english only", *KO_FILLERS[:2]],
         ("b", 3): ["라", *KO_FILLERS[:2]],

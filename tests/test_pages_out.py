@@ -104,8 +104,8 @@ def test_mail_cards(spark):
         "published TIMESTAMP, english_summary ARRAY<STRING>, korean_summary ARRAY<STRING>",
     )
     pages = spark.createDataFrame(
-        [("https://x", "<article><p>Page one. Page two. Page three. Page four.</p></article>")],
-        "url STRING, html STRING",
+        [("https://x", 200, "<article><p>Page one. Page two. Page three. Page four.</p></article>")],
+        "url STRING, status INT, html STRING",
     )
     out = mail.mail_cards(posts, mail.article_text(pages)).collect()
     by_title = {r.title: r for r in out}

@@ -20,7 +20,7 @@ def test_first_of_a_link_is_picked_before_the_shuffle(spark, sf):
 
 
 def test_top_posts_are_cut_before_the_shuffle(spark, sf):
-    assert "row_number(), 12, Partial" in plan(tbq.choice(spark, sf).new_posts)
+    assert "row_number(), 30, Partial" in plan(tbq.choice(spark, sf).new_posts)
 
 
 def test_time_filter_and_columns_reach_the_scan(spark, sf):
@@ -34,6 +34,33 @@ def test_state_check_reads_keys_only(spark, sf):
     assert "korean_summary" not in plan(pst.unprocessed_posts(v.posts(spark, sf).drop("summary"), narrow))
 
 
+def nodes(df, word):
+    """Lines of the plan as it is before it runs that name a node."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+    return [x for x in lines if word in x]
+
+
+def test_items_never_meet_runs_by_group_or_digest_alone(spark, sf):
+    for name in ("a1_feed_status", "a2_digest_counts", "digest_report"):
+        joins = nodes(QUERIES[name](spark, sf), "Join [")
+        alone = [x for x in joins if "[feed_group#" in x.split("]")[0] and "," not in x.split("]")[0]]
+        assert not [x for x in alone if "SortMergeJoin" in x], (name, alone)
+
+
+def test_the_choice_is_made_in_one_pass(spark, sf):
+    counts = QUERIES["a2_digest_counts"](spark, sf)
+    counts.collect()
+    text = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([x for x in text.split("\n") if "- Exchange " in x]) <= 40
+
+
+def test_no_html_is_moved(spark, sf):
+    for name in ("s4_load_pages", "j3_enrich_pages"):
+        text = plan(QUERIES[name](spark, sf))
+        moved = [x for x in text.split("\n") if "Exchange" in x and "html#" in x]
+        assert not moved, (name, moved)
+
+
 def test_recent_posts_need_no_full_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["w5_recent_posts"](spark, sf))
 

@@ -80,14 +80,40 @@ def test_cutoffs_are_inclusive(spark):
 
 def test_runs_see_their_window(spark):
     rows = make(spark, [post(1, "a", 24), post(2, "b", 23.99), post(3, "c", 0), post(4, "d", -1)])
-    seen = pst.runs_to_items(runs(spark), rows)
-    assert sorted(r.item_pos for r in seen.collect()) == [2, 3]
-    by_day = pst.runs_to_items(runs(spark), rows, unit="day")
-    assert sorted(r.item_pos for r in by_day.collect()) == [2, 3]
-    live = pst.runs_to_items_open(runs(spark), rows)
+    older = make(spark, [post(5, "e", 24.001)])
+    for unit in ("hour", "day"):
+        seen = pst.runs_to_items(runs(spark), rows.union(older), unit=unit)
+        assert sorted(r.item_pos for r in seen.collect()) == [1, 2, 3]
+    live = pst.live_items(rows.union(older), as_of(), 24)
     assert sorted(r.item_pos for r in live.collect()) == [1, 2, 3, 4]
 
 
+def test_window_edge_is_one_rule(spark):
+    """An item exactly as old as the window is counted as new and shown."""
+    items = make(spark, [post(1, "a", 24), post(2, "b", 24.001)])
+    chosen = dig.choose_posts(runs(spark), items, no_state(spark))
+    assert [r.item_pos for r in chosen.shown.collect()] == [1]
+    listed = runs(spark).select("digest_id", "feed_group", "as_of", "days_since", "new_window_hours", F.lit("f0").alias("feed_id"))
+    counted = dig.counts_per_feed(listed, items).collect()[0]
+    assert (counted["items"], counted.items_new) == (2, 1)
+
+
+def test_days_since_cuts_a_longer_window(spark):
+    items = make(spark, [post(1, "a", 5), post(2, "b", 24), post(3, "c", 120)])
+    chosen = dig.choose_posts(runs(spark, ((1, 12, 168),)), items, no_state(spark))
+    assert sorted(r.item_pos for r in chosen.shown.collect()) == [1, 2]
+    row = sts.digest_counts(chosen.links, chosen.shown, chosen.runs).collect()[0]
+    assert (row.all_items, row.display_posts) == (2, 2)
+
+
+def test_seen_posts_never_crowd_out_new_ones(spark):
+    items = make(spark, [post(i, f"l{i}", i / 10) for i in range(1, 101)])
+    state = pst.with_keys(items.filter("item_pos <= 60 OR item_pos > 65")).select("pk", "rk")
+    chosen = dig.choose_posts(runs(spark), items, state.union(state))
+    found = chosen.shown.orderBy("rank").collect()
+    assert [(r.item_pos, r.rank, r.is_new_post) for r in found] == [(60 + i, i, True) for i in range(1, 6)]
+
+
 def test_new_posts_fall_back_to_recent(spark):
     items = make(spark, [post(i, f"l{i}", i / 4) for i in range(1, 41)])
     first = dig.choose_posts(runs(spark), items, no_state(spark))
@@ -112,13 +138,13 @@ def test_cap_is_thirty_and_zero_is_default(spark):
 def test_counts(spark):
     items = make(spark, [post(1, "A", 1), post(2, "a", 2), post(3, "b", 100), post(4, "c", 9000)])
     chosen = dig.choose_posts(runs(spark), items, no_state(spark))
-    row = sts.digest_counts(chosen.links, chosen.new_posts, chosen.shown, chosen.runs).collect()[0]
+    row = sts.digest_counts(chosen.links, chosen.shown, chosen.runs).collect()[0]
     assert (row.all_items, row.new_posts, row.display_posts, row.recent_posts) == (2, 1, 1, 1)
 
 
 def test_empty_digest_keeps_its_row(spark):
     chosen = dig.choose_posts(runs(spark), make(spark, []), no_state(spark))
-    row = sts.digest_counts(chosen.links, chosen.new_posts, chosen.shown, chosen.runs).collect()[0]
+    row = sts.digest_counts(chosen.links, chosen.shown, chosen.runs).collect()[0]
     assert tuple(row)[1:] == (0, 0, 0, 0)
 
 
@@ -165,11 +191,31 @@ def test_stored_state(spark, tmp_path):
     state.append(state_rows(spark, [row("p", "1", "c")]), 1)
     before = sorted((r.rk, r.title) for r in state.rows().collect())
     assert before == [("1", "c"), ("2", "b")]
-    state.snapshot(1)
+    state.snapshot()
+    assert sorted((r.rk, r.title) for r in state.rows().collect()) == before
+    state.append(state_rows(spark, [row("p", "2", "late")]), 1)
     assert sorted((r.rk, r.title) for r in state.rows().collect()) == before
     state.append(state_rows(spark, [row("p", "2", "d")]), 2)
     assert sorted((r.rk, r.title) for r in state.rows().collect()) == [("1", "c"), ("2", "d")]
     assert state.keys().count() == 2
+    state.snapshot()
+    state.clean_up()
+    assert sorted((r.rk, r.title) for r in state.rows().collect()) == [("1", "c"), ("2", "d")]
+    assert len(list((tmp_path / "state" / "snapshot").iterdir())) == 1
+
+
+def test_writers_count_their_own_versions(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    state.append(state_rows(spark, [row("p", "1", "batch 0")]), 0)
+    state.append(state_rows(spark, [row("p", "2", "stream 0")]), 0, "stream")
+    assert state.rows().count() == 2
+    state.append(state_rows(spark, [row("p", "1", "batch 2")]), 2)
+    state.snapshot()
+    state.append(state_rows(spark, [row("p", "3", "other 0")]), 0, "other")
+    state.append(state_rows(spark, [row("p", "1", "stream 1")]), 1, "stream")
+    state.append(state_rows(spark, [row("p", "9", "replay")]), 0, "stream")
+    found = sorted((r.rk, r.title) for r in state.rows().collect())
+    assert found == [("1", "stream 1"), ("2", "stream 0"), ("3", "other 0")]
 
 
 def test_state_rows_reject_blanks(spark):
@@ -218,8 +264,8 @@ def test_status(spark):
     states = sts.feed_status(feeds, items)
     found = {r.feed_id: (r.source_name, r.ok, r["items"], r.items_new) for r in states.collect()}
     assert found == {"f1": ("Unknown", True, 2, 1), "f2": ("b", False, 0, 0), "f3": ("B", True, 0, 0)}
-    assert [r.feed_id for r in sts.status_by_name(states).collect()] == ["f2", "f3", "f1"]
-    assert [r.feed_id for r in sts.status_as_listed(states).collect()] == ["f2", "f1", "f3"]
+    assert {r.feed_id: r.position for r in sts.status_by_name(states).collect()} == {"f2": 1, "f3": 2, "f1": 3}
+    assert {r.feed_id: r.position for r in sts.status_as_listed(states).collect()} == {"f2": 1, "f1": 2, "f3": 3}
 
 
 def test_placeholders(spark):

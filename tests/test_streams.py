@@ -9,7 +9,11 @@ from feedloom.session import shared_dir
 from feedloom.streaming import streams as stm
 
 NOW = dt.datetime(2024, 1, 3, 12)
-SCHEMA = "title STRING, link STRING, source_name STRING, summary STRING, published TIMESTAMP"
+SCHEMA = "title STRING, link STRING, source_name STRING, summary STRING, published TIMESTAMP, fetched_at TIMESTAMP"
+
+
+def later(days):
+    return NOW + dt.timedelta(days=days)
 
 
 def feed(spark, tmp_path, *batches):
@@ -21,20 +25,24 @@ def feed(spark, tmp_path, *batches):
 
 def test_repeat_in_a_later_batch_is_dropped(spark, tmp_path):
     posts = feed(
-        spark, tmp_path, [("a", "l1", "S", "x", NOW)], [("b", "l1", "S", "x", NOW), ("c", "l1", "T", "x", NOW)]
+        spark,
+        tmp_path,
+        [("a", "l1", "S", "x", NOW, NOW), ("f", "l9", "S", "x", NOW + dt.timedelta(days=366), NOW)],
+        [("b", "l1", "S", "x", NOW, later(1)), ("c", "l1", "T", "x", NOW, later(1))],
+        [("d", "l2", "S", "x", NOW, later(2))],
+        [("e", "l3", "S", "x", NOW, later(3))],
     )
     out = str(tmp_path / "out")
     stm.run_append(stm.stream_dedup(posts), out, str(tmp_path / "check"))
     rows = spark.read.parquet(out).collect()
-    assert len(rows) == 2
-    assert {r.source_name for r in rows} == {"S", "T"}
+    assert sorted(r.title for r in rows) == ["a", "c", "d", "e", "f"]
 
 
 def test_replayed_batch_leaves_the_state_as_it_was(spark, tmp_path):
     state = ProcessedPosts(spark, str(tmp_path / "state"))
     none = F.array().cast("array<string>")
-    write = stm.upsert_batch(state)
-    rows = spark.createDataFrame([("a", "l1", "S", "x", NOW), ("b", "l1", "S", "x", NOW)], SCHEMA)
+    write = stm.upsert_batch(state, "posts")
+    rows = spark.createDataFrame([("a", "l1", "S", "x", NOW, NOW), ("b", "l1", "S", "x", NOW, NOW)], SCHEMA)
     full = to_state_rows(
         rows.withColumns({"english_summary": none, "korean_summary": none}), F.col("published")
     )
@@ -43,6 +51,35 @@ def test_replayed_batch_leaves_the_state_as_it_was(spark, tmp_path):
     assert [r.title for r in state.rows().collect()] == ["a"]
 
 
+def test_replayed_batch_of_the_chain_keeps_its_own_rows(spark, tmp_path):
+    state = ProcessedPosts(spark, str(tmp_path / "state"))
+    feeds = spark.createDataFrame([("f", "g", 0, "S", None)], "feed_id STRING, feed_group STRING, feed_pos INT, source_name STRING, emoji STRING")
+    items = spark.createDataFrame(
+        [("f", 0, NOW, "a", "l1", "x", NOW), ("f", 1, NOW, "undated", "l2", "x", None)],
+        "feed_id STRING, item_pos INT, fetched_at TIMESTAMP, title STRING, link STRING, summary STRING, published TIMESTAMP",
+    )
+    sink = stm.items_to_state(state, feeds, "w")
+    sink(items, 0)
+    sink(items, 0)
+    sink(items.withColumn("title", F.lit("again")), 1)
+    assert [r.title for r in state.rows().collect()] == ["a"]
+
+
+def test_hourly_sums_lose_no_late_row(spark, tmp_path):
+    path, into = str(tmp_path / "sums"), str(tmp_path / "folded")
+    write = stm.write_sums(path, stm.hourly_status)
+    times = [NOW, later(400), NOW - dt.timedelta(days=9), NOW, later(-9)]
+    for i, t in enumerate(times):
+        write(spark.createDataFrame([("f", t)], "feed_id STRING, published TIMESTAMP"), i)
+    write(spark.createDataFrame([("f", NOW)], "feed_id STRING, published TIMESTAMP"), 0)
+    found = stm.read_sums(spark, path, ["hour", "feed_id"])
+    assert sorted(r["items"] for r in found.collect()) == [1, 2, 2]
+    stm.fold_sums(spark, path, into, ["hour", "feed_id"])
+    folded = stm.read_sums(spark, into, ["hour", "feed_id"])
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, found.collect()))
+    assert {r["items"] for r in stm.status_windows(folded).collect()} == {1, 2}
+
+
 def test_shared_dir_is_below_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = shared_dir(spark, "x")

@@ -54,8 +54,12 @@ def tables(spark):
         schemas.FEED_PAYLOADS,
     )
     pages = spark.createDataFrame(
-        [("https://x/1", "<article><p>Page text</p></article>"), ("https://x/77", "<article>no</article>")],
-        "url STRING, html STRING",
+        [
+            ("HTTPS://x/1", 200, "<article><p>Page text</p></article>"),
+            ("https://x/2", 404, "<article><p>Not found</p></article>"),
+            ("https://x/77", 200, "<article>no</article>"),
+        ],
+        "url STRING, status INT, html STRING",
     )
     said = {"items": [{"index": 0, "koreanSummary": ["핵심"]}]}
     body = json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]})
@@ -128,7 +132,7 @@ def test_mail(spark):
     )
     recent = spark.createDataFrame([post("new", 1, "Not shown"), post("old", 1, "Recent")], fields)
     pages = spark.createDataFrame(
-        [("L", "<article>Of the page.</article>"), ("k", "no")], "url STRING, html STRING"
+        [("L", 200, "<article>Of the page.</article>"), ("k", 200, "no")], "url STRING, status INT, html STRING"
     )
     found = {r.digest_id: r for r in mail.mail_pages(requests, new, recent, pages).collect()}
     assert "Of the page." in found["new"].html
