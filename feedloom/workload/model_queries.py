@@ -17,6 +17,7 @@ from feedloom.functions.constants import (
     SUBJECT_NEW,
     SUBJECT_NONE,
 )
+from feedloom.functions.dates import format_iso
 from feedloom.operators import insights as ins
 from feedloom.operators.filters import is_new
 from feedloom.operators import posts as pst
@@ -612,6 +613,101 @@ def _(spark, sf):
 
 # --- flagship ----------------------------------------------------------------------------
 
+# Items as the payloads hold them; the second item of an RSS payload has no link and only counts.
+ITEMS_SQL = f"""
+items AS (
+  SELECT p.item_pos, f.feed_id, f.feed_pos, f.feed_group, {q.trim("p.title")} AS title, p.link,
+    {tbq.CLEAN_SQL.replace("summary", "p.summary")} AS summary, p.published,
+    CASE WHEN coalesce(trim(f.source_name), '') = '' THEN 'Unknown' ELSE f.source_name END AS source_name,
+    coalesce(f.emoji, {quoted(DEFAULT_EMOJI)}) AS emoji
+  FROM posts p JOIN feeds f ON p.feed_id = f.feed_id WHERE p.lang <> 'de' AND trim(f.url) <> ''
+  UNION ALL
+  SELECT -1 - p.item_pos, f.feed_id, f.feed_pos, f.feed_group, 'No title', '', '', p.published, 'x', ''
+  FROM posts p JOIN feeds f ON p.feed_id = f.feed_id
+  WHERE p.lang <> 'de' AND trim(f.url) <> '' AND p.item_pos % 2 = 0),
+outcomes AS (
+  SELECT feed_id, max_by(CASE WHEN lang = 'de' THEN 'HTTP 503' ELSE '' END, item_pos) AS error,
+    max_by(n_chars, item_pos) AS elapsed_ms FROM posts GROUP BY 1),
+seen AS (
+  SELECT r.digest_id, p.feed_id, p.published >= r.as_of - INTERVAL 1 HOUR * {v.HOURS_SQL} AS is_new
+  FROM runs r JOIN items p ON r.feed_group = p.feed_group
+    AND p.published >= r.as_of - INTERVAL 1 DAY * r.days_since AND p.published <= r.as_of),
+counts AS (
+  SELECT digest_id, feed_id, count(*) AS items, count(*) FILTER (is_new) AS items_new FROM seen GROUP BY ALL),
+statuses AS (
+  SELECT r.digest_id, f.feed_id, f.feed_pos, coalesce(f.source_name, 'Unknown') AS source_name,
+    o.error = '' AS ok, o.elapsed_ms, CASE WHEN o.error = '' THEN coalesce(c.items, 0) ELSE 0 END AS items,
+    CASE WHEN o.error = '' THEN coalesce(c.items_new, 0) ELSE 0 END AS items_new, nullif(o.error, '') AS error
+  FROM runs r JOIN feeds f USING (feed_group) JOIN outcomes o USING (feed_id)
+    LEFT JOIN counts c USING (digest_id, feed_id) WHERE trim(f.url) <> '')"""
+
+
+def _of_items(sql: str) -> str:
+    """The same SQL over items in place of posts, blank links left out where links count."""
+    return sql.replace("posts p ", "items p ").replace("JOIN posts p", "JOIN items p")
+
+
+_CHOSEN_SQL = _of_items(tbq.CHOICE_TAIL_SQL).replace(
+    "AND p.published <= r.as_of\n  QUALIFY", "AND p.published <= r.as_of AND p.link <> ''\n  QUALIFY"
+)
+_NEW_SQL = "SELECT * FROM display WHERE is_new_post"
+DIGEST_SQL = f"""WITH {v.PROCESSED_SQL}, {v.RUNS_SQL}, {v.FEEDS_SQL}, {ITEMS_SQL},{_CHOSEN_SQL},
+{_of_items(_display_sql("p.emoji"))}, {FULL_TAIL_SQL},{PAGE_TAIL_SQL},
+feeds_ AS (
+  SELECT digest_id, string_agg(concat_ws('|', feed_id, source_name, ok, items, items_new, elapsed_ms,
+    coalesce(error, '')), ' ' ORDER BY feed_pos, feed_id) AS statuses FROM statuses GROUP BY 1),
+kept_ AS (
+  SELECT digest_id, string_agg(concat_ws('|', {v.PK_SQL}, {v.RK_SQL}, md5(title), md5(summary), link,
+    strftime(published, {v.ISO}), strftime(as_of, {v.ISO}), md5({joined("bullets")}),
+    CASE WHEN rank <= 10 AND {ANSWERED_SQL} THEN md5({joined(KO_LIST_SQL)}) ELSE md5('') END), ' ' ORDER BY rank) AS state
+  FROM display WHERE is_new_post GROUP BY 1)
+SELECT r.digest_id, r.feed_group, g.subject, g.html, coalesce(f.statuses, '') AS statuses,
+  coalesce(k.state, '') AS state,
+  (SELECT count(DISTINCT upper(link)) FROM items x WHERE x.feed_group = r.feed_group AND link <> ''
+    AND x.published >= r.as_of - INTERVAL 1 DAY * r.days_since AND x.published <= r.as_of) AS all_items,
+  (SELECT count(*) FROM new_posts x WHERE x.digest_id = r.digest_id) AS new_posts,
+  (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) AS display_posts,
+  (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) AS recent_posts,
+  (SELECT count(*) FROM shown x WHERE x.digest_id = r.digest_id) > 0 AND {ANSWERED_SQL.replace("digest_id", "r.digest_id")} AS succeeded
+FROM runs r JOIN pages_ g USING (digest_id) LEFT JOIN feeds_ f USING (digest_id) LEFT JOIN kept_ k USING (digest_id)"""
+
+
+@query("digest_pages", DIGEST_SQL)
+def _(spark, sf):
+    """Whole digests from payloads: subject, page, feed states, counts and the rows for the state table."""
+    payloads, feeds = tbq.feed_payloads(spark, sf), v.feeds(spark, sf)
+    items = settle(dig.ingest(payloads, feeds), "items")
+    runs, keys, pages = v.runs(spark, sf), v.state_keys(spark, sf), v.linked_pages(spark, sf)
+    chosen = dig.choose_posts(runs, items, keys)
+    said = settle(answers(dig.with_text(chosen.shown, items)), "answers")
+    built = dig.build_digests(runs, feeds, payloads, items, keys, pages, said)
+
+    fields = ["feed_id", "source_name", "ok", "items", "items_new", "elapsed_ms"]
+    text = F.concat_ws("|", *[C(c).cast("string") for c in fields], F.coalesce("error", F.lit("")))
+    states = _listed(built.statuses, "statuses", "feed_pos", "feed_id", text)
+    new = built.posts.filter("is_new_post").select("digest_id", "link", "source_name", "rank")
+    rows = dig.new_state_rows(built.posts).drop("source_name")
+    keyed = pst.with_keys(new).select("digest_id", "rank", "pk", "rk", F.col("link").alias("_link"))
+    stored = rows.join(keyed, ["pk", "rk"]).filter((C("link") == C("_link")) & (C("digest_id").isNotNull()))
+    line = F.concat_ws(
+        "|", "pk", "rk", F.md5("title"), F.md5("summary"), "link", "publish_date", format_iso(C("processed_date")),
+        *[F.md5(glue(F.from_json(c, "array<string>"))) for c in ("english_summary", "korean_summary")],
+    )
+    as_of = chosen.runs.select("digest_id", C("as_of").alias("_as_of"))
+    kept = _listed(stored.join(as_of, "digest_id").filter("processed_date = _as_of"), "state", "rank", "rk", line)
+    stats = built.stats.select(
+        "digest_id", "all_items", "new_posts", "display_posts", "recent_posts", "succeeded"
+    )
+    out = built.pages.join(stats, "digest_id").join(states, "digest_id", "left").join(kept, "digest_id", "left")
+    return out.na.fill("", ["statuses", "state"])
+
+
+def _listed(rows, name, *order_then_text):
+    *order, text = order_then_text
+    listed = F.array_sort(F.collect_list(F.struct(*order, text.alias("t"))))
+    return rows.groupBy("digest_id").agg(F.array_join(listed["t"], " ").alias(name))
+
+
 
 @query(
     "digest_report",
