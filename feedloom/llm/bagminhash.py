@@ -106,10 +106,13 @@ def signature(keys: np.ndarray, weights: np.ndarray, m: int, seed: int = 1) -> n
     time = np.zeros(len(element))
     best = np.full(m, np.inf)
     winner = np.zeros(m, dtype=np.uint64)
-    enough = 1.3 * m * (np.log(m) + 2)
+    enough = m * (np.log(m) + 1)
     step = 0
     while len(element):
-        q = int(min(max(np.ceil(enough / rate.sum()), 1), 512))
+        # Points that will do: to meet every component first, then to reach the latest winner.
+        end = best.max()
+        need = enough / rate.sum() if np.isinf(end) else 1 + 1.2 * (rate * (end - time)).max()
+        q = int(min(max(np.ceil(need), 1), 512))
         number = np.arange(step, step + q, dtype=np.uint64) * _GOLDEN
         point = mix(element[:, None] + number[None, :])
         wait = -np.log(((point >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)) / rate[:, None]
@@ -145,6 +148,11 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shares of equal components for all pairs of rows of two signature tables."""
+    return np.array([(row == b).mean(axis=1) for row in a]).reshape(len(a), len(b))
+
+
 def bag_keys(keys: np.ndarray, weights: np.ndarray) -> tuple[int, int]:
     """128 bits that equal bags share."""
     w = weights.astype(np.uint64)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +17,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows that a Python worker gets at once. Texts can be long, and the default of 10,000 is for narrow rows.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and get few rows at once.
 
     On a cluster whose machines lack that folder, ship the package with `--py-files`.
     """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(feedloom.__file__)))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -57,6 +67,40 @@ def unwrapped(rows: DataFrame, columns: list[str], **changed: Column) -> DataFra
     return rows.select(*[changed.get(c, F.col("_doc")[c]).alias(c) for c in columns])
 
 
+def blocked(rows: DataFrame, key: str, n: str, id_col: str, keep: list[str], block_rows: int) -> DataFrame:
+    """Rows dealt to pairs of blocks (`p` <= `q`) of about `block_rows` rows of a key that has `n` rows.
+
+    A key of one block keeps its rows once; in a larger one every two rows meet in one pair of
+    blocks. `mine` is the block of the row.
+    """
+    count = F.ceil(F.col(n) / block_rows).cast("int")
+    dealt = rows.withColumn("_blocks", count).withColumn(
+        "mine", F.pmod(F.xxhash64(id_col, F.lit("block")), F.col("_blocks")).cast("int")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    return dealt.withColumn("_other", other).select(
+        key, F.least("mine", "_other").alias("p"), F.greatest("mine", "_other").alias("q"), "mine", id_col, *keep
+    )
+
+
+def in_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys in sorted batches; a run is held back until the next key is seen."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), len(batch)]
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            run = batch.iloc[lo:hi]
+            if held and (held[-1][keys].iloc[-1].to_numpy() != run[keys].iloc[0].to_numpy()).any():
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(run)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` does not use (names are compared without case)."""
     used = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import lattice
-from feedloom.llm.common import on_workers
+from feedloom.llm.common import blocked, in_runs, on_workers
 from feedloom.llm.components import components
 from feedloom.session import settle
 
@@ -130,39 +130,6 @@ def _spread(parts: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _segments(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys in sorted batches; a run is held back until the next key is seen."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        values = batch[keys].to_numpy()
-        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), len(batch)]
-        for lo, hi in zip(starts[:-1], starts[1:]):
-            run = batch.iloc[lo:hi]
-            if held and (held[-1][keys].iloc[-1].to_numpy() != run[keys].iloc[0].to_numpy()).any():
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(run)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def _blocked(rows: DataFrame, key: str, n: str, block_rows: int) -> DataFrame:
-    """Rows dealt to pairs of blocks (`p` <= `q`) of at most about `block_rows` rows of a key.
-
-    A key of one block keeps its rows once; `mine` is the block of the row.
-    """
-    blocks = F.ceil(F.col(n) / block_rows).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn(
-        "mine", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    return dealt.withColumn("_other", other).select(
-        key, F.least("mine", "_other").alias("p"), F.greatest("mine", "_other").alias("q"), "mine", "id", "v"
-    )
-
-
 def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return a @ b.T >= least
 
@@ -172,7 +139,7 @@ def _star_links(least: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out_a, out_b = [], []
-        for group in _segments(batches, ["cell", "p", "q"]):
+        for group in in_runs(batches, ["cell", "p", "q"]):
             if len(group) > 1:
                 ids = group["id"].to_numpy()
                 order = np.argsort(ids)
@@ -203,7 +170,7 @@ def _link_counts(least: float):
     """For each vector of a pair of blocks, how many copies it links with there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _segments(batches, ["cell", "p", "q"]):
+        for group in in_runs(batches, ["cell", "p", "q"]):
             ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
             m = _units(group["v"])
             if group["p"].iloc[0] == group["q"].iloc[0]:
@@ -276,7 +243,7 @@ def near_vectors(
     )
     members = placed.join(shared, "cell").select("cell", "n", "id")
     filled = members.join(classes.select("id", "v"), "id")
-    dealt = _blocked(filled, "cell", "n", block_rows)
+    dealt = blocked(filled, "cell", "n", "id", ["v"], block_rows)
     grouped = dealt.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
     stars = grouped.mapInPandas(_star_links(min_cosine), "a BIGINT, b BIGINT").distinct()
     found = settle(components(stars), "components")
@@ -287,9 +254,9 @@ def near_vectors(
         .join(classes.select("id", "v", "copies"), "id")
         .withColumnRenamed("component", "cell")
     )
-    with_copies = _blocked(inside, "cell", "n", block_rows).join(classes.select("id", "copies"), "id")
+    dealt = blocked(inside, "cell", "n", "id", ["v", "copies"], block_rows)
     counted = (
-        with_copies.repartition("cell", "p", "q")
+        dealt.repartition("cell", "p", "q")
         .sortWithinPartitions("cell", "p", "q")
         .mapInPandas(_link_counts(min_cosine), "id BIGINT, n BIGINT")
         .groupBy("id")

@@ -39,7 +39,7 @@ SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 SIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments "
     "consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar "
-    "navigation newsletter notice notification pager pagination popup promo promoted promotion recommended "
+    "navigation newsletter notice notices notification notifications pager pagination popup promo promoted promotion recommended "
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe "
     "subscription tags teaser toolbar widget widgets".split()
 )
@@ -48,11 +48,15 @@ MAIN_WORDS = frozenset("article body content entry main post prose story text".s
 _ENDS_PARAGRAPH = BLOCK_TAGS - {"button", "iframe", "object", "option", "optgroup"}
 _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table div article section main body nav aside footer header form".split())
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
+#: Evidence against main text that an element of those kinds brings; no length or tie outweighs it.
+SIDE = 12.0
 #: Strength of the ties between blocks, and how far back siblings are tied.
 TIE = 1.2
 SIBLINGS = 2
+#: What is left of a tie between a block in an element of the side kinds and one that is not.
+ACROSS = 0.1
 
 
 @dataclass
@@ -164,27 +168,27 @@ def _same_block(home: Element, at: Element) -> bool:
 def _evidence(tag: str, attrs: list[tuple[str, str | None]], above: Element) -> tuple[float, float]:
     side, main = above.side, above.main
     if tag in SIDE_TAGS:
-        side += 8.0
+        side += SIDE
     elif tag == "header":
         # The head of a page, not of its article.
-        side += 8.0 if above.main < 3.0 else 0.0
+        side += SIDE if above.main < 3.0 else 0.0
     if tag in MAIN_TAGS:
         main = max(main, 3.0)
     for name, value in attrs:
-        value = (value or "").lower()
+        words = {w.lower() for w in _NAME.findall(value or "")}
+        value = (value or "").strip().lower()
         if name in ("class", "id"):
-            words = set(_NAME.findall(value))
             if tag not in ("html", "body") and tag not in MAIN_TAGS:
-                side += 8.0 * bool(words & SIDE_WORDS)
+                side += SIDE * bool(words & SIDE_WORDS)
             if words & MAIN_WORDS and not words & SIDE_WORDS:
                 main = max(main, 2.0)
         elif name == "role":
-            side += 8.0 * (value in SIDE_ROLES)
+            side += SIDE * (value in SIDE_ROLES)
             main = max(main, 3.0 * (value in ("main", "article")))
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            side += 8.0
+            side += SIDE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            side += 8.0
+            side += SIDE
     return side, main
 
 
@@ -222,11 +226,17 @@ def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Neighbours in page order, weaker the further apart in the tree, and near siblings."""
     found = []
     before: dict[int, list[int]] = {}
+
+    def tie(i: int, j: int, weight: float) -> None:
+        same = (blocks[i].home.side > 0) == (blocks[j].home.side > 0)
+        found.append((i, j, weight if same else weight * ACROSS))
+
     for i, b in enumerate(blocks):
         if i:
-            found.append((i - 1, i, TIE / (1 + _distance(blocks[i - 1].home, b.home))))
+            tie(i - 1, i, TIE / (1 + _distance(blocks[i - 1].home, b.home)))
         family = before.setdefault(id(b.home.parent or b.home), [])
-        found += [(j, i, TIE / 3) for j in family[-SIBLINGS:]]
+        for j in family[-SIBLINGS:]:
+            tie(j, i, TIE / 3)
         family.append(i)
     return found
 

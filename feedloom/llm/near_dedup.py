@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import bagminhash
-from feedloom.llm.common import on_workers, seeded, unwrapped, whole_text, wrapped
+from feedloom.llm.common import blocked, in_runs, on_workers, seeded, unwrapped, whole_text, wrapped
 from feedloom.llm.components import components
 from feedloom.session import settle
 
@@ -19,6 +20,12 @@ MIN_SIMILARITY = 0.8
 BANDS = 30
 BAND_ROWS = 6
 
+#: Pairs of signatures that agree less are not compared in full: the share of equal components lies this
+#: far below the threshold for one in three hundred of the pairs just at it, and for hardly any above.
+MIN_AGREEMENT = 0.72
+#: Signatures of a band that one task compares at once.
+BLOCK_ROWS = 1024
+
 #: Bags that a task keeps parsed while it compares pairs.
 _PARSED = 64
 
@@ -31,12 +38,13 @@ def _printer(words: int, bands: int, band_rows: int):
                 keys, weights = bagminhash.shingles(text, words)
                 if len(keys):
                     sig = bagminhash.signature(keys, weights, bands * band_rows)
+                    short = (sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
                     out.append(
-                        (int(weights.sum()), *bagminhash.bag_keys(keys, weights), bagminhash.bands(sig, band_rows))
+                        (int(weights.sum()), *bagminhash.bag_keys(keys, weights), bagminhash.bands(sig, band_rows), short)
                     )
                 else:
-                    out.append((0, 0, 0, []))
-            found = pd.DataFrame(out, columns=["n", "k1", "k2", "bands"], index=batch.index)
+                    out.append((0, 0, 0, [], b""))
+            found = pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sig"], index=batch.index)
             yield pd.concat([batch.drop(columns=["text"]), found], axis=1)
 
     return run
@@ -63,14 +71,51 @@ def _verifier(words: int, least: float):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def _agreeing(least: float, size_ratio: float):
+    """Pairs within a block of a band, of groups that are still apart, whose signatures agree enough.
+
+    A pair is told in the first band that it shares only: it is open there as well.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in in_runs(batches, ["band", "p", "q"]):
+            sig = np.array([np.frombuffer(x, dtype=np.uint16) for x in group["sig"]])
+            bands, here = np.array(group["bands"].tolist()), group["band"].iloc[0]
+            place, n, of = (group[c].to_numpy() for c in ("place", "n", "component"))
+            every = np.arange(len(group))
+            if group["p"].iloc[0] == group["q"].iloc[0]:
+                left, right = every, every
+            else:
+                own = (group["mine"] == group["p"]).to_numpy()
+                left, right = every[own], every[~own]
+            for at in range(0, len(left), 64):
+                rows = left[at : at + 64]
+                good = of[rows][:, None] != of[right][None, :]
+                good &= place[rows][:, None] < place[right][None, :] if left is right else True
+                small = np.minimum(n[rows][:, None], n[right][None, :])
+                good &= small >= size_ratio * np.maximum(n[rows][:, None], n[right][None, :])
+                i = np.flatnonzero(good.any(axis=1))
+                if not len(i):
+                    continue
+                good[i] &= bagminhash.agreement(sig[rows[i]], sig[right]) >= least
+                x, y = np.nonzero(good)
+                x, y = rows[x], right[y]
+                common = bands[x] == bands[y]
+                first = bands[x, common.argmax(axis=1)] == here
+                a, b = place[x[first]], place[y[first]]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of places whose bags overlap enough. Only texts that occur in pairs move."""
     asked = settle(pairs, "pairs")
     wanted = asked.select(F.col("a").alias("place")).union(asked.select(F.col("b").alias("place"))).distinct()
-    texts = settle(docs.join(wanted, "place", "left_semi").groupBy("place").agg(F.first("text").alias("text")), "texts")
+    used = texts.join(wanted, "place", "left_semi")
     both = asked.join(
-        texts.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a"
-    ).join(texts.select(F.col("place").alias("b"), F.col("text").alias("text_b")), "b")
+        used.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a"
+    ).join(used.select(F.col("place").alias("b"), F.col("text").alias("text_b")), "b")
     return settle(both.mapInPandas(_verifier(words, least), "a BIGINT, b BIGINT"), "links")
 
 
@@ -99,9 +144,11 @@ def near_duplicates(
     group the row with the smallest id stays (null ids last). Other columns are ignored.
 
     Classes that share a band are candidates. First each is compared with the first class of
-    its bands; then, within bands whose classes these links have not yet made one group, all that are
-    still apart. So a large group of near copies costs a comparison or two for each copy and
-    band, and no pair of classes that shares a band is left undecided.
+    its bands. Then, within bands whose classes are not yet one group, signatures are held against each
+    other, block by block, and pairs of classes that are still apart and agree well enough are
+    compared in full: first those that are likely links, then, by the groups these make, all others.
+    So a large group of near copies costs few comparisons, no list of all its pairs is made, and no
+    likely pair that shares a band is left undecided.
     """
     on_workers(docs.sparkSession)
     text = whole_text(text_col)
@@ -112,58 +159,70 @@ def near_duplicates(
     prints = settle(
         placed.select(F.monotonically_increasing_id().alias("row"), "id", "place", "text").mapInPandas(
             _printer(words, bands, band_rows),
-            f"row BIGINT, id {id_type}, place BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, bands ARRAY<BIGINT>",
+            f"row BIGINT, id {id_type}, place BIGINT, n BIGINT, k1 BIGINT, k2 BIGINT, bands ARRAY<BIGINT>, sig BINARY",
         ),
         "signatures",
     )
-    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row", "place"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row", "place")).alias("head")
     classes = settle(
         prints.filter("n > 0")
         .groupBy("k1", "k2", "n")
-        .agg(first.alias("head"), F.first("bands").alias("bands"))
-        .select("k1", "k2", "n", F.col("head.place").alias("place"), F.col("head.id").alias("class_id"), "bands"),
+        .agg(first)
+        .select("k1", "k2", "n", F.col("head.row").alias("row"), F.col("head.place").alias("place"), F.col("head.id").alias("class_id")),
         "classes",
     )
-    banded = classes.select("place", "n", F.explode("bands").alias("band"))
+    # Bands and signatures stay with the first row of each class.
+    heads_of = prints.select("row", "bands", "sig").join(classes.select("row", "place", "n"), "row")
+    banded = heads_of.select("place", "n", F.explode("bands").alias("band"))
     heads = (
         banded.groupBy("band")
         .agg(F.count("*").alias("size"), F.min(F.struct("place", "n")).alias("head"))
         .filter("size > 1")
-        .select("band", F.col("head.place").alias("other"), F.col("head.n").alias("other_n"))
+        .select("band", "size", F.col("head.place").alias("other"), F.col("head.n").alias("other_n"))
+    )
+    crowded = settle(banded.join(heads, "band").select("band", "size", "place", "n", "other", "other_n"), "bands")
+    members = crowded.select("place").distinct()
+    # One way of joining at every size: the texts are dealt by place once, and only candidates stay.
+    texts = settle(
+        placed.select("place", "text")
+        .join(members.hint("merge"), "place", "left_semi")
+        .groupBy("place")
+        .agg(F.first("text").alias("text")),
+        "texts",
     )
-    crowded = settle(banded.join(heads, "band").select("band", "place", "n", "other", "other_n"), "bands")
     first_pairs = (
         crowded.filter(F.col("place") != F.col("other"))
         .filter(_alike(min_similarity))
-        .select(F.col("other").alias("a"), F.col("place").alias("b"))
+        .select(F.least("other", "place").alias("a"), F.greatest("other", "place").alias("b"))
         .distinct()
     )
-    links = _verified(first_pairs, placed, words, min_similarity)
+    links = _verified(first_pairs, texts, words, min_similarity)
     found = settle(components(links), "groups")
+    signed = heads_of.join(members, "place", "left_semi").select("place", "sig", "bands")
 
-    labelled = crowded.select("band", "place", "n").join(
-        found.select(F.col("id").alias("place"), "component"), "place", "left"
-    ).withColumn("component", F.coalesce("component", "place"))
-    apart = (
-        labelled.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("band")
-    )
-    open_rows = settle(labelled.join(apart, "band"), "open")
-    left = open_rows.select("band", F.col("place").alias("a"), F.col("n").alias("other_n"), F.col("component").alias("of_a"))
-    right = open_rows.select("band", F.col("place").alias("b"), "n", F.col("component").alias("of_b"))
-    more = (
-        left.join(right, "band")
-        .filter("a < b AND of_a <> of_b")
-        .filter(_alike(min_similarity))
-        .select("a", "b")
-        .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
-    further = _verified(more, placed, words, min_similarity)
-    if further.limit(1).count():
-        found = settle(components(links.unionByName(further)), "groups")
+    for least in (min_similarity, MIN_AGREEMENT * min_similarity / MIN_SIMILARITY):
+        labelled = crowded.select("band", "size", "place", "n").join(
+            found.select(F.col("id").alias("place"), "component"), "place", "left"
+        ).withColumn("component", F.coalesce("component", "place"))
+        apart = (
+            labelled.groupBy("band")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .filter("low <> high")
+            .select("band")
+        )
+        open_rows = settle(labelled.join(apart, "band", "left_semi"), "open").join(signed, "place")
+        dealt = blocked(open_rows, "band", "size", "place", ["n", "component", "sig", "bands"], BLOCK_ROWS)
+        agreeing = (
+            dealt.repartition("band", "p", "q")
+            .sortWithinPartitions("band", "p", "q")
+            .mapInPandas(_agreeing(least, min_similarity), "a BIGINT, b BIGINT")
+            .distinct()
+            .join(first_pairs, ["a", "b"], "left_anti")
+        )
+        further = _verified(agreeing, texts, words, min_similarity)
+        if further.limit(1).count():
+            links = links.unionByName(further)
+            found = settle(components(links), "groups")
 
     grouped = classes.select("k1", "k2", "n", "place", "class_id").join(
         found.select(F.col("id").alias("place"), "component"), "place", "left"

@@ -44,6 +44,14 @@ PAGES = [
         "<ul><li>first point</li><li>second point</li></ul><table><tr><td>cell</td><td>other</td></tr></table></div><div class='sidebar'><p>Side words</p></div>",
         "Text of a page without an article element, some words long. first point second point cell other",
     ),
+    (
+        '<body><div class="topNav"><a href=/>Home</a></div><article><header class="x"><h1>Head</h1></header><p>Some words of an article that is told here at length.</p>'
+        '<div class="ad-box">A very long advert with a great many words in it, so that its length speaks for it as much as length can, and yet more words.</div>'
+        "<p>To.</p><p>All rights reserved.</p><ul><li>one</li><li><a href=x>two</a></li></ul></article><div role='complementary'><p>Side text of some length</p></div>"
+        "<div id='userComments'><div class='comment'><p>I think this is a very good article and I have a lot to say about it.</p></div></div></body>",
+        "Head Some words of an article that is told here at length. To. All rights reserved. one two",
+    ),
+    ("<body><nav><ul><li>Home</li></ul></nav><p>Short.</p><footer>Imprint</footer></body>", "Short."),
     ("<article><p>cut off in the mid", "cut off in the mid"), ("<article><p>a <b>b <i>c</article> <p>", "a b c"),
     ("<article>" + "<p>word &lt;tag&gt; word.</p>" * 3000 + "</article>", " ".join(["word <tag> word."] * 3000)),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
