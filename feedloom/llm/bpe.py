@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import fresh_name, on_workers
 
 #: Parts up to so many code points (or bytes of one piece) are encoded at once.
-LEAF = 1024
+LEAF = 4096
 #: First size of a window on either side of a seam, in code points and in tokens.
 REACH = 32
 NEAR = 4
@@ -173,7 +173,9 @@ def encode_texts(
         v = vocabulary(ranks, pattern)
         return column.map(lambda t: encode(v, t or "", leaf=leaf), na_action=None)
 
-    return df.withColumn(ids_col, encoded(F.col(f"`{text_col}`").cast("string")))
+    # So marked, the ids are made once however often a plan refers to them.
+    once = encoded.asNondeterministic()
+    return df.withColumn(ids_col, once(F.col(f"`{text_col}`").cast("string")))
 
 
 def decode_ids(
