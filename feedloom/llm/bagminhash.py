@@ -153,6 +153,16 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([(row == b).mean(axis=1) for row in a]).reshape(len(a), len(b))
 
 
+def bins(keys: np.ndarray, weights: np.ndarray, n: int = 256) -> np.ndarray:
+    """How many shingles of a bag fall into each bin of hashes."""
+    return np.bincount((keys % _U(n)).astype(np.int64), weights, minlength=n).astype(np.int32)
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most that bags can have in common by their bins, for all pairs of rows of two tables."""
+    return np.array([np.minimum(row, b).sum(axis=1, dtype=np.int64) for row in a]).reshape(len(a), len(b))
+
+
 def bag_keys(keys: np.ndarray, weights: np.ndarray) -> tuple[int, int]:
     """128 bits that equal bags share."""
     w = weights.astype(np.uint64)

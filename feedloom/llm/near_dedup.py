@@ -20,11 +20,9 @@ MIN_SIMILARITY = 0.8
 BANDS = 30
 BAND_ROWS = 6
 
-#: Pairs of signatures that agree less are not compared in full: the share of equal components lies this
-#: far below the threshold for one in three hundred of the pairs just at it, and for hardly any above.
-MIN_AGREEMENT = 0.72
-#: Signatures of a band that one task compares at once.
+#: Rows of a band that one task compares at once, and shingles that those may have on average.
 BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20
 
 #: Bags that a task keeps parsed while it compares pairs.
 _PARSED = 64
@@ -71,43 +69,120 @@ def _verifier(words: int, least: float):
     return run
 
 
-def _agreeing(least: float, size_ratio: float):
-    """Pairs within a block of a band, of groups that are still apart, whose signatures agree enough.
+def _open_pairs(group: pd.DataFrame, size_ratio: float, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y) of a block of a band, of groups that are still apart, of sizes that can reach the threshold, and `close`.
 
     A pair is told in the first band that it shares only: it is open there as well.
     """
+    bands, here = np.array(group["bands"].tolist()), group["band"].iloc[0]
+    place, n, of = (group[c].to_numpy() for c in ("place", "n", "component"))
+    every = np.arange(len(group))
+    if group["p"].iloc[0] == group["q"].iloc[0]:
+        left, right = every, every
+    else:
+        own = (group["mine"] == group["p"]).to_numpy()
+        left, right = every[own], every[~own]
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        good = of[rows][:, None] != of[right][None, :]
+        good &= place[rows][:, None] < place[right][None, :] if left is right else True
+        small = np.minimum(n[rows][:, None], n[right][None, :])
+        good &= small >= size_ratio * np.maximum(n[rows][:, None], n[right][None, :])
+        i = np.flatnonzero(good.any(axis=1))
+        if not len(i):
+            continue
+        good[i] &= close(rows[i], right)
+        x, y = np.nonzero(good)
+        x, y = rows[x], right[y]
+        first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == here
+        yield x[first], y[first]
+
+
+def _agreeing(least: float, size_ratio: float):
+    """Open pairs within a block of a band whose signatures agree enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in in_runs(batches, ["band", "p", "q"]):
             sig = np.array([np.frombuffer(x, dtype=np.uint16) for x in group["sig"]])
-            bands, here = np.array(group["bands"].tolist()), group["band"].iloc[0]
-            place, n, of = (group[c].to_numpy() for c in ("place", "n", "component"))
-            every = np.arange(len(group))
-            if group["p"].iloc[0] == group["q"].iloc[0]:
-                left, right = every, every
-            else:
-                own = (group["mine"] == group["p"]).to_numpy()
-                left, right = every[own], every[~own]
-            for at in range(0, len(left), 64):
-                rows = left[at : at + 64]
-                good = of[rows][:, None] != of[right][None, :]
-                good &= place[rows][:, None] < place[right][None, :] if left is right else True
-                small = np.minimum(n[rows][:, None], n[right][None, :])
-                good &= small >= size_ratio * np.maximum(n[rows][:, None], n[right][None, :])
-                i = np.flatnonzero(good.any(axis=1))
-                if not len(i):
-                    continue
-                good[i] &= bagminhash.agreement(sig[rows[i]], sig[right]) >= least
-                x, y = np.nonzero(good)
-                x, y = rows[x], right[y]
-                common = bands[x] == bands[y]
-                first = bands[x, common.argmax(axis=1)] == here
-                a, b = place[x[first]], place[y[first]]
+            place = group["place"].to_numpy()
+            for x, y in _open_pairs(group, size_ratio, lambda i, j: bagminhash.agreement(sig[i], sig[j]) >= least):
+                a, b = place[x], place[y]
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
+def _binned(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bins = [bagminhash.bins(*bagminhash.shingles(text, words)).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"place": batch["place"], "bins": bins})
+
+    return run
+
+
+def _possible(bins: np.ndarray, n: np.ndarray, least: float):
+    """Pairs whose overlap, were all shingles of a bin the same, would do: never fewer than those that link."""
+
+    def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = bagminhash.most_common(bins[i], bins[j])
+        return most / (n[i][:, None] + n[j][None, :] - most) >= least
+
+    return close
+
+
+def _undecided(least: float):
+    """Rows of a block of a band, once each, that are in an open pair which may link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in in_runs(batches, ["band", "p", "q"]):
+            bins = np.array([np.frombuffer(x, dtype=np.int32) for x in group["bins"]])
+            found = np.zeros(len(group), dtype=bool)
+            for x, y in _open_pairs(group, least, _possible(bins, group["n"].to_numpy(), least)):
+                found[x] = found[y] = True
+            yield group.loc[found, ["band", "place"]]
+
+    return run
+
+
+def _linking(words: int, least: float):
+    """Open pairs within a block of a band whose bags overlap enough, fewer than the block has groups.
+
+    A pair whose groups the block has joined already is not compared.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in in_runs(batches, ["band", "p", "q"]):
+            bags = [bagminhash.shingles(text, words) for text in group["text"]]
+            bins = np.array([bagminhash.bins(*bag) for bag in bags])
+            place, n, of = group["place"].to_numpy(), group["n"].to_numpy(), group["component"].to_numpy().copy()
+            starts = np.cumsum([0, *(len(keys) for keys, _ in bags)])
+            known, at = np.unique(np.concatenate([keys for keys, _ in bags]), return_inverse=True)
+            weights = np.concatenate([w for _, w in bags])
+            own = np.zeros(len(known), dtype=np.int64)
+            links = []
+            for xs, ys in _open_pairs(group, least, _possible(bins, n, least)):
+                for x in np.unique(xs):
+                    others = ys[xs == x]
+                    others = others[of[others] != of[x]]
+                    if not len(others):
+                        continue
+                    mine = at[starts[x] : starts[x + 1]]
+                    own[mine] = weights[starts[x] : starts[x + 1]]
+                    for y in others:
+                        if of[y] == of[x]:
+                            continue
+                        theirs = slice(starts[y], starts[y + 1])
+                        both = int(np.minimum(own[at[theirs]], weights[theirs]).sum())
+                        if both / (int(n[x]) + int(n[y]) - both) >= least:
+                            links.append((min(place[x], place[y]), max(place[x], place[y])))
+                            of[of == of[y]] = of[x]
+                    own[mine] = 0
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of places whose bags overlap enough. Only texts that occur in pairs move."""
     asked = settle(pairs, "pairs")
@@ -125,6 +200,25 @@ def _alike(least: float):
     return small >= large * least
 
 
+def _still_open(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the bands whose classes are not one group, with their group (`component`)."""
+    labelled = crowded.select("band", "size", "place", "n").join(
+        found.select(F.col("id").alias("place"), "component"), "place", "left"
+    ).withColumn("component", F.coalesce("component", "place"))
+    apart = (
+        labelled.groupBy("band")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("band")
+    )
+    return settle(labelled.join(apart, "band", "left_semi"), "open")
+
+
+def _in_blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
+    dealt = blocked(rows, "band", "size", "place", keep, BLOCK_ROWS)
+    return dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -145,10 +239,11 @@ def near_duplicates(
 
     Classes that share a band are candidates. First each is compared with the first class of
     its bands. Then, within bands whose classes are not yet one group, signatures are held against each
-    other, block by block, and pairs of classes that are still apart and agree well enough are
-    compared in full: first those that are likely links, then, by the groups these make, all others.
-    So a large group of near copies costs few comparisons, no list of all its pairs is made, and no
-    likely pair that shares a band is left undecided.
+    other, block by block, and likely links are compared in full. Last, by the groups these make, all
+    pairs that share a band and are still apart are decided by their bags, whatever their signatures
+    say: counts of shingles in bins, an upper limit of the overlap, show which rows can link at all,
+    and the texts of those meet in the blocks. So a large group of near copies costs few comparisons,
+    no list of all its pairs is made, and no pair that shares a band is left undecided.
     """
     on_workers(docs.sparkSession)
     text = whole_text(text_col)
@@ -200,29 +295,45 @@ def near_duplicates(
     found = settle(components(links), "groups")
     signed = heads_of.join(members, "place", "left_semi").select("place", "sig", "bands")
 
-    for least in (min_similarity, MIN_AGREEMENT * min_similarity / MIN_SIMILARITY):
-        labelled = crowded.select("band", "size", "place", "n").join(
-            found.select(F.col("id").alias("place"), "component"), "place", "left"
-        ).withColumn("component", F.coalesce("component", "place"))
-        apart = (
-            labelled.groupBy("band")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low <> high")
-            .select("band")
-        )
-        open_rows = settle(labelled.join(apart, "band", "left_semi"), "open").join(signed, "place")
-        dealt = blocked(open_rows, "band", "size", "place", ["n", "component", "sig", "bands"], BLOCK_ROWS)
-        agreeing = (
-            dealt.repartition("band", "p", "q")
-            .sortWithinPartitions("band", "p", "q")
-            .mapInPandas(_agreeing(least, min_similarity), "a BIGINT, b BIGINT")
-            .distinct()
-            .join(first_pairs, ["a", "b"], "left_anti")
-        )
-        further = _verified(agreeing, texts, words, min_similarity)
-        if further.limit(1).count():
-            links = links.unionByName(further)
-            found = settle(components(links), "groups")
+    open_rows = _still_open(crowded, found).join(signed, "place")
+    agreeing = (
+        _in_blocks(open_rows, ["n", "component", "sig", "bands"])
+        .mapInPandas(_agreeing(min_similarity, min_similarity), "a BIGINT, b BIGINT")
+        .distinct()
+        .join(first_pairs, ["a", "b"], "left_anti")
+    )
+    further = _verified(agreeing, texts, words, min_similarity)
+    if further.limit(1).count():
+        links = links.unionByName(further)
+        found = settle(components(links), "groups")
+
+    # No test by signatures here: every pair that is still apart is decided.
+    left_open = _still_open(crowded, found)
+    bins = texts.join(left_open.select("place").distinct(), "place", "left_semi").mapInPandas(
+        _binned(words), "place BIGINT, bins BINARY"
+    )
+    banded_bins = left_open.join(signed.select("place", "bands"), "place").join(bins, "place")
+    undecided = settle(
+        _in_blocks(banded_bins, ["n", "component", "bins", "bands"])
+        .mapInPandas(_undecided(min_similarity), "band BIGINT, place BIGINT")
+        .distinct(),
+        "undecided",
+    )
+    asked = left_open.drop("size").join(undecided, ["band", "place"], "left_semi")
+    held = F.greatest(F.count("*"), F.ceil(F.sum("n") * BLOCK_ROWS / BLOCK_SHINGLES))
+    sized = asked.join(asked.groupBy("band").agg(held.alias("size")), "band")
+    last = settle(
+        _in_blocks(
+            sized.join(signed.select("place", "bands"), "place").join(
+                texts.join(undecided.select("place").distinct(), "place", "left_semi"), "place"
+            ),
+            ["n", "component", "bands", "text"],
+        ).mapInPandas(_linking(words, min_similarity), "a BIGINT, b BIGINT"),
+        "links",
+    )
+    if last.limit(1).count():
+        links = links.unionByName(last)
+        found = settle(components(links), "groups")
 
     grouped = classes.select("k1", "k2", "n", "place", "class_id").join(
         found.select(F.col("id").alias("place"), "component"), "place", "left"

@@ -126,3 +126,25 @@ def test_groups_are_brute_force(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id BIGINT, text STRING")
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
+
+
+def test_pairs_of_unlike_signatures_are_decided(spark):
+    # Signatures of ten components agree by chance in far fewer than eight for many pairs that overlap by 0.8.
+    rng, rows = random.Random(11), []
+    for _ in range(40):
+        text = rng.choices(VOCABULARY, k=120)
+        rows += [" ".join(edited(rng, text, 0.018)) for _ in range(8)]
+    bags = [bmh.shingles(t) for t in rows]
+    signatures = np.array([bmh.signature(*b, 10) for b in bags])
+    parent = list(range(len(rows)))
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero((signatures[:i] == signatures[i]).any(axis=1)):
+            if bmh.overlap(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    found = near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id BIGINT, text STRING"), bands=10, band_rows=1)
+    assert {r.id: r.group_id for r in found.collect()} == {i: top(i) for i in range(len(rows))}
