@@ -33,7 +33,11 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SILENT_TAGS = frozenset("script style noscript template head title textarea select option svg math iframe object".split())
 #: Elements that hold no main text.
 SIDE_TAGS = frozenset("nav footer aside form button menu dialog search fieldset label".split())
+#: Those of them, and of the roles, that pages also put around their main text.
+WRAPPING = frozenset(("form", "fieldset"))
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that may stand in the head of a page; any other ends it, closed or not.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 #: Words in class and id names. A word counts as a whole part of the name, as in `post-comments`.
 SIDE_WORDS = frozenset(
@@ -52,6 +56,10 @@ _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Evidence against main text that an element of those kinds brings; no length or tie outweighs it.
 SIDE = 12.0
+#: What is left of it, once for all of them, for elements around the main text.
+WRAPPER = 0.5
+#: An element of a side name without main elements in it is around the main text if it holds this share of the words.
+MOST = 0.8
 #: Strength of the ties between blocks, and how far back siblings are tied.
 TIE = 1.2
 SIBLINGS = 2
@@ -68,6 +76,8 @@ class Element:
     main: float  # evidence for it
     silent: bool
     link: bool
+    strong: float = 0.0  # evidence against main text from this element alone
+    weak: float = 0.0  # the same from names, which may be those of an element around the main text
 
 
 @dataclass
@@ -84,6 +94,7 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.at = Element("", None, 0, 0.0, 0.0, False, False)
+        self.elements = [self.at]
         self.blocks: list[Block] = []
         self.open: Block | None = None
 
@@ -91,11 +102,14 @@ class _Reader(HTMLParser):
         self.open = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_TAGS:
+            self._end_head()
         if tag in _ENDS_PARAGRAPH:
             self._close_one({"p"})
         if tag in _SAME_ENDS:
             self._close_one(_SAME_ENDS[tag])
-        side, main = _evidence(tag, attrs, self.at)
+        strong, weak, main = _evidence(tag, attrs, self.at)
+        side = self.at.side + strong + weak
         apart = tag in BLOCK_TAGS or side > self.at.side
         if apart:
             self._break()
@@ -104,8 +118,10 @@ class _Reader(HTMLParser):
         if tag in VOID_TAGS:
             return
         self.at = Element(
-            tag, self.at, self.at.depth + 1, side, main, self.at.silent or tag in SILENT_TAGS, self.at.link or tag == "a"
+            tag, self.at, self.at.depth + 1, side, main, self.at.silent or tag in SILENT_TAGS, self.at.link or tag == "a",
+            strong, weak,
         )
+        self.elements.append(self.at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -116,6 +132,16 @@ class _Reader(HTMLParser):
         if gone.tag in BLOCK_TAGS or gone.side > self.at.side:
             self._break()
 
+    def _end_head(self) -> None:
+        """Close an open head, as browsers do when the body begins without a tag."""
+        up = self.at
+        while up.silent and up.tag not in ("head", "template"):
+            up = up.parent
+        if up.tag == "head":
+            stop = up.parent
+            while self.at is not stop:
+                self._leave()
+
     def _close_one(self, tags: set[str]) -> None:
         """Close the nearest open element of these tags, unless a container lies between."""
         up = self.at
@@ -142,6 +168,8 @@ class _Reader(HTMLParser):
             self._break()
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self._end_head()
         if self.at.silent or not data:
             return
         if self.open is None or not _same_block(self.open.home, self.at):
@@ -165,13 +193,16 @@ def _same_block(home: Element, at: Element) -> bool:
     return home is _block_home(at)
 
 
-def _evidence(tag: str, attrs: list[tuple[str, str | None]], above: Element) -> tuple[float, float]:
-    side, main = above.side, above.main
-    if tag in SIDE_TAGS:
-        side += SIDE
+def _evidence(tag: str, attrs: list[tuple[str, str | None]], above: Element) -> tuple[float, float, float]:
+    """Evidence against main text, strong and weak, of this element alone, and evidence for it with those above."""
+    strong, weak, main = 0.0, 0.0, above.main
+    if tag in WRAPPING:
+        weak += SIDE
+    elif tag in SIDE_TAGS:
+        strong += SIDE
     elif tag == "header":
         # The head of a page, not of its article.
-        side += SIDE if above.main < 3.0 else 0.0
+        strong += SIDE if above.main < 3.0 else 0.0
     if tag in MAIN_TAGS:
         main = max(main, 3.0)
     for name, value in attrs:
@@ -179,17 +210,71 @@ def _evidence(tag: str, attrs: list[tuple[str, str | None]], above: Element) ->
         value = (value or "").strip().lower()
         if name in ("class", "id"):
             if tag not in ("html", "body") and tag not in MAIN_TAGS:
-                side += SIDE * bool(words & SIDE_WORDS)
+                weak += SIDE * bool(words & SIDE_WORDS)
             if words & MAIN_WORDS and not words & SIDE_WORDS:
                 main = max(main, 2.0)
         elif name == "role":
-            side += SIDE * (value in SIDE_ROLES)
+            if value in WRAPPING:
+                weak += SIDE
+            else:
+                strong += SIDE * (value in SIDE_ROLES)
             main = max(main, 3.0 * (value in ("main", "article")))
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            side += SIDE
+            strong += SIDE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            side += SIDE
-    return side, main
+            strong += SIDE
+    return strong, weak, main
+
+
+def _unwrap(elements: list[Element], blocks: list[Block]) -> None:
+    """Take back most of the evidence of side names whose elements are around the main text.
+
+    Such an element holds more of the words in article and main elements than stand elsewhere, and
+    more words than stand elsewhere without any evidence against them; or nearly all words, with no
+    article or main element beside it. Elements come parents first.
+    """
+    if not any(e.weak for e in elements):
+        return
+    place = {id(e): i for i, e in enumerate(elements)}
+    above = [place[id(e.parent)] if e.parent else -1 for e in elements]
+    here = [0] * len(elements)
+    for b in blocks:
+        here[place[id(b.home)]] += len(b.text.split())
+    # Words below each element: free of evidence, free of strong evidence, and those of the latter in main elements.
+    clean, named, marked = list(here), list(here), [n if e.main >= 3.0 else 0 for n, e in zip(here, elements)]
+    for i in range(len(elements) - 1, 0, -1):
+        e, up = elements[i], above[i]
+        if not e.strong:
+            named[up] += named[i]
+            marked[up] += marked[i]
+            clean[up] += 0 if e.weak else clean[i]
+    # The same outside each element.
+    outside = [(0, 0, 0)] * len(elements)
+    for i in range(1, len(elements)):
+        e, up = elements[i], above[i]
+        own = (0 if e.strong or e.weak else clean[i], *((0, 0) if e.strong else (named[i], marked[i])))
+        outside[i] = tuple(o + w - x for o, w, x in zip(outside[up], (clean[up], named[up], marked[up]), own))
+    # Inner elements first: what one around the main text holds counts for those around it.
+    words, main = list(here), [0] * len(elements)
+    around = [False] * len(elements)
+    for i in range(len(elements) - 1, 0, -1):
+        e, up = elements[i], above[i]
+        if e.main >= 3.0 and elements[up].main < 3.0:
+            main[i] = words[i]
+        if e.weak:
+            free, rest, others = outside[i]
+            holds = main[i] > others and words[i] > free
+            most = words[i] >= MOST * (words[i] + rest) and (not others or elements[up].main >= 3.0)
+            around[i] = words[i] > 0 and (holds or most)
+        if not e.strong and (not e.weak or around[i]):
+            words[up] += words[i]
+            main[up] += main[i]
+    wrapped = [False] * len(elements)
+    for i in range(1, len(elements)):
+        e, up = elements[i], above[i]
+        wrapped[i] = wrapped[up] or around[i]
+        inherited = elements[up].side - WRAPPER * wrapped[up]
+        e.side = inherited + e.strong + (0.0 if around[i] else e.weak) + WRAPPER * wrapped[i]
 
 
 def read_blocks(html: str) -> list[Block]:
@@ -198,7 +283,9 @@ def read_blocks(html: str) -> list[Block]:
     reader.close()
     for b in reader.blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in reader.blocks if b.text]
+    blocks = [b for b in reader.blocks if b.text]
+    _unwrap(reader.elements, blocks)
+    return blocks
 
 
 def content_score(block: Block) -> float:
@@ -228,7 +315,7 @@ def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
     before: dict[int, list[int]] = {}
 
     def tie(i: int, j: int, weight: float) -> None:
-        same = (blocks[i].home.side > 0) == (blocks[j].home.side > 0)
+        same = (blocks[i].home.side >= SIDE) == (blocks[j].home.side >= SIDE)
         found.append((i, j, weight if same else weight * ACROSS))
 
     for i, b in enumerate(blocks):

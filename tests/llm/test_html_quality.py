@@ -70,6 +70,35 @@ def test_pages(spark):
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
 
 
+STORY = "<article><h1>Head</h1><p>Some words of an article that is told here at length.</p><p>To be continued.</p></article>"
+TOLD = "Head Some words of an article that is told here at length. To be continued."
+COMMENTS = "<section id=comments>" + "<p>I think this is a very good article and I have a lot to say.</p>" * 9 + "</section>"
+OPEN_HEADS = [
+    f"<html><head><title>T</title><meta charset=utf-8><body>{STORY}</body></html>",
+    f"<head><title>T</title><style>p{{}}</style><noscript><link href=x></noscript>{STORY}",
+    f"<head><link rel=x><script>var x='<p>no</p>'</script><div>{STORY}</div>",
+    f"<head><title>T</title><template><p>no</p></template><header>Site</header>{STORY}",
+]
+WRAPPED = [
+    f"<body><form id=aspnetForm><nav><a href=/>Home</a></nav>{STORY}<label>Mail</label></form><footer>us</footer></body>",
+    f"<div class='container no-sidebar'><div class=has-comments>{STORY}{COMMENTS}</div></div><div class=cookie-notice>We use cookies.</div>",
+    f"<div class='container no-sidebar'><main><div>{STORY}</div></main><div class=sidebar>Side words</div></div>{COMMENTS}",
+    f"<form><div class=has-comments>{STORY.replace('article>', 'div>')}</div></form>",
+    f"{STORY}{COMMENTS}<div class=related><article>Other story</article></div>",
+    f"<div>{STORY.replace('article>', 'div>')}</div><aside><article>Other story</article></aside><div class=related><article>Third</article></div>",
+    f"<article>{STORY[9:-10]}<div class=comments><p>I like it.</p></div></article>",
+]
+
+
+@pytest.mark.parametrize("html", OPEN_HEADS + WRAPPED)
+def test_open_heads_and_wrappers_lose_nothing(html):
+    assert html_text.main_text(html) == TOLD
+    blocks = html_text.read_blocks(html)
+    scores, edges = [html_text.content_score(b) for b in blocks], html_text.ties(blocks)
+    best = min(cost(x, scores, edges) for x in itertools.product((False, True), repeat=len(blocks)))
+    assert np.isclose(cost(html_text.minimum_cut(scores, edges), scores, edges), best)
+
+
 def test_given_pages_hold_their_article(spark, sf):
     import re
     from html import unescape
