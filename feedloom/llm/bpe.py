@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import fresh_name, on_workers
 
 #: Parts up to so many code points (or bytes of one piece) are encoded at once.
-LEAF = 4096
+LEAF = 1024
 #: First size of a window on either side of a seam, in code points and in tokens.
 REACH = 32
 NEAR = 4

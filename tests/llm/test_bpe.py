@@ -68,3 +68,11 @@ def test_query_form(spark, sf, known):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert bpe.digests(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_a_middling_text_is_halved(known, monkeypatch):
+    seams, plain = [], bpe._seam
+    monkeypatch.setattr(bpe, "_seam", lambda *a: seams.append(a[2:]) or plain(*a))
+    text = "Some words, 12 of them; and more.\n" * 60
+    assert bpe.encode(V, text).tolist() == known.encode_ordinary(text)
+    assert len(text) < 4096 and seams
