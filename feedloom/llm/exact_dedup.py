@@ -35,25 +35,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def narrowed(prints: DataFrame) -> DataFrame:
+    """The rows that share both length and prefix hash with another row.
+
+    Rows alone at their length leave first, then, of the others, rows alone at their prefix hash.
+    Each step is written, so that the next counts within its own tasks before it shuffles.
+    """
+    rows = prints
+    for key in (["length"], ["length", "prefix"]):
+        shared = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+        rows = settle(rows.join(shared, key, "left_semi"), f"same_{key[-1]}")
+    return rows
+
+
 def equal_groups(prints: DataFrame) -> DataFrame:
     """Groups of two or more equal rows: length, prefix, full, group_size, keep.
 
-    Rows alone at their length leave first, then rows alone at their prefix hash; full hashes are
-    compared only in what remains. Each step counts before it shuffles, so a large group of
-    copies is one row per task by then.
+    Full hashes are compared only among the rows that `narrowed` leaves. Rows are counted before
+    they are shuffled, so a large group of copies is one row per task by then.
     """
-    counted = prints.groupBy("length", "prefix").agg(F.count("*").alias("n"))
-    lengths = counted.groupBy("length").agg(F.sum("n").alias("n")).filter("n > 1").select("length")
-    prefixes = (
-        counted.filter("n > 1").join(lengths, "length", "left_semi").select("length", "prefix")
-    )
     best = F.struct(
         (-F.col("n_chars")).alias("shorter"), F.col("id").isNull().alias("unknown"), "id", "row"
     )
-    whole = prints.groupBy("length", "prefix", "full").agg(
+    whole = narrowed(prints).groupBy("length", "prefix", "full").agg(
         F.count("*").alias("group_size"), F.min(best).alias("keep")
     )
-    return whole.filter("group_size > 1").join(prefixes, ["length", "prefix"], "left_semi")
+    return whole.filter("group_size > 1")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
