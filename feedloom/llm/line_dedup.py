@@ -37,16 +37,26 @@ def _hashes(key: Column) -> list[Column]:
 
 
 def common_lines(
-    docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_docs: int = MIN_DOCUMENTS,
+    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
-    """Hashes (h1, h2) of the keys found in at least `min_docs` rows of `docs`.
+    """Hashes (h1, h2) of the keys found in at least `min_docs` documents.
 
-    A key counts once per row of `docs`, however often the row repeats it. Counts are summed in
-    each task before the shuffle.
+    A key counts once per id, however many rows of `docs` have that id and however often they repeat
+    the key; each row with a null id is a document of its own. Counts are summed in each task
+    before the shuffle.
     """
+    id_ = F.col(f"`{id_col}`")
     keys = F.array_distinct(F.transform(lines_of(F.col(f"`{text_col}`")), line_key))
-    each = docs.select(F.explode(keys).alias("key")).filter(F.char_length("key") >= min_chars)
-    counted = each.select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    named = docs.select(
+        id_.alias("id"), F.when(id_.isNull(), F.monotonically_increasing_id()).alias("row"), keys.alias("keys")
+    )
+    each = named.select("id", "row", F.explode("keys").alias("key")).filter(F.char_length("key") >= min_chars)
+    once = each.select(*_hashes(F.col("key")), "id", "row").distinct()
+    counted = once.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= min_docs).select("h1", "h2")
 
 
@@ -59,13 +69,13 @@ def drop_common_lines(
 ) -> DataFrame:
     """`docs` with `text_col` cleaned, and two more columns, n_lines and n_dropped.
 
-    Keys of at least `min_chars` code points that occur in at least `min_docs` rows lose all
+    Keys of at least `min_chars` code points that occur in at least `min_docs` documents lose all
     their lines; the others stay in their order. A null or empty text is one empty line and
     becomes ''. Rows are found again by a hash of id and text: whether a line goes depends on
     the line alone, so rows that share a hash cannot harm each other, and null or repeated ids
     need no special case. Column names n_lines and n_dropped of `docs` are replaced.
     """
-    common = common_lines(docs, text_col, min_docs, min_chars)
+    common = common_lines(docs, id_col, text_col, min_docs, min_chars)
 
     def place(id_: Column, text: Column) -> Column:
         return seeded("row", id_, text)

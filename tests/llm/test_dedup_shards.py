@@ -51,6 +51,18 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_full_hashes_are_compared_only_where_length_and_prefix_agree(spark, monkeypatch):
+    from feedloom.llm import exact_dedup as module
+
+    head = "x" * module.PREFIX
+    texts = ["a b", "ab", "cd", "abc", head + "1", head + "2", head + "12", "é"]
+    prints = module.fingerprints(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).cache()
+    assert sorted(r.id for r in module.narrowed(prints).collect()) == [0, 1, 4, 5]
+    assert [r.group_size for r in module.equal_groups(prints).collect()] == [2]
+    monkeypatch.setattr(module, "narrowed", lambda rows: rows.limit(0))
+    assert module.equal_groups(prints).count() == 0
+
+
 def clean_lines(texts, least):
     key = lambda line: "".join(
         c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r")
@@ -79,6 +91,14 @@ def test_line_dedup_is_brute_force(spark):
     assert drop_common_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_of_repeated_ids_count_once(spark):
+    rows = [(i, "five documents\nown", "k") for i in range(5)] * 2
+    rows += [(None, "no id", "k")] * 10 + [(i, "ten documents", "k") for i in range(20, 30)] + [(30, f"one\n{i}", "k") for i in range(12)]
+    got = collections.Counter(r.text for r in drop_common_lines(frame(spark, rows)).collect())
+    assert got["five documents\nown"] == 10 and got[""] == 20
+    assert sum(n for text, n in got.items() if text.startswith("one\n")) == 12
+
+
 def xx(*parts):
     """Spark's xxhash64 of strings, integers (INT or BIGINT) and nulls."""
     seed = 42
