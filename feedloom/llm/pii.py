@@ -7,6 +7,7 @@ identifier-like values in its slot; values vouched for well enough become truste
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,12 @@ _SIGN = r"[A-Za-z0-9._%+@-]"
 IDENTIFIER = rf"(?<!{_SIGN})(?=[A-Za-z._%+-]*+[0-9@]){_SIGN}{{5,}}[A-Za-z0-9]"
 
 #: Production parameters of the bootstrap.
-ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
 MIN_BELIEF = 0.9
-#: Code points around a value that its context words are taken from.
-BEFORE, AFTER = 48, 24
+#: Code points before and after a value that are searched first for its context words. Where these do not
+#: hold the words whole, wider ones are taken, and at last all of the text.
+WINDOWS = ((48, 24), (1024, 1024))
 
 MASKS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>")
 _SPAN = "start INT, kind INT, stop INT"
@@ -118,12 +119,18 @@ def base_spans(df: DataFrame, text: Column, name: str = "base") -> DataFrame:
 
 
 def _contexts(text: Column, start: Column, stop: Column) -> Column:
-    """Patterns of a place: the two words before it, and the words on either side."""
-    before = F.lower(F.substr(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE))))
-    after = F.lower(F.substr(text, stop + 1, F.lit(AFTER)))
-    two = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
-    one = F.regexp_extract(before, r"(\S+)\s*$", 1)
-    following = F.regexp_extract(after, r"^\s*(\S+)", 1)
+    """Patterns of a place: the two words before it, and the words on either side, all of them whole."""
+    before, after = F.substr(text, F.lit(1), start), F.substr(text, stop + 1, F.char_length(text))
+    for left, right in reversed(WINDOWS):
+        near = F.substr(text, F.greatest(start - left, F.lit(0)) + 1, F.least(start, F.lit(left)))
+        before = F.when((start <= left) | near.rlike(r"(?<=\s)\S++\s++\S++\s*+$"), near).otherwise(before)
+        near = F.substr(text, stop + 1, F.lit(right))
+        after = F.when((F.char_length(near) < right) | near.rlike(r"^\s*+\S++\s"), near).otherwise(after)
+    before, after = F.lower(before), F.lower(after)
+    # A word is entered at its start only and never given back, so long ones stay linear.
+    two = F.regexp_extract(before, r"(?<!\S)(\S++\s++\S++)\s*+$", 1)
+    one = F.regexp_extract(before, r"(?<!\S)(\S++)\s*+$", 1)
+    following = F.regexp_extract(after, r"^\s*+(\S++)", 1)
     return F.array(
         F.when(two != "", F.concat(F.lit("before "), two)),
         F.when((one != "") & (following != ""), F.concat(F.lit("around "), one, F.lit(" _ "), following)),
@@ -169,7 +176,7 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bootstrap(
-    seen: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
+    seen: DataFrame, rounds: int | None = None, min_support: int = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE, min_belief: float = MIN_BELIEF,
 ) -> DataFrame:
     """Places that trusted patterns and values single out: row, kind, start, stop.
@@ -178,14 +185,15 @@ def bootstrap(
     counted once each. In each round a pattern's confidence in a kind is the share of trusted
     values of that kind among the different values in its slot, if `min_support` of them are
     trusted; the belief in a value is 1 - product of (1 - confidence) over its trusted patterns, and
-    values with `min_belief` join the trusted ones. All is sums per key, so that frequent patterns
+    values with `min_belief` join the trusted ones. Rounds end when one adds no value, or after
+    `rounds` if that is given. All is sums per key, so that frequent patterns
     and values are one row per task before they are shuffled.
     """
     edges = settle(seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
     trusted = edges.filter("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind"))
     totals = edges.groupBy("pattern").agg(F.count("*").alias("values"))
     patterns = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         known = settle(trusted, "trusted")
         of_kind = (
             edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("support"))
@@ -204,7 +212,10 @@ def bootstrap(
             .filter(F.col("belief") >= min_belief)
         )
         best = believed.groupBy("value").agg(F.min(F.struct((-F.col("belief")).alias("b"), "kind"))["kind"].alias("kind"))
-        trusted = known.unionByName(best)
+        fresh = settle(best, "fresh")
+        trusted = known.unionByName(fresh)
+        if not fresh.limit(1).count():
+            break
     final = settle(trusted, "trusted")
     open_places = seen.filter("kind IS NULL").drop("kind")
     return (

@@ -127,6 +127,28 @@ def test_bootstrap_is_the_plain_iteration(spark):
     assert got == want and got
 
 
+def test_bootstrap_goes_on_until_nothing_is_added(spark):
+    seen = [(i, 0 if i == 0 else None, 0, 5, f"v{i}", f"p{j}") for i in range(8) for j in (i - 1, i) if 0 <= j < 7]
+    frame = spark.createDataFrame(seen, "row BIGINT, kind INT, start INT, stop INT, value STRING, pattern STRING")
+    got = pii.bootstrap(frame, min_support=1, min_confidence=0.5, min_belief=0.4).collect()
+    assert sorted(r.row for r in got) == list(range(1, 8))
+
+
+def test_context_words_are_whole(spark):
+    gap, word = " " * 60, "W" * 60
+    texts = [
+        f"please write to{gap}@{gap}for help", f"{word} {word}x @ {word}y z", f"a{' ' * 2000}b @ c", f"{'d' * 3000} e @{' ' * 2000}f",
+        "@", "one @", "one two @ three", f"x{word}@{word} y", f"one\n{gap}\n@\n\nthree",
+    ]
+    frame = spark.createDataFrame([(t, t.index("@")) for t in texts], "t STRING, at INT")
+    got = frame.select("t", pii._contexts(F.col("t"), F.col("at"), F.col("at") + 1).alias("p")).collect()
+    for r in got:
+        before, after = (x.lower() for x in r.t.split("@"))
+        words, following = before.split(), after.split()
+        two = "before " + before[before.rindex(words[-2], 0, before.rindex(words[-1])) :].rstrip() if len(words) > 1 else None
+        assert r.p == [two, f"around {words[-1]} _ {following[0]}" if words and following else None]
+
+
 def test_masks(spark):
     rows = [
         (1, "mail a@b.co or 10.0.0.1!", 5, "k"), (2, None, None, None), (None, "+1 (017) 555-7713", 17, "k"),
