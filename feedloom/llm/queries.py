@@ -7,12 +7,15 @@ from feedloom.llm import (
     embed_dedup,
     exact_dedup,
     html_text,
+    lang_id,
+    lexical,
     line_dedup,
     near_dedup,
     packing,
     pii,
     quality,
     shards,
+    source_audit,
 )
 
 QUERIES = {
@@ -26,9 +29,14 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_language_id": lang_id.op11_language_id,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 
 SQL = {
     "op8_line_dedup": line_dedup.SQL_OP8,
     "op10_exact_dedup": exact_dedup.SQL_OP10,
+    "op12_lexical_search": lexical.SQL_OP12,
+    "op13_source_audit": source_audit.SQL_OP13,
 }
