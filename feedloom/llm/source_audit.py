@@ -232,18 +232,14 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     found = []
     for g in range(len(idx)):
         others = np.flatnonzero(block == (high if block[g] == low else low))
-        others = others[others != g]
-        if not len(others):
-            continue
         apart = p0[g] - p0[others]
         value = left * (apart * apart // p0[others])
         if len(names):
             apart = shares[g] - shares[others]
             value = value + (apart * apart // shares[others]).sum(axis=1)
-        found.append(pd.DataFrame({"lang": rows["lang"].iloc[0], "g": idx[g], "h": idx[others], "value": value}))
-    if not found:
-        return pd.DataFrame({"lang": [], "g": [], "h": [], "value": []}).astype({"g": "int64", "h": "int64", "value": "int64"})
-    return pd.concat(found)
+        found.append((np.repeat(idx[g], len(others)), idx[others], value))
+    g, h, value = (np.concatenate([x[j] for x in found]) for j in range(3))
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(g), "g": g, "h": h, "value": value})
 
 
 def source_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -274,7 +270,7 @@ def source_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
     dealt = bases.select(*cols).unionByName(found.select(*cols)).select("*", others).drop("blocks")
     tiles = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("other")
     parts = tiles.groupBy("lang", "bucket", "low", "high").applyInPandas(_tile, "lang STRING, g BIGINT, h BIGINT, value BIGINT")
-    sums = parts.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
+    sums = parts.filter("g <> h").groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
     one = groups.select("lang", F.col("idx").cast("long").alias("g"), "source")
     two = groups.select("lang", F.col("idx").cast("long").alias("h"), F.col("source").alias("item"))
     named = sums.join(one, ["lang", "g"]).join(two, ["lang", "h"])

@@ -70,9 +70,8 @@ def test_skyband_has_what_has_few_above():
     rng = random.Random(2)
     for k in (1, 2, 5):
         for _ in range(40):
-            points = sorted(
-                {(-rng.randint(1, 4), rng.randint(4, 7), rng.choice("abcdefghé\U0001f600") + rng.choice("xy")) for _ in range(rng.randint(1, 60))}
-            )
+            terms = {rng.choice("abcdefghé\U0001f600") + rng.choice("xyzäw") for _ in range(rng.randint(1, 60))}
+            points = sorted((-rng.randint(1, 4), rng.randint(4, 7), t) for t in terms)
             n, ln = np.array([-x[0] for x in points]), np.array([x[1] for x in points])
             term = [x[2] for x in points]
             above = [sum(a[0] <= b[0] and a[1] <= b[1] and a[2] < b[2] for a in points) for b in points]
@@ -81,7 +80,8 @@ def test_skyband_has_what_has_few_above():
 
 def test_skyband_of_many_rows_goes_by_blocks():
     rng = random.Random(9)
-    points = sorted({(-rng.randint(1, 30), rng.randint(30, 90), "".join(rng.choices("abcde", k=4))) for _ in range(1800)})
+    terms = {"".join(rng.choices("abcde", k=5)) for _ in range(2400)}
+    points = sorted((-rng.randint(1, 30), rng.randint(30, 90), t) for t in terms)
     n, ln = np.array([-x[0] for x in points]), np.array([x[1] for x in points])
     above = [sum(a[0] <= b[0] and a[1] <= b[1] and a[2] < b[2] for a in points) for b in points]
     stay = source_audit.skyband(n, ln, [x[2] for x in points], 20)
