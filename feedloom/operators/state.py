@@ -7,6 +7,10 @@ the same.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,12 @@ from feedloom import schemas
 from feedloom.functions.dates import ago
 from feedloom.functions.keys import source_emoji
 from feedloom.functions.text import no_strings
+from feedloom.operators.commits import CommitLog, Entry, Versions, covers, folder_at, with_versions
 from feedloom.operators.filters import required_fields
 from feedloom.operators.posts import with_keys
+from feedloom.session import settle
+
+_COLUMNS = [part.split()[0] for part in schemas.PROCESSED.split(", ")]
 
 
 def latest_per_key(rows: DataFrame, *order: Column) -> DataFrame:
@@ -58,110 +66,190 @@ def upsert_processed(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select(*old.columns).unionByName(last.select(*old.columns))
 
 
+#: Buckets that keys are dealt to by `rk`. Fixed for all tables, as it is part of their layout.
+BUCKETS = 256
+
+
+def key_bucket(rk: Column) -> Column:
+    return F.pmod(F.xxhash64(rk), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class _Parts:
+    """What is committed: the newest snapshot, versions after it with their turns, and what is folded."""
+
+    snapshot: Entry | None
+    open: dict[tuple[str, int], tuple[int, str]]
+    folded: Versions
+
+    def turns(self, but: tuple[str, int] | None = None, snapshot: bool = True) -> dict[str, int]:
+        """Turn of each folder that counts; a snapshot comes before all that it does not hold."""
+        out = {self.snapshot["folder"]: -1} if self.snapshot and snapshot else {}
+        return out | {folder: turn for key, (turn, folder) in self.open.items() if key != but}
+
+
 class ProcessedPosts:
-    """The state table in a folder: `delta/writer=W/version=N/turn=T` and `snapshot/turn=T`.
+    """The state table in a folder: `rows/commit=C/day=D`, `keys/commit=C/bucket=B` and `commits`.
 
-    Every writer (a batch job, one stream with its checkpoint) counts its own versions, so two of
-    them never overwrite each other. A turn numbers the versions of all writers in the order in
-    which they were first written; the row of the last turn wins. A version that is written again keeps
-    its turn. A snapshot holds the table up to a turn, and which version of each writer it has taken in.
+    Rows lie by the day they were stored, keys by a hash of `rk`: recent posts read their days and a
+    duplicate check the buckets of its posts. Nothing counts before it is committed. Every writer (a batch
+    job, one stream with its checkpoint) counts its own versions, in any order. A commit takes
+    the next free turn, and of two rows with one key the one of the later turn wins; a version that is written
+    again keeps its first turn. A snapshot holds the table up to a turn and the set of versions it has taken in.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/commits")
 
     def append(self, rows: DataFrame, version: int, writer: str = "batch") -> None:
         """Write one version of a writer; writing it again replaces it, or does nothing once it is folded.
 
         A stream with a new checkpoint counts from 0 again and must come as a new writer.
         """
-        if version <= self._folded().get(writer, -1):
+        if covers(self._parts().folded, writer, version):
             return
-        known = self._deltas()
-        turns = [t for _, _, t in known] + self._snapshots()
-        turn = next((t for w, v, t in known if (w, v) == (writer, version)), max(turns, default=-1) + 1)
-        rows.write.mode("overwrite").parquet(f"{self.path}/delta/writer={writer}/version={version}/turn={turn}")
+        folder = self._write(latest_per_key(rows, F.col("processed_date").desc(), F.col("link"), F.col("title")))
+        self.log.add({"kind": "append", "writer": writer, "version": version, "folder": folder})
 
     def snapshot(self) -> None:
-        """Fold all that is written so far into one copy that later reads start from."""
-        known = self._deltas()
-        if not known:
+        """Fold all that is committed so far into one copy that later reads start from.
+
+        Versions that are committed meanwhile stay as they are. If another snapshot was made meanwhile, that one stays.
+        """
+        parts = self._parts()
+        if not parts.open:
             return
-        turn = max([t for _, _, t in known] + self._snapshots()) + 1
-        folded = self._folded()
-        for writer, version, _ in known:
-            folded[writer] = max(version, folded.get(writer, -1))
-        self.rows().write.mode("overwrite").parquet(f"{self.path}/snapshot/turn={turn}/rows")
-        # Written last: a snapshot without its marks is not there yet.
-        marks = self.spark.createDataFrame(sorted(folded.items()), "writer STRING, version BIGINT")
-        marks.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshot/turn={turn}/marks")
+        folder = self._write(self._resolved(self._rows(parts.turns())).drop("turn"))
+        folded = with_versions(parts.folded, parts.open)
+        known = parts.snapshot and parts.snapshot["folder"]
+
+        def still_newest(log: list[tuple[int, Entry]]) -> bool:
+            last = [e["folder"] for _, e in log if e["kind"] == "snapshot"][-1:]
+            return last == ([known] if known else [])
+
+        if self.log.add({"kind": "snapshot", "folder": folder, "folded": folded}, still_newest) is None:
+            self._delete(folder)
 
     def clean_up(self) -> None:
         """Remove versions that the newest snapshot holds, and older snapshots. Not while others read."""
-        last = self._snapshots()[-1:]
-        folded = self._folded()
-        gone = [f"delta/writer={w}/version={v}" for w, v, _ in self._deltas(False) if v <= folded.get(w, -1)]
-        gone += [f"snapshot/turn={t}" for t in self._snapshots() if [t] != last]
-        for folder in gone:
-            path, files = self._at(folder)
+        log, parts = self.log.read(), self._parts()
+        if not parts.snapshot:
+            return
+        gone = [
+            (turn, e["folder"])
+            for turn, e in log
+            if e["folder"] != parts.snapshot["folder"]
+            and (e["kind"] == "snapshot" or covers(parts.folded, e["writer"], e["version"]))
+        ]
+        self.log.drop(turn for turn, _ in gone)
+        for _, folder in gone:
+            self._delete(folder)
+
+    def _delete(self, folder: str) -> None:
+        for kind in ("rows", "keys"):
+            path, files = folder_at(self.spark, f"{self.path}/{kind}/commit={folder}")
             files.delete(path, True)
 
-    def _at(self, folder: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _complete(self, pattern: str) -> list[str]:
-        """Folders below the table that match and were written to the end."""
-        path, files = self._at(f"{pattern}/_SUCCESS")
-        return [str(f.getPath().getParent()) for f in files.globStatus(path) or []]
-
-    def _snapshots(self) -> list[int]:
-        return sorted(int(p.split("/turn=")[1].split("/")[0]) for p in self._complete("snapshot/turn=*/marks"))
-
-    def _folded(self) -> dict[str, int]:
-        """The version of each writer that the newest snapshot reaches; a row per writer."""
-        last = self._snapshots()[-1:]
-        if not last:
-            return {}
-        marks = self.spark.read.parquet(f"{self.path}/snapshot/turn={last[0]}/marks")
-        return {r["writer"]: r["version"] for r in marks.collect()}
-
-    def _deltas(self, open_only: bool = True) -> list[tuple[str, int, int]]:
-        """(writer, version, turn) of what is written and, unless told otherwise, not folded."""
-        folded = self._folded() if open_only else {}
-        found = []
-        for p in self._complete("delta/writer=*/version=*/turn=*"):
-            writer, version, turn = (x.split("=", 1)[1] for x in p.split("/")[-3:])
-            if int(version) > folded.get(writer, -1):
-                found.append((writer, int(version), int(turn)))
-        return sorted(found, key=lambda x: x[2])
-
-    def all_rows(self, but: tuple[str, int] | None = None) -> DataFrame:
-        """Every row of the newest snapshot and of what came after it, with its turn."""
-        out = self.spark.createDataFrame([], f"{schemas.PROCESSED}, turn BIGINT")
-        last, deltas = self._snapshots()[-1:], [d for d in self._deltas() if d[:2] != but]
-        if last:
-            rows = self.spark.read.parquet(f"{self.path}/snapshot/turn={last[0]}/rows")
-            out = out.unionByName(rows.withColumn("turn", F.lit(-1).cast("bigint")))
-        if deltas:
-            folders = [f"{self.path}/delta/writer={w}/version={v}/turn={t}" for w, v, t in deltas]
-            rows = self.spark.read.option("basePath", f"{self.path}/delta").parquet(*folders)
-            out = out.unionByName(rows.drop("writer", "version").withColumn("turn", F.col("turn").cast("bigint")))
-        return out
+    def _write(self, rows: DataFrame) -> str:
+        """Rows and, from the written copy, their keys, in a folder that nothing names yet.
+
+        Spark evens out the files: small parts are put together, a large day or bucket is split.
+        """
+        folder = uuid.uuid4().hex
+        path = f"{self.path}/rows/commit={folder}"
+        dated = rows.select(*_COLUMNS).withColumn("day", F.to_date("ts"))
+        dated.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+        back = self.spark.read.schema(f"{schemas.PROCESSED}, day DATE").parquet(path)
+        keys = back.select("pk", "rk", "ts", key_bucket(F.col("rk")).alias("bucket"))
+        keys.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/keys/commit={folder}")
+        return folder
+
+    def _parts(self) -> _Parts:
+        log = self.log.read()
+        snapshots = [e for _, e in log if e["kind"] == "snapshot"]
+        folded = snapshots[-1]["folded"] if snapshots else {}
+        found: dict[tuple[str, int], tuple[int, str]] = {}
+        for turn, e in log:
+            if e["kind"] == "append" and not covers(folded, e["writer"], e["version"]):
+                key = (e["writer"], e["version"])
+                found[key] = (found.get(key, (turn, ""))[0], e["folder"])
+        return _Parts(snapshots[-1] if snapshots else None, found, folded)
+
+    def _read(self, kind: str, schema: str, turns: dict[str, int]) -> DataFrame:
+        """Rows or keys of some folders with the turn of each."""
+        if not turns:
+            return self.spark.createDataFrame([], f"{schema}, turn BIGINT")
+        folders = [f"{self.path}/{kind}/commit={c}" for c in turns]
+        rows = self.spark.read.schema(f"{schema}, commit STRING").option("basePath", f"{self.path}/{kind}").parquet(*folders)
+        # One row per open commit, as a local table of known size.
+        known = self.spark.createDataFrame(pa.table({"commit": list(turns), "turn": pa.array(turns.values(), pa.int64())}))
+        return rows.join(known, "commit").drop("commit")
+
+    def _rows(self, turns: dict[str, int]) -> DataFrame:
+        return self._read("rows", f"{schemas.PROCESSED}, day DATE", turns)
+
+    def _keys(self, turns: dict[str, int]) -> DataFrame:
+        return self._read("keys", "pk STRING, rk STRING, ts TIMESTAMP, bucket INT", turns)
+
+    @staticmethod
+    def _resolved(rows: DataFrame) -> DataFrame:
+        """One row per key, the one of the last turn; a turn has one row per key."""
+        return latest_per_key(rows, F.col("turn").desc())
 
     def rows(self) -> DataFrame:
         """One row per key, the one written last; a missing table reads as empty."""
-        return latest_per_key(
-            self.all_rows(),
-            F.col("turn").desc(),
-            F.col("processed_date").desc(),
-            F.col("link"),
-            F.col("title"),
-        ).drop("turn")
+        return self._resolved(self._rows(self._parts().turns())).select(*_COLUMNS)
 
     def keys(self, but: tuple[str, int] | None = None) -> DataFrame:
         """Keys of the table, without those of one version if that is about to be written again."""
-        return state_keys(self.all_rows(but))
+        return state_keys(self._keys(self._parts().turns(but)))
+
+    def seen(self, posts: DataFrame, but: tuple[str, int] | None = None) -> DataFrame:
+        """The keys of `posts` that the table holds: pk, rk, in place of all keys in a duplicate check.
+
+        Only the buckets of the posts are read. The posts' keys are settled first, so Spark knows their size: while
+        it is below the broadcast limit they are sent to the keys, which are then not shuffled.
+        """
+        asked = settle(with_keys(posts).select("pk", "rk").distinct(), "asked")
+        # At most one row per bucket.
+        buckets = [r[0] for r in asked.select(key_bucket(F.col("rk"))).distinct().collect()]
+        held = self._keys(self._parts().turns(but)).filter(F.col("bucket").isin(buckets))
+        return held.select("pk", "rk").join(asked, ["pk", "rk"], "left_semi").distinct()
+
+    def stored_since(self, since: Column) -> DataFrame:
+        """What `rows` has with a store time from `since` on; only its days are read.
+
+        A row may be replaced by one of a later turn with an earlier store time. Only versions after the
+        snapshot can do that, so their keys are looked at as well, and no others. `since` must not depend on rows.
+        """
+        parts = self._parts()
+        recent = self._rows(parts.turns()).filter((F.col("day") >= F.to_date(since)) & (F.col("ts") >= since))
+        later = self._keys(parts.turns(snapshot=False)).groupBy("pk", "rk").agg(F.max("turn").alias("_last"))
+        kept = self._resolved(recent).join(later, ["pk", "rk"], "left").filter("_last IS NULL OR _last = turn")
+        return kept.select(*_COLUMNS)
+
+    def first_rows(self, n: int) -> DataFrame:
+        """The first `n` rows in key order: keys are sorted without their rows, whose days are then read."""
+        turns = self._parts().turns()
+        keys = self._resolved(self._keys(turns).drop("bucket"))
+        first = settle(keys.orderBy("pk", "rk").limit(n).select("pk", "rk", "turn", F.to_date("ts").alias("day")), "first")
+        # At most `n` days.
+        days = [r[0] for r in first.select("day").distinct().collect()]
+        asked = F.col("day").isin([d for d in days if d]) | (F.col("day").isNull() if None in days else F.lit(False))
+        found = self._rows(turns).filter(asked).join(first.select("pk", "rk", "turn"), ["pk", "rk", "turn"], "left_semi")
+        return found.select(*_COLUMNS)
+
+    def recent_posts(self, as_of: Column, days_since: int = 1, limit: int = 15) -> DataFrame:
+        """`recent_posts` of this module over the days asked for."""
+        return recent_posts(self.stored_since(_stored_from(as_of, days_since)), as_of, days_since, limit)
+
+    def recent_posts_or_scan(self, as_of: Column, days_since: int = 1, limit: int = 15, scan: int = 500) -> DataFrame:
+        """Recent posts, or the scan in key order when there is none; only the one that answers is run."""
+        direct = settle(self.recent_posts(as_of, days_since, limit), "recent")
+        if direct.limit(1).count():
+            return direct
+        return recent_fallback_scan(self.first_rows(scan), as_of, days_since, limit, scan)
 
 
 def string_list(json_text: Column) -> Column:
@@ -185,6 +273,10 @@ def read_processed(rows: DataFrame) -> DataFrame:
     )
 
 
+def _stored_from(as_of: Column, days_since: int) -> Column:
+    return F.date_trunc("second", ago(as_of, days=days_since))
+
+
 def _newest_first(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.col("processed_time").desc(), "pk", "rk", "ts").limit(limit)
 
@@ -193,7 +285,7 @@ def recent_posts(
     rows: DataFrame, as_of: Column, days_since: int = 1, limit: int = 15
 ) -> DataFrame:
     """The newest rows whose store time is within `days_since` days."""
-    recent = rows.filter(F.col("ts") >= F.date_trunc("second", ago(as_of, days=days_since)))
+    recent = rows.filter(F.col("ts") >= _stored_from(as_of, days_since))
     return _newest_first(read_processed(recent), limit)
 
 

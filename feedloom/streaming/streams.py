@@ -63,7 +63,7 @@ def items_to_state(state: ProcessedPosts, feeds: DataFrame, writer: str) -> Call
         posts = items_to_feeds(batch, feeds).filter("published IS NOT NULL")
         bullets = normalize_bullets(extract_bullets(F.col("summary")))
         ready = posts.withColumns({"english_summary": bullets, "korean_summary": no_strings()})
-        fresh = unprocessed_posts(ready, state.keys(but=(writer, batch_id)))
+        fresh = unprocessed_posts(ready, state.seen(ready, but=(writer, batch_id)))
         write(to_state_rows(fresh, F.col("fetched_at")), batch_id)
 
     return run

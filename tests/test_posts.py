@@ -193,7 +193,7 @@ def test_stored_state(spark, tmp_path):
     assert before == [("1", "c"), ("2", "b")]
     state.snapshot()
     assert sorted((r.rk, r.title) for r in state.rows().collect()) == before
-    state.append(state_rows(spark, [row("p", "2", "late")]), 1)
+    state.append(state_rows(spark, [row("p", "2", "folded by now")]), 1)
     assert sorted((r.rk, r.title) for r in state.rows().collect()) == before
     state.append(state_rows(spark, [row("p", "2", "d")]), 2)
     assert sorted((r.rk, r.title) for r in state.rows().collect()) == [("1", "c"), ("2", "d")]
@@ -201,7 +201,8 @@ def test_stored_state(spark, tmp_path):
     state.snapshot()
     state.clean_up()
     assert sorted((r.rk, r.title) for r in state.rows().collect()) == [("1", "c"), ("2", "d")]
-    assert len(list((tmp_path / "state" / "snapshot").iterdir())) == 1
+    assert len(list((tmp_path / "state" / "rows").iterdir())) == 1
+    assert len(list((tmp_path / "state" / "commits").glob("*.json"))) == 1
 
 
 def test_writers_count_their_own_versions(spark, tmp_path):
@@ -218,6 +219,160 @@ def test_writers_count_their_own_versions(spark, tmp_path):
     assert found == [("1", "stream 1"), ("2", "stream 0"), ("3", "other 0")]
 
 
+def titles(state):
+    return sorted((r.rk, r.title) for r in state.rows().collect())
+
+
+def test_versions_out_of_order_are_kept(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    state.append(state_rows(spark, [row("p", "1", "five")]), 5)
+    state.snapshot()
+    state.append(state_rows(spark, [row("p", "1", "three"), row("p", "2", "three")]), 3)
+    assert titles(state) == [("1", "three"), ("2", "three")]
+    state.append(state_rows(spark, [row("p", "9", "five again")]), 5)
+    assert titles(state) == [("1", "three"), ("2", "three")]
+    state.snapshot()
+    state.clean_up()
+    state.append(state_rows(spark, [row("p", "9", "three again")]), 3)
+    state.append(state_rows(spark, [row("p", "3", "four")]), 4)
+    assert titles(state) == [("1", "three"), ("2", "three"), ("3", "four")]
+
+
+def test_version_written_again_keeps_its_turn(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    state.append(state_rows(spark, [row("p", "1", "a"), row("p", "2", "a")]), 0)
+    state.append(state_rows(spark, [row("p", "1", "b")]), 0, "other")
+    state.append(state_rows(spark, [row("p", "1", "c")]), 0)
+    assert titles(state) == [("1", "b")]
+
+
+def test_writers_at_once_take_turns_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        mine = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+        mine.append(state_rows(spark, [row("p", f"{i}", f"w{i}"), row("p", "all", f"w{i}")]), 0, f"w{i}")
+
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, range(8)))
+    log = state.log.read()
+    assert [turn for turn, _ in log] == list(range(8))
+    assert sorted(e["writer"] for _, e in log) == [f"w{i}" for i in range(8)]
+    assert titles(state) == [*[(f"{i}", f"w{i}") for i in range(8)], ("all", log[-1][1]["writer"])]
+    assert not list((tmp_path / "state" / "commits").glob("_draft*"))
+
+
+def test_turns_are_taken_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from feedloom.operators.commits import CommitLog
+
+    log = CommitLog(spark, str(tmp_path / "log"))
+    with ThreadPoolExecutor(8) as pool:
+        turns = list(pool.map(lambda i: log.add({"i": i}), range(24)))
+    assert sorted(turns) == list(range(24))
+    assert {t: e["i"] for t, e in log.read()} == dict(zip(turns, range(24)))
+
+
+def test_snapshot_beside_other_writers(spark, tmp_path, monkeypatch):
+    """What is committed while a snapshot is written stays open; a second snapshot at once gives way."""
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    state.append(state_rows(spark, [row("p", "1", "a")]), 0)
+    write = state._write
+
+    def slow(rows):
+        folder = write(rows)
+        other = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+        other.append(state_rows(spark, [row("p", "1", "b"), row("p", "2", "b")]), 0, "other")
+        other.snapshot()
+        return folder
+
+    monkeypatch.setattr(state, "_write", slow)
+    state.snapshot()
+    monkeypatch.undo()
+    assert titles(state) == [("1", "b"), ("2", "b")]
+    assert sum(e["kind"] == "snapshot" for _, e in state.log.read()) == 1
+    state.clean_up()
+    assert titles(state) == [("1", "b"), ("2", "b")]
+    assert len(list((tmp_path / "state" / "rows").iterdir())) == 1
+
+
+def test_versions_as_ranges():
+    from feedloom.operators.commits import covers, with_versions
+
+    some = with_versions({}, [("a", 5), ("a", 3), ("b", 0), ("a", 4), ("a", 9)])
+    assert some == {"a": [[3, 5], [9, 9]], "b": [[0, 0]]}
+    more = with_versions(some, [("a", 6), ("a", 8), ("a", 7), ("a", 4)])
+    assert more["a"] == [[3, 9]] and some["a"] == [[3, 5], [9, 9]]
+    assert covers(more, "a", 8) and not covers(more, "a", 2) and not covers(more, "c", 0)
+
+
+def test_keys_seen_are_those_of_all_keys(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    assert state.seen(make(spark, [post(1, "l1", 1)])).count() == 0
+    old = make(spark, [post(i, f"l{i}", 1) for i in range(40)])
+    none = F.array().cast("array<string>")
+    full = stt.to_state_rows(old.withColumns({"english_summary": none, "korean_summary": none}), as_of())
+    state.append(full.filter("rk < 'M'"), 0)
+    state.snapshot()
+    state.append(full.filter("rk >= 'M'"), 1)
+    posts = make(spark, [post(i, f"l{i}", 1) for i in range(30, 60)] + [post(70, None, 1)])
+    flags = {r.item_pos: r.is_duplicate for r in pst.check_duplicate(posts, state.seen(posts)).collect()}
+    assert flags == {r.item_pos: r.is_duplicate for r in pst.check_duplicate(posts, state.keys()).collect()}
+    assert sorted(i for i, d in flags.items() if d) == list(range(30, 40))
+    again = {r.item_pos for r in pst.unprocessed_posts(posts, state.seen(posts, but=("batch", 1))).collect()}
+    assert again == {r.item_pos for r in pst.unprocessed_posts(posts, state.keys(but=("batch", 1))).collect()}
+
+
+def test_key_lookup_reads_its_buckets_and_shuffles_no_state(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    rows = [row("p", f"{i}", f"t{i}") for i in range(300)]
+    state.append(state_rows(spark, rows), 0)
+    state.snapshot()
+    state.append(state_rows(spark, rows[:9]), 1)
+    found = state.seen(make(spark, [post(1, "l1", 1), post(2, "l2", 1)]))
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "bucket#" in x)
+    assert "bucket#" in lines[scan].split("PartitionFilters: ")[1].split("]")[0]
+    # The keys meet the posts where they lie: nothing is exchanged between their scan and the join.
+    join = max(i for i in range(scan) if "BroadcastHashJoin [pk" in lines[i] and "LeftSemi" in lines[i])
+    assert not [x for x in lines[join:scan] if "Exchange" in x]
+
+
+def test_recent_posts_read_their_days(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    day = dt.timedelta(days=1)
+    rows = [row("p", f"{i:02}", f"t{i}", NOW - i * day / 4, NOW - i * day / 4) for i in range(40)]
+    state.append(state_rows(spark, rows), 0)
+    state.snapshot()
+    state.append(state_rows(spark, [row("p", "01", "replaced, stored long ago", NOW, NOW - 30 * day), row("p", "00", "new", NOW, NOW)]), 1)
+    state.append(state_rows(spark, [row("p", "39", "late", None, NOW - day / 2), row("p", "no", "undated", None, None)]), 2)
+    want = stt.recent_posts(state.rows(), as_of(), 1, 5).collect()
+    found = state.recent_posts(as_of(), 1, 5)
+    assert found.collect() == want and [r.title for r in want] == ["new", "t2", "late", "t3", "t4"]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in text.split("\n") if "FileScan" in x and "title#" in x]
+    assert scans and all("day#" in x.split("PartitionFilters: ")[1].split("]")[0] for x in scans)
+    both = state.recent_posts_or_scan(as_of(), 1, 5)
+    assert both.collect() == want
+    assert titles_of(state.first_rows(500)) == titles(state)
+    assert titles_of(state.first_rows(7)) == titles(state)[:7]
+    late = F.lit(str(NOW + 90 * day)).cast("timestamp")
+    scanned = state.recent_posts_or_scan(late, 91, 3).collect()
+    assert scanned == stt.recent_posts_or_scan(state.rows(), late, 91, 3).collect() and len(scanned) == 3
+    moved = [row("p", f"{i:02}", f"t{i}", NOW, NOW - 50 * day) for i in range(9)]
+    other = stt.ProcessedPosts(spark, str(tmp_path / "other"))
+    assert other.recent_posts_or_scan(as_of()).count() == 0
+    other.append(state_rows(spark, moved), 0)
+    assert other.recent_posts_or_scan(as_of()).collect() == stt.recent_posts_or_scan(other.rows(), as_of()).collect()
+    assert other.recent_posts_or_scan(as_of()).count() == 9
+
+
+def titles_of(rows):
+    return sorted((r.rk, r.title) for r in rows.collect())
+
+
 def test_state_rows_reject_blanks(spark):
     rows = make(spark, [post(1, "", 1), post(2, "a", 1, source=""), post(3, "a", 1), post(4, " ", 1)])
     full = rows.withColumns({"english_summary": F.array(F.lit("가")), "korean_summary": F.lit(None).cast("array<string>")})
