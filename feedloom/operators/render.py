@@ -181,8 +181,10 @@ def digest_html(
         _div("container", head, body, _div("footer", html_encode(F.lit(footer)))),
         F.lit("</body></html>"),
     )
+    # The time of the run says where its digest is kept.
+    time = [c for c in ("as_of",) if c in runs.columns]
     return joined.select(
-        "digest_id", "feed_group", subject_line(recent).alias("subject"), page.alias("html")
+        "digest_id", "feed_group", *time, subject_line(recent).alias("subject"), page.alias("html")
     )
 
 

@@ -109,7 +109,8 @@ class ProcessedPosts:
         """
         if covers(self._parts().folded, writer, version):
             return
-        folder = self._write(latest_per_key(rows, F.col("processed_date").desc(), F.col("link"), F.col("title")))
+        order = (F.col("processed_date").desc(), F.col("link"), F.col("title"), F.col("publish_date"), F.col("ts"))
+        folder = self._write(latest_per_key(rows, *order))
         self.log.add({"kind": "append", "writer": writer, "version": version, "folder": folder})
 
     def snapshot(self) -> None:

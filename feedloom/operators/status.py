@@ -11,6 +11,7 @@ from feedloom.functions.html import contains_hangul
 from feedloom.functions.text import no_strings
 from feedloom.operators.filters import is_new, is_placeholder
 from feedloom.sources.feeds import classify_payload, entry_count, status_source_default
+from feedloom.sources.tables import on_days
 
 
 def feed_status(feeds: DataFrame, items: DataFrame) -> DataFrame:
@@ -138,16 +139,21 @@ def translated_posts(posts: DataFrame) -> DataFrame:
 # --- telemetry ---------------------------------------------------------------------------
 
 
+def _after(rows: DataFrame, bound: Column) -> DataFrame:
+    """Rows later than `bound`; of a table laid out by day, only its days are read."""
+    return on_days(rows, bound).filter(F.col("ts") > bound)
+
+
 def errors_by_role(traces: DataFrame, as_of: Column) -> DataFrame:
     """Traces of the last 24 hours with severity 3 or more, by role and severity."""
-    recent = (F.col("ts") > ago(as_of, hours=24)) & (F.col("severity") >= 3)
-    return traces.filter(recent).groupBy("role", "severity").agg(F.count(F.lit(1)).alias("n"))
+    recent = _after(traces, ago(as_of, hours=24)).filter("severity >= 3")
+    return recent.groupBy("role", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recent_errors(traces: DataFrame, as_of: Column) -> DataFrame:
     """The same traces, newest first, without a limit."""
-    recent = (F.col("ts") > ago(as_of, hours=24)) & (F.col("severity") >= 3)
-    return traces.filter(recent).select("ts", "message", "severity").orderBy(
+    recent = _after(traces, ago(as_of, hours=24)).filter("severity >= 3")
+    return recent.select("ts", "message", "severity").orderBy(
         F.col("ts").desc(), "message", "severity"
     )
 
@@ -163,7 +169,7 @@ def request_latency_hourly(
     """Average and maximum duration and count per hour; seven days back from `as_of`."""
     rows = requests.filter(F.col("name") == name)
     if as_of is not None:
-        rows = rows.filter(F.col("ts") > ago(as_of, days=7))
+        rows = _after(rows, ago(as_of, days=7))
     return rows.groupBy(bin_hour(F.col("ts")).alias("hour")).agg(
         exact_avg("duration").alias("avg_duration"),
         F.max("duration").alias("max_duration"),
@@ -183,14 +189,14 @@ def calls_by_name(requests: DataFrame, as_of: Column, hours: int = 1) -> DataFra
 
     Names are few by nature; the ranking sees one row per name.
     """
-    recent = requests.filter(F.col("ts") > ago(as_of, hours=hours))
+    recent = _after(requests, ago(as_of, hours=hours))
     counted = recent.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     return _placed(counted.withColumn("_all", F.lit(0)), ["_all"], F.col("n").desc(), "name").drop("_all")
 
 
 def recent_exceptions(exceptions: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
     """The newest exceptions of the last 24 hours."""
-    recent = exceptions.filter(F.col("ts") > ago(as_of, hours=24))
+    recent = _after(exceptions, ago(as_of, hours=24))
     newest = recent.select("ts", "type", "outer_message").orderBy(
         F.col("ts").desc(), "type", "outer_message"
     )

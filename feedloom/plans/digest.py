@@ -45,6 +45,10 @@ class Choice:
     links: DataFrame
     shown: DataFrame
 
+    def settled(self) -> Choice:
+        """The same choice, made once and written: a few rows per run."""
+        return Choice(self.runs, settle(self.links, "links"), settle(self.shown, "shown"))
+
     @property
     def new_posts(self) -> DataFrame:
         return self.shown.filter("is_new_post").drop("is_new_post")
@@ -178,14 +182,32 @@ def build_digests(
 ) -> Digests:
     """Pages, posts, feed states, counts, new state rows and rejected items of all runs.
 
-    `items` are those of `ingest`; `pages` has url, status and html. The display posts, a few rows
-    per run, are settled once.
+    `items` are those of `ingest`; `pages` has url, status and html.
     """
-    chosen = choose_posts(runs, items, state_keys)
+    chosen = choose_posts(runs, items, state_keys).settled()
     posts = settle(with_text(chosen.shown, items), "display")
+    return finish_digests(chosen, posts, feeds, payloads, items, pages, responses, tz, footer)
+
+
+def finish_digests(
+    chosen: Choice,
+    posts: DataFrame,
+    feeds: DataFrame,
+    payloads: DataFrame,
+    items: DataFrame,
+    pages: DataFrame,
+    responses: DataFrame,
+    tz: str = "Asia/Seoul",
+    footer: str = "",
+) -> Digests:
+    """The digests of a choice that is made: `posts` are its display posts with text.
+
+    Callers that ask the model about the posts in between settle both first. Feed states go into pages and answer
+    alike, so they are settled here.
+    """
     informed = with_insights(posts, parse_insights(responses))
     ready = with_paragraph(informed, pages)
-    statuses = run_statuses(chosen.runs, feeds, payloads, items)
+    statuses = settle(run_statuses(chosen.runs, feeds, payloads, items), "statuses")
     counts = digest_counts(chosen.links, posts, chosen.runs)
     said = diagnostics(chosen.runs, responses, informed)
     stats = chosen.runs.select("digest_id", "days_since", "new_window_hours").join(

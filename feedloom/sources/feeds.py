@@ -128,29 +128,62 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     )
 
 
-def payload_outcomes(payloads: DataFrame) -> DataFrame:
-    """Why a payload gave no feed, else a null error: not fetched, refused, or no feed at all.
-
-    An Atom body without an XML declaration is a feed here, as it parses.
-    """
+def _outcome(x: Column) -> Column:
+    """Why a payload, parsed as `x`, gave no feed, else null."""
     status, given = F.col("http_status"), F.col("error")
-    x = F.from_xml("body", F.lit(schemas.FEED_XML), _XML_OPTIONS)
-    parsed = payloads.withColumn("x", F.when(F.col("body").isNotNull(), x))
     feed = F.coalesce(
-        F.col("x.channel").isNotNull()
-        | F.col("x.entry").isNotNull()
-        | F.col("x.title").isNotNull()
-        | F.col("x.id").isNotNull(),
+        x["channel"].isNotNull() | x["entry"].isNotNull() | x["title"].isNotNull() | x["id"].isNotNull(),
         F.lit(False),
     )
-    error = (
+    return (
         F.when(given.isNotNull(), given)
         .when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string")))
         .when(classify_payload(F.col("body")) == "html", F.lit(NOT_XML_HTML))
         .when(~feed, F.lit(NOT_XML))
     )
+
+
+def _parsed(payloads: DataFrame) -> DataFrame:
+    x = F.from_xml("body", F.lit(schemas.FEED_XML), _XML_OPTIONS)
+    return payloads.withColumn("x", F.when(F.col("body").isNotNull(), x))
+
+
+def payload_outcomes(payloads: DataFrame) -> DataFrame:
+    """Why a payload gave no feed, else a null error: not fetched, refused, or no feed at all.
+
+    An Atom body without an XML declaration is a feed here, as it parses.
+    """
     arrival = [c for c in ("fetched_at",) if c in payloads.columns]
-    return parsed.select("feed_id", *arrival, "elapsed_ms", error.alias("error"))
+    return _parsed(payloads).select("feed_id", *arrival, "elapsed_ms", _outcome(F.col("x")).alias("error"))
+
+
+def items_or_rejects(payloads: DataFrame) -> DataFrame:
+    """Clean items, and a row for each payload without any, each payload parsed once.
+
+    `kind` is `item`, or `reject` with a `reason`: that of the payload, none of whose items then count, `no items`, or an
+    item's `no readable date`.
+    """
+    keep = [c for c in ("feed_id", "fetched_at") if c in payloads.columns]
+    found = _parsed(payloads).select(
+        *keep,
+        _outcome(F.col("x")).alias("error"),
+        F.coalesce(_rss_items(), _atom_items()).alias("items"),
+    )
+    # An error keeps its payload as one row without an item.
+    given = found.withColumn("items", F.when(F.col("error").isNull(), F.col("items")))
+    rows = given.select(*keep, "error", F.posexplode_outer("items").alias("item_pos", "i"))
+    clean = clean_items(rows.select(*keep, "error", "item_pos", "i.*"), "error")
+    none = F.col("item_pos").isNull()
+    reason = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(none, F.lit(NO_ITEMS))
+        .when(F.col("published").isNull(), F.lit(NO_DATE))
+    )
+    shown = [F.when(none, F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("title", "link", "summary")]
+    return clean.withColumn("reason", reason).select(
+        *keep, "item_pos", *shown, "published", "categories", "reason",
+        F.when(F.col("reason").isNull(), "item").otherwise("reject").alias("kind"),
+    )
 
 
 def latest_outcomes(payloads: DataFrame) -> DataFrame:
@@ -180,8 +213,12 @@ def status_source_default(source: Column) -> Column:
     return F.coalesce(source, F.lit(UNKNOWN_SOURCE))
 
 
-def clean_items(items: DataFrame) -> DataFrame:
-    """Items with one link, a title, clean text and a publish time."""
+#: Reasons of rejects that no payload error names.
+NO_ITEMS, NO_DATE = "no items", "no readable date"
+
+
+def clean_items(items: DataFrame, *more: str) -> DataFrame:
+    """Items with one link, a title, clean text and a publish time, and `more` of their columns."""
     published = published_or_updated(
         parse_pubdate(F.col("published_raw")), parse_pubdate(F.col("updated_raw"))
     )
@@ -190,6 +227,7 @@ def clean_items(items: DataFrame) -> DataFrame:
         "feed_id",
         "item_pos",
         *arrival,
+        *more,
         title_default(F.col("title")).alias("title"),
         first_link(F.col("links")).alias("link"),
         strip_tags_lazy(F.col("summary")).alias("summary"),
@@ -200,7 +238,7 @@ def clean_items(items: DataFrame) -> DataFrame:
 
 def undated_items(items: DataFrame) -> DataFrame:
     """Clean items that no window can hold, as their date was missing or unreadable."""
-    return items.filter("published IS NULL").withColumn("reason", F.lit("no readable date"))
+    return items.filter("published IS NULL").withColumn("reason", F.lit(NO_DATE))
 
 
 def items_to_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,33 @@ def load_pages(
     return kept.select("url", *[F.col(f"_p._t_{name}").alias(name) for name in texts])
 
 
+#: Column that telemetry is laid out by.
+DAY = "day"
+
+
+def write_telemetry(rows: DataFrame, path: str, batch: str, ts: str = "ts") -> None:
+    """Telemetry in folders by day and batch. A batch that is written again replaces its own rows and no others."""
+    dated = rows.withColumns({DAY: F.to_date(ts), "batch": F.lit(batch)})
+    # Spark evens out the files: a busy day is split, quiet ones share a task.
+    files = dated.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    files.partitionBy(DAY, "batch").parquet(path)
+
+
+def read_telemetry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Telemetry as `write_telemetry` lays it out; filters on time then read only their days."""
+    return spark.read.schema(f"{schema}, {DAY} DATE, batch STRING").parquet(path).drop("batch")
+
+
+def on_days(rows: DataFrame, since: Column) -> DataFrame:
+    """Rows of the days from that of `since` on, if the table is laid out by day; else all rows."""
+    if dict(rows.dtypes).get(DAY) != "date":
+        return rows
+    return rows.filter(F.col(DAY) >= F.to_date(since))
+
+
 def load_telemetry(rows: DataFrame, since: Column, ts: str = "ts") -> DataFrame:
-    """Telemetry rows from `since` on; the filter reaches the scan."""
-    return rows.filter(F.col(ts) >= since)
+    """Telemetry rows from `since` on; the filter reaches the scan, and prunes the days of a table that has them."""
+    return on_days(rows, since).filter(F.col(ts) >= since)
 
 
 def schedule_ticks(spans: DataFrame) -> DataFrame:
@@ -59,5 +83,17 @@ def schedule_ticks(spans: DataFrame) -> DataFrame:
 
 
 def write_digests(digests: DataFrame, path: str, fmt: str = "json") -> None:
-    """One folder per feed group."""
-    digests.write.mode("overwrite").partitionBy("feed_group").format(fmt).save(path)
+    """Digests in folders by feed group, day of the run (from `as_of`) and digest.
+
+    Only the folders of the digests at hand are replaced: earlier runs stay, also those of the same day, and a replay
+    changes nothing.
+    """
+    dated = digests.withColumn("run_day", F.to_date("as_of")).drop("as_of")
+    files = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    files.partitionBy("feed_group", "run_day", "digest_id").format(fmt).save(path)
+
+
+def read_digests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Written digests; a filter on feed_group, run_day or digest_id reads only their folders."""
+    schema = "subject STRING, html STRING, feed_group STRING, run_day DATE, digest_id STRING"
+    return spark.read.schema(schema).format(fmt).load(path)

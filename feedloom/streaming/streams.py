@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.lines import extract_bullets, normalize_bullets
 from feedloom.functions.text import no_strings
+from feedloom.operators.commits import folder_at
 from feedloom.operators.posts import unprocessed_posts, with_keys
 from feedloom.operators.state import ProcessedPosts, latest_per_key, to_state_rows
-from feedloom.sources.feeds import clean_items, items_to_feeds, parse_feeds
+from feedloom.sources.feeds import clean_items, items_or_rejects, items_to_feeds, parse_feeds
 
 
 def payload_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -30,6 +31,15 @@ def stream_ingest(payloads: DataFrame) -> DataFrame:
     return clean_items(parse_feeds(payloads))
 
 
+def stream_outcomes(payloads: DataFrame) -> DataFrame:
+    """Payloads to clean items and rejects, row by row: `kind` is `item` or `reject`, with a `reason`.
+
+    Every payload has a row. A reject is a payload that failed, is no feed or has no items, or an item without a readable
+    date. Written by `kind`, both sides come from one pass over the payloads and one commit per batch.
+    """
+    return items_or_rejects(payloads)
+
+
 def stream_dedup(posts: DataFrame, delay: str = "7 days", arrival: str = "fetched_at") -> DataFrame:
     """The first sighting of each (pk, rk), as far back as `delay` before the newest arrival.
 
@@ -101,9 +111,10 @@ def latency(hours: DataFrame) -> DataFrame:
     return hours.select("hour", "name", mean.alias("avg_duration"), "max_duration", "n")
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write finished rows to Parquet until the input at hand is used up."""
+def run_append(stream: DataFrame, path: str, checkpoint: str, by: str | None = None) -> None:
+    """Write finished rows to Parquet, in folders by column `by` if given, until the input at hand is used up."""
     writer = stream.writeStream.format("parquet").outputMode("append")
+    writer = writer.partitionBy(by) if by else writer
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
 
@@ -115,24 +126,71 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], chec
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def write_sums(path: str, summed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Sink for sums of one batch: one folder per batch, replaced on a replay."""
+#: Batches that are put together to one, and so on with what they make.
+FAN = 8
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        summed(batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return write
 
+class StreamedSums:
+    """Sums of a stream in a folder: `from=F/to=T` holds those of the batches F to T.
 
-def read_sums(spark: SparkSession, path: str, keys: list[str], largest: tuple[str, ...] = ()) -> DataFrame:
-    """The sums of all batches per key; columns in `largest` are maxima instead."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "version")]
-    return rows.groupBy(*keys).agg(*[(F.max(c) if c in largest else F.sum(c)).alias(c) for c in values])
-
+    Every batch writes its own sums. Each `FAN`th one also puts the last `FAN` together, each `FAN` squared-th those
+    of the next tier, and so on, so a reader finds few folders however long the stream runs. What a finished
+    folder covers is the mark of how far sums are committed: a replayed batch that lies in one is not counted again.
+    Which folders are put together follows from the batch number alone, so a replay after a crash does the same again.
+    """
 
-def fold_sums(
-    spark: SparkSession, path: str, into: str, keys: list[str], largest: tuple[str, ...] = ()
-) -> None:
-    """Write the sums of all batches so far as one batch of a new folder, for streams that begin anew."""
-    read_sums(spark, path, keys, largest).write.mode("overwrite").parquet(f"{into}/version=-1")
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], largest: tuple[str, ...] = (), fan: int = FAN):
+        """Sums per `keys`; columns in `largest` are maxima instead."""
+        self.spark, self.path, self.keys, self.largest, self.fan = spark, path.rstrip("/"), keys, largest, fan
+
+    def sink(self, summed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            done = self._written()
+            if any(lo <= batch_id <= hi and hi > lo for lo, hi in done):
+                return
+            # Batches before this one will not come again, so what their sums were put together to stands.
+            self._drop([r for r in done if r not in self._largest(done)])
+            summed(batch).write.mode("overwrite").parquet(self._folder(batch_id, batch_id))
+            size = self.fan
+            while (batch_id + 1) % size == 0:
+                self._fold(batch_id + 1 - size, batch_id)
+                size *= self.fan
+
+        return write
+
+    def read(self) -> DataFrame:
+        """The sums of all batches per key."""
+        return self._summed(self._largest(self._written()))
+
+    def hand_over(self, into: StreamedSums) -> None:
+        """Write the sums so far as those before the first batch of a stream that begins anew."""
+        self.read().write.mode("overwrite").parquet(into._folder(-1, -1))
+
+    def _fold(self, first: int, last: int) -> None:
+        parts = [r for r in self._largest(self._written()) if first <= r[0] and r[1] <= last]
+        if len(parts) > 1:
+            self._summed(parts).write.mode("overwrite").parquet(self._folder(first, last))
+
+    def _summed(self, parts: list[tuple[int, int]]) -> DataFrame:
+        rows = self.spark.read.parquet(*[self._folder(lo, hi) for lo, hi in parts])
+        values = [c for c in rows.columns if c not in self.keys]
+        return rows.groupBy(*self.keys).agg(*[(F.max(c) if c in self.largest else F.sum(c)).alias(c) for c in values])
+
+    def _folder(self, first: int, last: int) -> str:
+        return f"{self.path}/from={first}/to={last}"
+
+    def _written(self) -> list[tuple[int, int]]:
+        """First and last batch of each folder that was written to the end."""
+        path, files = folder_at(self.spark, f"{self.path}/from=*/to=*/_SUCCESS")
+        names = [str(f.getPath().getParent()).split("/")[-2:] for f in files.globStatus(path) or []]
+        return sorted((int(lo.removeprefix("from=")), int(hi.removeprefix("to="))) for lo, hi in names)
+
+    @staticmethod
+    def _largest(done: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Folders that lie in no other one."""
+        return [r for r in done if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in done)]
+
+    def _drop(self, parts: list[tuple[int, int]]) -> None:
+        for lo, hi in parts:
+            path, files = folder_at(self.spark, self._folder(lo, hi))
+            files.delete(path, True)

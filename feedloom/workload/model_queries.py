@@ -26,12 +26,12 @@ from feedloom.operators import status as sts
 from feedloom.plans import digest as dig
 from feedloom.plans import mail
 from feedloom.session import settle, shared_dir
-from feedloom.sources.tables import write_digests
+from feedloom.sources.tables import read_digests, write_digests
 from feedloom.workload import sqltext as q
 from feedloom.workload import tables_queries as tbq
 from feedloom.workload import text_queries as txq
 from feedloom.workload import views as v
-from feedloom.workload.registry import query
+from feedloom.workload.registry import SQL, query
 from feedloom.workload.sqltext import joined, quoted
 from feedloom.workload.tables_queries import CHOICE_SQL, STATES_SQL
 from feedloom.workload.text_queries import GLUE, TITLE_SQL, bullets_sql, glue
@@ -499,11 +499,25 @@ def _(spark, sf):
 
 @query("s8_write_digests", f"{PAGE_SQL} SELECT feed_group, digest_id, subject, md5(html) AS html_md5 FROM pages_")
 def _(spark, sf):
-    """Pages written as JSON by feed group and read back."""
+    """Pages written as JSON and read back."""
     path = shared_dir(spark, "digests")
     write_digests(digest_pages(spark, sf), path)
-    back = spark.read.schema("digest_id STRING, subject STRING, html STRING, feed_group STRING").json(path)
-    return back.select("feed_group", "digest_id", "subject", F.md5("html").alias("html_md5"))
+    return _written(spark, path)
+
+
+def _written(spark, path):
+    return read_digests(spark, path).select("feed_group", "digest_id", "subject", F.md5("html").alias("html_md5"))
+
+
+@query("s8_write_digests_in_turn", SQL["s8_write_digests"])
+def _(spark, sf):
+    """One feed group after the other, runs at noon after all others, and one group again."""
+    path = shared_dir(spark, "digests")
+    pages = settle(digest_pages(spark, sf), "pages")
+    noon = F.hour("as_of") == 12
+    for part in (~noon & (C("feed_group") == "security"), ~noon & (C("feed_group") != "security"), noon, C("feed_group") == "security"):
+        write_digests(pages.filter(part), path)
+    return _written(spark, path)
 
 
 @query(
@@ -678,9 +692,10 @@ def _(spark, sf):
     payloads, feeds = tbq.feed_payloads(spark, sf), v.feeds(spark, sf)
     items = settle(dig.ingest(payloads, feeds), "items")
     runs, keys, pages = v.runs(spark, sf), v.state_keys(spark, sf), v.linked_pages(spark, sf)
-    chosen = dig.choose_posts(runs, items, keys)
-    said = settle(answers(dig.with_text(chosen.shown, items)), "answers")
-    built = dig.build_digests(runs, feeds, payloads, items, keys, pages, said)
+    chosen = dig.choose_posts(runs, items, keys).settled()
+    posts = settle(dig.with_text(chosen.shown, items), "display")
+    said = settle(answers(posts), "answers")
+    built = dig.finish_digests(chosen, posts, feeds, payloads, items, pages, said)
 
     fields = ["feed_id", "source_name", "ok", "items", "items_new", "elapsed_ms"]
     text = F.concat_ws("|", *[C(c).cast("string") for c in fields], F.coalesce("error", F.lit("")))
@@ -698,7 +713,7 @@ def _(spark, sf):
     stats = built.stats.select(
         "digest_id", "all_items", "new_posts", "display_posts", "recent_posts", "succeeded"
     )
-    out = built.pages.join(stats, "digest_id").join(states, "digest_id", "left").join(kept, "digest_id", "left")
+    out = built.pages.drop("as_of").join(stats, "digest_id").join(states, "digest_id", "left").join(kept, "digest_id", "left")
     return out.na.fill("", ["statuses", "state"])
 
 

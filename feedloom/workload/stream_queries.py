@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import format_iso
+from feedloom.operators.commits import folder_at
 from feedloom.operators.state import ProcessedPosts, to_state_rows
 from feedloom.session import shared_dir
 from feedloom.streaming import streams as stm
@@ -33,20 +34,29 @@ def _fetched(number):
     return v.as_of() + F.make_dt_interval(hours=_turn(number) * 12)
 
 
-def _batches(spark, rows, number, label: str):
-    """Rows as one file per part in the order of arrival, read back as a stream of five batches."""
-    path = shared_dir(spark, label)
-    for part in ARRIVAL:
-        rows.filter(number % 5 == part).coalesce(1).write.mode("append").parquet(path)
-    return stm.payload_stream(spark, path, rows.schema, files_per_batch=1)
+def _arrivals(spark, rows, number, label: str, run):
+    """Hand `rows` to `run` as a stream that is started anew for each of five parts, in the order of their arrival.
+
+    All parts are written by one job, each as as many files as tasks wrote it; a part arrives when its folder is moved
+    to where the stream looks.
+    """
+    kept, seen = shared_dir(spark, label), shared_dir(spark, label)
+    rows.withColumn("_turn", _turn(number)).write.partitionBy("_turn").parquet(kept)
+    for turn in range(len(ARRIVAL)):
+        part, files = folder_at(spark, f"{kept}/_turn={turn}")
+        if not files.exists(part):
+            continue
+        arrived, _ = folder_at(spark, f"{seen}/part-{turn}")
+        files.mkdirs(arrived.getParent())
+        files.rename(part, arrived)
+        run(stm.payload_stream(spark, f"{seen}/*", rows.schema))
 
 
 @query("r1_stream_ingest", SQL["s2_parse_rss"])
 def _(spark, sf):
     rows = tbq.rss_payloads(spark, sf).withColumn("n", F.substring("feed_id", 2, 20).cast("bigint"))
-    payloads = _batches(spark, rows, C("n"), "payloads").drop("n")
     out, check = shared_dir(spark, "items"), shared_dir(spark, "check")
-    stm.run_append(stm.stream_ingest(payloads), out, check)
+    _arrivals(spark, rows, C("n"), "payloads", lambda s: stm.run_append(stm.stream_ingest(s.drop("n")), out, check))
     return spark.read.parquet(out).select(
         "feed_id",
         C("item_pos").cast("bigint").alias("item_pos"),
@@ -58,19 +68,52 @@ def _(spark, sf):
     )
 
 
+@query(
+    "r1_stream_rejects",
+    f"""WITH {POSTS_SQL}, found AS (
+  SELECT 'f' || item_pos AS feed_id, CASE lang WHEN 'de' THEN 'HTTP 503' WHEN 'es' THEN 'HTML instead of XML'
+    WHEN 'fr' THEN 'Not XML format' END AS error, published, item_pos FROM posts)
+SELECT feed_id, error AS reason, NULL::BIGINT AS item_pos, NULL AS link_md5, 'reject' AS kind FROM found WHERE error IS NOT NULL
+UNION ALL
+SELECT feed_id, NULL, pos, CASE pos WHEN 0 THEN md5(link) ELSE md5('') END, 'item'
+FROM found JOIN (SELECT item_pos AS n, link FROM posts) ON n = item_pos, (VALUES (0::BIGINT), (1::BIGINT)) t(pos)
+WHERE error IS NULL AND NOT (pos = 0 AND item_pos % 7 = 0)
+UNION ALL
+SELECT feed_id, 'no readable date', 0, md5(link), 'reject' FROM found JOIN (SELECT item_pos AS n, link FROM posts) ON n = item_pos
+WHERE error IS NULL AND item_pos % 7 = 0""",
+)
+def _(spark, sf):
+    """Items and rejects side by side: failed payloads, html, texts that are no feed, and items with a date that cannot be read."""
+    posts = v.posts(spark, sf).select(F.concat(F.lit("f"), C("item_pos").cast("string")).alias("feed_id"), "item_pos", "lang", "title")
+    plain = F.when(C("item_pos") % 7 == 0, F.regexp_replace("body", "<pubDate>[^<]*<", "<pubDate>some day<")).otherwise(C("body"))
+    body = (
+        F.when(C("lang") == "es", F.concat(F.lit("<HTML>"), C("body"))).when(C("lang") == "fr", C("title")).otherwise(plain)
+    )
+    rows = tbq.rss_payloads(spark, sf).join(posts, "feed_id").withColumn("body", body).drop("lang", "title")
+    out, check = shared_dir(spark, "outcomes"), shared_dir(spark, "check")
+
+    def run(stream):
+        stm.run_append(stm.stream_outcomes(stream.drop("item_pos")), out, check, by="kind")
+
+    _arrivals(spark, rows, C("item_pos"), "payloads", run)
+    return spark.read.parquet(out).select(
+        "feed_id", "reason", C("item_pos").cast("bigint").alias("item_pos"), F.md5("link").alias("link_md5"), "kind"
+    )
+
+
 ARRIVED_SQL = f"""{POSTS_SQL}, arrived AS (
   SELECT {PK_SQL} AS pk, {RK_SQL} AS rk, title, link, source_name, n,
     CASE WHEN n % 97 = 5 THEN published + INTERVAL 75 YEAR ELSE published END AS published,
     {FETCHED_SQL} AS fetched_at FROM (SELECT *, item_pos AS n FROM posts))"""
 
 
-def _posts(spark, sf):
+def _posts(spark, sf, run):
     n = C("item_pos")
     ahead = F.when(n % 97 == 5, F.expr("published + INTERVAL 75 YEARS")).otherwise(C("published"))
     rows = v.posts(spark, sf).select(
         "item_pos", "title", "link", "source_name", "summary", ahead.alias("published"), _fetched(n).alias("fetched_at")
     )
-    return _batches(spark, rows, n, "posts")
+    _arrivals(spark, rows, n, "posts", run)
 
 
 @query(
@@ -81,8 +124,11 @@ FROM arrived GROUP BY 1, 2""",
 def _(spark, sf):
     """The first sighting of each key, by arrival."""
     out, check = shared_dir(spark, "firsts"), shared_dir(spark, "check")
-    first = stm.stream_dedup(_posts(spark, sf)).select("pk", "rk", "published", "fetched_at")
-    stm.run_append(first, out, check)
+
+    def run(posts):
+        stm.run_append(stm.stream_dedup(posts).select("pk", "rk", "published", "fetched_at"), out, check)
+
+    _posts(spark, sf, run)
     return spark.read.parquet(out).select("pk", "rk", format_iso(C("fetched_at")).alias("fetched_at"))
 
 
@@ -94,10 +140,13 @@ QUALIFY row_number() OVER (PARTITION BY pk, rk ORDER BY fetched_at DESC, link, t
 )
 def _(spark, sf):
     bullets = F.array("title")
-    posts = _posts(spark, sf).withColumns({"english_summary": bullets, "korean_summary": bullets})
-    state = ProcessedPosts(spark, shared_dir(spark, "state"))
-    rows = to_state_rows(posts, C("fetched_at"))
-    stm.run_batches(rows, stm.upsert_batch(state, "posts"), shared_dir(spark, "check"))
+    state, check = ProcessedPosts(spark, shared_dir(spark, "state")), shared_dir(spark, "check")
+
+    def run(posts):
+        full = posts.withColumns({"english_summary": bullets, "korean_summary": bullets})
+        stm.run_batches(to_state_rows(full, C("fetched_at")), stm.upsert_batch(state, "posts"), check)
+
+    _posts(spark, sf, run)
     return state.rows().select(
         "pk", "rk", "title", "link", "source_name", "publish_date",
         format_iso(C("processed_date")).alias("processed_date"),
@@ -108,10 +157,10 @@ TIMED_SQL = """timed AS (
   SELECT event_type, value, CASE WHEN event_id % 997 = 3 THEN ts + INTERVAL 10 YEAR ELSE ts END AS moment FROM events)"""
 
 
-def _events(spark, sf):
+def _events(spark, sf, run):
     n = C("event_id")
     ahead = F.when(n % 997 == 3, F.expr("ts + INTERVAL 10 YEARS")).otherwise(C("ts"))
-    return _batches(spark, v.events(spark, sf).withColumn("ts", ahead), n, "events")
+    _arrivals(spark, v.events(spark, sf).withColumn("ts", ahead), n, "events", run)
 
 
 @query(
@@ -121,10 +170,14 @@ def _events(spark, sf):
 FROM timed, (SELECT unnest(range(24)) AS k) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    items = _events(spark, sf).select(C("ts").alias("published"), C("event_type").alias("feed_id"))
-    out, check = shared_dir(spark, "status"), shared_dir(spark, "check")
-    stm.run_batches(items, stm.write_sums(out, stm.hourly_status), check)
-    found = stm.status_windows(stm.read_sums(spark, out, ["hour", "feed_id"]))
+    sums, check = stm.StreamedSums(spark, shared_dir(spark, "status"), ["hour", "feed_id"], fan=2), shared_dir(spark, "check")
+
+    def run(events):
+        items = events.select(C("ts").alias("published"), C("event_type").alias("feed_id"))
+        stm.run_batches(items, sums.sink(stm.hourly_status), check)
+
+    _events(spark, sf, run)
+    found = stm.status_windows(sums.read())
     return found.withColumn("start", format_iso(C("start")))
 
 
@@ -135,10 +188,15 @@ def _(spark, sf):
 FROM timed GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    requests = _events(spark, sf).select("ts", C("event_type").alias("name"), C("value").alias("duration"))
-    out, check = shared_dir(spark, "latency"), shared_dir(spark, "check")
-    stm.run_batches(requests, stm.write_sums(out, stm.hourly_latency), check)
-    found = stm.latency(stm.read_sums(spark, out, ["hour", "name"], ("max_duration",)))
+    path, check = shared_dir(spark, "latency"), shared_dir(spark, "check")
+    sums = stm.StreamedSums(spark, path, ["hour", "name"], ("max_duration",), fan=2)
+
+    def run(events):
+        requests = events.select("ts", C("event_type").alias("name"), C("value").alias("duration"))
+        stm.run_batches(requests, sums.sink(stm.hourly_latency), check)
+
+    _events(spark, sf, run)
+    found = stm.latency(sums.read())
     return found.withColumn("hour", format_iso(C("hour")))
 
 
@@ -161,13 +219,12 @@ def _(spark, sf):
     """One stream from payloads to the state table, which already holds some posts."""
     n = F.substring("feed_id", 2, 20).cast("bigint")
     rows = tbq.rss_payloads(spark, sf).withColumn("n", n).withColumn("fetched_at", _fetched(C("n")))
-    payloads = _batches(spark, rows, C("n"), "payloads").drop("n")
     feeds = v.posts(spark, sf).select(
         F.concat(F.lit("f"), C("item_pos").cast("string")).alias("feed_id"), "feed_group", "feed_pos",
         "source_name", F.lit(None).cast("string").alias("emoji"),
     )
     state = ProcessedPosts(spark, shared_dir(spark, "state"))
     state.append(v.processed(spark, sf), 0)
-    sink = stm.items_to_state(state, feeds, "payloads")
-    stm.run_batches(stm.stream_ingest(payloads), sink, shared_dir(spark, "check"))
+    sink, check = stm.items_to_state(state, feeds, "payloads"), shared_dir(spark, "check")
+    _arrivals(spark, rows, C("n"), "payloads", lambda s: stm.run_batches(stm.stream_ingest(s.drop("n")), sink, check))
     return state.rows().select("pk", "rk", "link", format_iso(C("processed_date")).alias("processed_date"))

@@ -28,7 +28,7 @@ from feedloom.sources import feeds as fds
 from feedloom.sources import tables as tbs
 from feedloom.streaming import streams as stm
 from feedloom.workload import views as v
-from feedloom.workload.registry import query
+from feedloom.workload.registry import SQL, query
 from feedloom.workload.sqltext import decode, quoted, trim
 from feedloom.workload.views import (
     AS_OF_SQL,
@@ -268,8 +268,8 @@ def _(spark, sf):
     def stream(writer, numbers):
         path = shared_dir(spark, "posts")
         for n in numbers:
-            part(n).coalesce(1).write.mode("append").parquet(path)
-            rows = stm.payload_stream(spark, path, part(0).schema, files_per_batch=1)
+            part(n).write.mode("append").parquet(path)
+            rows = stm.payload_stream(spark, path, part(0).schema)
             stm.run_batches(rows, stm.upsert_batch(state, writer), f"{path}-check")
 
     stream("first", [0, 1])
@@ -283,6 +283,43 @@ def _(spark, sf):
     )
 
 
+@query(
+    "s6_versions_out_of_order",
+    f"""WITH {PROCESSED_SQL},
+parts AS (
+  SELECT {PK_SQL} AS pk, {RK_SQL} AS rk, title, link, source_name, published,
+    list_position([2, 0, 3, 1], item_pos % 4) AS part FROM posts),
+turns AS (
+  SELECT pk, rk, title, link, source_name, processed_date, publish_date, ts, 0 AS turn FROM processed
+  UNION ALL SELECT pk, rk, title, link, source_name, {AS_OF_SQL}, strftime(published, {ISO}), {AS_OF_SQL}, part::INT FROM parts),
+state AS (
+  SELECT * FROM turns QUALIFY row_number() OVER (
+    PARTITION BY pk, rk ORDER BY turn DESC, processed_date DESC NULLS LAST, link, title, publish_date, ts) = 1)
+SELECT pk, rk, title, link, source_name, publish_date FROM state""",
+)
+def _(spark, sf):
+    """A backfill: versions are written as 0, 5, 3 and 4 with snapshots between, and some of them again."""
+    state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
+    state.append(v.processed(spark, sf), 0)
+    none = F.array().cast("array<string>")
+
+    def append(part, version, writer="batch"):
+        posts = v.posts(spark, sf).filter(C("item_pos") % 4 == part)
+        full = posts.withColumns({"english_summary": none, "korean_summary": none})
+        state.append(stt.to_state_rows(full, v.as_of()), version, writer)
+
+    append(2, 5)
+    state.snapshot()
+    append(0, 3)
+    append(2, 5)  # folded by now, so nothing happens
+    state.snapshot()
+    state.clean_up()
+    append(3, 4)
+    append(1, 3, "other")
+    append(3, 4)  # keeps its turn
+    return state.rows().select("pk", "rk", "title", "link", "source_name", "publish_date")
+
+
 UPSERT_SQL = f"""WITH {PROCESSED_SQL},
 fresh AS (
   SELECT pk, rk, link, source_name, {AS_OF_SQL} AS processed_date FROM (
@@ -393,6 +430,25 @@ def _(spark, sf):
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_day(spark, rows, schema: str):
+    """Telemetry written by day in two batches, one of them twice, and read back."""
+    path = shared_dir(spark, "telemetry")
+    odd = F.hour("ts") % 2 == 1
+    for batch, part in (("even", ~odd), ("odd", odd), ("even", ~odd)):
+        tbs.write_telemetry(rows.filter(part), path, batch)
+    return tbs.read_telemetry(spark, path, schema)
+
+
+def _requests_by_day(spark, sf):
+    return _by_day(spark, v.requests(spark, sf), "ts TIMESTAMP, name STRING, duration DOUBLE")
+
+
+@query("s10_load_telemetry_by_day", SQL["s10_load_telemetry"])
+def _(spark, sf):
+    rows = tbs.load_telemetry(_requests_by_day(spark, sf), F.expr(f"{AS_OF_SQL} - INTERVAL 24 HOURS"))
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- filters and projections -------------------------------------------------------------
 
 
@@ -670,6 +726,29 @@ def _(spark, sf):
     return left.select("item_pos", "link")
 
 
+def _stored(spark, sf, shift: str = "INTERVAL 0 DAYS"):
+    """The state table in its folder: all rows, folded, and the recent ones once more as a later version."""
+    rows = v.processed(spark, sf).withColumn("ts", F.expr(f"ts - {shift}"))
+    state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
+    state.append(rows, 0)
+    state.snapshot()
+    state.append(rows.filter(C("ts") >= F.expr(f"{AS_OF_SQL} - INTERVAL 12 HOURS")), 1)
+    return state
+
+
+@query("j1_check_duplicate_stored", SQL["j1_check_duplicate"])
+def _(spark, sf):
+    """Posts against the stored keys, of which only the buckets of the posts are read."""
+    posts = v.posts(spark, sf)
+    return pst.check_duplicate(posts, _stored(spark, sf).seen(posts)).select("item_pos", "is_duplicate")
+
+
+@query("j2_unprocessed_posts_stored", SQL["j2_unprocessed_posts"])
+def _(spark, sf):
+    posts = v.posts(spark, sf)
+    return pst.unprocessed_posts(posts, _stored(spark, sf).seen(posts)).select("item_pos", "link")
+
+
 def _page_posts(spark, sf):
     """Pages as posts with their address as link; those that failed have a blank link."""
     link = F.when(F.contains("url", F.lit("#")), " ").otherwise(F.regexp_replace("url", "[?#].*$", ""))
@@ -895,6 +974,13 @@ def _(spark, sf):
     return found.withColumn("severity", C("severity").cast("bigint"))
 
 
+@query("a6_errors_by_role_by_day", SQL["a6_errors_by_role"])
+def _(spark, sf):
+    schema = "ts TIMESTAMP, severity INT, message STRING, role STRING, dims MAP<STRING, STRING>"
+    found = sts.errors_by_role(_by_day(spark, v.traces(spark, sf), schema), v.as_of())
+    return found.withColumn("severity", C("severity").cast("bigint"))
+
+
 LATENCY_SQL = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS hour,
   sum(value::DECIMAL(20, 6))::DOUBLE / count(value) AS avg_duration, max(value) AS max_duration, count(*) AS n
 FROM events WHERE event_type = 'purchase' {more} GROUP BY 1"""
@@ -917,6 +1003,11 @@ def _(spark, sf):
     return _latency(sts.request_latency_hourly(v.requests(spark, sf), "purchase", v.as_of()))
 
 
+@query("a7_request_latency_hourly_by_day", SQL["a7_request_latency_hourly"])
+def _(spark, sf):
+    return _latency(sts.request_latency_hourly(_requests_by_day(spark, sf), "purchase", v.as_of()))
+
+
 @query("a7_request_latency_all_time", LATENCY_SQL.format(more=""))
 def _(spark, sf):
     return _latency(sts.request_latency_hourly(v.requests(spark, sf), "purchase"))
@@ -940,6 +1031,11 @@ def _(spark, sf):
     return _positioned(sts.calls_by_name(v.requests(spark, sf), v.as_of()))
 
 
+@query("a9_calls_by_name_by_day", SQL["a9_calls_by_name"])
+def _(spark, sf):
+    return _positioned(sts.calls_by_name(_requests_by_day(spark, sf), v.as_of()))
+
+
 # --- ranking -----------------------------------------------------------------------------
 
 
@@ -1046,6 +1142,35 @@ def _(spark, sf):
     return _recent(stt.recent_posts_or_scan(late, v.as_of()))
 
 
+def _stored_sql(shift: str, tail: str) -> str:
+    return f"""WITH {PROCESSED_SQL}, moved AS (SELECT * REPLACE (ts - {shift} AS ts) FROM processed),
+turns AS (SELECT *, 0 AS turn FROM moved UNION ALL SELECT *, 1 FROM moved WHERE ts >= {AS_OF_SQL} - INTERVAL 12 HOUR),
+state AS (
+  SELECT * FROM turns QUALIFY row_number() OVER (
+    PARTITION BY pk, rk ORDER BY turn DESC, processed_date DESC NULLS LAST, link, title, publish_date, ts) = 1)
+SELECT link, source_name, strftime(coalesce(processed_date, ts), {ISO}) AS processed_time,
+  {quoted(DEFAULT_EMOJI)} AS emoji FROM {tail}
+ORDER BY coalesce(processed_date, ts) DESC, pk, rk, ts LIMIT 15"""
+
+
+@query("w5_recent_posts_stored", _stored_sql("INTERVAL 0 DAY", f"state WHERE ts >= {AS_OF_SQL} - INTERVAL 1 DAY"))
+def _(spark, sf):
+    """From the stored table: only the days asked for are read."""
+    return _recent(_stored(spark, sf).recent_posts(v.as_of()))
+
+
+@query(
+    "w7_scan_when_none_is_recent_stored",
+    _stored_sql(
+        "INTERVAL 9 DAY",
+        f"(SELECT * FROM state ORDER BY pk, rk, ts LIMIT 500) WHERE coalesce(processed_date, ts) >= {AS_OF_SQL} - INTERVAL 1 DAY",
+    ),
+)
+def _(spark, sf):
+    """From the stored table: the keys are sorted without their rows."""
+    return _recent(_stored(spark, sf, "INTERVAL 9 DAYS").recent_posts_or_scan(v.as_of()))
+
+
 @query(
     "w8_status_by_name",
     f"""WITH {STATUS_SQL} SELECT digest_id, source_name, items_new, ok, row_number() OVER (

@@ -87,10 +87,27 @@ def test_assembled(spark):
     assert found["e"].posts is None and found["e"].subject == SUBJECT_NONE
 
 
-def test_written_by_group(spark, tmp_path):
-    _, _, pages = digest(spark, cards(spark))
-    tbs.write_digests(pages, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).filter("feed_group = 'g'").count() == 2
+def pages_of(spark, *rows):
+    return spark.createDataFrame(rows, "digest_id STRING, feed_group STRING, as_of TIMESTAMP, subject STRING, html STRING")
+
+
+def test_written_digests_stay(spark, tmp_path):
+    path, day = str(tmp_path / "out"), dt.timedelta(days=1)
+
+    def kept(where="true"):
+        return sorted((r.digest_id, r.html) for r in tbs.read_digests(spark, path).filter(where).collect())
+
+    first = pages_of(spark, ("s1", "security", NOW, "S", "1"), ("t1", "tech", NOW, "S", "2"))
+    tbs.write_digests(first, path)
+    tbs.write_digests(pages_of(spark, ("t2", "tech", NOW + day, "S", "3")), path)
+    tbs.write_digests(pages_of(spark, ("t3", "tech", NOW + day / 4, "S", "4")), path)
+    assert kept() == [("s1", "1"), ("t1", "2"), ("t2", "3"), ("t3", "4")]
+    tbs.write_digests(first, path)
+    tbs.write_digests(first.filter("false"), path)
+    assert kept() == [("s1", "1"), ("t1", "2"), ("t2", "3"), ("t3", "4")]
+    tbs.write_digests(pages_of(spark, ("t1", "tech", NOW, "S", "new")), path)
+    assert kept() == [("s1", "1"), ("t1", "new"), ("t2", "3"), ("t3", "4")]
+    assert kept("feed_group = 'tech' AND run_day = DATE'2024-01-03'") == [("t1", "new"), ("t3", "4")]
 
 
 def test_mail_cards(spark):

@@ -29,6 +29,12 @@ def test_time_filter_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in text
 
 
+def test_telemetry_by_day_reads_its_days(spark, sf):
+    for name in ("s10_load_telemetry_by_day", "a6_errors_by_role_by_day", "a7_request_latency_hourly_by_day", "a9_calls_by_name_by_day"):
+        scans = [x for x in plan(QUERIES[name](spark, sf)).split("\n") if "FileScan" in x]
+        assert scans and all("(day#" in x.split("PartitionFilters: ")[1] for x in scans), name
+
+
 def test_state_check_reads_keys_only(spark, sf):
     narrow = v.state_keys(spark, sf).select("pk", "rk")
     assert "korean_summary" not in plan(pst.unprocessed_posts(v.posts(spark, sf).drop("summary"), narrow))

@@ -65,19 +65,91 @@ def test_replayed_batch_of_the_chain_keeps_its_own_rows(spark, tmp_path):
     assert [r.title for r in state.rows().collect()] == ["a"]
 
 
+def counted(spark, *times):
+    return spark.createDataFrame([("f", t) for t in times], "feed_id STRING, published TIMESTAMP")
+
+
+def totals(sums):
+    return sorted(r["items"] for r in sums.read().collect())
+
+
 def test_hourly_sums_lose_no_late_row(spark, tmp_path):
-    path, into = str(tmp_path / "sums"), str(tmp_path / "folded")
-    write = stm.write_sums(path, stm.hourly_status)
+    sums = stm.StreamedSums(spark, str(tmp_path / "sums"), ["hour", "feed_id"], fan=2)
+    write = sums.sink(stm.hourly_status)
     times = [NOW, later(400), NOW - dt.timedelta(days=9), NOW, later(-9)]
     for i, t in enumerate(times):
-        write(spark.createDataFrame([("f", t)], "feed_id STRING, published TIMESTAMP"), i)
-    write(spark.createDataFrame([("f", NOW)], "feed_id STRING, published TIMESTAMP"), 0)
-    found = stm.read_sums(spark, path, ["hour", "feed_id"])
-    assert sorted(r["items"] for r in found.collect()) == [1, 2, 2]
-    stm.fold_sums(spark, path, into, ["hour", "feed_id"])
-    folded = stm.read_sums(spark, into, ["hour", "feed_id"])
-    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, found.collect()))
-    assert {r["items"] for r in stm.status_windows(folded).collect()} == {1, 2}
+        write(counted(spark, t), i)
+    for i in range(len(times)):
+        write(counted(spark, times[i]), i)  # none counts again
+    assert totals(sums) == [1, 2, 2]
+    assert {r["items"] for r in stm.status_windows(sums.read()).collect()} == {1, 2}
+    anew = stm.StreamedSums(spark, str(tmp_path / "anew"), ["hour", "feed_id"])
+    sums.hand_over(anew)
+    assert totals(anew) == [1, 2, 2]
+    anew.sink(stm.hourly_status)(counted(spark, NOW), 0)
+    assert totals(anew) == [1, 2, 3]
+
+
+def test_few_folders_are_read_however_many_batches(spark, tmp_path):
+    sums = stm.StreamedSums(spark, str(tmp_path / "sums"), ["hour", "feed_id"], fan=3)
+    write = sums.sink(stm.hourly_status)
+    batch = counted(spark, NOW, NOW)
+    for i in range(29):
+        write(batch, i)
+        assert totals(sums) == [2 * (i + 1)]
+        assert len(sums._largest(sums._written())) <= 2 * 4
+    assert sums._largest(sums._written()) == [(0, 26), (27, 27), (28, 28)]
+    # What was put together is gone once the next batch has come.
+    assert len(sums._written()) == 3
+
+
+def test_crash_while_sums_are_put_together(spark, tmp_path, monkeypatch):
+    sums = stm.StreamedSums(spark, str(tmp_path / "sums"), ["hour", "feed_id"], fan=2)
+    write = sums.sink(stm.hourly_status)
+    write(counted(spark, NOW), 0)
+
+    def fails(first, last):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sums, "_fold", fails)
+    try:
+        write(counted(spark, NOW), 1)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert totals(sums) == [2]
+    write(counted(spark, NOW), 1)
+    write(counted(spark, NOW), 2)
+    assert totals(sums) == [3] and sums._written() == [(0, 1), (2, 2)]
+
+
+def test_every_payload_is_an_item_or_a_reject(spark):
+    item = "<item><title>t</title><link>l</link><pubDate>{}</pubDate></item>"
+    rss = "<?xml version='1.0'?><rss><channel><title>c</title>{}</channel></rss>"
+    day = "Wed, 03 Jan 2024 10:00:00 GMT"
+    rows = [
+        ("ok", NOW, 200, rss.format(item.format(day) + item.format("?")), None, 1),
+        ("empty", NOW, 200, rss.format(""), None, 1),
+        ("down", NOW, 503, rss.format(item.format(day)), None, 1),
+        ("lost", NOW, None, None, "timeout", 1),
+        ("html", NOW, 200, "<html><body>x</body></html>", None, 1),
+        ("text", NOW, 200, "nothing", None, 1),
+        ("null", NOW, 200, None, None, 1),
+    ]
+    from feedloom import schemas
+
+    found = stm.stream_outcomes(spark.createDataFrame(rows, schemas.FEED_PAYLOADS))
+    got = {(r.feed_id, r.item_pos, r.kind, r.reason, r.link) for r in found.collect()}
+    assert found.count() == len(got) and got == {
+        ("ok", 0, "item", None, "l"),
+        ("ok", 1, "reject", "no readable date", "l"),
+        ("empty", None, "reject", "no items", None),
+        ("down", None, "reject", "HTTP 503", None),
+        ("lost", None, "reject", "timeout", None),
+        ("html", None, "reject", "HTML instead of XML", None),
+        ("text", None, "reject", "Not XML format", None),
+        ("null", None, "reject", "Not XML format", None),
+    }
 
 
 def test_shared_dir_is_below_the_named_folder(spark):
