@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.constants import WS, WS_CHARS
@@ -18,6 +18,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled_columns(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with more columns, each computed once per row.
+
+    A plain `withColumn` may be merged into what uses it, and an expression that lands in a lambda is then computed
+    for every element. A generator of one row is never merged.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def lits(values: list[str]) -> Column:
     """Array literal of strings."""
     return F.array(*[F.lit(v) for v in values])

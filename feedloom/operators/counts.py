@@ -21,35 +21,25 @@ def totals_at(asked: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:
     """The running total of `changes` per `by` columns at each asked mark.
 
     `asked`: digest_id, the `by` columns, `mark` (a name), `at` and `strict` (changes at `at`
-    itself do not count). `changes`: the `by` columns, `at` and `change`. Whole hours before the
-    hour of the mark come from hourly sums, which are few; that hour is looked at by the second.
+    itself do not count). `changes`: the `by` columns, `at` and `change`. Changes, summed per moment, and marks are
+    one line of rows. It is swept twice: within each hour, then over the sums of the hours, which are few.
     """
     keys = ["digest_id", "mark", *by]
     slot = F.date_trunc("hour", "at").alias("slot")
-    summed = changes.groupBy(*by, "at").agg(F.sum("change").alias("change"))
-    marks = asked.select(*keys, F.col("at").alias("until"), "strict", slot)
-    hourly = summed.groupBy(*by, slot).agg(F.sum("change").alias("change"))
-    line = hourly.withColumn("_order", F.lit(1)).unionByName(
-        marks.select(*keys, "slot", F.lit(0).alias("_order")), allowMissingColumns=True
-    )
-    so_far = Window.partitionBy(*by).orderBy("slot", "_order").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    before = (
-        line.withColumn("total", F.sum("change").over(so_far))
-        .filter("_order = 0")
-        .select(*keys, F.coalesce("total", F.lit(0)).alias("total"))
-    )
-    within = (
-        summed.select(*by, "at", "change", slot)
-        .join(marks, [*by, "slot"])
-        .filter((F.col("at") < F.col("until")) | (~F.col("strict") & (F.col("at") == F.col("until"))))
-        .groupBy(*keys)
-        .agg(F.sum("change").alias("more"))
-    )
-    return before.join(within, keys, "left").select(
-        *keys, (F.col("total") + F.coalesce("more", F.lit(0))).alias("n")
+    summed = changes.groupBy(*by, slot, "at").agg(F.sum("change").alias("change"))
+    # At one moment: strict marks, changes, other marks.
+    marks = asked.select(*keys, "at", slot, F.when(F.col("strict"), 0).otherwise(2).alias("_order"))
+    line = summed.withColumn("_order", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    hour = Window.partitionBy(*by, "slot").orderBy("at", "_order")
+    so_far = hour.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = line.withColumns(
+        {"within": F.coalesce(F.sum("change").over(so_far), F.lit(0)), "_last": F.lead(F.lit(True), 1, False).over(hour)}
     )
+    # The last row of an hour has the sum of the hour.
+    few = swept.filter("_order <> 1 OR NOT _last").withColumn("_hour", F.when(~F.col("_last"), F.col("within")))
+    earlier = Window.partitionBy(*by).orderBy("_second").rangeBetween(Window.unboundedPreceding, -1)
+    placed = few.withColumn("_second", F.unix_timestamp("slot")).withColumn("before", F.sum("_hour").over(earlier))
+    return placed.filter("_order <> 1").select(*keys, (F.col("within") + F.coalesce("before", F.lit(0))).alias("n"))
 
 
 def feed_counts(asked: DataFrame, items: DataFrame, hours: dict[str, str]) -> DataFrame:

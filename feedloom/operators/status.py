@@ -106,13 +106,24 @@ def digest_counts(links: DataFrame, shown: DataFrame, runs: DataFrame) -> DataFr
     `links` holds digest_id and all_items; `shown` the display posts with is_new_post.
     """
     recent = is_new(F.col("as_of"), F.col("new_window_hours"))
-    display = shown.groupBy("digest_id").agg(
-        F.count_if("is_new_post").alias("new_posts"),
-        F.count(F.lit(1)).alias("display_posts"),
-        F.count_if(recent).alias("recent_posts"),
-    )
-    out = runs.select("digest_id").join(links, "digest_id", "left").join(display, "digest_id", "left")
-    return out.na.fill(0, ["all_items", "new_posts", "display_posts", "recent_posts"])
+    names = ["all_items", "new_posts", "display_posts", "recent_posts"]
+    # Runs, links and posts are rows of one kind that are added up once.
+    parts = [
+        (runs, {}),
+        (links, {"all_items": F.col("all_items")}),
+        (shown, {"new_posts": F.col("is_new_post").cast("int"), "display_posts": F.lit(1), "recent_posts": recent.cast("int")}),
+    ]
+    rows = [
+        part.select(
+            "digest_id",
+            *[F.coalesce(values.get(n, F.lit(0)), F.lit(0)).cast("bigint").alias(n) for n in names],
+            F.lit(not values).alias("_asked"),
+        )
+        for part, values in parts
+    ]
+    summed = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("digest_id")
+    added = summed.agg(*[F.sum(n).alias(n) for n in names], F.max("_asked").alias("_asked"))
+    return added.filter("_asked").drop("_asked")
 
 
 def actual_new_count(posts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from feedloom.functions.lines import (
     excerpt_three,
     insights_both,
 )
-from feedloom.functions.text import is_blank
+from feedloom.functions.text import is_blank, settled_columns
 from feedloom.operators.filters import is_placeholder
 from feedloom.operators.render import legacy_card, mail_html
 from feedloom.operators.rows import enrich_pages, fallback_if_empty
@@ -30,12 +30,9 @@ from feedloom.sources.tables import load_pages
 
 def page_text(pages: DataFrame) -> DataFrame:
     """Pages with `article_text`; one step per column keeps the generated code small."""
-    return (
-        pages.withColumn("_main", main_content_html(F.col("html")))
-        .withColumn("_text", readable_text(F.col("_main")))
-        .withColumn("article_text", drop_boilerplate_lines(F.col("_text")))
-        .drop("_main", "_text")
-    )
+    rows = settled_columns(pages, _main=main_content_html(F.col("html")))
+    rows = settled_columns(rows, _text=readable_text(F.col("_main")))
+    return rows.withColumn("article_text", drop_boilerplate_lines(F.col("_text"))).drop("_main", "_text")
 
 
 def article_text(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -53,14 +50,12 @@ def insight_source(posts: DataFrame, articles: DataFrame) -> DataFrame:
     """
     joined = enrich_pages(posts, articles)
     full = strip_tags_full(F.col("summary"))
-    return joined.withColumn("summary_text", summary_cut(F.col("summary"))).withColumn(
-        "_full", full
-    )
+    return settled_columns(joined, summary_text=summary_cut(F.col("summary")), _full=full)
 
 
 @cache
 def _excerpt() -> Column:
-    return excerpt_three(excerpt_lines(F.col("article_text"), 3), F.col("summary_text"))
+    return excerpt_three(F.col("_page_lines"), F.col("summary_text"))
 
 
 @cache
@@ -72,22 +67,21 @@ def _insight_lines() -> Column:
 def mail_lines(posts: DataFrame, articles: DataFrame) -> DataFrame:
     """Posts with excerpt lines and English and Korean insight lines.
 
-    The two large expressions name columns only, so they are built once and reused.
+    The two large expressions name columns only, so they are built once and reused. Each step is settled before
+    the next: their lambdas would otherwise compute the steps before them anew for every line.
     """
     fallback = (
         F.when(~is_blank(F.col("article_text")), F.col("article_text"))
         .when(~is_blank(F.col("_full")), F.col("_full"))
         .otherwise(F.array_join("excerpt", " "))
     )
-    return (
-        insight_source(posts, articles)
-        .withColumn("excerpt", _excerpt())
-        .withColumn("fallback", fallback)
-        .withColumn("_lines", excerpt_lines(F.col("fallback"), MAX_EXCERPT))
-        .withColumn("_both", _insight_lines())
-        .withColumns({"en": F.col("_both")[0], "ko": F.col("_both")[1]})
-        .drop("_lines", "_full", "_both")
-    )
+    rows = settled_columns(insight_source(posts, articles), _page_lines=excerpt_lines(F.col("article_text"), 3))
+    rows = settled_columns(rows, excerpt=_excerpt())
+    rows = settled_columns(rows, fallback=fallback)
+    rows = settled_columns(rows, _lines=excerpt_lines(F.col("fallback"), MAX_EXCERPT))
+    rows = settled_columns(rows, _both=_insight_lines())
+    named = rows.withColumns({"en": F.col("_both")[0], "ko": F.col("_both")[1]})
+    return named.drop("_page_lines", "_lines", "_full", "_both")
 
 
 def mail_cards(posts: DataFrame, articles: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from feedloom.operators import state as stt
 from feedloom.operators import status as sts
 from feedloom.operators.render import subject_line
 from feedloom.plans.digest import choose_posts, counts_per_feed
-from feedloom.session import shared_dir
+from feedloom.session import settle, shared_dir
 from feedloom.sources import feeds as fds
 from feedloom.sources import tables as tbs
 from feedloom.streaming import streams as stm
@@ -924,7 +924,10 @@ ALL_ITEMS_SQL = """(SELECT count(DISTINCT upper(link)) FROM posts x WHERE x.feed
 
 
 def choice(spark, sf):
-    return choose_posts(v.runs(spark, sf), v.posts(spark, sf), v.state_keys(spark, sf))
+    """Runs, items and state keys are stored tables to the digest, so the views of them are settled first."""
+    items = settle(v.posts(spark, sf).drop("title", "summary"), "items")
+    runs, keys = settle(v.runs(spark, sf), "runs"), settle(v.state_keys(spark, sf), "keys")
+    return choose_posts(runs, items, keys)
 
 
 @query(
