@@ -20,6 +20,10 @@ from feedloom.operators.state import ProcessedPosts, latest_per_key, to_state_ro
 from feedloom.sources.feeds import clean_items, items_or_rejects, items_to_feeds, parse_feeds
 
 
+#: Keeps more keys than fit in memory; only what a batch changes goes to the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def payload_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """Payload files as they arrive."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -40,12 +44,28 @@ def stream_outcomes(payloads: DataFrame) -> DataFrame:
     return items_or_rejects(payloads)
 
 
-def stream_dedup(posts: DataFrame, delay: str = "7 days", arrival: str = "fetched_at") -> DataFrame:
-    """The first sighting of each (pk, rk), as far back as `delay` before the newest arrival.
+def stream_dedup(
+    posts: DataFrame, known: DataFrame | None = None, delay: str | None = None, arrival: str = "fetched_at"
+) -> DataFrame:
+    """The first sighting of each (pk, rk), however long ago.
 
-    State is kept for `delay` only; older repeats are caught by the state table.
+    Keys are kept as state of the stream and never expire, as they never do in the state table; a restart goes on with
+    them. `known`: keys (pk, rk) handled before the stream began, such as a settled copy of the keys of the state
+    table; it must stay the same from start to start, or a replayed batch would lose its own rows. With
+    `delay` keys are kept for that long behind the newest arrival only, and the state table has to catch older repeats.
     """
-    return with_keys(posts).withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["pk", "rk"])
+    keyed = with_keys(posts)
+    if known is not None:
+        keyed = keyed.join(known.select("pk", "rk"), ["pk", "rk"], "left_anti")
+    if delay is not None:
+        return keyed.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["pk", "rk"])
+    return keyed.dropDuplicates(["pk", "rk"])
+
+
+def on_disk_state(spark: SparkSession) -> None:
+    """Let streams that start from now on keep their state on local disk and in the checkpoint, not in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def upsert_batch(state: ProcessedPosts, writer: str) -> Callable[[DataFrame, int], None]:

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from feedloom.operators import posts as pst
 from feedloom.operators.state import ProcessedPosts, to_state_rows
 from feedloom.session import shared_dir
 from feedloom.streaming import streams as stm
@@ -38,6 +39,40 @@ def test_repeat_in_a_later_batch_is_dropped(spark, tmp_path):
     assert sorted(r.title for r in rows) == ["a", "c", "d", "e", "f"]
 
 
+def test_repeat_after_a_month_and_a_restart_is_dropped(spark, tmp_path):
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stm.on_disk_state(spark)
+    try:
+        path, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+        known = pst.with_keys(spark.createDataFrame([("S", "l0")], "source_name STRING, link STRING")).select("pk", "rk")
+        batches = [
+            [("a", "l1", "S", "x", NOW, NOW), ("known", "l0", "S", "x", NOW, NOW), ("other", "l0", "T", "x", NOW, NOW)],
+            [("b", "l2", "S", "x", NOW, later(400))],
+            [("again", "l1", "S", "x", NOW, later(430)), ("again", "l2", "S", "x", NOW, None), ("c", "L1", "S", "x", None, later(1))],
+        ]
+        for rows in batches:  # a start of the stream for each
+            spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(path)
+            posts = stm.payload_stream(spark, path, spark.read.parquet(path).schema)
+            stm.run_append(stm.stream_dedup(posts, known), out, check)
+        assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "other"]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+def test_bounded_state_forgets(spark, tmp_path):
+    posts = feed(
+        spark,
+        tmp_path,
+        [("a", "l1", "S", "x", NOW, NOW)],
+        [("b", "l1", "S", "x", NOW, later(1)), ("c", "l2", "S", "x", NOW, later(30))],
+        [("d", "l3", "S", "x", NOW, later(31))],
+        [("e", "l3", "S", "x", NOW, later(31))],
+    )
+    out = str(tmp_path / "out")
+    stm.run_append(stm.stream_dedup(posts, delay="7 days"), out, str(tmp_path / "check"))
+    assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["a", "c", "d"]
+
+
 def test_replayed_batch_leaves_the_state_as_it_was(spark, tmp_path):
     state = ProcessedPosts(spark, str(tmp_path / "state"))
     none = F.array().cast("array<string>")
