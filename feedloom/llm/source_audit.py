@@ -7,17 +7,18 @@ taken in billionths, so all arithmetic is on integers.
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import on_workers
-from feedloom.llm.terms import LETTERS, term_lists
+from feedloom.llm.terms import LETTERS
 from feedloom.session import settle
 
 #: Production parameters.
@@ -25,14 +26,14 @@ MIN_DOCUMENTS = 3
 TOP = 200
 SCALE = 1_000_000_000
 
-#: Entries that a task counts before it passes them on.
-HELD = 400_000
+#: Counts that a task holds before it sums them, and passes them on if half as many are left.
+HELD = 3_000_000
 #: Rows of a group that are held against its skyband at once.
 CHUNK = 2048
 #: Terms and sources of one tile of a comparison of sources.
 TILE_TERMS, TILE_SOURCES = 4096, 64
-#: Tasks that the partitions' skybands of one group are merged by, before one task merges what is left.
-MERGERS = 16
+#: Skybands of one group that a task merges; more of them are merged level by level.
+FAN = 32
 
 _COUNTS = "lang STRING, source STRING, term STRING, n BIGINT, docs BIGINT"
 _POINTS = "lang STRING, source STRING, term STRING, n BIGINT, ln BIGINT"
@@ -40,36 +41,38 @@ _POINTS = "lang STRING, source STRING, term STRING, n BIGINT, ln BIGINT"
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents per group and term, of what a task holds at a time."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    groups: dict[tuple[str, str], int] = {}
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        whole = pa.concat_tables(held).group_by(["group", "term"], use_threads=False)
+        found = whole.aggregate([("n", "sum"), ("docs", "sum")])
+        return found.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, docs) in held.items():
-            terms = list(times)
-            for lo in range(0, len(terms), 50_000):
-                part = terms[lo : lo + 50_000]
-                columns = [
-                    pa.repeat(pa.scalar(lang, pa.string()), len(part)),
-                    pa.repeat(pa.scalar(source, pa.string()), len(part)),
-                    pa.array(part, pa.binary()).cast(pa.string()),
-                    pa.array([times[t] for t in part], pa.int64()),
-                    pa.array([docs[t] for t in part], pa.int64()),
-                ]
+        names = [pa.array([key[j] for key in groups], pa.string()) for j in range(2)]
+        for part in held:
+            for batch in part.to_batches(max_chunksize=50_000):
+                columns = [*[x.take(batch["group"]) for x in names], *[batch[c] for c in ("term", "n", "docs")]]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = batch.column(2)
-        for i, key in enumerate(zip(langs, sources)):
-            times, docs = held.setdefault(key, (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for terms in term_lists(texts[i].as_py(), LETTERS):
-                times.update(terms)
-                seen.update(terms)
-            docs.update(seen)
-        if sum(len(times) for times, _ in held.values()) > HELD:
-            yield from rows()
-            held.clear()
-    yield from rows()
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        of_doc = np.array([groups.setdefault(key, len(groups)) for key in keys], dtype=np.int32)
+        flat = [(raw.as_py() or b"").translate(LETTERS).strip() for raw in batch.column(2)]
+        terms = pc.ascii_split_whitespace(pa.array(flat, pa.binary()).cast(pa.string()))
+        each = pa.table({"doc": pc.list_parent_indices(terms), "term": terms.flatten()}).filter(pc.field("term") != "")
+        each = each.group_by(["doc", "term"], use_threads=False).aggregate([([], "count_all")])
+        counts = {"group": of_doc[each["doc"].to_numpy()], "term": each["term"], "n": each["count_all"]}
+        held.append(pa.table(counts | {"docs": np.ones(len(each), dtype=np.int64)}))
+        if sum(map(len, held)) > HELD:
+            held = [summed()]
+            if len(held[0]) > HELD // 2:
+                yield from rows()
+                held, groups = [], {}
+    if held:
+        held = [summed()]
+        yield from rows()
 
 
 def _named(docs: DataFrame, lang_col: str, source_col: str) -> list[Column]:
@@ -125,61 +128,98 @@ def groups_of(docs: DataFrame, kept: DataFrame, lang_col: str = "lang", source_c
     return whole.withColumns({"p0": p0.cast("long"), "idx": idx})
 
 
-def skyband(n: np.ndarray, ln: np.ndarray, term: list[str], k: int) -> np.ndarray:
-    """Which of the points have fewer than `k` points above them.
+class Skyband:
+    """The points of a group that have fewer than `k` points above them, out of all that were added.
 
-    A point is above another if its n is no lower, its ln no higher and its term earlier in UTF-8 (or
-    equal in the first two and earlier in the last). Points come in the order n descending, ln ascending,
-    term ascending, so whatever is above a point comes before it.
+    A point is above another if its n is no lower, its ln no higher and its term earlier in UTF-8. Points come in the
+    order n descending, ln ascending, term ascending, so whatever is above a point comes before it.
     """
-    order = sorted(range(len(term)), key=term.__getitem__)  # code points sort as UTF-8 does
-    rank = np.empty(len(term), dtype=np.int64)
-    rank[order] = np.arange(len(term))
-    stay = np.ones(len(term), dtype=bool)
-    for lo in range(0, len(term), 512):
-        hi = min(lo + 512, len(term))
-        # Points that were dropped need not count: one with k points above it has k of them in the skyband.
-        before = np.flatnonzero(stay[:lo])
-        above = ((ln[before] <= ln[lo:hi, None]) & (rank[before] < rank[lo:hi, None])).sum(axis=1)
-        own = (ln[lo:hi] <= ln[lo:hi, None]) & (rank[lo:hi] < rank[lo:hi, None])
-        above += np.tril(own, -1).sum(axis=1)
-        stay[lo:hi] = above < k
-    return stay
+
+    def __init__(self, k: int):
+        self.k = k
+        self.term, self.n, self.ln = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, term: pa.Array, n: np.ndarray, ln: np.ndarray) -> None:
+        """Dropped points need not count: one with `k` points above it has `k` of them among those that are kept."""
+        for lo in range(0, len(term), CHUNK):
+            self._add(term[lo : lo + CHUNK], n[lo : lo + CHUNK], ln[lo : lo + CHUNK])
+
+    def _add(self, term: pa.Array, n: np.ndarray, ln: np.ndarray) -> None:
+        terms = pa.concat_arrays([self.term, term])
+        rank = np.empty(len(terms), dtype=np.int64)
+        rank[pc.array_sort_indices(terms).to_numpy()] = np.arange(len(terms))
+        kept, own = rank[: len(self.term)], rank[len(self.term) :]
+        open_ = np.flatnonzero(own <= self._limits(kept, ln))
+        # Places among what is at hand instead of values: narrow numbers are quick to compare.
+        level = np.unique(np.append(self.ln, ln[open_]), return_inverse=True)[1]
+        kind = np.int16 if len(terms) < 2**15 else np.int64
+        above = self._above(level.astype(kind), np.append(kept, own[open_]).astype(kind), len(kept))
+        stay = open_[above < self.k]
+        self.term = pa.concat_arrays([self.term, term.take(pa.array(stay))])
+        self.n, self.ln = np.append(self.n, n[stay]), np.append(self.ln, ln[stay])
+
+    def _limits(self, kept: np.ndarray, ln: np.ndarray) -> np.ndarray:
+        """For each ln the `k`th earliest term of the kept points with no higher ln: a later term has `k` above it."""
+        order = np.argsort(self.ln, kind="stable")
+        limits = np.full(len(order) + 1, np.iinfo(np.int64).max)
+        first: list[int] = []  # the k earliest terms so far, the latest of them on top
+        for i, r in enumerate(kept[order].tolist(), 1):
+            if len(first) < self.k:
+                heapq.heappush(first, -r)
+            elif -r > first[0]:
+                heapq.heapreplace(first, -r)
+            if len(first) == self.k:
+                limits[i] = -first[0]
+        return limits[np.searchsorted(self.ln[order], ln, side="right")]
+
+    @staticmethod
+    def _above(ln: np.ndarray, rank: np.ndarray, start: int) -> np.ndarray:
+        """For each point from `start` on, how many points before it are above it."""
+        out = np.zeros(len(ln) - start, dtype=np.int64)
+        for lo in range(start, len(ln), 128):
+            hi = min(lo + 128, len(ln))
+            above = (ln[:hi] <= ln[lo:hi, None]) & (rank[:hi] < rank[lo:hi, None])
+            above[:, lo:hi] &= np.tri(hi - lo, k=-1, dtype=bool)
+            out[lo - start : hi - start] = np.count_nonzero(above, axis=1)
+        return out
+
+
+def _ends(*columns: pa.Array) -> list[int]:
+    """Ends of the runs in which all columns stay the same."""
+    return sorted(set().union(*[pc.run_end_encode(c).run_ends.to_pylist() for c in columns]))
 
 
 def _bands(k: int):
-    """The skyband of each group in a task, from rows in the order that `skyband` needs."""
+    """The skyband of each group in a task, from rows in the order that `Skyband` needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, [[], [], []]
+        key, band, held = None, Skyband(k), []
 
-        def thin() -> None:
-            stay = skyband(np.array(held[1], dtype=np.int64), np.array(held[2], dtype=np.int64), held[0], k)
-            for j in range(3):
-                held[j] = [x for x, s in zip(held[j], stay) if s]
+        def take() -> None:
+            if held:
+                terms = pa.concat_arrays([b.column(2) for b in held])
+                n, ln = (np.concatenate([b.column(j).to_numpy() for b in held]) for j in (3, 4))
+                band.add(terms, n, ln)
+                held.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
-            if key is not None and held[0]:
-                thin()
-                m = len(held[0])
-                columns = [pa.array([key[0]] * m, pa.string()), pa.array([key[1]] * m, pa.string())]
-                columns += [pa.array(held[0], pa.string()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.int64())]
+            take()
+            if len(band.term):
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(band.term)) for x in key]
+                columns = [*names, band.term, pa.array(band.n), pa.array(band.ln)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "ln"])
 
-        thinned = 0
         for batch in batches:
-            langs, sources, terms, ns, lns = (batch.column(j).to_pylist() for j in range(5))
-            for row in range(len(langs)):
-                if key != (langs[row], sources[row]):
+            lo = 0
+            for hi in _ends(batch.column(0), batch.column(1)):
+                now = (batch.column(0)[lo].as_py(), batch.column(1)[lo].as_py())
+                if now != key:
                     yield from out()
-                    key, held, thinned = (langs[row], sources[row]), [[], [], []], 0
-                held[0].append(terms[row])
-                held[1].append(ns[row])
-                held[2].append(lns[row])
-                if len(held[0]) >= thinned + CHUNK:
-                    thin()
-                    # Twice the skyband at least, so that thinning stays linear in the rows.
-                    thinned = len(held[0]) * 2
+                    key, band = now, Skyband(k)
+                held.append(batch.slice(lo, hi - lo))
+                if sum(map(len, held)) >= CHUNK:
+                    take()
+                lo = hi
         yield from out()
 
     return run
@@ -190,17 +230,20 @@ def standing_out(kept: DataFrame, groups: DataFrame, top: int = TOP) -> DataFram
 
     The value of a term rises with its count in the group and falls with that in the language, so a
     term with `top` others above it in both, earlier in UTF-8 at ties, is in no answer. Each partition keeps
-    the skyband of a group, skybands are merged, first by several tasks per group, and only what is left
-    is ranked by exact values.
+    the skyband of a group, skybands are merged in a tree, and only what is left is ranked by exact values.
     """
     order = ["lang", "source", F.col("n").desc(), "ln", "term"]
 
     def bands(rows: DataFrame) -> DataFrame:
         return rows.sortWithinPartitions(*order).select("lang", "source", "term", "n", "ln").mapInArrow(_bands(top), _POINTS)
 
-    local = bands(kept.select("lang", "source", "term", "n", "ln"))
-    salted = local.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(MERGERS)))
-    merged = bands(bands(salted.repartition("lang", "source", "salt")).repartition("lang", "source"))
+    merged = bands(kept.select("lang", "source", "term", "n", "ln"))
+    parts = kept.rdd.getNumPartitions()
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        salted = merged.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(parts)))
+        merged = bands(salted.repartition("lang", "source", "salt"))
+    merged = bands(merged.repartition("lang", "source"))
     shares = merged.join(groups, ["lang", "source"]).withColumns(
         {
             "p": _share(F.col("n"), F.col("total"), F.col("vocabulary")),

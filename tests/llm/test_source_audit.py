@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedloom.llm import source_audit
@@ -61,31 +62,30 @@ def test_values_are_those_counted_one_by_one(spark, top, monkeypatch):
     rows = made(random.Random(top), 300)
     assert audited(spark, rows, top=top) == plain(rows, top=top)
     # Small tiles, few rows held.
-    for name, value in (("TILE_TERMS", 16), ("TILE_SOURCES", 2), ("HELD", 50), ("CHUNK", 8)):
+    for name, value in (("TILE_TERMS", 16), ("TILE_SOURCES", 2), ("HELD", 50), ("CHUNK", 8), ("FAN", 2)):
         monkeypatch.setattr(source_audit, name, value)
     assert audited(spark, rows, top=top) == plain(rows, top=top)
 
 
-def test_skyband_has_what_has_few_above():
-    rng = random.Random(2)
-    for k in (1, 2, 5):
-        for _ in range(40):
-            terms = {rng.choice("abcdefghé\U0001f600") + rng.choice("xyzäw") for _ in range(rng.randint(1, 60))}
-            points = sorted((-rng.randint(1, 4), rng.randint(4, 7), t) for t in terms)
-            n, ln = np.array([-x[0] for x in points]), np.array([x[1] for x in points])
-            term = [x[2] for x in points]
-            above = [sum(a[0] <= b[0] and a[1] <= b[1] and a[2] < b[2] for a in points) for b in points]
-            assert source_audit.skyband(n, ln, term, k).tolist() == [x < k for x in above]
+def kept_of(points, k, step):
+    band = source_audit.Skyband(k)
+    for lo in range(0, len(points), step):
+        part = points[lo : lo + step]
+        band.add(pa.array([x[2] for x in part]), np.array([-x[0] for x in part]), np.array([x[1] for x in part]))
+    return list(zip((-band.n).tolist(), band.ln.tolist(), band.term.to_pylist()))
 
 
-def test_skyband_of_many_rows_goes_by_blocks():
-    rng = random.Random(9)
-    terms = {"".join(rng.choices("abcde", k=5)) for _ in range(2400)}
-    points = sorted((-rng.randint(1, 30), rng.randint(30, 90), t) for t in terms)
-    n, ln = np.array([-x[0] for x in points]), np.array([x[1] for x in points])
-    above = [sum(a[0] <= b[0] and a[1] <= b[1] and a[2] < b[2] for a in points) for b in points]
-    stay = source_audit.skyband(n, ln, [x[2] for x in points], 20)
-    assert stay.tolist() == [x < 20 for x in above] and stay.sum() < len(points) / 2
+@pytest.mark.parametrize("letters, lengths, most", [("abcdefghé\U0001f600", 2, 60), ("abcde", 5, 2400)])
+def test_skyband_has_what_has_few_above(letters, lengths, most, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(source_audit, "CHUNK", 100)
+    for k in (1, 2, 20):
+        for _ in range(30 if most < 100 else 1):
+            terms = {"".join(rng.choices(letters, k=lengths)) for _ in range(rng.randint(most // 2, most))}
+            points = sorted((-rng.randint(1, most // 12), rng.randint(1, most // 10), t) for t in terms)
+            above = [sum(a[0] <= b[0] and a[1] <= b[1] and a[2] < b[2] for a in points) for b in points]
+            want = [x for x, n in zip(points, above) if n < k]
+            assert kept_of(points, k, rng.randint(1, most)) == want
 
 
 def test_edge_rows(spark):
