@@ -252,6 +252,51 @@ def chunk_lines(text: Column, count: int | Column, limit: int, most: int | None
 
 # --- joining lines -----------------------------------------------------------------------
 
+# A candidate is a line with its lower case and whether it is allowed, each worked out once. Lists of lines grow by folds
+# over candidates; what a fold has kept are candidates again.
+
+_CANDIDATES = "array<struct<text:string,low:string,ok:boolean>>"
+
+
+def _candidates(lines: Column) -> Column:
+    return F.transform(
+        lines, lambda x: F.struct(x.alias("text"), F.lower(x).alias("low"), _allowed(x).alias("ok"))
+    )
+
+
+def _nothing() -> Column:
+    return F.array().cast(_CANDIDATES)
+
+
+def _same(a: Column, b: Column) -> Column:
+    return a["low"] == b["low"]
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return F.contains(a["low"], b["low"]) | F.contains(b["low"], a["low"])
+
+
+def _usable(x: Column) -> Column:
+    return x["ok"] & (x["text"] != "")
+
+
+def _take(
+    kept: Column, more: Column, clash: Callable[[Column, Column], Column], count: int = 3
+) -> Column:
+    """Append candidates of `more` that clash with none before, up to `count`."""
+    return F.aggregate(
+        more,
+        kept,
+        lambda acc, x: F.when(
+            (F.size(acc) < count) & ~F.exists(acc, lambda r: clash(r, x)),
+            F.concat(acc, F.array(x)),
+        ).otherwise(acc),
+    )
+
+
+def _texts(candidates: Column) -> Column:
+    return F.transform(candidates, lambda x: x["text"])
+
 
 def _add_lines(
     lines: Column, more: Column, clash: Callable[[Column, Column], Column], count: int = 3
@@ -267,11 +312,6 @@ def _add_lines(
     )
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    low_a, low_b = F.lower(a), F.lower(b)
-    return F.contains(low_a, low_b) | F.contains(low_b, low_a)
-
-
 def distinct_nocase(lines: Column, count: int = 3) -> Column:
     """The first `count` lines that differ, ignoring case."""
     return _add_lines(no_strings(), lines, same_text, count)
@@ -301,35 +341,49 @@ def excerpt_three(page_lines: Column, summary: Column) -> Column:
     return F.slice(filled, 1, 3)
 
 
+def _three(own: Column, excerpt: Column) -> Column:
+    """Own candidates first, then those of an excerpt."""
+    lines = _take(_take(_nothing(), own, _same), F.slice(excerpt, 1, 6), _overlap)
+    return _take(lines, F.slice(excerpt, 1, 3), _same)
+
+
+def _own_points(points: Column) -> Column:
+    return _candidates(_nonblank(F.transform(F.coalesce(points, no_strings()), strip_bullet_marker)))
+
+
+def _trimmed(lines: Column) -> Column:
+    return _candidates(F.transform(lines, trim_u))
+
+
 def three_insights(points: Column, excerpt: Column) -> Column:
     """Model points first, then lines of the fallback `excerpt` (eight excerpt lines)."""
-    own = _nonblank(F.transform(F.coalesce(points, no_strings()), strip_bullet_marker))
-    lines = distinct_nocase(own)
-    lines = _add_lines(lines, F.transform(F.slice(excerpt, 1, 6), trim_u), _overlap)
-    return _add_lines(lines, F.slice(excerpt, 1, 3), same_text)
+    return let(_trimmed(excerpt), lambda e: _texts(_three(_own_points(points), e)))
 
 
-def exactly_three_insights(lines: Column, excerpt: Column, fallback: Column) -> Column:
-    """Three allowed lines: given ones, excerpt lines, short pieces, then fixed ones."""
-    clean = distinct_nocase(F.filter(_nonblank(lines), _allowed))
+def _exactly_three(own: Column, excerpt: Column, fallback: Column) -> Column:
+    """Three allowed lines from candidates of both kinds, short pieces of the fallback, then fixed ones."""
 
     def top_up(have: Column, more: Column, clash: Callable[[Column, Column], Column]) -> Column:
-        usable = F.filter(F.transform(more, trim_u), lambda x: (x != "") & _allowed(x))
-        return F.when(F.size(have) >= 3, have).otherwise(_add_lines(have, usable, clash))
+        # `more` is worked out only where lines are missing.
+        return F.when(F.size(have) >= 3, have).otherwise(_take(have, F.filter(more, _usable), clash))
 
+    first = _take(_nothing(), F.filter(own, lambda x: x["ok"] & ~is_blank(x["text"])), _same)
     filled = let(
-        clean,
+        first,
         lambda a: let(
             top_up(a, excerpt, _overlap),
             lambda b: let(
-                F.when(F.size(b) >= 3, b).otherwise(
-                    top_up(b, chunk_lines(fallback, 6, 160), _overlap)
-                ),
-                lambda c: top_up(c, lits(SAFE_LINES), same_text),
+                top_up(b, _trimmed(chunk_lines(fallback, 6, 160)), _overlap),
+                lambda c: top_up(c, _candidates(lits(SAFE_LINES)), _same),
             ),
         ),
     )
-    return F.slice(F.concat(filled, F.array_repeat(F.lit(""), 3)), 1, 3)
+    return F.slice(F.concat(_texts(filled), F.array_repeat(F.lit(""), 3)), 1, 3)
+
+
+def exactly_three_insights(lines: Column, excerpt: Column, fallback: Column) -> Column:
+    """Three allowed lines: given ones, excerpt lines, short pieces, then fixed ones."""
+    return let(_trimmed(excerpt), lambda e: _exactly_three(_candidates(lines), e, fallback))
 
 
 def sanitized_points(points: Column) -> Column:
@@ -338,12 +392,12 @@ def sanitized_points(points: Column) -> Column:
 
 
 def _insights(points: Column, excerpt: Column, fallback: Column) -> Column:
-    three = F.filter(three_insights(points, excerpt), _allowed)
-    return exactly_three_insights(three, excerpt, fallback)
+    """`excerpt` holds candidates, which both folds share."""
+    return _exactly_three(_three(_own_points(points), excerpt), excerpt, fallback)
 
 
 def insights_en(points: Column, excerpt: Column, fallback: Column) -> Column:
-    return _insights(sanitized_points(points), excerpt, fallback)
+    return let(_trimmed(excerpt), lambda e: _insights(sanitized_points(points), e, fallback))
 
 
 def _spare_ko(link: Column) -> Column:
@@ -359,9 +413,8 @@ def _has_hangul(points: Column) -> Column:
 
 def insights_ko(points: Column, excerpt: Column, fallback: Column, link: Column) -> Column:
     """Korean lines; without any Hangul, three fixed lines with the link."""
-    return F.when(_has_hangul(points), _insights(points, excerpt, fallback)).otherwise(
-        _spare_ko(link)
-    )
+    lines = let(_trimmed(excerpt), lambda e: _insights(points, e, fallback))
+    return F.when(_has_hangul(points), lines).otherwise(_spare_ko(link))
 
 
 def insights_both(
@@ -369,8 +422,8 @@ def insights_both(
 ) -> Column:
     """English and Korean lines as an array of two, from one expression for both."""
     given = F.array(sanitized_points(english), F.when(_has_hangul(korean), korean))
-    lines = F.transform(
-        given,
-        lambda points: F.when(points.isNotNull(), _insights(points, excerpt, fallback)),
+    lines = let(
+        _trimmed(excerpt),
+        lambda e: F.transform(given, lambda points: F.when(points.isNotNull(), _insights(points, e, fallback))),
     )
     return F.array(F.get(lines, F.lit(0)), F.coalesce(F.get(lines, F.lit(1)), _spare_ko(link)))

@@ -105,9 +105,8 @@ def _(spark, sf):
 
 def display(spark, sf):
     """Display posts of all runs with title, text and bullets."""
-    runs = v.runs(spark, sf)
     posts = v.posts(spark, sf).withColumn("emoji", F.lit(None).cast("string"))
-    chosen = dig.choose_posts(runs, posts, v.state_keys(spark, sf))
+    chosen = tbq.choice(spark, sf)
     return chosen, settle(dig.with_text(chosen.shown, posts), "display")
 
 
@@ -489,7 +488,7 @@ PAGE_SQL = f"WITH {FULL_SQL}, {v.FEEDS_SQL},\n{STATES_SQL},{PAGE_TAIL_SQL}"
 
 def digest_pages(spark, sf):
     chosen, ready = finished(spark, sf)
-    return dig.render(chosen.runs, ready, tbq.run_statuses(spark, sf))
+    return dig.render(chosen.runs, ready, tbq.run_statuses(spark, sf, chosen.runs))
 
 
 @query("t35_digest_html", f"{PAGE_SQL} SELECT digest_id, subject, html FROM pages_")

@@ -855,10 +855,10 @@ statuses AS (
 STATUS_SQL = f"{POSTS_SQL}, {RUNS_SQL}, {FEEDS_SQL}, {STATES_SQL}"
 
 
-def run_feeds(spark, sf):
+def run_feeds(spark, sf, runs=None):
     """The feeds of each run; one of them fails."""
     failed = F.when(C("feed_pos") == 7, F.lit("HTTP 503"))
-    asked = v.runs(spark, sf).select("digest_id", "feed_group", "as_of", "days_since", "new_window_hours")
+    asked = (v.runs(spark, sf) if runs is None else runs).select("digest_id", "feed_group", "as_of", "days_since", "new_window_hours")
     return (
         v.feeds(spark, sf)
         .join(asked, "feed_group")
@@ -866,8 +866,8 @@ def run_feeds(spark, sf):
     )
 
 
-def run_statuses(spark, sf):
-    listed = run_feeds(spark, sf)
+def run_statuses(spark, sf, runs=None):
+    listed = run_feeds(spark, sf, runs)
     narrow = v.posts(spark, sf).select("feed_group", "feed_id", "published")
     return sts.status_from_counts(listed, counts_per_feed(listed, narrow))
 
