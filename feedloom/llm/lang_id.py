@@ -164,7 +164,7 @@ def train(
     """Learn from texts outside the held-out fold whose language is given: at most `sample` of them.
 
     The sample is dealt evenly among the languages and takes the rows with the least hashes of id and text,
-    so any layout gives the same. More than `sample` languages leave one text for each of the commonest.
+    so any layout gives the same (of a share of the hashes that holds twice as many rows by expectation). More than `sample` languages leave one text for each of the commonest.
     """
     on_workers(docs.sparkSession)
     rows = docs.select(
@@ -172,16 +172,19 @@ def train(
         F.col(f"`{lang_col}`").alias("lang"), fold(id_col).alias("fold"),
     ).filter((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(sample)
-    langs = sorted(r["lang"] for r in common.collect())
+    sizes = {r["lang"]: r["n"] for r in common.collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1, 1)), np.zeros((1, 0)), np.zeros(0))
     each = max(1, sample // len(langs))
+    # One row per learned language, `sample` at most, so no texts are moved to find the sample.
+    cuts = docs.sparkSession.createDataFrame([(x, 2.0 * each / sizes[x]) for x in langs], "lang STRING, cut DOUBLE")
     chance = seeded("lang sample", F.col("id").cast("string"), F.xxhash64("text"))
-    by = Window.partitionBy("lang").orderBy("chance", "id")
-    # Narrow rows are ranked, and at most `each` of a language leave a task.
-    drawn = rows.select("lang", "id", chance.alias("chance")).withColumn("turn", F.row_number().over(by))
+    low = rows.withColumn("chance", chance).join(F.broadcast(cuts), "lang").filter(F.col("chance") / F.lit(2.0**64) + 0.5 <= F.col("cut"))
+    # Twice as many narrow rows as are wanted are ranked, however common the language is.
+    drawn = low.select("lang", "id", "chance").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("chance", "id")))
     last = drawn.filter(F.col("turn") <= each).groupBy("lang").agg(F.max("chance").alias("last"))
-    chosen = rows.withColumn("chance", chance).join(last, "lang").filter("chance <= last")
+    chosen = low.join(F.broadcast(last), "lang").filter("chance <= last")
 
     @F.pandas_udf("at binary, n binary")
     def packed(column: pd.Series) -> pd.DataFrame:
