@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import feedloom
+from feedloom.functions.text import let
 
 #: White space that keys and normal forms ignore: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -67,6 +68,75 @@ def unwrapped(rows: DataFrame, columns: list[str], **changed: Column) -> DataFra
     return rows.select(*[changed.get(c, F.col("_doc")[c]).alias(c) for c in columns])
 
 
+#: Elements that a fold over an array gathers before it starts a new list.
+_GATHERED = 512
+
+
+def gathered(
+    items: Column, start: Column, carry: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str
+) -> Column:
+    """What `emit` gives for each element and what is carried so far, one after the other, as an array of `kind`.
+
+    `carry` gives what is carried on from `start`. A list that grows by one element costs all of its length each time; so
+    short lists are gathered and put together at the end, and the work stays linear.
+    """
+    none, lists = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def step(state: Column, x: Column) -> Column:
+        return F.struct(
+            carry(state["c"], x).alias("c"), F.concat(state["out"], emit(state["c"], x)).alias("out")
+        )
+
+    def part(held: Column) -> Callable[[Column, Column], Column]:
+        def of(state: Column, i: Column) -> Column:
+            some = F.slice(held, i * _GATHERED + 1, F.lit(_GATHERED))
+            done = F.aggregate(some, F.struct(state["c"].alias("c"), none.alias("out")), step)
+            return let(
+                done,
+                lambda d: F.struct(d["c"].alias("c"), F.concat(state["lists"], F.array(d["out"])).alias("lists")),
+            )
+
+        return of
+
+    def walk(held: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / F.lit(_GATHERED)).cast("int"))
+        whole = F.aggregate(
+            parts, F.struct(start.alias("c"), lists.alias("lists")), part(held), lambda s: F.flatten(s["lists"])
+        )
+        return F.when(F.size(held) > 0, whole).otherwise(none)
+
+    return let(items, walk)
+
+
+#: Code points of a piece of a text, and of the larger parts that it is cut to first.
+PIECE = 1024
+_PART = 64 * PIECE
+
+
+def text_pieces(text: Column) -> Column:
+    """The text as pieces of `PIECE` code points. Finding a place in a text means walking to it, in a piece not far."""
+
+    def cut(t: Column, size: int) -> Column:
+        ends = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(t) - 1, F.lit(0)) / F.lit(size)).cast("int"))
+        return F.transform(ends, lambda i: F.substr(t, i * size + 1, F.lit(size)))
+
+    return let(text, lambda t: F.flatten(F.transform(cut(t, _PART), lambda s: cut(s, PIECE))))
+
+
+def cut_pieces(pieces: Column, start: Column, stop: Column) -> Column:
+    """Code points from `start` to before `stop` of the text that was cut to pieces."""
+    first = F.floor(start / F.lit(PIECE)).cast("int")
+    last = F.floor(F.greatest(stop, start) / F.lit(PIECE)).cast("int")
+    # Mostly one piece or two, which are looked up; a slice copies the whole array first.
+    one, two = F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit(""))
+    near = (
+        F.when(last == first, one)
+        .when(last == first + 1, F.concat(one, two))
+        .otherwise(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
+    )
+    return F.substr(near, start - first * PIECE + 1, F.greatest(stop - start, F.lit(0)))
+
+
 def blocked(rows: DataFrame, key: str, n: str, id_col: str, keep: list[str], block_rows: int) -> DataFrame:
     """Rows dealt to pairs of blocks (`p` <= `q`) of about `block_rows` rows of a key that has `n` rows.
 

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import seeded, unwrapped, whole_text, wrapped
+from feedloom.functions.text import settled_columns
+from feedloom.llm.common import cut_pieces, gathered, seeded, text_pieces, unwrapped, whole_text, wrapped
 from feedloom.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -74,21 +75,52 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+_HIT = "struct<start:int,stop:int,value:string>"
+
+
 def matches(text: Column, form: str) -> Column:
     """(start, stop, value) of the matches of a form, in code points, from its matches and what lies between."""
-    values, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    # Both arrays are made once; the last gap has no match behind it.
+    pairs = F.zip_with(
+        F.split(text, form, -1),
+        F.regexp_extract_all(text, F.lit(form), F.lit(0)),
+        lambda gap, value: F.struct(
+            F.char_length(gap).alias("gap"), F.char_length(value).alias("size"), value.alias("value")
+        ),
+    )
+
+    def hit(at: Column, p: Column) -> Column:
+        begin = at + p["gap"]
+        return F.array(F.struct(begin.alias("start"), (begin + p["size"]).alias("stop"), p["value"].alias("value")))
+
+    found = F.filter(pairs, lambda p: p["value"].isNotNull())
+    return gathered(found, F.lit(0), lambda at, p: at + p["gap"] + p["size"], hit, _HIT)
 
-    def step(state: Column, i: Column) -> Column:
-        begin = state["at"] + F.char_length(F.get(between, i))
-        value = F.get(values, i)
-        end = begin + F.char_length(value)
-        hit = F.struct(begin.alias("start"), end.alias("stop"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(hit)).alias("found"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda s: s["found"])
-    return F.when(F.size(values) > 0, walked).otherwise(empty)
+def free_of(loose: Column, base: Column) -> Column:
+    """The `loose` hits, of which none overlap, that overlap no `base` span either, in one walk over both by start."""
+    sides = [
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("side"), b["stop"].alias("stop"), F.lit(None).cast("string").alias("value"))),
+        F.transform(loose, lambda h: F.struct(h["start"].alias("start"), F.lit(1).alias("side"), h["stop"].alias("stop"), h["value"].alias("value"))),
+        # What is held back at the end is passed on by one more loose hit, beyond all texts, which itself never is.
+        F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(1).alias("side"), F.lit(2**31 - 1).alias("stop"), F.lit(None).cast("string").alias("value"))),
+    ]
+    nothing = F.lit(None).cast(_HIT)
+
+    def carry(c: Column, x: Column) -> Column:
+        # A loose hit waits until what comes next shows that no base span begins within it.
+        mine = F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"))
+        return F.struct(
+            F.when(x["side"] == 0, F.greatest(c["reach"], x["stop"])).otherwise(c["reach"]).alias("reach"),
+            F.when((x["side"] == 1) & (c["reach"] <= x["start"]), mine).otherwise(nothing).alias("waits"),
+        )
+
+    def emit(c: Column, x: Column) -> Column:
+        stays = c["waits"].isNotNull() & ((x["side"] == 1) | (x["start"] >= c["waits"]["stop"]))
+        return F.when(stays, F.array(c["waits"])).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+    start = F.struct(F.lit(0).alias("reach"), nothing.alias("waits"))
+    return gathered(F.array_sort(F.concat(*sides)), start, carry, emit, _HIT)
 
 
 def _hits(text: Column, kind: str) -> Column:
@@ -118,13 +150,13 @@ def base_spans(df: DataFrame, text: Column, name: str = "base") -> DataFrame:
     return df.withColumn(name, F.array_sort(F.concat(*parts))).drop(*steps)
 
 
-def _contexts(text: Column, start: Column, stop: Column) -> Column:
+def _contexts(text: Column, pieces: Column, start: Column, stop: Column) -> Column:
     """Patterns of a place: the two words before it, and the words on either side, all of them whole."""
     before, after = F.substr(text, F.lit(1), start), F.substr(text, stop + 1, F.char_length(text))
     for left, right in reversed(WINDOWS):
-        near = F.substr(text, F.greatest(start - left, F.lit(0)) + 1, F.least(start, F.lit(left)))
+        near = cut_pieces(pieces, F.greatest(start - left, F.lit(0)), start)
         before = F.when((start <= left) | near.rlike(r"(?<=\s)\S++\s++\S++\s*+$"), near).otherwise(before)
-        near = F.substr(text, stop + 1, F.lit(right))
+        near = cut_pieces(pieces, stop, stop + right)
         after = F.when((F.char_length(near) < right) | near.rlike(r"^\s*+\S++\s"), near).otherwise(after)
     before, after = F.lower(before), F.lower(after)
     # A word is entered at its start only and never given back, so long ones stay linear.
@@ -157,15 +189,14 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = base_spans(rows, text)
     none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     loose = F.when(text.rlike("[0-9@]"), matches(text, IDENTIFIER)).otherwise(none)
-    rows = rows.withColumn("_loose", loose)
-    free = F.filter(
-        "_loose", lambda h: ~F.exists("base", lambda b: (b["start"] < h["stop"]) & (h["start"] < b["stop"]))
-    )
+    pieces = F.when(text.rlike("[0-9@]"), text_pieces(text))
+    rows = settled_columns(rows, _loose=loose, _pieces=pieces)
+    free = F.when(F.size("_loose") > 0, free_of(F.col("_loose"), F.col("base"))).otherwise(none)
 
     def place(h: Column, kind: Column) -> Column:
         return F.struct(
             kind.alias("kind"), h["start"].alias("start"), h["stop"].alias("stop"), h["value"].alias("value"),
-            _contexts(text, h["start"], h["stop"]).alias("patterns"),
+            _contexts(text, F.col("_pieces"), h["start"], h["stop"]).alias("patterns"),
         )
 
     places = F.concat(
@@ -255,23 +286,21 @@ def spans_text(spans: Column) -> Column:
     )
 
 
-def mask(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by the mask of its kind; spans that overlap become one."""
+def mask(pieces: Column, spans: Column, size: Column) -> Column:
+    """The text of `size` code points, cut to pieces, with each span replaced by the mask of its kind.
+
+    Spans that overlap become one.
+    """
     masks = F.array(*[F.lit(m) for m in MASKS])
+    # One more span of no length at the end brings what is left of the text.
+    end = F.struct(size.alias("start"), F.lit(len(MASKS)).alias("kind"), size.alias("stop"))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        apart = s["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(apart, F.concat(state["out"], F.array(gap, F.get(masks, s["kind"])))).otherwise(state["out"]).alias("out"),
-        )
+    def emit(at: Column, s: Column) -> Column:
+        put = F.array(cut_pieces(pieces, at, s["start"]), F.coalesce(F.get(masks, s["kind"]), F.lit("")))
+        return F.when(s["start"] >= at, put).otherwise(F.array().cast("array<string>"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(
-        spans, start, step,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.char_length(text))),
-    )
+    kept = gathered(F.concat(spans, F.array(end)), F.lit(0), lambda at, s: F.greatest(at, s["stop"]), emit, "string")
+    return F.array_join(kept, "")
 
 
 def mask_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -290,8 +319,11 @@ def mask_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = base_spans(keyed.join(more, F.col("_at") == F.col("_place"), "left"), F.col("_text"), "_base")
     plain = F.transform("_base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop")))
     spans = F.when(F.col("_extra").isNull(), plain).otherwise(F.array_sort(F.concat(plain, F.col("_extra"))))
-    masked = F.when(F.size("_spans") > 0, mask(F.col("_text"), F.col("_spans"))).otherwise(F.col("_text"))
-    return unwrapped(joined.withColumn("_spans", spans), docs.columns, **{text_col: masked})
+    some = F.size("_spans") > 0
+    rows = settled_columns(joined, _spans=spans)
+    rows = settled_columns(rows, _pieces=F.when(some, text_pieces(F.col("_text"))))
+    masked = F.when(some, mask(F.col("_pieces"), F.col("_spans"), F.char_length("_text"))).otherwise(F.col("_text"))
+    return unwrapped(rows, docs.columns, **{text_col: masked})
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.llm import pii
+from feedloom.llm.common import cut_pieces, text_pieces
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -141,7 +142,7 @@ def test_context_words_are_whole(spark):
         "@", "one @", "one two @ three", f"x{word}@{word} y", f"one\n{gap}\n@\n\nthree",
     ]
     frame = spark.createDataFrame([(t, t.index("@")) for t in texts], "t STRING, at INT")
-    got = frame.select("t", pii._contexts(F.col("t"), F.col("at"), F.col("at") + 1).alias("p")).collect()
+    got = frame.select("t", pii._contexts(F.col("t"), text_pieces(F.col("t")), F.col("at"), F.col("at") + 1).alias("p")).collect()
     for r in got:
         before, after = (x.lower() for x in r.t.split("@"))
         words, following = before.split(), after.split()
@@ -164,3 +165,45 @@ def test_masks(spark):
     assert len(got) == len(rows)
     assert pii.mask_personal(docs.limit(0)).count() == 0
     assert F.col is not None
+
+
+def test_pieces_of_a_text(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 1023, 1024, 1025, 70_000):
+        text = "".join(rng.choices("aé中\U0001f600 ", k=n))
+        spots = [(a, b) for a in (0, 1, 1000, 1024, n // 2, max(n - 3, 0)) for b in (a, a + 1, a + 30, a + 1024, n) if b >= a]
+        rows = spark.createDataFrame([(text, a, b) for a, b in spots], "t STRING, a INT, b INT")
+        pieces = text_pieces(F.col("t"))
+        found = rows.select("t", "a", "b", F.array_join(pieces, "").alias("w"), cut_pieces(pieces, F.col("a"), F.col("b")).alias("c"))
+        for r in found.collect():
+            assert r.w == r.t and r.c == r.t[r.a : r.b]
+
+
+def test_loose_hits_that_overlap_no_span(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(200):
+        at, loose = 0, []
+        for _ in range(rng.randint(0, 8)):
+            at += rng.randint(0, 4)
+            loose.append((at, at + rng.randint(1, 5), f"v{at}"))
+            at = loose[-1][1]
+        base = sorted((s, 0, s + rng.randint(1, 9), "b") for s in (rng.randint(0, 40) for _ in range(rng.randint(0, 5))))
+        rows.append((loose, base))
+    kind = "loose array<struct<start:int,stop:int,value:string>>, base array<struct<start:int,kind:int,stop:int,value:string>>"
+    frame = spark.createDataFrame(rows, kind)
+    for r in frame.withColumn("free", pii.free_of(F.col("loose"), F.col("base"))).collect():
+        want = [h for h in r.loose if not any(b.start < h.stop and h.start < b.stop for b in r.base)]
+        assert r.free == want
+
+
+def test_work_is_linear_in_the_matches(spark):
+    """20,000 numbers in one text; before, a fifth of them took half a minute."""
+    n = 20_000
+    text = " ".join(f"10.0.{i % 250}.{i % 7}" if i % 2 else f"{100000 + i}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")
+    r = pii.find_personal(docs).collect()[0]
+    assert len(r.base) == n // 2
+    assert all(text[s.start : s.stop].startswith("10.0.") for s in r.base[::997])
+    masked = pii.mask_personal(docs).collect()[0].text
+    assert masked.count("<IP>") == n // 2 and masked.startswith("100000 <IP> 100002 <IP>")
