@@ -74,6 +74,15 @@ def key_bucket(rk: Column) -> Column:
     return F.pmod(F.xxhash64(rk), F.lit(BUCKETS)).cast("int")
 
 
+#: Rows of a file that share a bitmap, as many as one of Spark's bitmaps holds.
+_BITS = 32768
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    """State rows with the day that they are stored under."""
+    return rows.select(*_COLUMNS).withColumn("day", F.to_date("ts"))
+
+
 @dataclass
 class _Parts:
     """What is committed: the newest snapshot, versions after it with their turns, and what is folded."""
@@ -110,7 +119,7 @@ class ProcessedPosts:
         if covers(self._parts().folded, writer, version):
             return
         order = (F.col("processed_date").desc(), F.col("link"), F.col("title"), F.col("publish_date"), F.col("ts"))
-        folder = self._write(latest_per_key(rows, *order))
+        folder = self._write(_dated(latest_per_key(rows, *order)))
         self.log.add({"kind": "append", "writer": writer, "version": version, "folder": folder})
 
     def snapshot(self) -> None:
@@ -121,7 +130,7 @@ class ProcessedPosts:
         parts = self._parts()
         if not parts.open:
             return
-        folder = self._write(self._resolved(self._rows(parts.turns())).drop("turn"))
+        folder = self._write(_dated(self._live(parts.turns())).hint("rebalance", "day"))
         folded = with_versions(parts.folded, parts.open)
         known = parts.snapshot and parts.snapshot["folder"]
 
@@ -155,12 +164,12 @@ class ProcessedPosts:
     def _write(self, rows: DataFrame) -> str:
         """Rows and, from the written copy, their keys, in a folder that nothing names yet.
 
-        Spark evens out the files: small parts are put together, a large day or bucket is split.
+        Spark evens out the files of a snapshot and of keys: small parts are put together, a large day or bucket is
+        split. A version is written from where its keys were resolved, with no second shuffle of its texts.
         """
         folder = uuid.uuid4().hex
         path = f"{self.path}/rows/commit={folder}"
-        dated = rows.select(*_COLUMNS).withColumn("day", F.to_date("ts"))
-        dated.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+        rows.write.partitionBy("day").option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(f"{schemas.PROCESSED}, day DATE").parquet(path)
         keys = back.select("pk", "rk", "ts", key_bucket(F.col("rk")).alias("bucket"))
         keys.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/keys/commit={folder}")
@@ -177,12 +186,13 @@ class ProcessedPosts:
                 found[key] = (found.get(key, (turn, ""))[0], e["folder"])
         return _Parts(snapshots[-1] if snapshots else None, found, folded)
 
-    def _read(self, kind: str, schema: str, turns: dict[str, int]) -> DataFrame:
-        """Rows or keys of some folders with the turn of each."""
+    def _read(self, kind: str, schema: str, turns: dict[str, int], *more: Column) -> DataFrame:
+        """Rows or keys of some folders with the turn of each, and what `more` tells of their files."""
         if not turns:
             return self.spark.createDataFrame([], f"{schema}, turn BIGINT")
         folders = [f"{self.path}/{kind}/commit={c}" for c in turns]
         rows = self.spark.read.schema(f"{schema}, commit STRING").option("basePath", f"{self.path}/{kind}").parquet(*folders)
+        rows = rows.select("*", *more)
         # One row per open commit, as a local table of known size.
         known = self.spark.createDataFrame(pa.table({"commit": list(turns), "turn": pa.array(turns.values(), pa.int64())}))
         return rows.join(known, "commit").drop("commit")
@@ -198,6 +208,22 @@ class ProcessedPosts:
         """One row per key, the one of the last turn; a turn has one row per key."""
         return latest_per_key(rows, F.col("turn").desc())
 
+    def _live(self, turns: dict[str, int]) -> DataFrame:
+        """What `_resolved` leaves of the rows, found without moving them: keys and places are shuffled, not texts.
+
+        The places of replaced rows are bits, a bitmap for each file and `_BITS` rows. The bitmaps are settled, so Spark
+        knows their size: below the broadcast limit they are sent to the rows, else rows and bitmaps are joined by file.
+        """
+        at, pos = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index")
+        places = (at, F.floor(pos / _BITS).alias("_block"), (pos % _BITS).alias("_bit"))
+        rows = self._read("rows", f"{schemas.PROCESSED}, day DATE", turns, *places)
+        w = Window.partitionBy("pk", "rk").orderBy(F.col("turn").desc())
+        lost = rows.withColumn("_n", F.row_number().over(w)).filter("_n > 1").groupBy("_file", "_block")
+        marks = settle(lost.agg(F.bitmap_construct_agg("_bit").alias("_lost")), "replaced")
+        octet = F.conv(F.hex(F.substr("_lost", F.expr("int(_bit div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+        marked = rows.join(marks, ["_file", "_block"], "left")
+        return marked.filter(F.coalesce(F.getbit(octet, (F.col("_bit") % 8).cast("int")), F.lit(0)) == 0)
+
     def rows(self) -> DataFrame:
         """One row per key, the one written last; a missing table reads as empty."""
         return self._resolved(self._rows(self._parts().turns())).select(*_COLUMNS)

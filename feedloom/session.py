@@ -43,12 +43,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write a small table that many steps read, and go on from the copy.
+def settle(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write a table that many steps read, and go on from the copy; tables of whole texts with a `codec`.
 
     The copy outlives lost executors, and the steps that made it run once.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

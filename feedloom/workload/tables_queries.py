@@ -300,11 +300,12 @@ SELECT pk, rk, title, link, source_name, publish_date FROM state""",
 def _(spark, sf):
     """A backfill: versions are written as 0, 5, 3 and 4 with snapshots between, and some of them again."""
     state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
-    state.append(v.processed(spark, sf), 0)
+    dated = v.settled_posts(spark, sf)
+    state.append(v.processed(spark, sf, dated), 0)
     none = F.array().cast("array<string>")
 
     def append(part, version, writer="batch"):
-        posts = v.posts(spark, sf).filter(C("item_pos") % 4 == part)
+        posts = dated.filter(C("item_pos") % 4 == part)
         full = posts.withColumns({"english_summary": none, "korean_summary": none})
         state.append(stt.to_state_rows(full, v.as_of()), version, writer)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import format_iso
 from feedloom.functions.keys import partition_key, row_key
+from feedloom.session import settle
 
 AS_OF_TEXT = "2024-01-03 12:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF_TEXT}'"
@@ -81,15 +82,20 @@ posts AS (
   FROM docs d JOIN events e ON d.item_pos = e.event_id)"""
 
 
-def processed(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled posts and those around midnight as rows of the state table.
+def settled_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts for queries that read them several times: their texts meet their dates once."""
+    return settle(posts(spark, sf), "dated", codec="zstd")
+
+
+def processed(spark: SparkSession, sf: str, dated: DataFrame | None = None) -> DataFrame:
+    """Labelled posts and those around midnight as rows of the state table; `dated`: posts that were read before.
 
     Some lack bullets or a processed date. A run at night finds nothing new.
     """
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").alias("item_pos"), "quality", "toxic", F.lit(True).alias("labelled")
     )
-    marked = posts(spark, sf).join(labels, "item_pos", "left")
+    marked = (posts(spark, sf) if dated is None else dated).join(labels, "item_pos", "left")
     return marked.filter(F.col("labelled") | F.hour("published").isin(23, 0)).select(
         partition_key(F.col("source_name")).alias("pk"),
         row_key(F.col("link")).alias("rk"),

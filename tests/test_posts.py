@@ -298,6 +298,46 @@ def test_snapshot_beside_other_writers(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "state" / "rows").iterdir())) == 1
 
 
+def many(spark, n, title, sql="true"):
+    key = F.format_string("%06d", "id")
+    columns = [F.lit("p").alias("pk"), key.alias("rk"), F.lit(title).alias("title")]
+    rest = [F.lit(str(NOW)).cast("timestamp").alias(c) for c in ("processed_date", "ts")]
+    texts = [F.lit("s").alias(c) for c in ("link", "source_name", "summary", "publish_date", "english_summary", "korean_summary")]
+    return spark.range(0, n, 1, 4).filter(sql).select(*columns, *texts, *rest)
+
+
+def plans_written(state, monkeypatch):
+    """Plans of the rows that the table writes from now on."""
+    found, write = [], state._write
+
+    def spy(rows):
+        found.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows)
+
+    monkeypatch.setattr(state, "_write", spy)
+    return found
+
+
+def test_snapshot_resolves_without_moving_texts(spark, tmp_path, monkeypatch):
+    """Keys and places are shuffled; the rows themselves only once, by day."""
+    def keyed(pk, rk, title):
+        return (pk, rk, *row("p", "", title)[2:])
+
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    state.append(many(spark, 70_000, "old"), 0)
+    state.append(many(spark, 70_000, "new", "id % 3 = 1 OR id BETWEEN 32760 AND 32775"), 1)
+    state.append(state_rows(spark, [keyed("p", None, "null key"), keyed(None, None, "null keys"), keyed("p", "000001", "last")]), 2)
+    state.append(state_rows(spark, [keyed("p", None, "null key again")]), 3)
+    want = state.rows().select("pk", "rk", "title")
+    before = sorted(want.collect(), key=str)
+    found = plans_written(state, monkeypatch)
+    state.snapshot()
+    assert sorted(state.rows().select("pk", "rk", "title").collect(), key=str) == before
+    assert len(before) == 70_002 and sum(r.title == "last" for r in before) == 1
+    moved = [x for x in found[0].split("\n") if "Exchange" in x and "Broadcast" not in x]
+    assert len(moved) == 1 and "REBALANCE" in moved[0]
+
+
 def test_versions_as_ranges():
     from feedloom.operators.commits import covers, with_versions
 
