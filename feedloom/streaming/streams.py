@@ -16,7 +16,8 @@ from feedloom.functions.lines import extract_bullets, normalize_bullets
 from feedloom.functions.text import no_strings
 from feedloom.operators.commits import folder_at
 from feedloom.operators.posts import unprocessed_posts, with_keys
-from feedloom.operators.state import ProcessedPosts, latest_per_key, to_state_rows
+from feedloom.operators.state import ProcessedPosts, to_state_rows
+from feedloom.session import settle
 from feedloom.sources.feeds import clean_items, items_or_rejects, items_to_feeds, parse_feeds
 
 
@@ -71,12 +72,12 @@ def on_disk_state(spark: SparkSession) -> None:
 def upsert_batch(state: ProcessedPosts, writer: str) -> Callable[[DataFrame, int], None]:
     """Sink of a stream of state rows: one version per batch, the same one on a replay.
 
+    The state table keeps the newest row per key of what it is given.
     `writer` names the stream together with its checkpoint; a new checkpoint needs a new name.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_per_key(batch, F.col("processed_date").desc(), F.col("link"), F.col("title"))
-        state.append(rows, batch_id, writer)
+        state.append(batch, batch_id, writer)
 
     return write
 

@@ -257,18 +257,19 @@ def _(spark, sf):
     numbers repeat those of the batch job and of itself.
     """
     state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
-    state.append(v.processed(spark, sf), 0)
+    dated = v.settled_posts(spark, sf)
+    state.append(v.processed(spark, sf, dated), 0)
     none = F.array().cast("array<string>")
 
     def part(n):
-        posts = v.posts(spark, sf).filter(C("item_pos") % 4 == n)
+        posts = dated.filter(C("item_pos") % 4 == n)
         full = posts.withColumns({"english_summary": none, "korean_summary": none})
         return stt.to_state_rows(full, F.expr(f"{AS_OF_SQL} + INTERVAL {n} DAYS"))
 
     def stream(writer, numbers):
         path = shared_dir(spark, "posts")
         for n in numbers:
-            part(n).write.mode("append").parquet(path)
+            part(n).write.mode("append").option("compression", "zstd").parquet(path)
             rows = stm.payload_stream(spark, path, part(0).schema)
             stm.run_batches(rows, stm.upsert_batch(state, writer), f"{path}-check")
 

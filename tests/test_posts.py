@@ -338,6 +338,20 @@ def test_snapshot_resolves_without_moving_texts(spark, tmp_path, monkeypatch):
     assert len(moved) == 1 and "REBALANCE" in moved[0]
 
 
+def test_version_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """From the batch of a stream to the files of a version, texts are dealt out by key and no more."""
+    from feedloom.streaming.streams import upsert_batch
+
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    found = plans_written(state, monkeypatch)
+    upsert_batch(state, "w")(many(spark, 50, "a").unionByName(many(spark, 50, "b")), 0)
+    lines = found[0].split("\n")
+    assert len([x for x in lines if "Exchange" in x]) == 1
+    # One choice per key: no second window sorts the rows again.
+    assert len([x for x in lines if " Window [" in x]) == 1
+    assert {r.title for r in state.rows().collect()} == {"a"} and state.rows().count() == 50
+
+
 def test_versions_as_ranges():
     from feedloom.operators.commits import covers, with_versions
 
