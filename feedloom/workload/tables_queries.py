@@ -336,9 +336,9 @@ state AS (
 SELECT pk, rk, link, source_name, strftime(processed_date, {ISO}) AS processed_date FROM state"""
 
 
-def _fresh_rows(spark, sf):
+def _fresh_rows(posts):
     bullets = F.array("title")
-    fresh = flt.new_window_filter(v.posts(spark, sf), v.as_of(), 24).withColumns(
+    fresh = flt.new_window_filter(posts, v.as_of(), 24).withColumns(
         {"english_summary": bullets, "korean_summary": bullets}
     )
     return stt.to_state_rows(fresh, v.as_of())
@@ -353,17 +353,18 @@ def _state_view(rows):
 @query("s6_upsert_processed", UPSERT_SQL)
 def _(spark, sf):
     old = stt.latest_per_key(v.processed(spark, sf), C("processed_date").desc())
-    return _state_view(stt.upsert_processed(old, _fresh_rows(spark, sf)))
+    return _state_view(stt.upsert_processed(old, _fresh_rows(v.posts(spark, sf))))
 
 
 @query("s6_upsert_processed_stored", UPSERT_SQL)
 def _(spark, sf):
     """The same through the stored table: two versions, a replay and a snapshot."""
     state = stt.ProcessedPosts(spark, shared_dir(spark, "state"))
-    state.append(v.processed(spark, sf), 0)
+    dated = v.settled_posts(spark, sf)
+    state.append(v.processed(spark, sf, dated), 0)
     state.snapshot()
-    state.append(_fresh_rows(spark, sf), 1)
-    state.append(_fresh_rows(spark, sf), 1)
+    state.append(_fresh_rows(dated), 1)
+    state.append(_fresh_rows(dated), 1)
     return _state_view(state.rows())
 
 

@@ -352,6 +352,15 @@ def test_version_is_shuffled_once(spark, tmp_path, monkeypatch):
     assert {r.title for r in state.rows().collect()} == {"a"} and state.rows().count() == 50
 
 
+def test_stored_rows_are_packed(spark, tmp_path):
+    state = stt.ProcessedPosts(spark, str(tmp_path / "state"))
+    state.append(many(spark, 20, "a"), 0)
+    state.append(many(spark, 20, "b"), 1)
+    state.snapshot()
+    files = list((tmp_path / "state" / "rows").rglob("part-*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+
+
 def test_versions_as_ranges():
     from feedloom.operators.commits import covers, with_versions
 
