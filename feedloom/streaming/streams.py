@@ -94,7 +94,9 @@ def items_to_state(state: ProcessedPosts, feeds: DataFrame, writer: str) -> Call
         posts = items_to_feeds(batch, feeds).filter("published IS NOT NULL")
         bullets = normalize_bullets(extract_bullets(F.col("summary")))
         ready = posts.withColumns({"english_summary": bullets, "korean_summary": no_strings()})
-        fresh = unprocessed_posts(ready, state.seen(ready, but=(writer, batch_id)))
+        # Settled, so Spark knows their size: below the broadcast limit they are sent to the posts, whose texts stay.
+        seen = settle(state.seen(ready, but=(writer, batch_id)), "seen")
+        fresh = unprocessed_posts(ready, seen)
         write(to_state_rows(fresh, F.col("fetched_at")), batch_id)
 
     return run

@@ -42,7 +42,7 @@ def _arrivals(spark, rows, number, label: str, run):
     to where the stream looks.
     """
     kept, seen = shared_dir(spark, label), shared_dir(spark, label)
-    rows.withColumn("_turn", _turn(number)).write.partitionBy("_turn").parquet(kept)
+    rows.withColumn("_turn", _turn(number)).write.partitionBy("_turn").option("compression", "zstd").parquet(kept)
     for turn in range(len(ARRIVAL)):
         part, files = folder_at(spark, f"{kept}/_turn={turn}")
         if not files.exists(part):
@@ -239,13 +239,14 @@ UNION ALL SELECT pk, rk, link, strftime(fetched_at, {ISO}) FROM fresh""",
 def _(spark, sf):
     """One stream from payloads to the state table, which already holds some posts."""
     n = F.substring("feed_id", 2, 20).cast("bigint")
-    rows = tbq.rss_payloads(spark, sf).withColumn("n", n).withColumn("fetched_at", _fetched(C("n")))
-    feeds = v.posts(spark, sf).select(
+    dated = v.settled_posts(spark, sf)
+    rows = tbq.rss_payloads(spark, sf, dated).withColumn("n", n).withColumn("fetched_at", _fetched(C("n")))
+    feeds = dated.select(
         F.concat(F.lit("f"), C("item_pos").cast("string")).alias("feed_id"), "feed_group", "feed_pos",
         "source_name", F.lit(None).cast("string").alias("emoji"),
     )
     state = ProcessedPosts(spark, shared_dir(spark, "state"))
-    state.append(v.processed(spark, sf), 0)
-    sink, check = stm.items_to_state(state, feeds, "payloads"), shared_dir(spark, "check")
+    state.append(v.processed(spark, sf, dated), 0)
+    sink, check = stm.items_to_state(state, settle(feeds, "feeds"), "payloads"), shared_dir(spark, "check")
     _arrivals(spark, rows, C("n"), "payloads", lambda s: stm.run_batches(stm.stream_ingest(s.drop("n")), sink, check))
     return state.rows().select("pk", "rk", "link", format_iso(C("processed_date")).alias("processed_date"))

@@ -89,10 +89,10 @@ def _xml_text(c):
     return c
 
 
-def _payloads(spark, sf, body, feed=None):
+def _payloads(posts, body, feed=None):
     """A payload per post, from a feed of its own or from `feed`, a second after the one before."""
     own = F.concat(F.lit("f"), C("item_pos").cast("string"))
-    return v.posts(spark, sf).select(
+    return posts.select(
         (own if feed is None else feed).alias("feed_id"),
         (v.as_of() + F.make_dt_interval(secs=C("item_pos").cast("decimal(18,6)"))).alias("fetched_at"),
         F.when(C("lang") == "de", F.lit(503)).otherwise(200).alias("http_status"),
@@ -125,14 +125,14 @@ def _rss_body():
     )
 
 
-def rss_payloads(spark, sf):
-    return _payloads(spark, sf, _rss_body())
+def rss_payloads(spark, sf, dated=None):
+    return _payloads(v.posts(spark, sf) if dated is None else dated, _rss_body())
 
 
 def feed_payloads(spark, sf):
     """Many payloads for each source: RSS for even numbers, Atom for odd ones."""
     body = F.when(C("item_pos") % 2 == 0, _rss_body()).otherwise(_atom_body())
-    return _payloads(spark, sf, body, C("feed_id"))
+    return _payloads(v.posts(spark, sf), body, C("feed_id"))
 
 
 def _atom_body():
@@ -155,7 +155,7 @@ def _atom_body():
 
 
 def atom_payloads(spark, sf):
-    return _payloads(spark, sf, _atom_body())
+    return _payloads(v.posts(spark, sf), _atom_body())
 
 
 def _items(parsed):

@@ -108,6 +108,27 @@ def totals(sums):
     return sorted(r["items"] for r in sums.read().collect())
 
 
+def test_batch_meets_the_settled_keys_of_the_state(spark, tmp_path, monkeypatch):
+    """The keys that the table holds of a batch have a known size, so texts need not move to meet them."""
+    state = ProcessedPosts(spark, str(tmp_path / "state"))
+    feeds = spark.createDataFrame([("f", "g", 0, "S", None)], "feed_id STRING, feed_group STRING, feed_pos INT, source_name STRING, emoji STRING")
+    kinds = "feed_id STRING, item_pos INT, title STRING, link STRING, summary STRING, published TIMESTAMP, categories ARRAY<STRING>, fetched_at TIMESTAMP"
+    now = dt.datetime(2024, 1, 3)
+    found, write = [], state._write
+
+    def spy(rows):
+        found.append(rows._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().executedPlan().toString())
+        found.append([f for f in rows.inputFiles() if "/seen-" in f])
+        return write(rows)
+
+    monkeypatch.setattr(state, "_write", spy)
+    sink = stm.items_to_state(state, feeds, "w")
+    for batch, links in enumerate((["a", "b"], ["b", "c"])):
+        sink(spark.createDataFrame([("f", i, x, x, x, now, [], now) for i, x in enumerate(links)], kinds), batch)
+    assert sorted(r.link for r in state.rows().collect()) == ["a", "b", "c"]
+    assert found[3] and "LeftAnti" in found[2]
+
+
 def test_hourly_sums_lose_no_late_row(spark, tmp_path):
     sums = stm.StreamedSums(spark, str(tmp_path / "sums"), ["hour", "feed_id"], fan=2)
     write = sums.sink(stm.hourly_status)
